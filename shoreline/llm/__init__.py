@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shoreline.llm import decontaminate, token_counts
+from shoreline.llm import decontaminate, mixing, sharding, token_counts
 
-MODULES = (decontaminate, token_counts)
+MODULES = (mixing, sharding, decontaminate, token_counts)
 
 
 def queries() -> dict:
