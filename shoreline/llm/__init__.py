@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shoreline.llm import decontaminate, mixing, quality, sharding, token_counts
+from shoreline.llm import decontaminate, mixing, quality, sharding, token_counts, token_store
 
-MODULES = (mixing, sharding, decontaminate, token_counts, quality)
+MODULES = (mixing, token_store, sharding, decontaminate, token_counts, quality)
 
 
 def queries() -> dict:
