@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shoreline.llm import decontaminate, mixing, quality, sharding, token_counts, token_store
+from shoreline.llm import decontaminate, mixing, quality, sharding, token_counts, token_store, toxicity
 
-MODULES = (mixing, token_store, sharding, decontaminate, token_counts, quality)
+MODULES = (mixing, token_store, toxicity, sharding, decontaminate, token_counts, quality)
 
 
 def queries() -> dict:
