@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shoreline.llm import decontaminate, mixing, near_dedup, quality, sharding, token_counts, token_store, toxicity
+from shoreline.llm import decontaminate, mixing, near_dedup, passages, quality, sharding, token_counts, token_store, toxicity
 
-MODULES = (mixing, token_store, toxicity, sharding, decontaminate, near_dedup, token_counts, quality)
+MODULES = (passages, mixing, token_store, toxicity, sharding, decontaminate, near_dedup, token_counts, quality)
 
 
 def queries() -> dict:
