@@ -105,7 +105,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rows = rows.withColumns({"_passes": passes, "_last": last})
     rows = rows.withColumn("taken", F.col("_passes") * F.col("size") + F.col("_last"))
     first = F.when(F.col("taken") > 0, position(F.col("_offset") / F.col("_take"), F.col("_schedule"), schedules))
-    return rows.select(*kept, "size", "source_size", "target", "taken", first.alias("first_position"), "_passes", "_last", "_offset", "_take", "_schedule")
+    return rows.select(*kept, "size", "source_size", "target", "taken", first.alias("first_position"), "_passes", "_last", "_offset", "_take", "_schedule", "_key")
 
 
 def training_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", schedules=SCHEDULES) -> DataFrame:
@@ -121,7 +121,8 @@ def training_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mix(read(spark, sf_dir, "documents"), carry=["doc_id"])
-    return rows.select("doc_id", "size", "source_size", "target", "taken", "first_position").orderBy(F.col("first_position").asc_nulls_last())
+    # what isn't taken has no position: its key spreads it over the last partitions
+    return rows.orderBy(F.col("first_position").asc_nulls_last(), "_key").select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
 def _position_sql(share: str, schedule: str) -> str:
