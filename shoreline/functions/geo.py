@@ -131,13 +131,14 @@ def utm_to_lonlat(x: Column, y: Column, zone: int, north: bool = True) -> tuple[
         xp = xp - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         ep = ep - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
     chi = F.asin(F.sin(xp) / F.cosh(ep))
-    e = math.sqrt(f * (2 - f))
-    t = F.tan(chi)
-    tau = t
-    for _ in range(4):  # Newton's steps from conformal to geographic latitude
-        root = F.sqrt(1 + tau * tau)
-        s = F.sinh(e * F.atanh(e * tau / root))
-        guess = tau * F.sqrt(1 + s * s) - s * root
-        tau = tau + (t - guess) / F.sqrt(1 + guess * guess) * (1 + (1 - e * e) * tau * tau) / ((1 - e * e) * root)
+    delta = (
+        2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45,
+        7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45,
+        56 * n**3 / 15 - 136 * n**4 / 35,
+        4279 * n**4 / 630,
+    )
+    lat = chi
+    for j, c in enumerate(delta, 1):
+        lat = lat + c * F.sin(2 * j * chi)
     lon = F.degrees(F.atan2(F.sinh(ep), F.cos(xp))) + (zone * 6 - 183)
-    return lon, F.degrees(F.atan(tau))
+    return lon, F.degrees(lat)
