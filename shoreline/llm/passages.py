@@ -8,9 +8,9 @@ smaller doc_id, or in the same document at an earlier word.
    word in nine is named). Blocks exchange the distinct names; names that one block alone has are dropped.
 3. Confirmation: windows with a shared name are exchanged as 128-bit hashes, and each block learns which of its windows
    an earlier block has. Repeats within a block are found there.
-4. The confirmed phrases of a block are compiled into Aho-Corasick automata (pyahocorasick, one character a word),
-   in shards of PHRASES; all documents of the block are streamed through them, which locates every occurrence,
-   and all but the first of the corpus is removed.
+4. Runs of confirmed windows are the block's recurring phrases. They are compiled into Aho-Corasick automata (pyahocorasick,
+   one character a word), in shards of PHRASES words; all documents of the block are streamed through them, which locates every
+   occurrence word by word, and all but the first of the corpus are removed.
 
 What is exchanged goes by hash, each block giving a phrase once however often it holds it, so that a passage that a third of
 all documents share costs a shard one entry a block. Nothing is collected; the texts are shuffled once.
@@ -35,8 +35,8 @@ from shoreline.llm.base import as_strings, block_count, hashed_words, in_blocks,
 WINDOW, NAME = 20, 5
 BLOCK_TEXT = 4 << 20
 SHARD_BYTES = 8 << 20
-#: Phrases of one automaton; about 60 bytes a word of each.
-PHRASES = 40_000
+#: Words of the phrases of one automaton; about 60 bytes each.
+PHRASES = 500_000
 #: Numbers that fit into one character each.
 LETTERS = 1_000_000
 
@@ -149,28 +149,40 @@ def _first_of(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.unique(w, return_index=True, return_inverse=True)
 
 
-def locate(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, keep_first: np.ndarray, window: int) -> np.ndarray:
-    """Marks every word of an occurrence of the phrases words[starts[i]:ends[i]], streaming all words through
-    automata of PHRASES phrases each. keep_first: the phrase's first occurrence stays. Value 0 in words parts documents."""
+def locate(words: np.ndarray, again: np.ndarray, window: int) -> np.ndarray:
+    """Marks every word of the windows that are to go. again: windows (by first word) that were confirmed to be repeats.
+
+    Each run of such windows is one phrase. The phrases are compiled into automata of about PHRASES words, all words are
+    streamed through them, and a window goes where an occurrence of a phrase is found over a confirmed repeat. Value 0 in
+    words parts documents."""
     import ahocorasick
 
-    change = np.zeros(len(words) + 1, np.int64)
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], again.view(np.int8), [0]))))
+    starts, ends = edge[::2], edge[1::2] + window - 1
+    found = np.zeros(len(words) + 1, np.int64)
     line = _letters(words) if len(words) and words.max() < LETTERS else None
-    for i in range(0, len(starts), PHRASES):
-        part = slice(i, i + PHRASES)
+    cut = np.unique(np.searchsorted(np.cumsum(ends - starts), np.arange(0, (ends - starts).sum() + PHRASES, PHRASES)))
+    for i, j in zip(cut, [*cut[1:], len(starts)], strict=True):
+        if i == j:
+            continue
         here = line
         if here is None:  # number the words of these phrases alone; all others are one letter
-            used = np.unique(words[starts[part, None] + np.arange(window)])
+            used = np.unique(np.concatenate([words[s:e] for s, e in zip(starts[i:j], ends[i:j], strict=True)]))
             at = np.minimum(np.searchsorted(used, words), len(used) - 1)
             here = _letters(np.where(words == 0, 0, np.where(used[at] == words, at + 2, 1)))
         a = ahocorasick.Automaton()
-        for s, e, keep in zip(starts[part].tolist(), ends[part].tolist(), keep_first[part].tolist(), strict=True):
-            a.add_word(here[s:e], s if keep else -1)
+        for s, e in zip(starts[i:j].tolist(), ends[i:j].tolist(), strict=True):
+            a.add_word(here[s:e], e - s)
         a.make_automaton()
-        hits = np.fromiter((end for end, first in a.iter(here) if end - window + 1 != first), np.int64)
-        np.add.at(change, hits - window + 1, 1)
-        np.add.at(change, hits + 1, -1)
-    return np.cumsum(change[:-1]) > 0
+        hits = np.array(list(a.iter(here)), np.int64).reshape(-1, 2)
+        np.add.at(found, hits[:, 0] - hits[:, 1] + 1, 1)
+        np.add.at(found, hits[:, 0] - window + 2, -1)
+    gone = (np.cumsum(found[:-1]) > 0) & again
+    cover = np.zeros(len(words) + 1, np.int64)
+    at = np.flatnonzero(gone)
+    cover[at] += 1
+    cover[at + window] -= 1
+    return np.cumsum(cover[:-1]) > 0
 
 
 def _letters(numbers: np.ndarray) -> str:
@@ -222,15 +234,15 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
             each, first, of = _first_of(w)
             at = np.minimum(np.searchsorted(keys, each), max(0, len(keys) - 1))
             before = (keys[at] == each) & known[at] if len(keys) else np.zeros(len(each), bool)
-            phrase = np.flatnonzero(before | (np.bincount(of) > 1))
-            if len(phrase):
+            again = before[of] | (first[of] != np.arange(len(of)))
+            if again.any():
                 _, ids = np.unique(b.h, return_inverse=True)
                 # a 0 between documents, so that no phrase crosses them
-                line = np.zeros(len(b.h) + len(b.n), np.int64)
+                line, repeats = np.zeros(len(b.h) + len(b.n), np.int64), np.zeros(len(b.h) + len(b.n), bool)
                 place = np.arange(len(b.h)) + b.doc
                 line[place] = ids + 1
-                starts = place[b.at[first[phrase]]]
-                found = locate(line, starts, starts + window, ~before[phrase], window)[place]
+                repeats[place[b.at]] = again
+                found = locate(line, repeats, window)[place]
         kept, runs, gone = [], [], []
         for d, t in enumerate(b.texts.cast(pa.large_binary()).to_pylist()):
             out = found[b.first[d] : b.first[d + 1]]

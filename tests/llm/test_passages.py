@@ -57,11 +57,15 @@ def test_equal_ids_and_nulls(spark):
 def test_many_words_in_shards(monkeypatch):
     r = np.random.default_rng(2)
     words = np.concatenate((r.integers(1, 90000, 3000), [0], r.integers(1, 90000, 10)))
-    words = np.concatenate((words, [0], words[100:160], [0], words[500:520]))
-    starts = np.array([100, 110, 140, 500])
-    want = np.zeros(len(words), bool)
-    want[3012:3032] = want[3022:3042] = want[3052:3072] = want[3073:3093] = True
-    for letters, phrases in ((10**6, 40000), (100, 2)):
+    words = np.concatenate((words, [0], words[100:160], [0], words[500:520], [0], words[100:130], words[2000:2040]))
+    seen, again, want = set(), np.zeros(len(words), bool), np.zeros(len(words), bool)
+    for k in range(len(words) - 19):
+        w = tuple(words[k : k + 20])
+        if 0 not in w:
+            again[k] = w in seen
+            seen.add(w)
+            want[k : k + 20] |= again[k]
+    for letters, phrases in ((10**6, 500_000), (100, 50)):
         monkeypatch.setattr(passages, "LETTERS", letters)
         monkeypatch.setattr(passages, "PHRASES", phrases)
-        assert (locate(words, starts, starts + 20, np.ones(4, bool), 20) == want).all()
+        assert again.sum() == 41 + 1 + 11 + 21 and (locate(words, again, 20) == want).all()
