@@ -37,6 +37,8 @@ WORDS = 12
 TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_CHARS = 2000, 4000, 32_000
 #: Bytes of the ordinary dictionary.
 ORDINARY_BYTES = 8192
+#: How many times as common in toxic documents a telling passage is.
+RATIO = 4
 COVER, FOLDS = 5, 4
 LENGTHS = range(5, 12)
 
@@ -59,7 +61,7 @@ def toxic_content(toxic: list[str], ordinary: list[str]) -> bytes:
     count = {p: n for p, n in count.items() if n >= least}
     usual = Counter(p for t in ordinary for p in _starts(t) if p in count)
     nt, no = len(toxic), len(ordinary)
-    count = {p: n for p, n in count.items() if n / nt > 10 * usual[p] / no}
+    count = {p: n for p, n in count.items() if n / nt > RATIO * usual[p] / no}
     of = [[p for p in _starts(t) if p in count] for t in toxic]
     where = defaultdict(list)
     for i, ps in enumerate(of):
@@ -67,10 +69,13 @@ def toxic_content(toxic: list[str], ordinary: list[str]) -> bytes:
             where[p].append(i)
     need, chosen = [COVER] * nt, []
     while count:
-        best = max(count, key=lambda p: (count[p] / nt - 5 * usual[p] / no, len(p), p))
-        n = count.pop(best)
-        if n < least or n / nt <= 10 * usual[best] / no or chosen and n < 0.12 * chosen[0][0]:
+        best = max(count, key=lambda p: (count[p] / nt - 3 * usual[p] / no, len(p), p))
+        n = count[best]
+        if n < least or n / nt <= RATIO * usual[best] / no or chosen and n < 0.12 * chosen[0][0]:
             break
+        # the longest passage that nearly all of these documents have
+        best = max((p for p in count if p.startswith(best) and count[p] >= 0.85 * n), key=lambda p: (len(p), p))
+        count.pop(best)
         chosen.append((n, best))
         for p in [p for p in count if p.startswith(best) or best.startswith(p)]:
             del count[p]
@@ -132,7 +137,8 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 6
     return w
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
+def fit(toxic: list[str], ordinary: list[str], odds: float | None = None) -> Model | None:
+    """odds: toxic to ordinary documents among all labels, where the texts given are a sample with other odds."""
     toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary) - set(toxic))
     if not toxic or not ordinary:
         return None
@@ -149,11 +155,14 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
                     y.append(label)
     x, y = np.array(x), np.array(y, float)
     mean, scale = x.mean(0), x.std(0) + 1e-9
-    return Model(ordinary_content(ordinary), toxic_content(toxic, ordinary), mean, scale, logistic((x - mean) / scale, y))
+    weights = logistic((x - mean) / scale, y)
+    if odds:
+        weights[-1] += np.log(odds * len(ordinary) / len(toxic))
+    return Model(ordinary_content(ordinary), toxic_content(toxic, ordinary), mean, scale, weights)
 
 
-def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", usable=None) -> tuple[list[str], list[str]]:
-    """Texts of labelled toxic and ordinary documents, within the bounds above."""
+def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", usable=None) -> tuple[list[str], list[str], float | None]:
+    """Texts of labelled toxic and ordinary documents, within the bounds above, and the odds among all usable labels."""
     marks = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
     if usable is not None:
         marks = marks.where(usable(F.col(doc_id)))
@@ -162,7 +171,8 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = docs.where(F.length(text) <= SAMPLE_CHARS).select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(ids[0].union(ids[1])), "_id")
     # repeated doc_ids could make more rows than there are labels
     got = rows.orderBy(F.xxhash64("_id"), "_id", "_t").limit(TOXIC_SAMPLE + ORDINARY_SAMPLE).select("_t", "_y").toPandas()
-    return [list(got["_t"][got["_y"] == y]) for y in (1, 0)]
+    n = marks.agg(F.count_if(F.col("_y") == 1).alias("t"), F.count_if(F.col("_y") == 0).alias("o")).first()
+    return list(got["_t"][got["_y"] == 1]), list(got["_t"][got["_y"] == 0]), n.t / n.o if n.t and n.o else None
 
 
 def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
