@@ -11,9 +11,6 @@ from shoreline.functions import geo, timegrid
 from shoreline.functions.tide import Harmonic, TideModel
 from shoreline.operators import datum
 
-#: Names of the sites that come with the package.
-PRESETS = {"Chongming": (122.0, 31.5), "Brest": (-4.5, 48.38), "San Francisco": (-122.47, 37.81), "Boston": (-71.05, 42.35), "Honolulu": (-157.87, 21.31)}
-
 
 def series(spark: SparkSession, model: Harmonic, node_id: int, lon: float, lat: float, start: datetime, end: datetime, freq: str, inclusive: str = "both", tz: str = "UTC", target: str = "msl") -> DataFrame:
     """datetime_utc, longitude, latitude, short-period, long-period and total tide in cm, total in m and its flag; with a target other than

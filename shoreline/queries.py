@@ -14,7 +14,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.functions import geo, qc, tide, timegrid
+from shoreline.functions import geo, places as known_places, qc, tide, timegrid
 from shoreline.operators import cells as cell_ops
 from shoreline.operators import datum, exposure, frequency, metrics, peaks, quadtree, sampling, topology
 from shoreline.sources import bundle, manifest, tables
@@ -348,6 +348,22 @@ def reference_geoid_mask(spark, d):
     return _inside(spark, d).select("id", g.alias("geoid"), q.alias("quality"))
 
 
+_SEA_EDGES = ", ".join(f"('{n}', {a[0]}::double, {a[1]}::double, {b[0]}::double, {b[1]}::double)" for n, p in known_places.CLOSED_SEAS.items() for a, b in zip(p, p[1:], strict=False))
+
+
+@query(f"with places as (select o_orderkey id, -10.0::double + o_orderkey * 37 % 6000 / 100.0::double lon, 28.0::double + o_orderkey * 53 % 2200 / 100.0::double lat from orders), edges(polygon, x1, y1, x2, y2) as (values {_SEA_EDGES}), c as (select id, polygon, count(*) n from places, edges where ((y1 > lat) <> (y2 > lat)) and lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0) + x1 group by 1, 2) select polygon, count(*)::bigint n from c where n % 2 = 1 group by 1")
+def closed_seas(spark, d):
+    """Places of a grid over southern Europe by the sea that holds them."""
+    o = rd(spark, d, "orders")
+    p = o.select(F.col("o_orderkey").alias("id"), (F.lit(-10.0) + F.col("o_orderkey") * 37 % 6000 / 100.0).alias("lon"), (F.lit(28.0) + F.col("o_orderkey") * 53 % 2200 / 100.0).alias("lat"))
+    return datum.in_polygons(p, datum.edges_of(known_places.CLOSED_SEAS, spark), "id").groupBy("polygon").agg(F.count("*").alias("n"))
+
+
+@query("select * from (values " + ", ".join(f"('{n}', {x}::double, {y}::double)" for n, (x, y) in known_places.PRESETS.items()) + ") t(name, lon, lat)")
+def preset_sites(spark, d):
+    return spark.createDataFrame([(n, *xy) for n, xy in known_places.PRESETS.items()], "name string, lon double, lat double")
+
+
 # ---------------------------------------------------------------- sampling
 
 
