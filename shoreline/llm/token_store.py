@@ -44,7 +44,8 @@ SEGMENT_TEXT = 4 << 20
 PART_TEXT = 64 << 20
 #: Segments whose starts may be sent to every executor (about 40 bytes each).
 BROADCAST_SEGMENTS = 1 << 18
-WORDS = 800_000
+#: Words and pieces that a worker remembers (about 200 bytes each).
+WORDS = 1_500_000
 
 
 # ---------------------------------------------------------------- the codes
@@ -126,6 +127,21 @@ class Segment:
 # ---------------------------------------------------------------- the tokenizer
 
 
+def pack_ids(*ids: int) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Words(dict):
+    """Words and their ids; a new one is encoded when it is asked for."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, w: str) -> bytes:
+        found = self[w] = self.encode(w)
+        return found
+
+
 class WordEncoder:
     """Encodes texts word by word with a remembered dictionary.
 
@@ -156,7 +172,7 @@ class WordEncoder:
         rest = [b for b in range(256) if b not in plain]
         self.letter = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self.model = self.whole.model
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self._word)
         self.pieces: dict[str, bytes] = {}
         self.most = most
 
@@ -164,18 +180,22 @@ class WordEncoder:
         found = self.pieces.get(p)
         if found is None:
             letters = p if p.isascii() and p.isprintable() else "".join(map(self.letter.__getitem__, p.encode()))
-            found = self.pieces[p] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+            found = self.pieces[p] = pack_ids(*[t.id for t in self.model.tokenize(letters)])
         return found
 
     def _word(self, w: str) -> bytes:
         if max(w) < "̀" and not (self.special and (self.mark is None or self.mark in w)):
             low = w.lower()
             if max(low) < "̀":
+                if low.isalpha():  # one run of letters, as the pattern takes it
+                    return self._piece(low)
+                if low[-1] in ".," and low[:-1].isalpha():
+                    return self._piece(low[:-1]) + self._piece(low[-1])
                 return b"".join(map(self._piece, self.split(low)))
         return self._encode(w)
 
     def _encode(self, t: str) -> bytes:
-        return np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        return pack_ids(*self.whole.encode(t, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -184,13 +204,8 @@ class WordEncoder:
         if len(self.words) + len(self.pieces) > self.most:
             self.words.clear()
             self.pieces.clear()
-        known, out = self.words, []
-        for t in texts:
-            words = self.find(t)
-            for w in set(words).difference(known):
-                known[w] = self._word(w)
-            out.append(b"".join(map(known.__getitem__, words)))
-        return out
+        get = self.words.__getitem__
+        return [b"".join(map(get, self.find(t))) for t in texts]
 
 
 _encoders: dict[str, WordEncoder] = {}
