@@ -12,9 +12,13 @@ Search: exact copies (equal words) are one class, represented once. Components a
 share a band are a bucket. With s = 0.8 the chance to share none is (1 - s^5)^32 = 3e-6. A bucket isn't expanded into
 pairs: its first member is compared with all others; links are verified on the whole bags and joined to components;
 only a bucket that still holds several components goes on, with its best-linked member and the first one outside
-as further pivots, until no member outside is left unused. So every link within a bucket counts, but a bucket whose members
+as further pivots, until no member outside is left unused; once the comparisons left in all buckets are at most LINEAR a member,
+they are made at once. So every link within a bucket counts, but a bucket whose members
 are joined already costs nothing more.
 
+A near copy's own edits give it shingles that no other candidate has. What is left of it, its core, bounds every overlap, so most
+members of a group of copies of copies are seen from two sizes to link to nobody, and are never compared; this is exact.
+
 Cases: documents without words (null, empty, blank) are alone; one with fewer than five words is one shingle; repeated rows are
 copies; class_id is the smallest doc_id of the class (null ids aside); node ids are 64-bit hashes of the words; an
 empty table gives an empty result; other columns are ignored, or kept by keep_one().
@@ -34,6 +38,8 @@ BANDS, ROWS = 32, 5
 M = BANDS * ROWS
 _STEP, _DRAW, _HIGH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 _UNIT = 2.0**-53
+#: Pairs a bucket member, on average, up to which the rest is compared at once.
+LINEAR = 8
 
 
 def shingles(h: np.ndarray, n: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -161,6 +167,20 @@ def sketches(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col(text).alias("_text")).mapInArrow(run, "node long, bag binary")
 
 
+def cores(bag: DataFrame) -> DataFrame:
+    """node, n (size of its bag) and core (how much of it any other candidate has too)."""
+
+    def run(batches):
+        for b in batches:
+            bags_ = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            n = [len(x) for x in bags_]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), n)), pa.array(np.concatenate(bags_) if bags_ else np.zeros(0, np.int64))], names=["node", "e"])
+
+    own = bag.mapInArrow(run, "node long, e long").groupBy("e").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").alias("own"))
+    sizes = bag.select("node", (F.octet_length("bag") / 8).cast("long").alias("n"))
+    return sizes.join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("core"))
+
+
 def similarity(a: bytes, b: bytes) -> float:
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if not SIMILAR - 1e-9 <= len(x) / max(1, len(y)) <= 1 / (SIMILAR - 1e-9):
@@ -197,6 +217,21 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def _possible(left: DataFrame, right: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """Pairs whose cores can reach the overlap that their sizes take; right has its size as m and its core as c2."""
+    return left.join(right, keys).where(F.least("core", "c2") >= least * (F.col("n") + F.col("m")) - 1e-6)
+
+
+def _untested(going: DataFrame, pick: DataFrame, tested: DataFrame, least: float) -> DataFrame:
+    """Pairs of a pivot and a member of another component of its bucket that can link and haven't been compared."""
+    pairs = _ordered(_possible(going, pick, ["key"], least).where(F.col("component") != F.col("c")), "node", "v")
+    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def classes(rows: DataFrame, docs: DataFrame, text: str, threshold: float = SIMILAR) -> DataFrame:
     """rows: written signed() rows. node, component of every node with a link to another one."""
     nodes = rows.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"))
@@ -204,31 +239,42 @@ def classes(rows: DataFrame, docs: DataFrame, text: str, threshold: float = SIMI
     full = written(bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot"), "near-buckets")
     members = written(bands.join(full, "key").select("key", "node", "pivot"), "near-members")
     some = members.select("node").distinct()
-    bag = sketches(docs.join(rows.where("node is not null").join(some, "node", "left_semi").groupBy("node").agg(F.min("_id").alias("_id")).select("_id").distinct(), "_id", "left_semi"), text)
+    ids = rows.where("node is not null").join(some, "node", "left_semi").groupBy("node").agg(F.min("_id").alias("_own")).select("_own").distinct()
+    bag = sketches(docs.join(ids, F.col("_id").eqNullSafe(F.col("_own")), "left_semi"), text)
     bag = written(bag.join(some, "node", "left_semi").dropDuplicates(["node"]), "near-bags")
-    ordered = lambda df, x, y: df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-    tested = verified(ordered(members, "node", "pivot"), bag)
-    used = full.select("key", F.col("pivot").alias("node"))
+    # J >= s takes an overlap of s / (1 + s) of both sizes, and no overlap exceeds a core: who can't reach that with the smallest
+    # member of a bucket links to nobody in it
+    least = threshold / (1 + threshold)
+    members = written(members.join(cores(bag), "node"), "near-sized")
+    small = members.groupBy("key").agg(F.min("n").alias("smallest"))
+    members = members.join(small, "key").where(F.col("core") >= least * (F.col("n") + F.col("smallest")) - 1e-6).drop("pivot", "smallest")
+    members = written(members.join(members.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("k")).where("k > 1").drop("k"), "key"), "near-members")
+    full = members.select("key", "pivot").distinct()
+    tested = verified(_ordered(_possible(members, members.select("key", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("core").alias("c2")), ["key", "pivot"], least), "node", "pivot"), bag)
+    used = full.withColumnRenamed("pivot", "node")
     while True:
         edges = tested.where(F.col("similarity") >= threshold)
         labels = components(edges)
-        state = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), "pivot")
+        state = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), "pivot", "n", "core")
         state = written(state, "near-state")
         split = state.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.when(F.col("node") == F.col("pivot"), F.col("component"))).alias("main")).where("x != y").select("key", "main")
         degree = edges.select(F.col("a").alias("node")).union(edges.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
-        going = written(state.join(split, "key").select("key", "node", "component", "main"), "near-going")
+        going = written(state.join(split, "key").select("key", "node", "component", "main", "n", "core"), "near-going")
         free = going.join(used, ["key", "node"], "left_anti").join(degree, "node", "left")
         outside = F.col("component") != F.col("main")
-        best = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node", "component")
-        pick = free.groupBy("key").agg(F.max(best).alias("p"), F.min(F.when(outside, F.struct("node", "component"))).alias("q")).where("q is not null")
-        pick = pick.select("key", F.explode(F.array_distinct(F.array(F.struct("p.node", "p.component"), F.col("q")))).alias("v")).select("key", F.col("v.node").alias("v"), F.col("v.component").alias("c"))
-        pick = written(pick, "near-pivots")
-        if pick.isEmpty():
+        rest = free.where(outside).groupBy("key").agg(F.count("*").alias("u")).join(going.groupBy("key").agg(F.count("*").alias("n")), "key").agg(F.sum(F.col("u") * F.col("n")).alias("w")).first()["w"] or 0
+        if not rest:
             return labels
+        if rest <= LINEAR * members.count():  # what is left is no more than a few pairs a member: all of it at once
+            pick = free.where(outside).select("key", F.col("node").alias("v"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("core").alias("c2"))
+            tested = tested.union(verified(_untested(going, pick, tested, least), bag))
+            return components(tested.where(F.col("similarity") >= threshold))
+        best = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node", "component", "n", "core")
+        pick = free.groupBy("key").agg(F.max(best).alias("p"), F.min(F.when(outside, F.struct("node", "component", "n", "core"))).alias("q")).where("q is not null")
+        pick = pick.select("key", F.explode(F.array_distinct(F.array(F.struct("p.node", "p.component", "p.n", "p.core"), F.col("q")))).alias("v")).select("key", F.col("v.node").alias("v"), F.col("v.component").alias("c"), F.col("v.n").alias("m"), F.col("v.core").alias("c2"))
+        pick = written(pick, "near-pivots")
         used = written(used.union(pick.select("key", "v")), "near-used")
-        pairs = ordered(going.join(pick, "key").where(F.col("component") != F.col("c")), "node", "v")
-        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        tested = tested.union(verified(pairs, bag))
+        tested = tested.union(verified(_untested(going, pick, tested, least), bag))
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, threshold: float, carry: list[str]) -> DataFrame:

@@ -2,7 +2,9 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
+from shoreline.llm import near_dedup
 from shoreline.llm.near_dedup import bag_minhash, components, keep_one, near_duplicates
 
 WORDS = "abcdefghijklmnopqrstuvwxyz"
@@ -87,6 +89,18 @@ def test_repeated_rows_and_null_ids(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_copies_without_ids(spark):
+    t = [f"w{k}" for k in range(60)]
+    df = spark.createDataFrame([(None, " ".join(t)), (None, " ".join([*t[:-1], "x"])), (4, " ".join(t[::-1]))], "doc_id long, text string")
+    assert sorted(x.class_size for x in near_duplicates(df).collect()) == [1, 2, 2]
+
+
+@pytest.mark.parametrize("linear", [0, 10**6])
+def test_rounds_and_the_rest_at_once(spark, monkeypatch, linear):
+    monkeypatch.setattr(near_dedup, "LINEAR", linear)
+    test_brute_force(spark)
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + k) for k in range(1, 50)] + [(200, 201), (201, 200)]
