@@ -78,12 +78,12 @@ def bilinear_weights(u: Column, v: Column) -> tuple[Column, Column, Column, Colu
 
 
 def circular_span(df: DataFrame, lon: str, *keys: str) -> DataFrame:
-    """keys, span, start, end of the shortest arc that holds all longitudes of a group; the first largest gap wins."""
+    """keys, span, start, end of the shortest arc that holds all longitudes of a group; the first largest gap wins (to 9 places)."""
     pts = df.where(F.col(lon).isNotNull()).select(*keys, normalize_longitude(F.col(lon)).alias("_l")).distinct()
     w = Window.partitionBy(*keys)
     o = w.orderBy("_l")
     nxt = F.coalesce(F.lead("_l").over(o), F.min("_l").over(w) + 360.0)
-    gaps = pts.withColumn("_next", nxt).withColumn("_gap", F.col("_next") - F.col("_l"))
+    gaps = pts.withColumn("_next", nxt).withColumn("_gap", F.round(F.col("_next") - F.col("_l"), 9))
     best = gaps.groupBy(*keys).agg(F.max(F.struct(F.col("_gap"), (-F.col("_l")).alias("_m"), F.col("_next"))).alias("g"))
     start = F.pmod(F.col("g._next"), F.lit(360.0))
     return best.select(*keys, (360.0 - F.col("g._gap")).alias("span"), start.alias("start"), (start + (360.0 - F.col("g._gap"))).alias("end"))

@@ -37,6 +37,15 @@ def rd(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def uncut(name: str, *cuts: tuple[str, str]) -> str:
+    """The SQL of a query over part of a table, over all of it: what each cut is replaced by."""
+    sql = ORACLE[name]
+    for cut, put in cuts:
+        assert cut in sql, cut
+        sql = sql.replace(cut, put)
+    return sql
+
+
 def r(c, n: int = 6):
     """Rounded, and never a negative zero."""
     return F.round(c, n) + F.lit(0.0)
@@ -127,6 +136,11 @@ WEIGHTS = f"""member as (select pixel, x, y, z, {COMPONENT} p, cell_id, cell_qc,
    corners_used as (select *, weight / case when total > 1e-9 then total else 1.0::double end share, p > 0 and usable > 0 and case when own > 0 then own < n else true end connectivity, usable between 1 and 3 spatial from ct)"""
 
 
+def height(p) -> int:
+    """Rows of the raster, as far as it has pixels."""
+    return p.agg(F.coalesce(F.max("row"), F.lit(-1)) + 1).first()[0]
+
+
 # ---------------------------------------------------------------- frequency
 
 
@@ -244,7 +258,16 @@ def spatial_chunk_key(spark, d):
  b as (select *, row_number() over (partition by c_nationkey order by round(nxt - lon, 9) desc, lon) i from g)
  select c_nationkey, round(360 - (nxt - lon), 6) span, round(nxt % 360, 6) as start from b where i = 1""")
 def circular_span(spark, d):
-    p = places(spark, d).where("id < 500").withColumn("lon", F.round("lon", 9))
+    return _circular_span(places(spark, d).where("id < 500"))
+
+
+@query(uncut("circular_span", (" where id < 500", "")))
+def circular_span_whole(spark, d):
+    return _circular_span(places(spark, d))
+
+
+def _circular_span(p):
+    p = p.withColumn("lon", F.round("lon", 9))
     return geo.circular_span(p, "lon", "c_nationkey").select("c_nationkey", r("span").alias("span"), r("start").alias("start"))
 
 
@@ -253,13 +276,31 @@ def circular_span(spark, d):
 
 @query(f"with {PIXELS}, {CELLS}, {NODES}, {HOURS} select node_id, make_timestamp(s * 1000000) t, round({LEVEL}, 4) as level from nodes, hours where node_id % 7 = 0")
 def tide_synthetic_field(spark, d):
-    n = nodes(spark, d).where("node_id % 7 = 0").crossJoin(F.broadcast(hours(spark)))
+    return _tide_synthetic_field(spark, nodes(spark, d).where("node_id % 7 = 0"))
+
+
+@query(uncut("tide_synthetic_field", (" where node_id % 7 = 0", "")))
+def tide_synthetic_field_whole(spark, d):
+    return _tide_synthetic_field(spark, nodes(spark, d))
+
+
+def _tide_synthetic_field(spark, n):
+    n = n.crossJoin(F.broadcast(hours(spark)))
     return n.select("node_id", F.col("t").cast("timestamp_ntz").alias("t"), r(tide.synthetic_level(timegrid.seconds(F.col("t")) / 3600.0, F.col("lon"), F.col("lat")), 4).alias("level"))
 
 
 @query(f"with {PLACES}, {HOURS}, p as (select id, 120 + id % 40 / 100.0::double lon from places where id < 200), w as (select *, 0.5::double * cos(2 * pi() * (s / 3600.0::double) / 12.0::double) c from p, hours) select id, make_timestamp(s * 1000000) t, round(case when lon < 120.155 then 1.5::double + c when lon > 120.245 then c - 1.5::double end, 4) as level from w")
 def tide_two_basin(spark, d):
-    p = places(spark, d).where("id < 200").select("id", (F.lit(120.0) + F.col("id") % 40 / 100.0).alias("lon")).crossJoin(F.broadcast(hours(spark)))
+    return _tide_two_basin(spark, places(spark, d).where("id < 200"))
+
+
+@query(uncut("tide_two_basin", (" where id < 200", "")))
+def tide_two_basin_whole(spark, d):
+    return _tide_two_basin(spark, places(spark, d))
+
+
+def _tide_two_basin(spark, p):
+    p = p.select("id", (F.lit(120.0) + F.col("id") % 40 / 100.0).alias("lon")).crossJoin(F.broadcast(hours(spark)))
     return p.select("id", F.col("t").cast("timestamp_ntz").alias("t"), r(tide.two_basin_level(timegrid.seconds(F.col("t")) / 3600.0, F.col("lon")), 4).alias("level"))
 
 
@@ -318,7 +359,16 @@ def dem_to_msl(spark, d):
 
 @query(f"with {PIXELS}, {HOURS} select count(*)::bigint n, 0::bigint mismatches from pixels, hours where z is not null and pixel % 3 = 0")
 def decision_equivalence(spark, d):
-    p = pixels(spark, d).where("z is not null and pixel % 3 = 0").select(F.col("z"), (F.col("pixel") % 5 / 8.0).alias("mdt_m"), (F.col("pixel") % 3 / 16.0).alias("delta_n_m"))
+    return _decision_equivalence(spark, pixels(spark, d).where("z is not null and pixel % 3 = 0"))
+
+
+@query(uncut("decision_equivalence", (" and pixel % 3 = 0", "")))
+def decision_equivalence_whole(spark, d):
+    return _decision_equivalence(spark, pixels(spark, d).where("z is not null"))
+
+
+def _decision_equivalence(spark, p):
+    p = p.select(F.col("z"), (F.col("pixel") % 5 / 8.0).alias("mdt_m"), (F.col("pixel") % 3 / 16.0).alias("delta_n_m"))
     t = hours(spark).select((F.floor(2 * F.cos(timegrid.seconds(F.col("t")) / 7000.0) * 64) / 64.0 + 1 / 128).alias("tide"))
     return datum.decisions(p, t)
 
@@ -401,13 +451,30 @@ KNN = f"""support as (select s_suppkey sid, s_suppkey * 97 % 3600 / 10.0::double
 
 @query(f"with {PLACES}, {KNN}, a as (select id, min(d) d0, min_by(val, d) v0, sum(case when d >= 1e-4 then val / (d * d) end) / sum(case when d >= 1e-4 then 1 / (d * d) end) m from near where rank <= 8 group by 1) select id, round(case when d0 <= 500000 then case when d0 < 1e-4 then v0 else m end end, 5) as value, case when d0 <= 500000 then 1 else 2 end quality from a")
 def idw_extrapolate(spark, d):
-    p = places(spark, d).where("id < 300")
+    return _idw_extrapolate(spark, d, places(spark, d).where("id < 300"))
+
+
+@query(uncut("idw_extrapolate", (" where id < 300", "")))
+def idw_extrapolate_whole(spark, d):
+    return _idw_extrapolate(spark, d, places(spark, d))
+
+
+def _idw_extrapolate(spark, d, p):
     return sampling.idw(p, support(spark, d), "id", "sid", "val", cutoff_m=500_000.0, cell_deg=10.0).select("id", r("value", 5).alias("value"), "quality")
 
 
 @query(f"with {PLACES}, {KNN} select id, sid, round(d / 1000, 3) km from near where rank = 1")
 def nearest_support(spark, d):
-    k = sampling.knn(places(spark, d).where("id < 300"), support(spark, d), "id", "sid", 1, 10.0)
+    return _nearest_support(spark, d, places(spark, d).where("id < 300"))
+
+
+@query(uncut("nearest_support", (" where id < 300", "")))
+def nearest_support_whole(spark, d):
+    return _nearest_support(spark, d, places(spark, d))
+
+
+def _nearest_support(spark, d, p):
+    k = sampling.knn(p, support(spark, d), "id", "sid", 1, 10.0)
     return k.select("id", "sid", r(F.col("d") / 1000, 3).alias("km"))
 
 
@@ -449,18 +516,36 @@ def topology_corners(spark, d):
  select pixel, round(case when u > 0 then f end, 4) frequency, (case when u > 0 then cq | b | case when co then 64 else 0 end | case when sp then 2 else 0 end else cq | 68 end)::int qc from g""")
 def inundation_raster(spark, d):
     """Frequency and bits of every fourth pixel, blended from its usable corners."""
+    return _inundation_raster(spark, d, F.col("pixel") % 4 == 0)
+
+
+@query(uncut("inundation_raster", (" where c.pixel % 4 = 0", "")))
+def inundation_raster_whole(spark, d):
+    return _inundation_raster(spark, d)
+
+
+def _inundation_raster(spark, d, some=None):
     from shoreline.plans.rasters import inundation
 
-    c, p = weighted(spark, d, F.col("pixel") % 4 == 0)
+    c, p = weighted(spark, d, some)
     return inundation(c, p, cells(spark, d), nodes(spark, d), node_tide(spark, d), "pixel").select("pixel", r("frequency", 4).alias("frequency"), F.col("qc").cast("int").alias("qc"))
 
 
 @query(f"""with {PIXELS}, {CELLS}, {NODES}, {HOURS}, {TIDE}, {WEIGHTS}, lv as (select pixel k, s::double t, max(z) z, sum(share * level) / nullif(sum(share), 0) h from corners_used join tide using (node_id) where use and pixel % 16 = 0 group by 1, 2), {_exposure_sql('lv')}
  select k pixel, {_MEASURES} from m""")
 def exposure_raster(spark, d):
+    return _exposure_raster(spark, d, F.col("pixel") % 16 == 0)
+
+
+@query(uncut("exposure_raster", (" and pixel % 16 = 0", "")))
+def exposure_raster_whole(spark, d):
+    return _exposure_raster(spark, d)
+
+
+def _exposure_raster(spark, d, some=None):
     from shoreline.plans.rasters import exposure_long
 
-    c, p = weighted(spark, d, F.col("pixel") % 16 == 0)
+    c, p = weighted(spark, d, some)
     return _measures(exposure_long(c, p, node_tide(spark, d), "pixel").withColumnRenamed("pixel", "k")).withColumnRenamed("k", "pixel")
 
 
@@ -468,9 +553,18 @@ def exposure_raster(spark, d):
  select k pixel, round(x, 3) exposed_h, n::bigint events from m""")
 def exposure_raster_packed(spark, d):
     """The same in the packed form, which never makes a row for each pixel and time."""
+    return _exposure_raster_packed(spark, d, F.col("pixel") % 16 == 0)
+
+
+@query(uncut("exposure_raster_packed", (" and pixel % 16 = 0", "")))
+def exposure_raster_packed_whole(spark, d):
+    return _exposure_raster_packed(spark, d)
+
+
+def _exposure_raster_packed(spark, d, some=None):
     from shoreline.plans.rasters import exposure_packed
 
-    c, p = weighted(spark, d, F.col("pixel") % 16 == 0)
+    c, p = weighted(spark, d, some)
     return exposure_packed(c, p, node_tide(spark, d), "pixel").select("pixel", r("exposed_h", 3).alias("exposed_h"), "events")
 
 
@@ -484,14 +578,34 @@ def snapshot_raster(spark, d):
 
 @query(f"with {PIXELS} select (row // 5)::bigint r, (col // 5)::bigint c, count(z)::bigint valid_n, (least(5, 118 - (row // 5) * 5) * least(5, 128 - (col // 5) * 5))::bigint total_n, round(count(z)::double / (least(5, 118 - (row // 5) * 5) * least(5, 128 - (col // 5) * 5)), 6) fraction from pixels where row < 118 group by row // 5, col // 5")
 def support_topology(spark, d):
-    return topology.downsample(pixels(spark, d).where("row < 118"), 5, 118, WIDTH).select("r", "c", "valid_n", "total_n", r("fraction").alias("fraction"))
+    return _support_topology(pixels(spark, d).where("row < 118"), 118)
+
+
+@query(uncut("support_topology", (" where row < 118", ""), ("118", "(select max(row) + 1 from pixels)")))
+def support_topology_whole(spark, d):
+    p = pixels(spark, d)
+    return _support_topology(p, height(p))
+
+
+def _support_topology(p, h):
+    return topology.downsample(p, 5, h, WIDTH).select("r", "c", "valid_n", "total_n", r("fraction").alias("fraction"))
 
 
 @query(f"""with recursive {PIXELS}, a as (select distinct (row // 4)::bigint r, (col // 4)::bigint c from pixels where row < 80 and z > 2.2), n as (select r * 4294967296 + c id, r, c from a),
  e as (select x.id a, y.id b from n x join n y on abs(x.r - y.r) <= 1 and abs(x.c - y.c) <= 1), w(id, root) as (select id, id from n union select e.b, w.root from w join e on e.a = w.id)
  select n.r, n.c, min(root)::bigint component from w join n using (id) group by 1, 2""")
 def connected_components(spark, d):
-    a = pixels(spark, d).where("row < 80 and z > 2.2").select(F.expr("cast(row div 4 as bigint)").alias("r"), F.expr("cast(col div 4 as bigint)").alias("c"))
+    return _connected_components(pixels(spark, d).where("row < 80"))
+
+
+@query()
+def connected_components_whole(spark, d):
+    """Over the whole raster the recursive SQL is too slow; tested against a flood fill."""
+    return _connected_components(pixels(spark, d))
+
+
+def _connected_components(p):
+    a = p.where("z > 2.2").select(F.expr("cast(row div 4 as bigint)").alias("r"), F.expr("cast(col div 4 as bigint)").alias("c"))
     return topology.components(a)
 
 
@@ -540,7 +654,17 @@ def nodata_mask(spark, d):
 
 @query(f"with {PIXELS}, m as (select *, coalesce(z > 2.5, false) v, row < 2 or row >= 116 or col < 2 or col >= 126 e from pixels where row < 118), a as (select count(*) filter (v) n, min(row) filter (v) r0, max(row) filter (v) r1, min(col) filter (v) c0, max(col) filter (v) c1, count(*) filter (v and e) e from m) select n::bigint n, round(n::double / (118 * 128), 6) valid_share, r0, r1, c0, c1, round(greatest(r1 - r0 + 1, c1 - c0 + 1)::double / least(r1 - r0 + 1, c1 - c0 + 1), 6) aspect, round(e::double / nullif(n, 0), 6) edge_share, case when n = 0 then 'EMPTY' when greatest(r1 - r0 + 1, c1 - c0 + 1)::double / least(r1 - r0 + 1, c1 - c0 + 1) > 4 then 'NARROW_STRIP' when e::double / n > 0.3 then 'EDGE' when n::double / (118 * 128) > 0.4 then 'WIDE' else 'COMPLEX' end kind from a")
 def mask_geometry(spark, d):
-    m = metrics.mask_geometry(pixels(spark, d).where("row < 118"), 118, WIDTH, F.coalesce(F.col("z") > 2.5, F.lit(False)))
+    return _mask_geometry(pixels(spark, d).where("row < 118"), 118)
+
+
+@query(uncut("mask_geometry", (" where row < 118", ""), ("116", "(select max(row) - 1 from pixels)"), ("118", "(select max(row) + 1 from pixels)")))
+def mask_geometry_whole(spark, d):
+    p = pixels(spark, d)
+    return _mask_geometry(p, height(p))
+
+
+def _mask_geometry(p, h):
+    m = metrics.mask_geometry(p, h, WIDTH, F.coalesce(F.col("z") > 2.5, F.lit(False)))
     return m.select("n", r("valid_share").alias("valid_share"), "r0", "r1", "c0", "c1", r("aspect").alias("aspect"), r("edge_share").alias("edge_share"), "kind")
 
 
