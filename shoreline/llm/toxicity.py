@@ -8,9 +8,10 @@ logistic curve fitted to held-back labels, which gives the score; 0.5 is the thr
 
 The ordinary dictionary is trained by zstandard's own trainer on windows of ordinary documents. That trainer keeps
 what is frequent, which in toxic documents is ordinary text again; so the toxic content is chosen by contrast: passages
-(beginnings of words, 4 to 10 bytes) that many toxic documents have and ordinary ones have not, taken greedily until
-every document is covered COVER times. Savings for fitting the curve come from dictionaries that have not seen the document
-(FOLDS folds).
+(beginnings of words, 4 to 10 bytes) that toxic documents have and ordinary ones have not, beyond chance (Chernoff's bound, over all
+passages), taken greedily until every document is covered COVER times or no passage is left, however common the first ones
+are. Near copies count as one document, or what they happen to share would look telling. Savings for fitting the
+curve come from dictionaries that have not seen the document or a near copy (FOLDS folds).
 
 Learning uses a bounded sample of labelled rows: at most TOXIC_SAMPLE and ORDINARY_SAMPLE documents, chosen by a hash of
 doc_id, of at most SAMPLE_CHARS characters each. Scoring covers every whole text.
@@ -40,7 +41,13 @@ ORDINARY_BYTES = 8192
 #: How many times as common in toxic documents a telling passage is.
 RATIO = 4
 COVER, FOLDS = 5, 4
+#: A passage needs so many toxic families, and by chance any passage at all would be as telling with this probability.
+LEAST, CHANCE = 3, 0.01
+#: Bands of three hashes, of which near copies share one.
+BANDS = 10
 LENGTHS = range(5, 12)
+#: Bytes of the compressor's shortest match.
+MATCH = 4
 
 
 def windows(text: str, n: int = WORDS) -> list[bytes]:
@@ -52,17 +59,49 @@ def _starts(text: str) -> set[bytes]:
     return {b[:k] for b in (f" {w}".encode() for w in set(text.lower().split())) for k in LENGTHS if len(b) >= k}
 
 
-def toxic_content(toxic: list[str], ordinary: list[str]) -> bytes:
-    """The passages that tell toxic documents, the most telling last."""
+def families(texts: list[str]) -> list[int]:
+    """A number for each text, the same for near copies (equal in a band of word triples' least hashes) and what they chain to."""
+    g = np.random.default_rng(11)
+    mul, add = (g.integers(1, 1 << 31, BANDS * 3, dtype=np.uint64) | np.uint64(1) for _ in range(2))
+    root, seen = list(range(len(texts))), {}
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, t in enumerate(texts):
+        w = t.lower().split()
+        h = np.array(list({zlib.crc32(" ".join(w[k : k + 3]).encode()) for k in range(max(1, len(w) - 2))}), np.uint64)
+        least = np.min(((h[:, None] * mul + add) & np.uint64((1 << 61) - 1)) >> np.uint64(20), axis=0)
+        for k in range(BANDS):
+            j = seen.setdefault((k, least[3 * k : 3 * k + 3].tobytes()), i)
+            root[find(i)] = find(j)
+    return [find(i) for i in range(len(texts))]
+
+
+def _evidence(n: int, u: int, share: float) -> float:
+    """Chernoff's bound of the logarithm of the chance that n or more of n + u are toxic where a share is."""
+    q = n / (n + u)
+    if q <= share:
+        return 0.0
+    return -(n * np.log(q / share) + (u * np.log((1 - q) / (1 - share)) if u else 0.0))
+
+
+def toxic_content(toxic: list[list[str]], ordinary: list[list[str]]) -> bytes:
+    """The passages that tell families of toxic documents from ordinary ones, the most telling last."""
     if not toxic or not ordinary:
         return b""
-    least = max(3, 0.01 * len(toxic))
-    count = Counter(p for t in toxic for p in _starts(t))
-    count = {p: n for p, n in count.items() if n >= least}
-    usual = Counter(p for t in ordinary for p in _starts(t) if p in count)
+    starts = lambda f: set().union(*map(_starts, f))
     nt, no = len(toxic), len(ordinary)
-    count = {p: n for p, n in count.items() if n / nt > RATIO * usual[p] / no}
-    of = [[p for p in _starts(t) if p in count] for t in toxic]
+    has = [starts(f) for f in toxic]
+    count = Counter(p for ps in has for p in ps)
+    count = {p: n for p, n in count.items() if n >= LEAST}
+    usual = Counter(p for f in ordinary for p in starts(f) if p in count)
+    bound = np.log(CHANCE / max(1, len(count)))
+    count = {p: n for p, n in count.items() if n / nt > RATIO * usual[p] / no and _evidence(n, usual[p], nt / (nt + no)) < bound}
+    of = [[p for p in ps if p in count] for ps in has]
     where = defaultdict(list)
     for i, ps in enumerate(of):
         for p in ps:
@@ -71,13 +110,15 @@ def toxic_content(toxic: list[str], ordinary: list[str]) -> bytes:
     while count:
         best = max(count, key=lambda p: (count[p] / nt - 3 * usual[p] / no, len(p), p))
         n = count[best]
-        if n < least or n / nt <= RATIO * usual[best] / no or chosen and n < 0.12 * chosen[0][0]:
-            break
+        if n < LEAST or n / nt <= RATIO * usual[best] / no:
+            count.pop(best)  # others may still tell
+            continue
         # the longest passage that nearly all of these documents have
         best = max((p for p in count if p.startswith(best) and count[p] >= 0.85 * n), key=lambda p: (len(p), p))
         count.pop(best)
-        chosen.append((n, best))
-        for p in [p for p in count if p.startswith(best) or best.startswith(p)]:
+        chosen.append(best)
+        # and what of others isn't in it yet is too short to be matched
+        for p in [p for p in count if best.startswith(p[: max(LENGTHS.start, len(p) - MATCH + 1)]) or p.startswith(best)]:
             del count[p]
         for i in where[best]:
             need[i] -= 1
@@ -85,7 +126,7 @@ def toxic_content(toxic: list[str], ordinary: list[str]) -> bytes:
                 for p in of[i]:
                     if p in count:
                         count[p] -= 1
-    return b"".join(p for _, p in reversed(chosen)) + b" "
+    return b"".join(reversed(chosen)) + b" "
 
 
 def ordinary_content(ordinary: list[str]) -> bytes:
@@ -102,7 +143,7 @@ def ordinary_content(ordinary: list[str]) -> bytes:
 def compressor(content: bytes):
     import zstandard as z
 
-    p = z.ZstdCompressionParameters(strategy=z.STRATEGY_GREEDY, min_match=4, search_log=6, hash_log=14, chain_log=14, window_log=17, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+    p = z.ZstdCompressionParameters(strategy=z.STRATEGY_GREEDY, min_match=MATCH, search_log=6, hash_log=14, chain_log=14, window_log=17, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
     d = z.ZstdCompressionDict(content or b" ", dict_type=z.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(compression_params=p)
     return z.ZstdCompressor(dict_data=d, compression_params=p).compress
@@ -137,16 +178,24 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 6
     return w
 
 
+def grouped(texts: list[str], family: dict[str, int]) -> list[list[str]]:
+    out = defaultdict(list)
+    for t in texts:
+        out[family[t]].append(t)
+    return list(out.values())
+
+
 def fit(toxic: list[str], ordinary: list[str], odds: float | None = None) -> Model | None:
     """odds: toxic to ordinary documents among all labels, where the texts given are a sample with other odds."""
     toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary) - set(toxic))
     if not toxic or not ordinary:
         return None
-    fold = lambda t: zlib.crc32(t.encode()) % FOLDS
+    family = dict(zip(toxic + ordinary, families(toxic + ordinary), strict=True))
+    fold = lambda t: zlib.crc32(str(family[t]).encode()) % FOLDS
     x, y = [], []
     for k in range(FOLDS):
         o = ordinary_content([t for t in ordinary if fold(t) != k])
-        c = toxic_content([t for t in toxic if fold(t) != k], [t for t in ordinary if fold(t) != k])
+        c = toxic_content(grouped([t for t in toxic if fold(t) != k], family), grouped([t for t in ordinary if fold(t) != k], family))
         plain, both = compressor(o), compressor(c + o)
         for label, texts in ((1, toxic), (0, ordinary)):
             for t in texts:
@@ -158,7 +207,7 @@ def fit(toxic: list[str], ordinary: list[str], odds: float | None = None) -> Mod
     weights = logistic((x - mean) / scale, y)
     if odds:
         weights[-1] += np.log(odds * len(ordinary) / len(toxic))
-    return Model(ordinary_content(ordinary), toxic_content(toxic, ordinary), mean, scale, weights)
+    return Model(ordinary_content(ordinary), toxic_content(grouped(toxic, family), grouped(ordinary, family)), mean, scale, weights)
 
 
 def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", usable=None) -> tuple[list[str], list[str], float | None]:
