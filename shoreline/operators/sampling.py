@@ -80,3 +80,17 @@ def idw(points: DataFrame, support: DataFrame, key: str, sid: str, value: str, k
     own = F.col(native) if native else F.lit(None).cast("double")
     quality = F.when(own.isNotNull(), 0).when(F.col("_far").isNotNull(), 1).otherwise(2)
     return out.select(key, F.coalesce(own, F.col("_far")).alias("value"), quality.alias("quality"))
+
+
+def leave_one_out(anchors: DataFrame, sid: str, value: str, k: int = 4, max_km: float = 8.0, power: float = 2.0, cell_deg: float = 1.0) -> DataFrame:
+    """sid, truth, value, km of every anchor with a value: its own value, the inverse-distance mean of those of the k nearest other anchors within
+    max_km, and the distance of the nearest. Anchors with none within max_km are left out; others at the same place weigh as at 0.1 m."""
+    a = anchors.where(F.col(value).isNotNull())
+    near = knn(a.withColumnRenamed(sid, "_own"), a, "_own", sid, k + 1, cell_deg)
+    # where more than k others share the place, the anchor itself may not be among the nearest
+    other = near.where(F.col("_own") != F.col(sid)).withColumn("rank", F.row_number().over(Window.partitionBy("_own").orderBy("d", sid)))
+    other = other.where((F.col("rank") <= k) & (F.col("d") <= max_km * 1000.0)).join(a.select(sid, F.col(value).alias("_v")), sid)
+    km = F.col("d") / 1000.0
+    w = F.greatest(km, F.lit(1e-4)) ** -power
+    mean = other.groupBy("_own").agg((F.sum(w * F.col("_v")) / F.sum(w)).alias("value"), F.min(km).alias("km"))
+    return mean.join(a.select(F.col(sid).alias("_own"), F.col(value).alias("truth")), "_own").select(F.col("_own").alias(sid), "truth", "value", "km")

@@ -485,6 +485,23 @@ def loocv_bins(spark, d):
     return metrics.errors(e, "a", "b", "bin").select("bin", "n", *(r(c, 5).alias(c) for c in ("bias", "mae", "rmse")))
 
 
+#: These places lie a thousand times as far apart as anchors do: 8 km and the bins are taken for thousands of km.
+LOO_KM = 8000.0
+
+
+@query(f"""with {PLACES}, {KNN.replace(" where id < 300", "")}, a as (select sid id, val, x, y, z from ss),
+ pairs as (select a.id, a.val truth, b.val, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / 1000 km, b.sid from a join ss b on a.id <> b.sid),
+ four as (select *, row_number() over (partition by id order by km, sid) rank from pairs),
+ e as (select id, min(km) km, sum(val / greatest(km, 1e-4) ** 2) / sum(1 / greatest(km, 1e-4) ** 2) - min(truth) e from four where rank <= 4 and km <= {LOO_KM} group by 1),
+ b as (select case when km < 500 then '0-0.5' when km < 1000 then '0.5-1' when km < 2000 then '1-2' when km < 4000 then '2-4' else '>4' end bin, e from e)
+ select bin, count(*)::bigint n, round(avg(e), 5) bias, round(avg(abs(e)), 5) mae, round(sqrt(avg(e * e)), 5) rmse from b group by 1""")
+def loocv_anchors(spark, d):
+    """Leave-one-out errors of every support point by the distance of the nearest other."""
+    e = sampling.leave_one_out(support(spark, d), "sid", "val", max_km=LOO_KM, cell_deg=10.0)
+    b = e.withColumn("bin", metrics.distance_bin(F.col("km") / 1000.0))
+    return metrics.errors(b, "value", "truth", "bin").select("bin", "n", *(r(c, 5).alias(c) for c in ("bias", "mae", "rmse")))
+
+
 # ---------------------------------------------------------------- cells and rasters
 
 
