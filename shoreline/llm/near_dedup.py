@@ -280,6 +280,8 @@ def classes(rows: DataFrame, docs: DataFrame, text: str, threshold: float = SIMI
 def _grouped(docs: DataFrame, doc_id: str, text: str, threshold: float, carry: list[str]) -> DataFrame:
     """_id, class_id, class_size, keeper and _c0, _c1, ... (the columns `carry`) of every row."""
     plain = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), *(F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)))
+    if not SIMILAR <= threshold <= 1:
+        raise ValueError(f"bands and sizes are laid out for a similarity of {SIMILAR}: less would lose links")
     # _row is a number of the row within the written table
     rows = written(signed(plain, "_text", [c for c in plain.columns if c != "_text"]).withColumn("_row", F.monotonically_increasing_id()), "near-rows")
     labels = classes(rows, plain, "_text", threshold)

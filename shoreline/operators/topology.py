@@ -20,18 +20,18 @@ def downsample(pixels: DataFrame, factor: int, height: int, width: int, z: str =
     return out.select("r", "c", "valid_n", total.cast("long").alias("total_n"), (F.col("valid_n") / total).alias("fraction"))
 
 
-def components(cells: DataFrame, rounds: int = 64) -> DataFrame:
+def components(cells: DataFrame) -> DataFrame:
     """r, c, component (the smallest r * 2^32 + c that hangs together, by 8 neighbours) of active cells r, c.
 
     Labels spread to the smallest neighbour and then jump to the label's own label, so that rounds grow with the logarithm of the
-    longest chain. Every round is written, so that a lost executor costs one round."""
+    longest chain, until none changes. Every round is written, so that a lost executor costs one round."""
     node = F.col("r") * (1 << 32) + F.col("c")
     cells = stored(cells.select("r", "c", node.alias("node")).distinct(), "cells")
     steps = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
     edge = cells.withColumn("s", F.explode(F.array(*steps))).select("node", (F.col("r") + F.col("s.a")).alias("r"), (F.col("c") + F.col("s.b")).alias("c"))
     edge = stored(edge.join(cells.select("r", "c", F.col("node").alias("other")), ["r", "c"]).select("node", "other"), "edges")
     labels = cells.select("node", F.col("node").alias("label"))
-    for _ in range(rounds):
+    while True:
         known = labels.select(F.col("node").alias("other"), F.col("label").alias("theirs"))
         near = edge.join(known, "other").groupBy("node").agg(F.min("theirs").alias("m"))
         low = labels.join(near, "node", "left").select("node", "label", F.least("label", "m").alias("up"))
