@@ -10,19 +10,69 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own; on a cluster that is an error, since
+    every executor would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shoreline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. What is there when the session stops is deleted."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not hasattr(spark, "_scratch"):
+        spark._scratch, stop = set(), spark.stop
+
+        def stop_and_clean():
+            try:
+                for left in sorted(spark._scratch):
+                    release(spark, left)
+            finally:
+                stop()
+
+        spark.stop = stop_and_clean
+    spark._scratch.add(path)
+    return path
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Deletes a path that scratch() gave."""
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+    spark._scratch.discard(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage by a table in the shared folder."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Cuts the lineage by a table in the shared folder, which any executor can read after another is lost."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    p, fs = _path(spark, path)
+    fs.deleteOnExit(p)  # for a driver that ends without stop()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def freed(*tables: DataFrame) -> None:
+    """Deletes tables that stored() wrote and that nothing reads any more."""
+    for t in tables:
+        release(t.sparkSession, t.scratch_path)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A written table, to be broadcast if it has at most so many rows, and joined by a shuffle if it has more."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def windows(spark: SparkSession, width: int, height: int, block: int) -> DataFrame:
