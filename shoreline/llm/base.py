@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import os
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoreline.sources.tables import freed, scratch, small  # noqa: F401
+from shoreline.sources.tables import stored as written  # noqa: F401
+
 #: Word bytes: everything but space and \t \n \v \f \r. All separators are ASCII, so this holds byte-wise on UTF-8.
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 2 << 20
@@ -24,33 +23,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="shoreline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended: what is left belongs to its folder
-        pass
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage by a table in the shared folder, which any executor can read after another is lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(col, n: int):
     """crc32 of a column as decimal text, modulo n; null counts as empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n

@@ -9,19 +9,24 @@ their weighted Jaccard similarity. A process stops once it passes the latest of
 document costs about its shingles plus M ln M points, whatever its weights. All documents of a slice run together.
 
 Search: exact copies (equal words) are one class, represented once. Components are banded (BANDS bands of ROWS); classes that
-share a band are a bucket. With s = 0.8 the chance to share none is (1 - s^5)^32 = 3e-6. A bucket isn't expanded into
-pairs: its first member is compared with all others; links are verified on the whole bags and joined to components;
-only a bucket that still holds several components goes on, with its best-linked member and the first one outside
-as further pivots, until no member outside is left unused; once the comparisons left in all buckets are at most LINEAR a member,
-they are made at once. So every link within a bucket counts, but a bucket whose members
-are joined already costs nothing more.
+share a band are a bucket. With s = 0.8 the chance to share none is (1 - s^5)^32 = 3e-6. A bucket isn't expanded into pairs:
 
-A near copy's own edits give it shingles that no other candidate has. What is left of it, its core, bounds every overlap, so most
-members of a group of copies of copies are seen from two sizes to link to nobody, and are never compared; this is exact.
+1. Its pivot z is the member that shares the most buckets with others. All members are compared with it (a star).
+2. What a member lacks of z and has beyond z is its difference. For two members of a star let s be what their differences share and
+   g = (1 - l) missing + l extra with l = threshold / (1 + threshold); they link exactly if s >= g(a) + g(b) - (1 - 2l)|z|.
+   Two members that both link to z are joined already. Of any other pair one doesn't link to z, so its g alone exceeds
+   (1 - 2l)|z| and the pair must share more of their differences than the smaller one's g: about half of it, which near copies
+   with edits of their own never do. Such pairs are found by prefixes of the differences in order of rarity
+   (parts that nobody else has are left out), with the bound on what can still be shared after a place, and only between components
+   that the stars haven't joined; what is found is verified on the whole bags.
+
+So every link within a bucket counts, exactly, and the work is a comparison a member and bucket and a few for what is left, however
+large a group of copies is; there are no rounds.
 
 Cases: documents without words (null, empty, blank) are alone; one with fewer than five words is one shingle; repeated rows are
-copies; class_id is the smallest doc_id of the class (null ids aside); node ids are 64-bit hashes of the words; an
-empty table gives an empty result; other columns are ignored, or kept by keep_one().
+copies, of which keep_one() keeps one; class_id is the smallest doc_id of the class (null ids aside); documents are told apart by
+128-bit hashes of their words; a very long text is one bag, in memory as 8 bytes a word; members of equal rank are taken in order
+of their hash; an empty table gives an empty result; other columns, whatever their names, are ignored, or kept by keep_one().
 """
 
 from __future__ import annotations
@@ -31,15 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.llm.base import as_strings, hashed_words, mix, read, slices, written
+from shoreline.llm.base import as_strings, freed, hashed_words, mix, read, slices, small, written
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 5
 M = BANDS * ROWS
+#: Keys that may be sent to every executor (about 40 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 1 << 21
+_EPS = 1e-6
 _STEP, _DRAW, _HIGH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 _UNIT = 2.0**-53
-#: Pairs a bucket member, on average, up to which the rest is compared at once.
-LINEAR = 8
 
 
 def shingles(h: np.ndarray, n: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -117,12 +123,16 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return key.view(np.int64)
 
 
-def content(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A hash of each text's sequence of words."""
+def content(h: np.ndarray, n: np.ndarray) -> pa.Array:
+    """128 bits of hash of each text's sequence of words; null for texts without."""
     first = np.concatenate(([0], np.cumsum(n)))
-    place = np.arange(len(h)) - np.repeat(first[:-1], n)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ mix(place.astype(np.uint64))), dtype=np.uint64)))
-    return mix((sums[first[1:]] - sums[first[:-1]]) ^ mix(n.astype(np.uint64))).view(np.int64)
+    place = mix((np.arange(len(h)) - np.repeat(first[:-1], n)).astype(np.uint64))
+    out = np.empty((len(n), 2), np.uint64)
+    for k, salt in enumerate((np.uint64(0), _DRAW)):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix((h ^ place) + salt * place), dtype=np.uint64)))
+        out[:, k] = mix((sums[first[1:]] - sums[first[:-1]]) ^ mix(n.astype(np.uint64) + salt))
+    valid = np.packbits(n > 0, bitorder="little").tobytes()
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(n), [pa.py_buffer(valid), pa.py_buffer(out.tobytes())]).cast(pa.binary())
 
 
 def signed(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
@@ -136,13 +146,13 @@ def signed(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
             for i, k in slices(col, 4 << 20):
                 h, n = hashed_words(col.slice(i, k))
                 d, s, w = bags(*shingles(h, n))
-                nodes.append(pa.array(content(h, n), mask=n == 0))
+                nodes.append(content(h, n))
                 keys.append(band_keys(bag_minhash(d, s, w, k)))
             flat = np.concatenate(keys).reshape(-1) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(col) + 1) * BANDS, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.concat_arrays(nodes) if nodes else pa.array([], pa.int64()), lists], names=[*carry, "node", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.concat_arrays(nodes) if nodes else pa.array([], pa.binary()), lists], names=[*carry, "node", "bands"])
 
-    return docs.select(F.col(text).alias("_text"), *carry).mapInArrow(run, f"{kinds}node long, bands array<long>")
+    return docs.select(F.col(text).alias("_text"), *carry).mapInArrow(run, f"{kinds}node binary, bands array<long>")
 
 
 def sketches(docs: DataFrame, text: str) -> DataFrame:
@@ -162,44 +172,60 @@ def sketches(docs: DataFrame, text: str) -> DataFrame:
                 e, cut = e[order], np.searchsorted(dd[order], np.arange(k + 1))
                 nodes.append(content(h, n))
                 bag += [e[cut[j] : cut[j + 1]].tobytes() for j in range(k)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes) if nodes else [], pa.int64()), pa.array(bag, pa.binary())], names=["node", "bag"])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(nodes) if nodes else pa.array([], pa.binary()), pa.array(bag, pa.binary())], names=["node", "bag"])
 
-    return docs.select(F.col(text).alias("_text")).mapInArrow(run, "node long, bag binary")
+    return docs.select(F.col(text).alias("_text")).mapInArrow(run, "node binary, bag binary")
 
 
-def cores(bag: DataFrame) -> DataFrame:
-    """node, n (size of its bag) and core (how much of it any other candidate has too)."""
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    return len(np.intersect1d(x, y, assume_unique=True))
 
-    def run(batches):
-        for b in batches:
-            bags_ = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
-            n = [len(x) for x in bags_]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), n)), pa.array(np.concatenate(bags_) if bags_ else np.zeros(0, np.int64))], names=["node", "e"])
 
-    own = bag.mapInArrow(run, "node long, e long").groupBy("e").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").alias("own"))
-    sizes = bag.select("node", (F.octet_length("bag") / 8).cast("long").alias("n"))
-    return sizes.join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("core"))
+def _links(both: int, n: int, m: int, threshold: float) -> bool:
+    return both >= threshold * (n + m - both) - 1e-9
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if not SIMILAR - 1e-9 <= len(x) / max(1, len(y)) <= 1 / (SIMILAR - 1e-9):
-        return 0.0  # the overlap can't reach it
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both)
+def _with_bags(pairs: DataFrame, bag: DataFrame) -> DataFrame:
+    """Pairs a, b with their bags. Pairs of a hot node are split by the join."""
+    one = pairs.select("a", "b").join(bag.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
+    return one.join(bag.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b").select("a", "b", "bag_a", "bag_b")
 
 
-def verified(pairs: DataFrame, bag: DataFrame) -> DataFrame:
-    """a, b, similarity of each pair of nodes. Bags go to the pairs twice; pairs of a hot node are split by the join."""
+def compared(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs a, b that link."""
 
     def run(batches):
         for b in batches:
-            s = [similarity(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                possible = threshold * max(len(x), len(y)) <= min(len(x), len(y)) + 1e-9
+                keep.append(possible and _links(overlap(x, y), len(x), len(y), threshold))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return _with_bags(pairs, bag).mapInArrow(run, "a binary, b binary")
 
-    one = pairs.join(bag.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
-    two = one.join(bag.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
-    return written(two.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long, similarity double"), "near-tested")
+
+def stars(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
+    """For each member a and pivot b: link, g (the weight of a's difference), room ((1 - 2l) of the pivot's size) and the difference."""
+    share = threshold / (1 + threshold)
+
+    def run(batches):
+        for b in batches:
+            link, g, room, parts = [], [], [], []
+            for x, z in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, z = np.frombuffer(x, np.uint64), np.frombuffer(z, np.uint64)
+                d = np.setxor1d(x, z, assume_unique=True)
+                missing = (len(d) + len(z) - len(x)) // 2
+                link.append(_links(len(z) - missing, len(x), len(z), threshold))
+                g.append((1 - share) * missing + share * (len(d) - missing))
+                room.append((1 - 2 * share) * len(z))
+                parts.append(d)
+            at = np.concatenate(([0], np.cumsum([len(d) for d in parts]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(link, pa.bool_()), pa.array(g, pa.float64()), pa.array(room, pa.float64()), lists], names=["a", "b", "link", "g", "room", "difference"])
+
+    return _with_bags(pairs, bag).mapInArrow(run, "a binary, b binary, link boolean, g double, room double, difference array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,98 +237,105 @@ def components(edges: DataFrame) -> DataFrame:
         of = lambda key, name: labels.select(F.col("node").alias(key), F.col("component").alias(name))  # noqa: B023, E731
         near = both.join(of("b", "l"), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("l"))
         new = labels.join(near, "node").select("node", F.least("component", "l").alias("up"), F.col("component").alias("old"))
-        new = written(new.join(of("up", "top"), "up").select("node", "old", F.least("up", "top").alias("component")), "near-labels")
-        labels = new.select("node", "component")
-        if new.where("old != component").isEmpty():
-            return labels
-
-
-def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
-    return pairs.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-
-
-def _possible(left: DataFrame, right: DataFrame, keys: list[str], least: float) -> DataFrame:
-    """Pairs whose cores can reach the overlap that their sizes take; right has its size as m and its core as c2."""
-    return left.join(right, keys).where(F.least("core", "c2") >= least * (F.col("n") + F.col("m")) - 1e-6)
-
-
-def _untested(going: DataFrame, pick: DataFrame, tested: DataFrame, least: float) -> DataFrame:
-    """Pairs of a pivot and a member of another component of its bucket that can link and haven't been compared."""
-    pairs = _ordered(_possible(going, pick, ["key"], least).where(F.col("component") != F.col("c")), "node", "v")
-    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        new = written(new.join(of("up", "top"), "up").select("node", F.least("up", "top").alias("component"), F.col("old") != F.least("up", "top")).toDF("node", "component", "changed"), "near-labels")
+        freed(labels)
+        labels = new
+        if new.where("changed").isEmpty():
+            freed(both)
+            done = labels.select("node", "component")
+            done.scratch_path = labels.scratch_path
+            return done
+
+
+def _unjoined(star: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs a, b of members of a star whose differences may share enough for a link, and whose components differ."""
+    rows = star.join(labels.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    over = F.col("g") - F.col("room")
+    some = rows.groupBy("b").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("g").alias("least"), F.min(F.when(over > _EPS, over)).alias("beyond")).where("x != y and beyond is not null").select("b", "least", "beyond")
+    rows = written(rows.join(some, "b"), "near-open")
+    parts = rows.select("b", "a", F.explode("difference").alias("part"))
+    shared = parts.groupBy("b", "part").agg(F.count("*").alias("k")).where("k > 1")
+    lists = parts.join(shared, ["b", "part"]).groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("k", "part"))).alias("parts"))
+    # a pair is looked for from its member of the larger g (as asker) among those of at most its g (as the one listed)
+    prefix = lambda need: F.size("parts") - F.greatest(F.lit(1), F.ceil(need - _EPS)).cast("int") + 1
+    outer = over > _EPS
+    rows = lists.join(rows.drop("difference"), ["b", "a"]).select("b", "a", "component", "g", "room", F.size("parts").alias("size"), "parts", F.when(outer, prefix(over + F.col("least"))).otherwise(0).alias("asks"), prefix(F.when(outer, F.col("g") + over).otherwise(F.col("g") + F.col("beyond"))).alias("listed"))
+    longest = F.greatest("asks", "listed")
+    rows = rows.where(longest > 0).select("b", "a", "component", "g", "room", "size", "asks", "listed", F.posexplode(F.slice("parts", F.lit(1), longest)).alias("at", "p"))
+    rows = written(rows.select("b", "a", "component", "g", "room", (F.col("size") - F.col("at")).alias("rest"), (F.col("at") < F.col("asks")).alias("asks"), (F.col("at") < F.col("listed")).alias("listed"), F.col("p.part").alias("part")), "near-prefixes")
+    x, y = rows.where("asks").alias("x"), rows.where("listed").alias("y")
+    enough = F.least("x.rest", "y.rest") >= F.col("x.g") + F.col("y.g") - F.col("x.room") - _EPS
+    met = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.g") >= F.col("y.g")) & (F.col("x.component") != F.col("y.component")) & enough)
+    return met.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
 
 
 def classes(rows: DataFrame, docs: DataFrame, text: str, threshold: float = SIMILAR) -> DataFrame:
-    """rows: written signed() rows. node, component of every node with a link to another one."""
+    """rows: written signed() rows; docs with the column `_h` of rows. node, component of every node with a link to another one."""
     nodes = rows.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"))
     bands = nodes.select("node", F.explode("bands").alias("key"))
-    full = written(bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot"), "near-buckets")
-    members = written(bands.join(full, "key").select("key", "node", "pivot"), "near-members")
-    some = members.select("node").distinct()
-    ids = rows.where("node is not null").join(some, "node", "left_semi").groupBy("node").agg(F.min("_id").alias("_own")).select("_own").distinct()
-    bag = sketches(docs.join(ids, F.col("_id").eqNullSafe(F.col("_own")), "left_semi"), text)
+    full = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(bands.join(full, "key").select("key", "node", "n"), "near-members")
+    rank = members.groupBy("node").agg(F.sum("n").alias("met"))
+    pivots = members.join(rank, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("p")).select("key", F.col("p.node").alias("b"))
+    pairs = members.join(pivots, "key").where("node != b").select(F.col("node").alias("a"), "b").distinct()
+    some = written(members.select("node").distinct(), "near-nodes")
+    ids = written(rows.join(some, "node", "left_semi").groupBy("node").agg(F.min("_h").alias("_h")).select("_h").distinct(), "near-ids")
+    bag = sketches(docs.join(small(ids, BROADCAST_KEYS), "_h", "left_semi"), text)
     bag = written(bag.join(some, "node", "left_semi").dropDuplicates(["node"]), "near-bags")
-    # J >= s takes an overlap of s / (1 + s) of both sizes, and no overlap exceeds a core: who can't reach that with the smallest
-    # member of a bucket links to nobody in it
-    least = threshold / (1 + threshold)
-    members = written(members.join(cores(bag), "node"), "near-sized")
-    small = members.groupBy("key").agg(F.min("n").alias("smallest"))
-    members = members.join(small, "key").where(F.col("core") >= least * (F.col("n") + F.col("smallest")) - 1e-6).drop("pivot", "smallest")
-    members = written(members.join(members.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("k")).where("k > 1").drop("k"), "key"), "near-members")
-    full = members.select("key", "pivot").distinct()
-    tested = verified(_ordered(_possible(members, members.select("key", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("core").alias("c2")), ["key", "pivot"], least), "node", "pivot"), bag)
-    used = full.withColumnRenamed("pivot", "node")
-    while True:
-        edges = tested.where(F.col("similarity") >= threshold)
-        labels = components(edges)
-        state = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), "pivot", "n", "core")
-        state = written(state, "near-state")
-        split = state.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.when(F.col("node") == F.col("pivot"), F.col("component"))).alias("main")).where("x != y").select("key", "main")
-        degree = edges.select(F.col("a").alias("node")).union(edges.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
-        going = written(state.join(split, "key").select("key", "node", "component", "main", "n", "core"), "near-going")
-        free = going.join(used, ["key", "node"], "left_anti").join(degree, "node", "left")
-        outside = F.col("component") != F.col("main")
-        rest = free.where(outside).groupBy("key").agg(F.count("*").alias("u")).join(going.groupBy("key").agg(F.count("*").alias("n")), "key").agg(F.sum(F.col("u") * F.col("n")).alias("w")).first()["w"] or 0
-        if not rest:
-            return labels
-        if rest <= LINEAR * members.count():  # what is left is no more than a few pairs a member: all of it at once
-            pick = free.where(outside).select("key", F.col("node").alias("v"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("core").alias("c2"))
-            tested = tested.union(verified(_untested(going, pick, tested, least), bag))
-            return components(tested.where(F.col("similarity") >= threshold))
-        best = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node", "component", "n", "core")
-        pick = free.groupBy("key").agg(F.max(best).alias("p"), F.min(F.when(outside, F.struct("node", "component", "n", "core"))).alias("q")).where("q is not null")
-        pick = pick.select("key", F.explode(F.array_distinct(F.array(F.struct("p.node", "p.component", "p.n", "p.core"), F.col("q")))).alias("v")).select("key", F.col("v.node").alias("v"), F.col("v.component").alias("c"), F.col("v.n").alias("m"), F.col("v.core").alias("c2"))
-        pick = written(pick, "near-pivots")
-        used = written(used.union(pick.select("key", "v")), "near-used")
-        tested = tested.union(verified(_untested(going, pick, tested, least), bag))
-
-
-def _grouped(docs: DataFrame, doc_id: str, text: str, threshold: float, carry: list[str]) -> DataFrame:
-    """_id, class_id, class_size, keeper and _c0, _c1, ... (the columns `carry`) of every row."""
-    plain = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), *(F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)))
+    star = written(stars(pairs, bag, threshold), "near-stars")
+    edges = star.where("link").select("a", "b")
+    labels = components(edges)
+    more = written(compared(_unjoined(star, labels), bag, threshold), "near-links")
+    if not more.isEmpty():
+        freed(labels)
+        labels = components(edges.union(more))
+    freed(members, some, ids, bag, star, more)
+    return labels
+
+
+def _hashes(doc_id: str, text: str) -> list:
+    return [F.xxhash64(F.lit(1), doc_id, text), F.xxhash64(text, doc_id)]
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
+    """_id, _h, _g (hashes of _id and text), class_id, class_size and keeper of every row; class_size is null for what is alone."""
     if not SIMILAR <= threshold <= 1:
-        raise ValueError(f"bands and sizes are laid out for a similarity of {SIMILAR}: less would lose links")
+        raise ValueError(f"bands are laid out for a similarity of {SIMILAR}: less would lose links")
+    h, g = _hashes(doc_id, text)
+    plain = docs.select(F.col(doc_id).alias("_id"), h.alias("_h"), g.alias("_g"), F.col(text).alias("_text"))
     # _row is a number of the row within the written table
-    rows = written(signed(plain, "_text", [c for c in plain.columns if c != "_text"]).withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    labels = classes(rows, plain, "_text", threshold)
+    signs = written(signed(plain, "_text", ["_id", "_h", "_g"]), "near-signs")
+    rows = written(signs.drop("bands").withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    labels = classes(signs, plain, "_text", threshold)
+    freed(signs)
     sizes = rows.where("node is not null").groupBy("node").agg(F.min("_id").alias("id"), F.count("*").alias("n"), F.min(F.struct("_id", "_row")).alias("k"))
     some = written(sizes.join(labels, "node", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "node")), "near-classes")
-    whole = written(some.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"), F.min("k").alias("k")), "near-components")
+    whole = some.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"), F.min("k").alias("k"))
     found = written(some.select("node", "component").join(whole, "component").select("node", "class_id", "class_size", F.col("k._row").alias("first")), "near-found")
-    out = rows.drop("bands").join(found, "node", "left")
+    freed(labels, some)
+    out = rows.join(found, "node", "left")
     alone = F.col("class_size").isNull()
-    return out.select("_id", F.when(alone, F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), (alone | (F.col("_row") == F.col("first"))).alias("keeper"), *(f"_c{k}" for k in range(len(carry))))
+    return out.select("_id", "_h", "_g", F.when(alone, F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), "class_size", (alone | (F.col("_row") == F.col("first"))).alias("keeper"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILAR) -> DataFrame:
     """doc_id, class_id, class_size (rows) and keeper (true for one row of each class) of every row of docs."""
-    return _grouped(docs, doc_id, text, threshold, []).withColumnRenamed("_id", "doc_id")
+    return _grouped(docs, doc_id, text, threshold).select(F.col("_id").alias("doc_id"), "class_id", F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), "keeper")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILAR) -> DataFrame:
-    """The rows of docs, with all their columns, without all but one row of each class."""
-    rows = _grouped(docs, doc_id, text, threshold, docs.columns)
-    return rows.where("keeper").select(*(F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)))
+    """The rows of docs, with all their columns, without all but one row of each class. Only keys of rows that go are joined to the
+    texts. Rows equal in doc_id and text can't be told apart by them: such rows go together, and one of them comes back."""
+    keys = _grouped(docs, doc_id, text, threshold).where("class_size is not null").groupBy("_h", "_g").agg(F.count("*").alias("n"), F.max("keeper").alias("stays"))
+    gone = written(keys.where("n > 1 or not stays"), "near-gone")
+    back = written(gone.where("stays").select("_h", "_g"), "near-back")
+    names, (h, g) = [f"_c{k}" for k in range(len(docs.columns))], _hashes(doc_id, text)
+    hashed = docs.select(h.alias("_h"), g.alias("_g"), *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)))
+    kept = hashed.join(small(gone.select("_h", "_g"), BROADCAST_KEYS), ["_h", "_g"], "left_anti")
+    if not back.isEmpty():
+        one = hashed.join(small(back, BROADCAST_KEYS), ["_h", "_g"], "left_semi").groupBy("_h", "_g").agg(F.first(F.struct(*names)).alias("r"))
+        kept = kept.select(*names).union(one.select(*(f"r.{n}" for n in names)))
+    return kept.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

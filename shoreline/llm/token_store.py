@@ -24,7 +24,6 @@ import json
 import math
 import os
 import struct
-import uuid
 import zlib
 from itertools import chain
 
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shoreline.llm.base import as_strings, read, shared_dir, slices
+from shoreline.llm.base import as_strings, read, scratch, slices
 
 MAGIC = b"SHLDAC1\0"
 HEAD = struct.Struct("<8sIIQI")
@@ -287,7 +286,7 @@ def read_token(spark: SparkSession, path: str, place: int) -> int:
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = scratch(spark, "tokens")
     write_store(read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return read_documents(spark, path)
 

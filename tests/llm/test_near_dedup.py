@@ -2,9 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
-import pytest
 
-from shoreline.llm import near_dedup
 from shoreline.llm.near_dedup import bag_minhash, components, keep_one, near_duplicates
 
 WORDS = "abcdefghijklmnopqrstuvwxyz"
@@ -95,10 +93,36 @@ def test_near_copies_without_ids(spark):
     assert sorted(x.class_size for x in near_duplicates(df).collect()) == [1, 2, 2]
 
 
-@pytest.mark.parametrize("linear", [0, 10**6])
-def test_rounds_and_the_rest_at_once(spark, monkeypatch, linear):
-    monkeypatch.setattr(near_dedup, "LINEAR", linear)
-    test_brute_force(spark)
+def test_group_of_far_copies(spark):
+    """A large group whose members are mostly 0.6 to 0.75 alike: all links of 0.8 or more count, and few pairs are compared."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(4000)}" for _ in range(150)]
+    docs, last = [], base
+    for k in range(400):
+        t = list(last if k % 10 == 0 else base)  # some are copies of copies
+        for _ in range(r.randrange(1, 6)):
+            t[r.randrange(len(t))] = f"x{r.randrange(99999)}"
+        last = t
+        docs.append((k, " ".join(t)))
+    want = {docs[i][0]: (docs[min(g)][0], len(g)) for g in brute(docs) for i in g}
+    assert len({c for c, _ in want.values()}) > 50
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {x.doc_id: (x.class_id, x.class_size) for x in near_duplicates(df).collect()} == want
+
+
+def test_clashing_names_and_long_texts(spark):
+    r = random.Random(4)
+    long = [f"w{r.randrange(10**6)}" for _ in range(300_000)]
+    rows = [(1, " ".join(long), 7, b"a"), (2, " ".join([*long[:-9], "z"]), 8, b"b"), (3, "x" * 3_000_000, 9, None), (4, "p q", None, b"d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _h int, node binary")
+    kept = keep_one(df)
+    assert kept.columns == df.columns and sorted((x.doc_id, x._h or 0, x.node or b"") for x in kept.collect()) == [(1, 7, b"a"), (3, 9, b""), (4, 0, b"d")]
+
+
+def test_repeated_rows_come_back_once(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", k) for k in range(9)] + [(2, "a b c d e f", 99), (3, None, 1), (3, None, 1)], "doc_id long, text string, _g int")
+    assert sorted((x.doc_id, x.text) for x in keep_one(df).collect() if x.text) == [(1, "a b c d e f")]
+    assert keep_one(df).count() == 3
 
 
 def test_components(spark):
