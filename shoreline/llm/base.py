@@ -23,6 +23,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str):
+    """A top-level column by its name, whatever is in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(names: list[str]) -> list:
+    """Columns under names of our own (_c0, _c1, ...), which can't clash with those that an operator adds."""
+    return [column(c).alias(f"_c{k}") for k, c in enumerate(names)]
+
+
+def renamed(names: list[str]) -> list:
+    """The columns of numbered() under their own names again."""
+    return [F.col(f"_c{k}").alias(c) for k, c in enumerate(names)]
+
+
 def crc_mod(col, n: int):
     """crc32 of a column as decimal text, modulo n; null counts as empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
@@ -137,9 +152,13 @@ def hashed_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- blocks of documents in doc_id order
 
 
+def text_bytes(docs: DataFrame, text: str) -> int:
+    return docs.agg(F.sum(F.octet_length(column(text))).alias("b")).first()["b"] or 0
+
+
 def block_count(docs: DataFrame, text: str, target_bytes: int) -> tuple[int, int]:
     """Blocks of about target_bytes of text, and the bytes of all texts."""
-    total = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
+    total = text_bytes(docs, text)
     return min(MAX_BLOCKS, max(1, math.ceil(total / target_bytes))), total
 
 

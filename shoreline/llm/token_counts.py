@@ -4,87 +4,169 @@ pre-token frequencies.
 A SentencePiece BPE merge never crosses a border that no piece of the vocabulary spans. No piece has a space
 mark after another character, and none holds a line feed, so a text falls into independent pre-tokens: a run of
 space marks with what follows it, or a line feed with what follows it. The operator checks both properties of the
-model it is given and otherwise takes the whole text as one pre-token.
+model it is given and otherwise counts whole texts.
 
-The dictionary of distinct pre-tokens is held per task and emptied when it is full, which changes no result.
-A dictionary over the whole corpus would have to be joined to (document, pre-token) pairs, which are larger than
-the input itself; here nothing is shuffled.
+1. Texts are read once. Every slice of a few MB becomes a row: its distinct pre-tokens, and for each document which of them it has and
+   how often, in the smallest integers that hold them. From here on no text is needed.
+2. The distinct pre-tokens of the slices go by hash to shards. A shard counts the pieces of each of its pre-tokens once, however many
+   slices have it, and answers each slice. A pre-token that all documents share costs a shard one entry a slice.
+3. Slices and answers meet, and each document's frequencies times pieces are summed.
 
 Cases: a null text counts as empty, and empty texts have 0 bytes and 0 tokens; repeated rows are counted row by
-row; an empty table gives an empty result; columns of the input other than doc_id and text are ignored.
+row; a text larger than a slice is a slice of its own, and one without blanks a single pre-token; pre-tokens of a slice are told apart
+by 64 bits of hash, those of a shard by their text; an empty table gives an empty result; columns of the input other than doc_id
+and text are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 import re
-from collections import Counter
-from operator import mul
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from shoreline.llm.base import as_strings, raw, read, slices
+from shoreline.llm.base import as_strings, column, raw, read, slices, text_bytes, word_hashes, written
 
 SPACE = "▁"
-#: Distinct pre-tokens that a task remembers.
-DICTIONARY = 300_000
+#: Text of a slice, and pre-tokens of a shard.
+SLICE_TEXT, SHARD_TOKENS = 4 << 20, 1 << 18
+BYTES_A_TOKEN = 60
+PARTS = "slice long, shard int, tokens array<string>"
+ANSWERS = "slice long, shard int, pieces binary"
 
 
 class PieceCounter:
-    """Counts the pieces of texts under one SentencePiece model."""
+    """Counts the pieces of pre-tokens under one SentencePiece model."""
 
-    def __init__(self, model: str, most: int = DICTIONARY):
+    def __init__(self, model: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.separable = not any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in pieces) and self._plain()
-        self.find = re.compile(r" +[^ \n]*|\n[^ \n]*").findall
-        self.known: dict[str, int] = {}
-        self.most = most
 
     def _plain(self) -> bool:
         """Whether the model's normaliser only puts a space mark in front and keeps all spaces."""
-        odd = ["a  b", " a", "a ", "\ta", "\n", "ﬁ", "é", "　x"]
+        odd = ["a  b", " a", "a ", "\ta", "\n", "ﬁ", "é", "　x"]
         return all(self.model.decode(self.model.encode(t)) == t for t in odd)
 
-    def learn(self, tokens: list[str]) -> None:
-        """A pre-token with spaces stands for the mark the model puts in front; one with a line feed gets the
+    def whole(self, texts: list[str]) -> list[int]:
+        return [len(x) for x in self.model.encode(texts, num_threads=1)]
+
+    def pieces(self, tokens: list[str]) -> np.ndarray:
+        """A pre-token's leading space stands for the mark the model puts in front; one with a line feed gets the
         mark in addition."""
-        ids = self.model.encode([t[1:] if t[0] == " " else t for t in tokens], num_threads=1)
-        self.known.update((t, len(i) - (t[0] == "\n")) for t, i in zip(tokens, ids, strict=True))
-        self.known[" "] = 1
-
-    def counts(self, texts: list[str]) -> list[int]:
-        if not self.separable:
-            return [len(x) for x in self.model.encode(texts, num_threads=1)]
-        bags = [Counter(self.find(" " + t.replace(SPACE, " "))) if t else {} for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        new = {t for bag in bags for t in bag if t not in known}
-        if new:
-            self.learn(list(new))
-        return [sum(map(mul, map(known.__getitem__, bag), bag.values())) for bag in bags]
+        n = np.array(self.whole([t[1:] if t[0] == " " else t for t in tokens]), np.int64)
+        n -= np.array([t[0] == "\n" for t in tokens], np.int64)
+        n[[k for k, t in enumerate(tokens) if t == " "]] = 1
+        return n
 
 
-def count_tokens(docs: DataFrame, model: str, limit: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit (more than `limit` tokens) of each row of docs."""
+@functools.lru_cache(2)
+def counter(model: str) -> PieceCounter:
+    """One for each Python worker."""
+    return PieceCounter(model)
+
+
+def pretokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the texts with a space before each that isn't empty, starts and ends of their pre-tokens, and the text each is in."""
+    col = pc.replace_substring(col, SPACE, " ")
+    col = pc.if_else(pc.equal(col, ""), col, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), col, pa.scalar("", pa.large_string())))
+    data, off = raw(col)
+    if not len(data):
+        return data, *(np.zeros(0, np.int64),) * 3
+    blank = data == 32
+    new = blank.copy()
+    new[1:] &= ~blank[:-1]
+    first = off[:-1][np.diff(off) > 0]
+    new[first] = True  # each begins with a blank
+    new |= data == 10
+    starts = np.flatnonzero(new)
+    return data, starts, np.append(starts[1:], len(data)), np.searchsorted(off, starts, "right") - 1
+
+
+def _tight(a: np.ndarray) -> bytes:
+    """The width of the smallest unsigned integers that hold all values, and these."""
+    kind = np.min_scalar_type(int(a.max(initial=0)))
+    return bytes([kind.itemsize]) + a.astype(kind).tobytes()
+
+
+def _loose(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
+
+
+def _sliced(docs: DataFrame, model: str, doc_id: str, text: str, shards: int) -> DataFrame:
+    """A row a slice: doc ids, bytes, frequencies (how many pre-tokens each document has, which, how often) and the pre-tokens of each shard."""
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        counter = PieceCounter(model)
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
         for b in batches:
             col = as_strings(b.column(1))
             _, off = raw(col)
-            n = []
-            for i, k in slices(col):
-                n += counter.counts(col.slice(i, k).to_pylist())
-            n = np.array(n, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off)), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            for i, k in slices(col, SLICE_TEXT):
+                data, s, e, doc = pretokens(col.slice(i, k))
+                h = word_hashes(data, s, e)
+                each, at, of = np.unique(h, return_index=True, return_inverse=True)
+                pair, times = np.unique(doc * max(1, len(each)) + of, return_counts=True)
+                which, doc = pair % max(1, len(each)), pair // max(1, len(each))
+                tokens = [bytes(data[s[j] : e[j]]).decode("utf-8") for j in at.tolist()]
+                cut = np.searchsorted(each, np.arange(1, shards, dtype=np.uint64) * np.uint64((1 << 64) // shards)) if shards > 1 else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], cut, [len(each)])).astype(np.int32)), pa.array(tokens, pa.string()))
+                row = [pa.array([number]), pa.array([b.column(0).slice(i, k).to_pylist()], pa.list_(b.column(0).type)), pa.array([np.diff(off[i : i + k + 1])], pa.list_(pa.int64()))]
+                row += [pa.array([x], pa.binary()) for x in (_tight(np.bincount(doc, minlength=k)), _tight(which), _tight(times))]
+                yield pa.RecordBatch.from_arrays([*row, pa.array([lists.to_pylist()], pa.list_(pa.list_(pa.string())))], names=["slice", "ids", "n_bytes", "sizes", "which", "times", "tokens"])
+                number += 1
+
+    return docs.select(column(doc_id).alias("doc_id"), column(text).alias("text")).mapInArrow(run, f"slice long, ids array<{id_type}>, n_bytes array<long>, sizes binary, which binary, times binary, tokens array<array<string>>")
+
 
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
+def count_tokens(docs: DataFrame, model: str, limit: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit (more than `limit` tokens) of each row of docs."""
+    out = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
+    if not PieceCounter(model).separable:
+
+        def whole(batches):
+            for b in batches:
+                col = as_strings(b.column(1))
+                n = np.array(counter(model).whole(col.to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(raw(col)[1])), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
+        return docs.select(doc_id, text).mapInArrow(whole, out)
+    shards = max(16, math.ceil(text_bytes(docs, text) / BYTES_A_TOKEN / SHARD_TOKENS))
+    rows = written(_sliced(docs, model, doc_id, text, shards), "token-slices")
+
+    def deal(batches):
+        for b in batches:
+            for number, lists in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                full = [k for k, x in enumerate(lists) if len(x.values)]
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(full), pa.int64()), pa.array(full, pa.int32()), lists.values.take(pa.array(full, pa.int32()))], names=["slice", "shard", "tokens"])
+
+    def answer(table):
+        tokens = table["tokens"].combine_chunks()
+        coded = tokens.flatten().dictionary_encode()
+        n = counter(model).pieces(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        at = np.concatenate(([0], np.cumsum([len(x.values) for x in tokens])))
+        return table.select(["slice", "shard"]).append_column("pieces", pa.array([_tight(n[a:z]) for a, z in zip(at, at[1:], strict=False)], pa.binary()))
+
+    def total(table, answers):
+        cols = []
+        for number, ids, n_bytes, sizes, which, times in zip(*(table[c] for c in ("slice", "ids", "n_bytes", "sizes", "which", "times")), strict=True):
+            parts = answers.sort_by("shard")["pieces"].to_pylist() if answers.num_rows else []
+            pieces = np.concatenate([_loose(x) for x in parts]) if parts else np.zeros(0, np.int64)
+            sizes, which, times = (_loose(x.as_py()) for x in (sizes, which, times))
+            n = np.bincount(np.repeat(np.arange(len(sizes)), sizes), pieces[which] * times, len(sizes)).astype(np.int64)
+            cols.append(pa.table([ids.values, n_bytes.values, pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"]))
+        return pa.concat_tables(cols)
+
+    answers = rows.select("slice", "tokens").mapInArrow(deal, PARTS).groupBy("shard").applyInArrow(answer, ANSWERS)
+    return rows.drop("tokens").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(total, out)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
