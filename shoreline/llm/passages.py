@@ -8,15 +8,16 @@ smaller doc_id, or in the same document at an earlier word.
    word in nine is named). Blocks exchange the distinct names; names that one block alone has are dropped.
 3. Confirmation: windows with a shared name are exchanged as 128-bit hashes, and each block learns which of its windows
    an earlier block has. Repeats within a block are found there.
-4. Runs of confirmed windows are the block's recurring phrases. They are compiled into Aho-Corasick automata (pyahocorasick,
-   one character a word), in shards of PHRASES words; all documents of the block are streamed through them, which locates every
-   occurrence word by word, and all but the first of the corpus are removed.
+4. Each distinct confirmed window of a block is known by its phrase, the NAME words of its smallest hash. The distinct phrases are
+   compiled into Aho-Corasick automata (pyahocorasick, one character a word), in shards of PHRASES words; all documents of
+   the block are streamed through them. What is found there, and nothing else, decides: every occurrence proposes the windows around it,
+   128 bits say whether one is a confirmed passage, and all but the first of the corpus are removed.
 
 What is exchanged goes by hash, each block giving a phrase once however often it holds it, so that a passage that a third of
 all documents share costs a shard one entry a block. Nothing is collected; the texts are shuffled once.
 
 Cases: null texts have no words; rows with equal doc_id are ordered by text, and equal rows count as earlier and later;
-null doc_ids come first; documents shorter than a window keep all; empty tables give empty results; other columns are ignored.
+null doc_ids come first; documents shorter than a window keep all; a very long text is in one block, in memory as about 50 bytes a word; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,10 +36,8 @@ from shoreline.llm.base import as_strings, block_count, hashed_words, in_blocks,
 WINDOW, NAME = 20, 5
 BLOCK_TEXT = 4 << 20
 SHARD_BYTES = 8 << 20
-#: Words of the phrases of one automaton; about 60 bytes each.
+#: Words of the phrases of one automaton; about 60 bytes each. No more than characters that can number them.
 PHRASES = 500_000
-#: Numbers that fit into one character each.
-LETTERS = 1_000_000
 
 _BASES = (0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F | 5, 0xD6E8FEB86659FD93 | 5)
 
@@ -144,45 +143,43 @@ def _answer(table: pa.Table, mark: np.ndarray, sizes: list[int]) -> pa.Table:
     return table.select(["kind", "shard", "block"]).append_column("data", pa.array([np.packbits(mark[a:z]).tobytes() for a, z in zip(at, at[1:], strict=False)], pa.binary()))
 
 
-def _first_of(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values in order, for each its first place, and for each place that of its value."""
-    return np.unique(w, return_index=True, return_inverse=True)
+def anchors(names: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+    """The place of the first smallest of the `span` names from each of the places `at`."""
+    found = np.empty(len(at), np.int64)
+    for i in range(0, len(at), 1 << 16):
+        part = at[i : i + (1 << 16)]
+        found[i : i + len(part)] = part + names[part[:, None] + np.arange(span)].argmin(1)
+    return found
 
 
-def locate(words: np.ndarray, again: np.ndarray, window: int) -> np.ndarray:
-    """Marks every word of the windows that are to go. again: windows (by first word) that were confirmed to be repeats.
+def locate(words: np.ndarray, phrases: np.ndarray, offsets: np.ndarray, size: int = NAME) -> np.ndarray:
+    """Starts of windows that occurrences of the phrases propose. A phrase is `size` words from a place in `phrases`; the window that it
+    stands for starts as many words before as `offsets` says.
 
-    Each run of such windows is one phrase. The phrases are compiled into automata of about PHRASES words, all words are
-    streamed through them, and a window goes where an occurrence of a phrase is found over a confirmed repeat. Value 0 in
-    words parts documents."""
+    The distinct phrases are compiled into automata of about PHRASES words; all words are streamed through each, and every
+    occurrence proposes the windows of its phrase, wherever it stands."""
     import ahocorasick
 
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], again.view(np.int8), [0]))))
-    starts, ends = edge[::2], edge[1::2] + window - 1
-    found = np.zeros(len(words) + 1, np.int64)
-    line = _letters(words) if len(words) and words.max() < LETTERS else None
-    cut = np.unique(np.searchsorted(np.cumsum(ends - starts), np.arange(0, (ends - starts).sum() + PHRASES, PHRASES)))
-    for i, j in zip(cut, [*cut[1:], len(starts)], strict=True):
-        if i == j:
-            continue
-        here = line
-        if here is None:  # number the words of these phrases alone; all others are one letter
-            used = np.unique(np.concatenate([words[s:e] for s, e in zip(starts[i:j], ends[i:j], strict=True)]))
-            at = np.minimum(np.searchsorted(used, words), len(used) - 1)
-            here = _letters(np.where(words == 0, 0, np.where(used[at] == words, at + 2, 1)))
-        a = ahocorasick.Automaton()
-        for s, e in zip(starts[i:j].tolist(), ends[i:j].tolist(), strict=True):
-            a.add_word(here[s:e], e - s)
+    proposed = []
+    for i in range(0, len(phrases), max(1, PHRASES // size)):
+        here, shift = phrases[i : i + max(1, PHRASES // size)], offsets[i : i + max(1, PHRASES // size)]
+        # words are numbered among those of these phrases; all others are one letter
+        used = np.unique(words[here[:, None] + np.arange(size)])
+        at = np.minimum(np.searchsorted(used, words), len(used) - 1)
+        line = _letters(np.where(used[at] == words, at + 1, 0))
+        a, kinds = ahocorasick.Automaton(), {}
+        for p, o in zip(here.tolist(), shift.tolist(), strict=True):
+            kinds.setdefault(line[p : p + size], set()).add(o)
+        most, table = max(map(len, kinds.values())), []
+        for k, (phrase, before) in enumerate(kinds.items()):
+            a.add_word(phrase, k)
+            table.append([*before, *[-1] * (most - len(before))])
         a.make_automaton()
-        hits = np.array(list(a.iter(here)), np.int64).reshape(-1, 2)
-        np.add.at(found, hits[:, 0] - hits[:, 1] + 1, 1)
-        np.add.at(found, hits[:, 0] - window + 2, -1)
-    gone = (np.cumsum(found[:-1]) > 0) & again
-    cover = np.zeros(len(words) + 1, np.int64)
-    at = np.flatnonzero(gone)
-    cover[at] += 1
-    cover[at + window] -= 1
-    return np.cumsum(cover[:-1]) > 0
+        hits = np.array(list(a.iter(line)), np.int64).reshape(-1, 2)
+        before = np.array(table)[hits[:, 1]]
+        start = (hits[:, 0] - size + 1)[:, None] - before
+        proposed.append(np.unique(start[(before >= 0) & (start >= 0)]))
+    return np.unique(np.concatenate(proposed)) if proposed else np.zeros(0, np.int64)
 
 
 def _letters(numbers: np.ndarray) -> str:
@@ -228,21 +225,31 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         b = Block(table, window)
         found = np.zeros(len(b.h), bool)
         if len(b.at):
-            keys, _ = candidates(b, marks)
+            keys, more = candidates(b, marks)
             known = _bits(marks, 1, bits, keys)
-            w, _ = b.windows()
-            each, first, of = _first_of(w)
+            w, v = b.windows()
+            each, first, count = np.unique(w, return_index=True, return_counts=True)
             at = np.minimum(np.searchsorted(keys, each), max(0, len(keys) - 1))
             before = (keys[at] == each) & known[at] if len(keys) else np.zeros(len(each), bool)
-            again = before[of] | (first[of] != np.arange(len(of)))
+            again = before | (count > 1)  # distinct windows that occur elsewhere, each with one place
             if again.any():
-                _, ids = np.unique(b.h, return_inverse=True)
-                # a 0 between documents, so that no phrase crosses them
-                line, repeats = np.zeros(len(b.h) + len(b.n), np.int64), np.zeros(len(b.h) + len(b.n), bool)
-                place = np.arange(len(b.h)) + b.doc
-                line[place] = ids + 1
-                repeats[place[b.at]] = again
-                found = locate(line, repeats, window)[place]
+                each, place, before, second = each[again], b.at[first[again]], before[again], v[first[again]]
+                named = _runs(b.h, NAME, _BASES[2])
+                anchor = anchors(named, place, window - NAME + 1)
+                start = locate(b.h, anchor, anchor - place)
+                start = start[start <= b.at[-1]]
+                nth = np.searchsorted(b.at, start)
+                start, nth = start[b.at[nth] == start], nth[b.at[nth] == start]  # within one document
+                of = np.minimum(np.searchsorted(each, w[nth]), len(each) - 1)
+                same = (each[of] == w[nth]) & (second[of] == v[nth])
+                start, of = start[same], of[same]
+                gone = before[of].copy()
+                _, one, which = np.unique(of, return_index=True, return_inverse=True)
+                gone |= one[which] != np.arange(len(of))  # all occurrences in the block but the first
+                cover = np.zeros(len(b.h) + 1, np.int64)
+                cover[start[gone]] += 1
+                np.add.at(cover, start[gone] + window, -1)
+                found = np.cumsum(cover[:-1]) > 0
         kept, runs, gone = [], [], []
         for d, t in enumerate(b.texts.cast(pa.large_binary()).to_pylist()):
             out = found[b.first[d] : b.first[d + 1]]

@@ -54,18 +54,25 @@ def test_equal_ids_and_nulls(spark):
     assert drop_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_many_words_in_shards(monkeypatch):
+def places(words, phrase):
+    return [k for k in range(len(words) - len(phrase) + 1) if (words[k : k + len(phrase)] == phrase).all()]
+
+
+@pytest.mark.parametrize("shard", [500_000, 20])
+def test_every_occurrence_is_located(monkeypatch, shard):
+    """Only what the automata find is proposed: all places of the phrases, also where they overlap, and no others."""
+    monkeypatch.setattr(passages, "PHRASES", shard)
     r = np.random.default_rng(2)
-    words = np.concatenate((r.integers(1, 90000, 3000), [0], r.integers(1, 90000, 10)))
-    words = np.concatenate((words, [0], words[100:160], [0], words[500:520], [0], words[100:130], words[2000:2040]))
-    seen, again, want = set(), np.zeros(len(words), bool), np.zeros(len(words), bool)
-    for k in range(len(words) - 19):
-        w = tuple(words[k : k + 20])
-        if 0 not in w:
-            again[k] = w in seen
-            seen.add(w)
-            want[k : k + 20] |= again[k]
-    for letters, phrases in ((10**6, 500_000), (100, 50)):
-        monkeypatch.setattr(passages, "LETTERS", letters)
-        monkeypatch.setattr(passages, "PHRASES", phrases)
-        assert again.sum() == 41 + 1 + 11 + 21 and (locate(words, again, 20) == want).all()
+    words = r.integers(1, 90000, 3000).astype(np.uint64)
+    words = np.concatenate((words, words[100:160], words[500:520], words[100:130], np.full(30, 7, np.uint64), words[2000:2040]))
+    at, offsets = np.array([100, 103, 505, 2010, 2010, 2999, len(words) - 60]), np.array([0, 3, 5, 2, 7, 1, 0])
+    want = {k - o for p, o in zip(at, offsets, strict=True) for k in places(words, words[p : p + 5])}
+    assert set(locate(words, at, offsets).tolist()) == want and len(want) > 30
+    assert len(locate(words, at[:0], offsets[:0])) == 0
+
+
+def test_very_long_text(spark):
+    r = random.Random(8)
+    long = " ".join(f"w{r.randrange(10**6)}" for _ in range(300_000))
+    df = spark.createDataFrame([(1, long), (2, "x " + long), (3, "y" * 2_000_000)], "doc_id long, text string")
+    assert {x.doc_id: (x.n_words, x.n_removed) for x in drop_repeats(df, block_text=1 << 20).collect()} == {1: (300_000, 0), 2: (300_001, 300_000), 3: (1, 0)}
