@@ -17,7 +17,8 @@ that no window holds more than a bucket of documents or the square root of the n
 
 Cases: null texts have no words; null is a source of its own, after all others; sources are ordered by code point;
 a source without words gets nothing; rows that are equal in doc_id and text are interchangeable and each is
-taken by itself; an empty table gives an empty result; columns of the result that the table has are replaced.
+taken by itself; documents at equal positions come in any order; a very long text is one document whose size is its words; an empty
+table gives an empty result; mix() replaces columns that have the names of its own, training_order() keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shoreline.llm.base import WORD, read, written
+from shoreline.llm.base import WORD, column, numbered, read, renamed, small, written
 from shoreline.llm.sharding import BITS, key_bits
 
 WEIGHTS = (1, 2, 3)
+OURS = ("size", "source_size", "target", "taken", "first_position")
 MOST = 3
 ROWS = 256
 #: Sources whose targets may be sent to every executor (about 60 bytes each).
@@ -78,51 +80,52 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     return w.select("_source", "source_size", "_schedule", "target", F.round("target").cast("long").alias("_take"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: list[str] | None = None, weights=WEIGHTS, most: int = MOST, schedules=SCHEDULES) -> DataFrame:
-    """The columns `carry` (all) of docs with size, source_size, target, taken, first_position (null if not taken)
-    and _offset, _take, _schedule for the positions of further passes."""
-    ours = {"size", "source_size", "target", "taken", "first_position"}
-    kept = [c for c in (docs.columns if carry is None else carry) if c not in ours]
-    rows = docs.select(*kept, F.col(source).alias("_source"), F.col(doc_id).alias("_id"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key_bits(F.col(doc_id), F.col(text)).alias("_key"))
-    if text not in kept:
+def _mixed(docs: DataFrame, doc_id: str, text: str, source: str, carry: list[str], weights, most: int, schedules) -> DataFrame:
+    """The columns `carry` of docs as numbered(), and size, source_size, target, taken, _passes, _last, _offset, _take, _schedule, _key."""
+    rows = docs.select(*numbered(carry), column(source).alias("_source"), column(doc_id).alias("_id"), F.coalesce(F.regexp_count(column(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key_bits(column(doc_id), column(text)).alias("_key"))
+    if text not in carry:
         rows = written(rows, "mix-sizes")  # narrow rows: read again below instead of the texts
     rows = rows.withColumn("_name", F.coalesce(F.concat(F.lit("="), "_source"), F.lit("")))
     fine_bits = max(0, math.ceil(math.log2(max(1, docs.count()) / ROWS)))
     coarse_bits = fine_bits // 2
     rows = rows.withColumn("_fine", F.shiftright("_key", BITS - fine_bits))
     fine = written(rows.groupBy("_name", "_source", "_fine").agg(F.sum("size").alias("s")), "mix-buckets")
-    fine = fine.withColumn("_coarse", F.shiftright("_fine", fine_bits - coarse_bits))
     shares = written(targets(fine.groupBy("_source").agg(F.sum("s").alias("source_size")), weights, most).withColumn("_name", F.coalesce(F.concat(F.lit("="), "_source"), F.lit(""))).drop("_source"), "mix-targets")
-    if shares.count() <= BROADCAST_SOURCES:
-        shares = F.broadcast(shares)
+    fine = fine.withColumn("_coarse", F.shiftright("_fine", fine_bits - coarse_bits))
     earlier = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     coarse = fine.groupBy("_name", "_coarse").agg(F.sum("s").alias("c")).withColumn("_base", F.coalesce(F.sum("c").over(earlier("_name").orderBy("_coarse")), F.lit(0))).drop("c")
     fine = fine.join(coarse, ["_name", "_coarse"]).withColumn("_base", F.col("_base") + F.coalesce(F.sum("s").over(earlier("_name", "_coarse").orderBy("_fine")), F.lit(0)))
-    fine = fine.select("_name", "_fine", "_base").join(shares, "_name")
+    fine = fine.select("_name", "_fine", "_base").join(small(shares, BROADCAST_SOURCES), "_name")
     rows = rows.join(fine, ["_name", "_fine"]).withColumn("_offset", F.col("_base") + F.coalesce(F.sum("size").over(earlier("_name", "_fine").orderBy("_key", "_id", "size")), F.lit(0)))
     passes = F.coalesce(F.expr("_take div nullif(source_size, 0)"), F.lit(0))
     last = F.greatest(F.lit(0), F.least(F.col("_take") - passes * F.col("source_size") - F.col("_offset"), F.col("size")))
     rows = rows.withColumns({"_passes": passes, "_last": last})
-    rows = rows.withColumn("taken", F.col("_passes") * F.col("size") + F.col("_last"))
+    return rows.withColumn("taken", F.col("_passes") * F.col("size") + F.col("_last"))
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: list[str] | None = None, weights=WEIGHTS, most: int = MOST, schedules=SCHEDULES) -> DataFrame:
+    """The columns `carry` (all) of docs with size, source_size, target, taken and first_position (null if not taken), which take the
+    place of columns of these names, in order of first_position; what isn't taken comes last, in the order of its key."""
+    kept = [c for c in (docs.columns if carry is None else carry) if c not in OURS]
+    rows = _mixed(docs, doc_id, text, source, kept, weights, most, schedules)
     first = F.when(F.col("taken") > 0, position(F.col("_offset") / F.col("_take"), F.col("_schedule"), schedules))
-    return rows.select(*kept, "size", "source_size", "target", "taken", first.alias("first_position"), "_passes", "_last", "_offset", "_take", "_schedule", "_key")
+    rows = rows.withColumn("first_position", first).orderBy(F.col("first_position").asc_nulls_last(), "_key")
+    return rows.select(*renamed(kept), *OURS)
 
 
 def training_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", schedules=SCHEDULES) -> DataFrame:
-    """The rows of docs as often as the mix takes them, in order of position. The pass in which the target ends takes
-    a document whole if it takes half of it or more."""
-    rows = mix(docs, doc_id, text, source, schedules=schedules)
+    """The rows of docs, with all their columns and no others, as often as the mix takes them, in order of position. The pass in
+    which the target ends takes a document whole if it takes half of it or more."""
+    rows = _mixed(docs, doc_id, text, source, docs.columns, WEIGHTS, MOST, schedules)
     copies = F.col("_passes") + (2 * F.col("_last") >= F.col("size")).cast("long")
     rows = rows.where((F.col("size") > 0) & (F.col("_take") > 0)).withColumn("_copies", copies).where("_copies > 0")
     rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
     share = (F.col("_offset") + F.col("_pass") * F.col("source_size")) / F.col("_take")
-    return rows.withColumn("_position", position(share, F.col("_schedule"), schedules)).orderBy("_position").select(*docs.columns)
+    return rows.withColumn("_position", position(share, F.col("_schedule"), schedules)).orderBy("_position").select(*renamed(docs.columns))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mix(read(spark, sf_dir, "documents"), carry=["doc_id"])
-    # what isn't taken has no position: its key spreads it over the last partitions
-    return rows.orderBy(F.col("first_position").asc_nulls_last(), "_key").select("doc_id", "size", "source_size", "target", "taken", "first_position")
+    return mix(read(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
 def _position_sql(share: str, schedule: str) -> str:

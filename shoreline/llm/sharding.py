@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shoreline.llm.base import read, written
+from shoreline.llm.base import column, numbered, read, renamed, small, written
 
 BITS = 60
 STEP = 8
@@ -49,9 +49,9 @@ def _cells(rows: DataFrame, bits: int, shallow: int, limit: int) -> DataFrame:
 
 def assign_shards(docs: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns `carry` (all) of docs with n_bytes, shard (the bits of its prefix), depth, shard_bytes, shard_docs."""
-    ours = {"n_bytes", "shard", "depth", "shard_bytes", "shard_docs", "_key"}
+    ours = ("n_bytes", "shard", "depth", "shard_bytes", "shard_docs")
     kept = [c for c in (docs.columns if carry is None else carry) if c not in ours]
-    rows = docs.select(*kept, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), key_bits(F.col(doc_id), F.col(text)).alias("_key"))
+    rows = docs.select(*numbered(kept), F.coalesce(F.octet_length(column(text)), F.lit(0)).cast("long").alias("n_bytes"), key_bits(column(doc_id), column(text)).alias("_key"))
     if text not in kept:
         rows = written(rows, "shard-keys")  # narrow rows: read again below instead of the texts
     sizes = rows.select("_key", "n_bytes")
@@ -61,9 +61,7 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id", t
     found = rows.select(*rows.columns, *(F.lit(None).cast(t).alias(c) for c, t in zip(places, ("int", "long", "long"), strict=True)))
     while True:
         cells = written(_cells(deep, bits, shallow, limit), "directory")
-        new = cells.select("_cell", *(F.col(c).alias(f"_{c}") for c in places))
-        if cells.count() <= BROADCAST_CELLS:
-            new = F.broadcast(new)
+        new = small(cells.select("_cell", *(F.col(c).alias(f"_{c}") for c in places)), BROADCAST_CELLS)
         found = found.withColumn("_cell", F.shiftright("_key", BITS - bits)).join(new, "_cell", "left").withColumns({c: F.coalesce(c, f"_{c}") for c in places}).drop("_cell", *(f"_{c}" for c in places))
         open_cells = cells.where("depth is null")
         if bits == BITS or open_cells.isEmpty():
@@ -73,7 +71,7 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id", t
     found = found.withColumn("shard", F.expr(f"right(lpad(bin(shiftright(_key, {BITS} - depth)), {BITS}, '0'), depth)"))
     if bits == BITS and not open_cells.isEmpty():
         found = found.where("depth is not null").unionByName(_copies(written(found.where("depth is null"), "copies"), limit))
-    return found.select(*kept, "n_bytes", "shard", "depth", "shard_bytes", "shard_docs")
+    return found.select(*renamed(kept), *ours)
 
 
 def _copies(rows: DataFrame, limit: int) -> DataFrame:

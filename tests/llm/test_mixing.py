@@ -1,7 +1,9 @@
 import random
 from collections import Counter, defaultdict
 
-from shoreline.llm.mixing import SCHEDULES, mix, segments, training_order
+from pyspark.sql import functions as F
+
+from shoreline.llm.mixing import MOST, SCHEDULES, WEIGHTS, _mixed, mix, position, segments, training_order
 
 
 def shares(sizes, weights=(1, 2, 3), most=3):
@@ -47,10 +49,12 @@ def test_positions_follow_the_schedules(spark):
     rows, df = docs(spark, 3000, 5)
     names = sorted({s for *_, s in rows if s is not None}) + [None]
     at = defaultdict(list)
-    for x in mix(df).where("taken > 0").collect():
+    placed = _mixed(df, "doc_id", "text", "source", ["source"], WEIGHTS, MOST, SCHEDULES).where("taken > 0")
+    placed = placed.select(F.col("_c0").alias("source"), F.col("_offset").alias("offset"), F.col("_take").alias("take"), position(F.col("_offset") / F.col("_take"), F.col("_schedule")).alias("first_position"))
+    for x in placed.collect():
         assert 0 <= x.first_position <= 1
         k = names.index(x.source) % 3
-        share = x._offset / x._take
+        share = x.offset / x.take
         demand = next(d + (f + slope * (x.first_position - t) / 2) * (x.first_position - t) for t, _, f, slope, d in reversed(segments(SCHEDULES[k])) if x.first_position >= t - 1e-12)
         assert abs(demand - share) < 1e-9
         at[x.source].append(x.first_position)
@@ -61,3 +65,19 @@ def test_positions_follow_the_schedules(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix(df).count() == 0 and training_order(df).count() == 0
+
+
+def test_clashing_names(spark):
+    names = "size int, _key string, _source int, _name string, target string, _c0 int, _take int, `a.b` int"
+    rows = [(k, f"w{k} " * (1 + k % 5), "ab"[k % 2], k, "k", 1, "n", "t", 5, 6, 7) for k in range(40)]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, source string, {names}")
+    out = training_order(df)
+    assert out.columns == df.columns and {tuple(x) for x in out.collect()} <= set(rows)
+    assert mix(df).columns == ["doc_id", "text", "source", "_key", "_source", "_name", "_c0", "_take", "a.b", "size", "source_size", "target", "taken", "first_position"]
+    assert {x.doc_id: x.size for x in mix(df).collect()} == {k: 1 + k % 5 for k in range(40)}
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "w " * 1_000_000, "a"), (2, "x" * 3_000_000, "a"), (3, "y z", "b")], "doc_id long, text string, source string")
+    got = {x.doc_id: (x.size, x.target, x.taken) for x in mix(df, carry=["doc_id"]).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: 1_000_000, 2: 1, 3: 2} and got[3][1:] == (6.0, 6)

@@ -49,3 +49,17 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, depth string")
     assert assign_shards(df).columns == ["doc_id", "text", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs"]
     assert assign_shards(df).count() == 0
+
+
+def test_clashing_names(spark):
+    rows = [(k, "x" * k, k, "k", "c", "d", 9) for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key long, _cell string, _depth string, _c0 string, n_bytes int")
+    out = assign_shards(df, 100)
+    assert out.columns == ["doc_id", "text", "_key", "_cell", "_depth", "_c0", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs"]
+    assert {(x.doc_id, x._key, x._cell, x._depth, x._c0, x.n_bytes) for x in out.collect()} == {(k, k, "k", "c", "d", k) for k in range(50)}
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "é" * 2_000_000), (2, "a"), (3, None)], "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.shard_docs) for x in assign_shards(df, 1000).collect()}
+    assert got[1] == (4_000_000, 1) and got[2][0] == 1 and got[3][0] == 0
