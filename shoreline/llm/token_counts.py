@@ -7,7 +7,7 @@ space marks with what follows it, or a line feed with what follows it. The opera
 model it is given and otherwise counts whole texts.
 
 1. Texts are read once. Every slice of a few MB becomes a row: its distinct pre-tokens, and for each document which of them it has and
-   how often, in the smallest integers that hold them. From here on no text is needed.
+   how often, as steps in the order of the pre-tokens, in the smallest integers that hold them, compressed. From here on no text is needed.
 2. The distinct pre-tokens of the slices go by hash to shards. A shard counts the pieces of each of its pre-tokens once, however many
    slices have it, and answers each slice. A pre-token that all documents share costs a shard one entry a slice.
 3. Slices and answers meet, and each document's frequencies times pieces are summed.
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shoreline.llm.base import as_strings, column, raw, read, slices, text_bytes, word_hashes, written
 
@@ -35,7 +36,6 @@ SPACE = "▁"
 #: Text of a slice, and pre-tokens of a shard.
 SLICE_TEXT, SHARD_TOKENS = 4 << 20, 1 << 18
 BYTES_A_TOKEN = 60
-PARTS = "slice long, shard int, tokens array<string>"
 ANSWERS = "slice long, shard int, pieces binary"
 
 
@@ -90,17 +90,37 @@ def pretokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def _tight(a: np.ndarray) -> bytes:
-    """The width of the smallest unsigned integers that hold all values, and these."""
+    """The width of the smallest unsigned integers that hold all values, and these by planes of bytes, compressed."""
+    import zstandard
+
     kind = np.min_scalar_type(int(a.max(initial=0)))
-    return bytes([kind.itemsize]) + a.astype(kind).tobytes()
+    return bytes([kind.itemsize]) + zstandard.compress(np.ascontiguousarray(a.astype(kind).view(np.uint8).reshape(len(a), kind.itemsize).T).tobytes(), 3)
 
 
 def _loose(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(b[1:]), np.uint8).reshape(b[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{b[0]}").reshape(-1).astype(np.int64)
+
+
+def _pack(words: list[bytes]) -> bytes:
+    import zstandard
+
+    return np.uint32(len(words)).tobytes() + zstandard.compress(np.array([len(w) for w in words], "<u4").tobytes() + b"".join(words), 3)
 
 
-def _sliced(docs: DataFrame, model: str, doc_id: str, text: str, shards: int) -> DataFrame:
-    """A row a slice: doc ids, bytes, frequencies (how many pre-tokens each document has, which, how often) and the pre-tokens of each shard."""
+def _unpack(b: bytes) -> list[bytes]:
+    import zstandard
+
+    n, body = int(np.frombuffer(b[:4], "<u4")[0]), zstandard.decompress(b[4:])
+    at = np.concatenate(([0], np.cumsum(np.frombuffer(body[: 4 * n], "<u4").astype(np.int64)))) + 4 * n
+    return [body[x:y] for x, y in zip(at.tolist(), at[1:].tolist(), strict=False)]
+
+
+def _sliced(docs: DataFrame, doc_id: str, text: str, shards: int) -> DataFrame:
+    """A row a slice: doc ids, bytes, frequencies (how many pre-tokens each document has, which as steps in their order, how often) and the
+    pre-tokens of each shard."""
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
@@ -114,17 +134,25 @@ def _sliced(docs: DataFrame, model: str, doc_id: str, text: str, shards: int) ->
                 data, s, e, doc = pretokens(col.slice(i, k))
                 h = word_hashes(data, s, e)
                 each, at, of = np.unique(h, return_index=True, return_inverse=True)
-                pair, times = np.unique(doc * max(1, len(each)) + of, return_counts=True)
+                shard = (each % np.uint64(shards)).astype(np.int64)
+                tokens = [data[x:y].tobytes() for x, y in zip(s[at].tolist(), e[at].tolist(), strict=True)]
+                order = sorted(range(len(tokens)), key=lambda j: (shard[j], tokens[j]))  # noqa: B023
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                pair, times = np.unique(doc * max(1, len(each)) + place[of], return_counts=True)
                 which, doc = pair % max(1, len(each)), pair // max(1, len(each))
-                tokens = [bytes(data[s[j] : e[j]]).decode("utf-8") for j in at.tolist()]
-                cut = np.searchsorted(each, np.arange(1, shards, dtype=np.uint64) * np.uint64((1 << 64) // shards)) if shards > 1 else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], cut, [len(each)])).astype(np.int32)), pa.array(tokens, pa.string()))
+                sizes = np.bincount(doc, minlength=k)
+                steps = np.diff(which, prepend=0)
+                first = (np.cumsum(sizes) - sizes)[sizes > 0]
+                steps[first] = which[first]
+                cut = np.searchsorted(shard[order], np.arange(shards + 1))
+                parts = [_pack([tokens[j] for j in order[x:y]]) if y > x else None for x, y in zip(cut, cut[1:], strict=False)]
                 row = [pa.array([number]), pa.array([b.column(0).slice(i, k).to_pylist()], pa.list_(b.column(0).type)), pa.array([np.diff(off[i : i + k + 1])], pa.list_(pa.int64()))]
-                row += [pa.array([x], pa.binary()) for x in (_tight(np.bincount(doc, minlength=k)), _tight(which), _tight(times))]
-                yield pa.RecordBatch.from_arrays([*row, pa.array([lists.to_pylist()], pa.list_(pa.list_(pa.string())))], names=["slice", "ids", "n_bytes", "sizes", "which", "times", "tokens"])
+                row += [pa.array([x], pa.binary()) for x in (_tight(sizes), _tight(steps), _tight(times))]
+                yield pa.RecordBatch.from_arrays([*row, pa.array([parts], pa.list_(pa.binary()))], names=["slice", "ids", "n_bytes", "sizes", "steps", "times", "tokens"])
                 number += 1
 
-    return docs.select(column(doc_id).alias("doc_id"), column(text).alias("text")).mapInArrow(run, f"slice long, ids array<{id_type}>, n_bytes array<long>, sizes binary, which binary, times binary, tokens array<array<string>>")
+    return docs.select(column(doc_id).alias("doc_id"), column(text).alias("text")).mapInArrow(run, f"slice long, ids array<{id_type}>, n_bytes array<long>, sizes binary, steps binary, times binary, tokens array<binary>")
 
 
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,32 +168,30 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, doc_id: str = "
 
         return docs.select(doc_id, text).mapInArrow(whole, out)
     shards = max(16, math.ceil(text_bytes(docs, text) / BYTES_A_TOKEN / SHARD_TOKENS))
-    rows = written(_sliced(docs, model, doc_id, text, shards), "token-slices")
-
-    def deal(batches):
-        for b in batches:
-            for number, lists in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                full = [k for k, x in enumerate(lists) if len(x.values)]
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(full), pa.int64()), pa.array(full, pa.int32()), lists.values.take(pa.array(full, pa.int32()))], names=["slice", "shard", "tokens"])
+    rows = written(_sliced(docs, doc_id, text, shards), "token-slices")
 
     def answer(table):
-        tokens = table["tokens"].combine_chunks()
-        coded = tokens.flatten().dictionary_encode()
-        n = counter(model).pieces(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        at = np.concatenate(([0], np.cumsum([len(x.values) for x in tokens])))
-        return table.select(["slice", "shard"]).append_column("pieces", pa.array([_tight(n[a:z]) for a, z in zip(at, at[1:], strict=False)], pa.binary()))
+        words = [_unpack(x) for x in table["tokens"].to_pylist()]
+        coded = pa.array([w for ws in words for w in ws], pa.binary()).dictionary_encode()
+        n = counter(model).pieces([w.decode("utf-8") for w in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
+        at = np.concatenate(([0], np.cumsum([len(ws) for ws in words])))
+        return table.select(["slice", "shard"]).append_column("pieces", pa.array([_tight(n[x:y]) for x, y in zip(at, at[1:], strict=False)], pa.binary()))
 
     def total(table, answers):
-        cols = []
-        for number, ids, n_bytes, sizes, which, times in zip(*(table[c] for c in ("slice", "ids", "n_bytes", "sizes", "which", "times")), strict=True):
-            parts = answers.sort_by("shard")["pieces"].to_pylist() if answers.num_rows else []
-            pieces = np.concatenate([_loose(x) for x in parts]) if parts else np.zeros(0, np.int64)
-            sizes, which, times = (_loose(x.as_py()) for x in (sizes, which, times))
+        cols, parts = [], answers.sort_by("shard")["pieces"].to_pylist() if answers.num_rows else []
+        pieces = np.concatenate([_loose(x) for x in parts]) if parts else np.zeros(0, np.int64)
+        for ids, n_bytes, sizes, steps, times in zip(*(table[c] for c in ("ids", "n_bytes", "sizes", "steps", "times")), strict=True):
+            sizes, steps, times = (_loose(x.as_py()) for x in (sizes, steps, times))
+            sums = np.cumsum(steps)
+            first = np.cumsum(sizes) - sizes
+            before = np.concatenate(([0], sums))[first]
+            which = sums - np.repeat(before, sizes)
             n = np.bincount(np.repeat(np.arange(len(sizes)), sizes), pieces[which] * times, len(sizes)).astype(np.int64)
             cols.append(pa.table([ids.values, n_bytes.values, pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"]))
         return pa.concat_tables(cols)
 
-    answers = rows.select("slice", "tokens").mapInArrow(deal, PARTS).groupBy("shard").applyInArrow(answer, ANSWERS)
+    asked = rows.select("slice", F.posexplode("tokens").alias("shard", "tokens")).where("tokens is not null")
+    answers = asked.groupBy("shard").applyInArrow(answer, ANSWERS)
     return rows.drop("tokens").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(total, out)
 
 
