@@ -9,35 +9,39 @@ import math
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoreline.functions import astro
 from shoreline.functions.timegrid import seconds
 
-#: Constituent -> (degrees an hour, long period?). Public harmonic speeds.
-SPEEDS = {
-    "M2": (28.9841042, False), "S2": (30.0, False), "N2": (28.4397295, False), "K2": (30.0821373, False), "2N2": (27.8953548, False),
-    "MU2": (27.9682084, False), "NU2": (28.5125831, False), "L2": (29.5284789, False), "T2": (29.9589333, False), "R2": (30.0410667, False),
-    "LAMBDA2": (29.4556253, False), "EPS2": (27.4238337, False), "MKS2": (29.0662415, False), "K1": (15.0410686, False), "O1": (13.9430356, False),
-    "P1": (14.9589314, False), "Q1": (13.3986609, False), "J1": (15.5854433, False), "S1": (15.0, False), "M3": (43.4761563, False),
-    "M4": (57.9682084, False), "MN4": (57.4238337, False), "MS4": (58.9841042, False), "S4": (60.0, False), "N4": (56.8794590, False),
-    "M6": (86.9523127, False), "M8": (115.9364169, False), "SSA": (0.0821373, True), "SA": (0.0410686, True), "MM": (0.5443747, True),
-    "MF": (1.0980331, True), "MSF": (1.0158958, True), "MTM": (1.6424078, True), "MSQM": (2.1139288, True),
-}
-#: The eight leading constituents.
-MAJOR = ("M2", "S2", "N2", "K2", "K1", "O1", "P1", "Q1")
+#: All constituents, and the eight leading ones.
+CONSTITUENTS = (
+    "2N2", "Eps2", "J1", "K1", "K2", "L2", "Lambda2", "M2", "M3", "M4", "M6", "M8", "MKS2", "MN4", "MS4", "MSf", "Mf", "Mm", "Msqm", "Mtm", "Mu2", "N2", "N4", "Nu2",
+    "O1", "P1", "Q1", "R2", "S1", "S2", "S4", "Sa", "Ssa", "T2",
+)
+MAJOR = ("M2", "S2", "K1", "O1", "N2", "K2", "P1", "Q1")
+#: Constituents of half a month and more.
+LONG_PERIOD = ("MSf", "Mf", "Mm", "Msqm", "Mtm", "Sa", "Ssa")
+#: Degrees an hour and whether the period is long.
+SPEEDS = {c: (round(astro.speed(c), 7), c in LONG_PERIOD) for c in CONSTITUENTS}
+#: Samples of one time axis, which goes to every executor (8 bytes each), and samples evaluated at once.
+MAX_TIMES, TIME_CHUNK = 1 << 21, 4096
 
 
 def constituents(which="all") -> list[str]:
-    """'all', 'major8' or a list of names, checked."""
-    if which == "all":
-        return list(SPEEDS)
+    """'all' (or None), 'major8' or a list of names, checked; names are exact but for blanks around them."""
+    if which is None or which == "all":
+        return list(CONSTITUENTS)
     if which == "major8":
         return list(MAJOR)
-    names = [c.upper() for c in which]
-    unknown = sorted(set(names) - set(SPEEDS))
-    if unknown or not names:
-        raise ValueError(f"unknown constituents: {', '.join(unknown) or 'none given'}")
+    if not isinstance(which, (list, tuple, set)):
+        raise ValueError(f"constituents must be 'all', 'major8' or a list of names, not {which!r}")
+    names = [str(c).strip() for c in which]
+    if unknown := sorted(set(names) - set(CONSTITUENTS)):
+        raise ValueError(f"unknown constituents: {', '.join(unknown)}")
     return names
 
 
@@ -81,22 +85,65 @@ class TwoBasin:
 
 @dataclass
 class Harmonic:
-    """Sum of A cos(w t - G) over a table (node_id, constituent, amp_cm, phase_deg), t in hours since `origin` seconds.
-    The table carries nodal factors and equilibrium arguments in amp_cm and phase_deg."""
+    """Sum of f A cos(w t + V + u - G) over a table (node_id, constituent, amp_cm, phase_deg).
+
+    With `astronomical`, arguments V and nodal corrections f and u are those of each time; without, w t counts from `origin` (seconds), f is 1
+    and the table carries all else. What depends on time alone is computed once for all nodes, so that a batch of nodes is a matrix product."""
 
     table: DataFrame
     which: object = "all"
     origin: float = 0.0
+    astronomical: bool = False
+
+    def waves(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """f cos(w t + V + u) and f sin(w t + V + u), constituents x times."""
+        names = constituents(self.which)
+        if self.astronomical:
+            f, u = astro.nodal(names, t)
+            angle = np.radians(astro.equilibrium(names, t) + u)
+            return f * np.cos(angle), f * np.sin(angle)
+        angle = np.radians(np.outer([SPEEDS[c][0] for c in names], (t - self.origin) / 3600.0))
+        return np.cos(angle), np.sin(angle)
 
     def parts(self, nodes: DataFrame, times: DataFrame) -> DataFrame:
-        """node_id, t, short_cm, long_cm."""
+        """node_id, t, short_cm, long_cm; null at nodes that the table lacks."""
         names = constituents(self.which)
-        speeds = self.table.sparkSession.createDataFrame([(c, *SPEEDS[c]) for c in names], "constituent string, speed double, is_long boolean")
-        used = self.table.join(F.broadcast(speeds), "constituent").select("node_id", "amp_cm", "phase_deg", "speed", "is_long")
-        used = used.groupBy("node_id").agg(F.collect_list(F.struct("amp_cm", "phase_deg", "speed", "is_long")).alias("w"))
-        hours = (seconds(F.col("t")) - self.origin) / 3600.0
-        wave = lambda keep: F.aggregate(F.filter("w", keep), F.lit(0.0), lambda s, c: s + c.amp_cm * F.cos(F.radians(c.speed * hours - c.phase_deg)))
-        return _pairs(nodes.join(used, "node_id", "left"), times).select("node_id", "t", wave(lambda c: ~c.is_long).alias("short_cm"), wave(lambda c: c.is_long).alias("long_cm"))
+        spark = self.table.sparkSession
+        axis = times.select(F.unix_micros(F.col("t").cast("timestamp")).alias("u")).limit(MAX_TIMES + 1).toPandas()["u"].to_numpy(np.int64)
+        if len(axis) > MAX_TIMES:
+            raise ValueError(f"a time axis may have {MAX_TIMES} samples; cut the window")
+        order = F.create_map(*(F.lit(x) for k, c in enumerate(names) for x in (c, k)))
+        used = self.table.withColumn("k", F.try_element_at(order, F.col("constituent"))).where("k is not null").groupBy("node_id").agg(F.collect_list(F.struct("k", "amp_cm", "phase_deg")).alias("w"))
+        chunks = spark.range(math.ceil(len(axis) / TIME_CHUNK)).select(F.col("id").cast("int").alias("chunk"))
+        shared, is_long = spark.sparkContext.broadcast(axis), np.array([SPEEDS[c][1] for c in names])
+        kind = nodes.schema["node_id"].dataType.simpleString()
+        me = Harmonic(None, self.which, self.origin, self.astronomical)
+
+        def run(batches):
+            waves = {}
+            for b in batches:
+                ids, chunk, w = b.column(0), b.column(1).to_numpy(), b.column(2)
+                known, flat = w.is_valid().to_numpy(zero_copy_only=False), w.flatten()
+                row = np.repeat(np.arange(len(ids)), np.where(known, w.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0).astype(np.int64))
+                c, s = np.zeros((2, len(ids), len(names)))
+                k, amp, phase = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("k", "amp_cm", "phase_deg"))
+                np.add.at(c, (row, k), amp * np.cos(np.radians(phase)))
+                np.add.at(s, (row, k), amp * np.sin(np.radians(phase)))
+                for x in np.unique(chunk):
+                    here = np.flatnonzero(chunk == x)
+                    t = shared.value[x * TIME_CHUNK : (x + 1) * TIME_CHUNK]
+                    if x not in waves:
+                        waves = {x: me.waves(t / 1e6)}
+                    e, f = waves[x]
+                    step = max(1, (1 << 20) // len(t))
+                    for i in range(0, len(here), step):
+                        rows = here[i : i + step]
+                        gone = np.repeat(~known[rows], len(t))
+                        out = [pa.array((c[rows][:, m] @ e[m] + s[rows][:, m] @ f[m]).ravel(), mask=gone) for m in (~is_long, is_long)]
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(rows, len(t)))), pa.array(np.tile(t, len(rows)), pa.timestamp("us", "UTC")), *out], names=["node_id", "t", "short_cm", "long_cm"])
+
+        each = nodes.select("node_id").join(used, "node_id", "left").crossJoin(F.broadcast(chunks)).select("node_id", "chunk", "w")
+        return each.mapInArrow(run, f"node_id {kind}, t timestamp, short_cm double, long_cm double")
 
     def levels(self, nodes: DataFrame, times: DataFrame) -> DataFrame:
         level = ((F.col("short_cm") + F.col("long_cm")) / 100.0).cast("float")

@@ -77,13 +77,14 @@ def parse_epoch(text: Column) -> Column:
     return F.coalesce(F.when(number > 1e8, number), F.unix_micros(text.try_cast("timestamp")) / F.lit(1e6))
 
 
-def check_time_axis(times: DataFrame, step: float, t: str = "t_seconds") -> DataFrame:
-    """n, not_increasing, worst_step (seconds off the cadence), ok (within a millisecond) of an ordered axis."""
+def check_time_axis(times: DataFrame, step: float, t: str = "t_seconds", keys: tuple[str, ...] = ()) -> DataFrame:
+    """n, not_increasing, worst_step (seconds off the cadence), ok (within a millisecond) of the axis of each key, in the order of `_seq`. Without
+    keys there is one axis, which one task orders: an axis is bounded, a table of many series needs its keys."""
     from pyspark.sql.window import Window
 
-    dt = F.col(t) - F.lag(t).over(Window.orderBy("_seq"))
+    dt = F.col(t) - F.lag(t).over(Window.partitionBy(*keys).orderBy("_seq"))
     rows = times.withColumn("_dt", dt)
-    out = rows.agg(F.count("*").alias("n"), F.count_if(F.col("_dt") <= 0).alias("not_increasing"), F.coalesce(F.max(F.abs(F.col("_dt") - step)), F.lit(0.0)).alias("worst_step"))
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("_dt") <= 0).alias("not_increasing"), F.coalesce(F.max(F.abs(F.col("_dt") - step)), F.lit(0.0)).alias("worst_step"))
     return out.withColumn("ok", (F.col("not_increasing") == 0) & (F.col("worst_step") <= 1e-3))
 
 

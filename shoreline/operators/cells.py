@@ -6,7 +6,9 @@ nodes: node_id, valid, component_id, qc. A pixel belongs to a cell by half-open
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,13 +24,13 @@ def _inside(x_edge: float, y_edge: float):
     return (x >= F.col("x_min")) & (y >= F.col("y_min")) & east & north
 
 
-def membership(pixels: DataFrame, cells: DataFrame, key: str, x_edge: float, y_edge: float, bucket: float, max_buckets: int = 4096) -> DataFrame:
-    """key, x, y and the cell of every pixel that has one. Cells are spread over the buckets they touch and joined on the bucket;
+def membership(pixels: DataFrame, cells: DataFrame, key: str, x_edge: float, y_edge: float, bucket: float, max_buckets: int = 4096, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, x, y, the columns `carry` and the cell of every pixel that has one. Cells are spread over the buckets they touch and joined on the bucket;
     a cell that touches more than max_buckets goes to coarser buckets, so that no cell is multiplied without bound."""
     def level(size: float, some: DataFrame) -> DataFrame:
         b = lambda c: F.floor(F.col(c) / size).cast("long")
         spread = some.withColumn("bx", F.explode(F.sequence(b("x_min"), b("x_max")))).withColumn("by", F.explode(F.sequence(b("y_min"), b("y_max"))))
-        at = pixels.select(key, "x", "y", b("x").alias("bx"), b("y").alias("by"))
+        at = pixels.select(key, "x", "y", *carry, b("x").alias("bx"), b("y").alias("by"))
         return at.join(spread, ["bx", "by"]).where(_inside(x_edge, y_edge)).drop("bx", "by")
 
     touched = (F.floor(F.col("x_max") / bucket) - F.floor(F.col("x_min") / bucket) + 1) * (F.floor(F.col("y_max") / bucket) - F.floor(F.col("y_min") / bucket) + 1)
@@ -77,6 +79,35 @@ def usable_corners(weights: DataFrame, nodes: DataFrame, key: str, component: st
     return j.select(*weights.columns, F.col("_use").alias("use"), "usable", "share", "connectivity", "spatial")
 
 
+def with_nodes(cells: DataFrame, nodes: DataFrame) -> DataFrame:
+    """cells with `n`, their nodes in the order of the corners: valid, component, qc. A corner that names no node isn't valid; missing_nodes()
+    finds such cells."""
+    each = cells.select("cell_id", F.posexplode("corners").alias("i", "node_id")).join(nodes.select("node_id", F.coalesce("valid", F.lit(False)).alias("valid"), F.coalesce("component_id", F.lit(0)).alias("component"), F.coalesce("qc", F.lit(0)).alias("qc")), "node_id", "left")
+    n = each.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("valid", F.lit(False)).alias("valid"), F.coalesce("component", F.lit(0)).alias("component"), F.coalesce("qc", F.lit(0)).alias("qc")))).alias("n"))
+    return cells.join(n, "cell_id")
+
+
+def corner_choice(component: Column, x: Column, y: Column) -> dict[str, Column]:
+    """The rule of usable_corners() as expressions on a pixel with its cell's nodes (with_nodes()): shares s0 to s3 (0 for a corner that isn't
+    used), usable, connectivity, spatial, used_qc (bits of the nodes used) and all_qc (bits of all four). No row is made for a corner."""
+    p = F.coalesce(component, F.lit(0))
+    n = [F.col("n")[k] for k in range(4)]
+    ok = [c["valid"] for c in n]
+    own = [a & (c["component"] == p) for a, c in zip(ok, n, strict=True)]
+    named = [F.when(a & (c["component"] > 0), c["component"]) for a, c in zip(ok, n, strict=True)]
+    any_own, low, high = own[0] | own[1] | own[2] | own[3], F.least(*named), F.greatest(*named)
+    use = [F.when(p > 0, F.when(any_own, o).otherwise(a & low.isNull())).otherwise(a & ~F.coalesce(low != high, F.lit(False))) for a, o in zip(ok, own, strict=True)]
+    count = lambda flags: sum((f.cast("int") for f in flags[1:]), flags[0].cast("int"))
+    w = geo.bilinear_weights((x - F.col("x_min")) / (F.col("x_max") - F.col("x_min")), (y - F.col("y_min")) / (F.col("y_max") - F.col("y_min")))
+    part = [F.when(u, a).otherwise(0.0) for u, a in zip(use, w, strict=True)]
+    total = part[0] + part[1] + part[2] + part[3]
+    usable = count(use)
+    bits = lambda flags: reduce(Column.bitwiseOR, [F.when(f, c["qc"]).otherwise(0) for f, c in zip(flags, n, strict=True)])
+    out = {f"s{k}": a / F.when(total > 1e-9, total).otherwise(1.0) for k, a in enumerate(part)}
+    out |= {"usable": usable, "connectivity": (p > 0) & (usable > 0) & F.when(any_own, count(own) < count(ok)).otherwise(True), "spatial": (usable > 0) & (usable < 4)}
+    return out | {"used_qc": bits(use), "all_qc": bits([F.lit(True)] * 4)}
+
+
 def blend_frequency(corners: DataFrame, node_frequency: DataFrame, key: str) -> DataFrame:
     """key, frequency, qc of pixels: the weighted mean of the nodes' frequencies at the pixel's height, and the union of the bits.
     corners: usable_corners() with z, cell_qc and node_qc; node_frequency: key, node_id, frequency."""

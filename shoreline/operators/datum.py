@@ -82,24 +82,20 @@ def to_msl(z: Column, mdt: Column, dn: Column, qc: Column) -> tuple[Column, Colu
 
 
 def decisions(points: DataFrame, times: DataFrame) -> DataFrame:
-    """Whether moving the datum to the terrain changes a decision: n and mismatches of tide + mdt + dn > z and tide > z - mdt - dn."""
+    """Whether moving the datum to the terrain changes a decision: n, mismatches of tide + mdt + dn > z and
+    tide > z - mdt - dn, and under_water (how often the first holds)."""
     each = points.crossJoin(F.broadcast(times))
     c = F.col("mdt_m") + F.col("delta_n_m")
-    return each.agg(F.count("*").alias("n"), F.count_if((F.col("tide") + c > F.col("z")) != (F.col("tide") > F.col("z") - c)).alias("mismatches"))
+    return each.agg(F.count("*").alias("n"), F.count_if((F.col("tide") + c > F.col("z")) != (F.col("tide") > F.col("z") - F.col("mdt_m") - F.col("delta_n_m"))).alias("mismatches"), F.count_if(F.col("tide") + c > F.col("z")).alias("under_water"))
 
 
 def broadcast_inputs(n_lon: int, n_lat: int, n_tide: int) -> str:
     """How one and many inputs go together."""
-    kinds = {(1, 1, 1): "scalar", (0, 0, 0): "aligned", (0, 1, 1): "places", (1, 0, 0): "times"}
-    if n_lon != n_lat:
-        raise ValueError("longitudes and latitudes differ in number")
-    n = max(n_lon, n_tide)
+    n = max(n_lon, n_lat, n_tide)
+    if any(k not in (1, n) for k in (n_lon, n_lat, n_tide)):
+        raise ValueError("inputs can't be broadcast")
     if n == 1:
-        return kinds[1, 1, 1]
-    if n_lon == n_tide:
-        return kinds[0, 0, 0]
-    if n_tide == 1:
-        return kinds[0, 1, 1]
-    if n_lon == 1:
-        return kinds[1, 0, 0]
-    raise ValueError("inputs can't be broadcast")
+        return "scalar"
+    if n_lon == n_lat == 1:
+        return "times"
+    return "places" if n_tide == 1 else "aligned"

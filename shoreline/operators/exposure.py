@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shoreline.functions import qc
+from shoreline.operators.frequency import finite
 
 LEAST_H, SAME_H, WHOLE = 1e-6, 1e-4, 0.9999
 
@@ -25,7 +26,8 @@ def with_terminal(series: DataFrame, terminal: DataFrame) -> DataFrame:
 def intervals(series: DataFrame, key: str, t: str = "t", h: str = "h", z: str = "z") -> DataFrame:
     """key, z, t0, dt, state, exposed (seconds) of every pair of neighbouring samples; pairs that don't advance are dropped."""
     w = Window.partitionBy(key).orderBy(t)
-    p = series.select(key, F.col(z).alias("z"), F.col(t).alias("t0"), F.col(h).alias("h0"), F.lead(t).over(w).alias("t1"), F.lead(h).over(w).alias("h1")).where(F.col("t1") > F.col("t0"))
+    level = finite(F.col(h).cast("double"))
+    p = series.select(key, F.col(z).alias("z"), F.col(t).alias("t0"), level.alias("h0"), F.lead(t).over(w).alias("t1"), F.lead(level).over(w).alias("h1")).where(F.col("t1") > F.col("t0"))
     h0, h1, zz = F.col("h0"), F.col("h1"), F.col("z")
     state = F.when(h0.isNull() | h1.isNull() | zz.isNull(), "N").when((h0 <= zz) & (h1 <= zz), "A").when((h0 > zz) & (h1 > zz), "B").when(h0 > zz, "C").otherwise("D")
     p = p.withColumns({"dt": F.col("t1") - F.col("t0"), "state": state})

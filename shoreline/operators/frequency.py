@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def finite(c: Column) -> Column:
+    """The value, or null where it is NaN or infinite."""
+    return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+
+
 def inundated(h: Column, z: Column) -> Column:
     return h > z
 
 
 def frequency(series: DataFrame, thresholds: DataFrame, key: str = "node_id", level: str = "level", percent: bool = True, at_least: bool = False) -> DataFrame:
     """series (key, level) against thresholds (key, z): key, z, n, frequency. One aggregation after an equi-join; at_least
-    counts h >= z instead."""
+    counts h >= z instead. Levels are compared as float32, as in the packed form; those that aren't finite don't count."""
+    series = series.select(key, finite(F.col(level).cast("float")).alias(level))
     h = F.col(level)
     hit = (h >= F.col("z")) if at_least else (h > F.col("z"))
     joined = thresholds.select(key, "z").join(series.where(h.isNotNull()).select(key, level), key, "left")
@@ -22,12 +28,12 @@ def frequency(series: DataFrame, thresholds: DataFrame, key: str = "node_id", le
 
 
 def packed(series: DataFrame, key: str = "node_id", level: str = "level") -> DataFrame:
-    """key, levels: the sorted levels of each key, nulls dropped, as array<float>."""
-    return series.groupBy(key).agg(F.array_sort(F.collect_list(F.col(level).cast("float"))).alias("levels"))
+    """key, levels: the sorted finite levels of each key as array<float>."""
+    return series.groupBy(key).agg(F.array_sort(F.collect_list(finite(F.col(level).cast("float")))).alias("levels"))
 
 
 def packed_frequency(levels: Column, z: Column, percent: bool = True) -> Column:
-    """The same from a packed array."""
+    """The same from a packed array: for a few heights a key. A raster's pixels go through plans.blocks, which searches the array."""
     share = F.size(F.filter(levels, lambda x: x > z)) / F.nullif(F.size(levels), F.lit(0))
     return F.when(z.isNotNull(), share * (100.0 if percent else 1.0))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shoreline.operators.frequency import finite
+
 #: Fixed values: (grade, largest MAE, P95 and maximum in percentage points); fewer than LEAST_N pairs give no grade.
 GATES, LEAST_N = (("STRONG PASS", 0.5, 1.0, 5.0), ("PASS", 1.0, 2.0, 5.0)), 20
 #: Upper ends of the distance bins in km.
@@ -52,9 +54,20 @@ def compare(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> D
     return out.withColumn("identical", F.col("unequal") == 0)
 
 
-def support_class(tide_ok: Column, mdt_ok: Column, dn_ok: Column, anchor: Column) -> Column:
-    """A complete, B topography missing, C no tide, D another grid missing, E nothing near."""
-    return F.when(tide_ok & mdt_ok & dn_ok, "A").when(tide_ok & ~mdt_ok & anchor, "B").when(~tide_ok, "C").when(tide_ok & mdt_ok & ~dn_ok, "D").otherwise("E")
+#: What a node lacks first.
+NO_TIDE, NO_MDT, NO_DELTA_N = "A_FES_INVALID", "B_FES_VALID_MDT_INVALID", "C_FES_VALID_MDT_VALID_DELTAN_INVALID"
+COMPLETE, OTHER_FAILURE = "D_FES_VALID_DATUM_VALID", "E_OTHER_DATUM_FAILURE"
+
+
+def present(c: Column) -> Column:
+    """True and numbers but 0, NaN and infinities; a null isn't."""
+    x = c.cast("double")
+    return F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")) & (x != 0), F.lit(False))
+
+
+def support_class(tide: Column, mdt: Column, delta_n: Column, offset: Column) -> Column:
+    """The first of tide, topography, geoid difference and offset that a node lacks; a value of 0 counts as lacking."""
+    return F.when(~present(tide), NO_TIDE).when(~present(mdt), NO_MDT).when(~present(delta_n), NO_DELTA_N).when(present(offset), COMPLETE).otherwise(OTHER_FAILURE)
 
 
 def class_counts(nodes: DataFrame, level: str = "level", cls: str = "class") -> DataFrame:
@@ -70,25 +83,15 @@ def incident_levels(nodes: DataFrame, cells: DataFrame) -> DataFrame:
     return nodes.select("node_id").join(at, "node_id", "left").select("node_id", F.coalesce("low", F.lit(-1)).alias("low"), F.coalesce("high", F.lit(-1)).alias("high"))
 
 
-def geometry_class(finite: Column, inside: Column) -> Column:
-    """How many of a grid cell's corners have values, and whether the point lies on or in what they span."""
-    return (
-        F.when(finite == 4, "TYPE_4_BILINEAR")
-        .when(finite == 3, F.when(inside, "TYPE_3_INSIDE").otherwise("TYPE_3_OUTSIDE"))
-        .when(finite == 2, F.when(inside, "TYPE_2_ON_SEGMENT").otherwise("TYPE_2_OFF_SEGMENT"))
-        .when(finite == 1, "TYPE_1").otherwise("TYPE_0")
-    )
-
-
 def mask_geometry(pixels: DataFrame, height: int, width: int, valid: Column) -> DataFrame:
-    """valid_share, box, aspect, edge_share (within two pixels of the border) and kind of a mask."""
+    """valid_share, box, aspect, edge_share (within two pixels of the border) and kind (fixed values) of a mask."""
     m = pixels.withColumn("_v", valid)
     edge = (F.col("row") < 2) | (F.col("row") >= height - 2) | (F.col("col") < 2) | (F.col("col") >= width - 2)
     v = lambda c: F.when(F.col("_v"), F.col(c))
     a = m.agg(F.count_if("_v").alias("n"), F.min(v("row")).alias("r0"), F.max(v("row")).alias("r1"), F.min(v("col")).alias("c0"), F.max(v("col")).alias("c1"), F.count_if(F.col("_v") & edge).alias("e"))
     h, w = F.col("r1") - F.col("r0") + 1, F.col("c1") - F.col("c0") + 1
     share, aspect, on_edge = F.col("n") / (height * width), F.greatest(h, w) / F.least(h, w), F.col("e") / F.nullif(F.col("n"), F.lit(0))
-    kind = F.when(F.col("n") == 0, "EMPTY").when(aspect > 4, "NARROW_STRIP").when(on_edge > 0.3, "EDGE").when(share > 0.4, "WIDE").otherwise("COMPLEX")
+    kind = F.when(F.col("n") == 0, "EMPTY_TARGET").when(aspect > 4, "NARROW_STRIP").when(on_edge > 0.3, "EDGE_TARGET").when(share > 0.4, "WIDE_TARGET").otherwise("COMPLEX_TARGET")
     return a.select("n", share.alias("valid_share"), "r0", "r1", "c0", "c1", aspect.alias("aspect"), on_edge.alias("edge_share"), kind.alias("kind"))
 
 
@@ -107,3 +110,65 @@ def first_of_each(df: DataFrame, kind: str, order: str, n: int = 5) -> DataFrame
     """The first of every kind, then what comes next, n in all."""
     r = df.withColumn("_k", F.row_number().over(Window.partitionBy(kind).orderBy(order)))
     return r.orderBy(F.when(F.col("_k") == 1, 0).otherwise(1), order).limit(n).drop("_k")
+
+
+def smoke(series: DataFrame, key: str, level: str = "level") -> DataFrame:
+    """key, n, valid, invalid, low, high, mean and status of every series."""
+    h = finite(F.col(level))
+    out = series.groupBy(key).agg(F.count("*").alias("n"), F.count(h).alias("valid"), F.min(h).alias("low"), F.max(h).alias("high"), F.avg(h).alias("mean"))
+    return out.select(key, "n", "valid", (F.col("n") - F.col("valid")).alias("invalid"), "low", "high", "mean", F.when(F.col("valid") > 0, "VALID").otherwise("INVALID_ALL_NAN").alias("status"))
+
+
+def node_summary(levels: DataFrame, key: str = "node_id", level: str = "level", flag: str = "flag") -> DataFrame:
+    """key, any_finite, least_flag, finite_n, finite_share of every node's series."""
+    h = finite(F.col(level))
+    out = levels.groupBy(key).agg(F.count(h).alias("finite_n"), F.min(flag).alias("least_flag"), F.count("*").alias("n"))
+    return out.select(key, (F.col("finite_n") > 0).alias("any_finite"), "least_flag", "finite_n", (F.col("finite_n") / F.col("n")).alias("finite_share"))
+
+
+def corner_histogram(cells: DataFrame, finite_nodes: DataFrame) -> DataFrame:
+    """finite (0 to 4), cells, and induced (corners that have a value in cells that still can't be interpolated). cells: cell_id, corners;
+    finite_nodes: node_id of those with a value."""
+    c = cells.select("cell_id", F.explode("corners").alias("node_id")).join(finite_nodes.select("node_id").distinct().withColumn("_f", F.lit(1)), "node_id", "left")
+    c = c.groupBy("cell_id").agg(F.count("_f").cast("int").alias("finite"))
+    return c.groupBy("finite").agg(F.count("*").alias("cells"), F.sum(F.when(F.col("finite") < 4, F.col("finite")).otherwise(0)).alias("induced"))
+
+
+def solved_counts(pixels: DataFrame, z: str, value: str) -> DataFrame:
+    """total, input_valid, solved, unsolved of a product over its terrain."""
+    ok = F.col(z).isNotNull()
+    a = pixels.agg(F.count("*").alias("total"), F.count_if(ok).alias("input_valid"), F.count_if(ok & finite(F.col(value)).isNotNull()).alias("solved"))
+    return a.withColumn("unsolved", F.col("input_valid") - F.col("solved"))
+
+
+def distinct_nodes(cells: DataFrame) -> DataFrame:
+    return cells.select(F.explode("corners").alias("node_id")).agg(F.count_distinct("node_id").alias("nodes"))
+
+
+def outside_domain(values: DataFrame, column: str, allowed: list) -> DataFrame:
+    """Distinct values of a column that aren't allowed; empty for a sound mask."""
+    return values.where(F.col(column).isNotNull()).select(column).distinct().where(~F.col(column).isin(*allowed))
+
+
+def memory_mb(nodes: Column | int, samples: Column | int, arrays: int = 2) -> Column:
+    """MB of the level arrays of control nodes, 4 bytes a sample and array."""
+    return F.lit(nodes).cast("double") * F.lit(samples).cast("double") * (4.0 * arrays) / (1024.0 * 1024.0)
+
+
+def formatted_size(mb: Column) -> Column:
+    return F.when(mb < 1, F.format_string("%.1f KB", F.bround(mb * 1024, 1))).when(mb < 1024, F.format_string("%.2f MB", F.bround(mb, 2))).otherwise(F.format_string("%.2f GB", F.bround(mb / 1024, 2)))
+
+
+def recovered(distances: DataFrame, strategies: list[str], limits: list[float]) -> DataFrame:
+    """strategy, limit_km, recovered: nodes whose nearest anchor under a strategy (a column of km, null for none) is within each limit."""
+    each = F.array(*(F.struct(F.lit(s).alias("strategy"), F.col(s).alias("km")) for s in strategies))
+    long = distances.select(F.explode(each).alias("e")).select("e.*").withColumn("limit_km", F.explode(F.array(*map(F.lit, map(float, limits)))))
+    return long.groupBy("strategy", "limit_km").agg(F.count_if(F.col("km") <= F.col("limit_km")).alias("recovered"))
+
+
+def sampled_agreement(direct: DataFrame, fitted: DataFrame, key: str, value: str) -> DataFrame:
+    """common, only_direct, only_fitted and the errors of a product at sampled pixels against direct evaluation."""
+    j = aligned(direct, fitted, [key], value)
+    a, b = finite(F.col("a")), finite(F.col("b"))
+    n = j.agg(F.count_if(a.isNotNull() & b.isNotNull()).alias("common"), F.count_if(a.isNotNull() & b.isNull()).alias("only_direct"), F.count_if(a.isNull() & b.isNotNull()).alias("only_fitted"))
+    return n.crossJoin(F.broadcast(errors(j.select(a.alias("a"), b.alias("b")), "b", "a").drop("n")))

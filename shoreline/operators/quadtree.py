@@ -1,7 +1,4 @@
-"""Adaptive refinement of cells, level by level: each level is one table, and the driver only counts levels.
-
-A cell's corners and centre are evaluated; it splits where the frequencies of its pixels can't be interpolated.
-"""
+"""Cells of a quadtree: macro cells, children, and the rules of refinement as expressions; plans.control refines a raster's grid."""
 
 from __future__ import annotations
 
@@ -10,10 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.functions import geo
-from shoreline.sources.tables import stored
 
-MAX_DEPTH, MAX_NODES = 12, 50_000
+MAX_DEPTH = 12
 
 
 def depth_cap(initial: float, least: float, most: int = MAX_DEPTH) -> int:
@@ -37,12 +32,6 @@ def children(cells: DataFrame) -> DataFrame:
     return cells.select(*keep, (F.col("level") + 1).alias("level"), F.explode(four).alias("q")).select(*keep, "level", "q.*")
 
 
-def node_key(x: Column, y: Column, projected: bool) -> Column:
-    """Names a node by its coordinates to 1 cm or 1e-6 degrees."""
-    k = 2 if projected else 6
-    return F.concat_ws(",", F.format_string(f"%.{k}f", F.round(x, k) + 0.0), F.format_string(f"%.{k}f", F.round(y, k) + 0.0))
-
-
 def cell_error(corners: Column, centre: Column) -> Column:
     """Percentage points: |centre - mean of the valid corners|, else the largest difference of two valid corners, else 0."""
     ok = F.filter(corners, lambda x: x.isNotNull())
@@ -58,37 +47,3 @@ def wants_split(error: Column, tolerance: float, corners_valid: Column, centre_v
     if intertidal:
         return conflict | (error > tolerance) | ((corners_valid == 0) & (centre_valid | probe_valid))
     return (error > tolerance) | broken
-
-
-def refine(cells: DataFrame, frequency, least_x: float, least_y: float, tolerance: float, depth: int, intertidal: bool = False) -> DataFrame:
-    """Leaf cells (x_min, y_min, x_max, y_max, level, error, at_spacing, at_depth, boundary).
-
-    frequency(points) takes (cell, place, x, y) for the five places of the cells and gives (cell, place, heights): an array with the frequency
-    at each of the cell's test heights, null where there is no water level. Cells without test heights have none."""
-    out = None
-    for level in range(depth + 1):
-        cells = stored(cells.withColumn("cell", F.monotonically_increasing_id()), "quadtree")
-        if cells.isEmpty():
-            break
-        mx, my = (F.col("x_min") + F.col("x_max")) / 2, (F.col("y_min") + F.col("y_max")) / 2
-        five = [(F.col("x_min"), F.col("y_min")), (F.col("x_max"), F.col("y_min")), (F.col("x_min"), F.col("y_max")), (F.col("x_max"), F.col("y_max")), (mx, my)]
-        points = cells.select("cell", "x_min", "y_min", "x_max", "y_max", F.explode(F.array(*(F.struct(F.lit(k).alias("place"), x.alias("x"), y.alias("y")) for k, (x, y) in enumerate(five)))).alias("p")).select("cell", "x_min", "y_min", "x_max", "y_max", "p.*")
-        f = frequency(points).groupBy("cell").agg(F.max(F.when(F.col("place") == 4, F.col("heights"))).alias("c"), F.collect_list(F.when(F.col("place") < 4, F.col("heights"))).alias("k"))
-        n = F.coalesce(F.size("k"), F.lit(0))
-        worst = F.array_max(F.transform(F.sequence(F.lit(0), F.greatest(F.size(F.coalesce(F.col("c"), F.col("k")[0])) - 1, F.lit(0))), lambda i: cell_error(F.transform("k", lambda a: F.get(a, i)), F.get("c", i))))
-        j = cells.join(f, "cell", "left").withColumns({"error": F.coalesce(worst, F.lit(0.0)), "_n": n, "_mid": F.col("c").isNotNull()})
-        empty = F.size(F.coalesce(F.col("c"), F.get("k", F.lit(0)), F.array().cast("array<double>"))) == 0
-        want = ~empty & wants_split(F.col("error"), tolerance, F.col("_n"), F.col("_mid"), F.lit(False), F.lit(False), intertidal)
-        room = ((F.col("x_max") - F.col("x_min")) / 2 >= least_x - 1e-6) & ((F.col("y_max") - F.col("y_min")) / 2 >= least_y - 1e-6)
-        j = j.withColumns({"_want": want, "_room": room, "boundary": ~empty & (((F.col("_n") > 0) & (F.col("_n") < 4)) | ((F.col("_n") == 4) != F.col("_mid")))})
-        j = stored(j.drop("c", "k"), "quadtree")
-        split = F.col("_want") & F.col("_room") & F.lit(level < depth)
-        leaf = j.where(~split).select("x_min", "y_min", "x_max", "y_max", "level", "error", (F.col("_want") & ~F.col("_room")).alias("at_spacing"), (F.col("_want") & F.col("_room")).alias("at_depth"), "boundary")
-        out = leaf if out is None else out.unionByName(leaf)
-        cells = children(j.where(split).select("x_min", "y_min", "x_max", "y_max", "level")).select("x_min", "y_min", "x_max", "y_max", "level")
-    return out
-
-
-def step_degrees(spacing_m: float, mid_lat: float) -> tuple[float, float]:
-    """Spacing in degrees of longitude and latitude."""
-    return spacing_m / (geo.DEGREE_M * math.cos(math.radians(mid_lat))), spacing_m / geo.DEGREE_M

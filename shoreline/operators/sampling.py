@@ -16,14 +16,14 @@ from shoreline.functions import geo
 
 
 def bilinear(points: DataFrame, grid: DataFrame, key: str, fx: str, fy: str) -> DataFrame:
-    """key, value: the mean of the four grid values around the fractional index (fx, fy), null if one is missing."""
+    """key, value: the mean of the four grid values around the fractional index (fx, fy), null if one is missing, whatever its weight."""
     i0, j0 = F.floor(fx), F.floor(fy)
     u, v = F.col(fx) - i0, F.col(fy) - j0
     w = geo.bilinear_weights(u, v)
     corners = F.array(*(F.struct((i0 + a).cast("long").alias("i"), (j0 + b).cast("long").alias("j"), x.alias("w")) for (a, b), x in zip(((0, 0), (1, 0), (0, 1), (1, 1)), w, strict=True)))
     four = points.where(F.col(fx).isNotNull() & F.col(fy).isNotNull()).select(key, F.explode(corners).alias("c")).select(key, "c.i", "c.j", "c.w")
     hit = four.join(grid.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "val"), ["i", "j"], "left")
-    mean = hit.groupBy(key).agg(F.sum(F.col("w") * F.col("val")).alias("s"), F.count_if(F.col("val").isNull() & (F.col("w") > 0)).alias("gone"))
+    mean = hit.groupBy(key).agg(F.sum(F.col("w") * F.col("val")).alias("s"), F.count_if(F.col("val").isNull() | F.isnan("val")).alias("gone"))
     found = mean.select(key, F.when(F.col("gone") == 0, F.col("s")).alias("value"))
     return points.select(key).join(found, key, "left")
 
@@ -34,15 +34,16 @@ def nearest(points: DataFrame, grid: DataFrame, key: str, fx: str, fy: str) -> D
     return at.join(grid.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("val").alias("value")), ["i", "j"], "left").select(key, "value")
 
 
-def knn(points: DataFrame, support: DataFrame, key: str, sid: str, k: int, cell_deg: float = 1.0, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """key, sid, d (chord metres), rank: the k nearest support points of every point, exactly.
+def knn(points: DataFrame, support: DataFrame, key: str, sid: str, k: int, cell_deg: float = 1.0, lon: str = "lon", lat: str = "lat", by: str | None = None, apart: str | None = None) -> DataFrame:
+    """key, sid, d (chord metres), rank: the k nearest support points of every point, exactly; with `by`, among those equal in that column, with
+    `apart`, among those that differ in it.
 
     Support falls into cells of the chord's cube; rings of neighbouring cells are searched until the k-th distance is
     within what the ring covers. Each round only carries the points that aren't settled, and after a cell's
     size has grown to the sphere every point is. Ties go to the smaller id."""
     size = math.radians(cell_deg) * geo.RADIUS_M
-    xyz = lambda df, i: df.select(F.col(i), *(c.alias(n) for c, n in zip(geo.chord(F.col(lon), F.col(lat)), "xyz", strict=True)))
-    left, sup = xyz(points, key), xyz(support, sid).select(F.col(sid).alias("_s"), *(F.col(c).alias(f"s{c}") for c in "xyz"))
+    xyz = lambda df, i: df.select(F.col(i), *[by] * bool(by), *[apart] * bool(apart), *(c.alias(n) for c, n in zip(geo.chord(F.col(lon), F.col(lat)), "xyz", strict=True)))
+    left, sup = xyz(points, key), xyz(support, sid).select(F.col(sid).alias("_s"), *[by] * bool(by), *([F.col(apart).alias("_apart")] if apart else []), *(F.col(c).alias(f"s{c}") for c in "xyz"))
     total = sup.count()
     if not total:
         return left.select(key, F.lit(None).cast(support.schema[sid].dataType).alias(sid), F.lit(None).cast("double").alias("d"), F.lit(None).cast("int").alias("rank")).limit(0)
@@ -54,7 +55,7 @@ def knn(points: DataFrame, support: DataFrame, key: str, sid: str, k: int, cell_
         for c in "xyz":
             near = near.withColumn(f"o{c}", F.explode(around)).withColumn(f"c{c}", F.floor(F.col(c) / size) + F.col(f"o{c}")).drop(f"o{c}")
         d = F.sqrt(sum((F.col(c) - F.col(f"s{c}")) ** 2 for c in "xyz"))
-        pairs = near.join(sup.select("*", *cells), ["cx", "cy", "cz"]).select(key, F.col("_s").alias(sid), d.alias("d"))
+        pairs = near.join(sup.select("*", *cells), ["cx", "cy", "cz", *[by] * bool(by)]).where(F.col(apart) != F.col("_apart") if apart else F.lit(True)).select(key, F.col("_s").alias(sid), d.alias("d"))
         ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("d", sid))).where(F.col("rank") <= want)
         done = size > 4 * geo.RADIUS_M
         settled = ranked.groupBy(key).agg(F.count("*").alias("n"), F.max("d").alias("m")).where(F.lit(done) | ((F.col("n") == want) & (F.col("m") <= size))).select(key)
@@ -94,3 +95,17 @@ def leave_one_out(anchors: DataFrame, sid: str, value: str, k: int = 4, max_km:
     w = F.greatest(km, F.lit(1e-4)) ** -power
     mean = other.groupBy("_own").agg((F.sum(w * F.col("_v")) / F.sum(w)).alias("value"), F.min(km).alias("km"))
     return mean.join(a.select(F.col(sid).alias("_own"), F.col(value).alias("truth")), "_own").select(F.col("_own").alias(sid), "truth", "value", "km")
+
+
+def nearest_connected(points: DataFrame, anchors: DataFrame, key: str, sid: str, component: str = "component", cell_deg: float = 1.0) -> DataFrame:
+    """key, sid, d of the nearest anchor in the point's component, or of no component, or, for a point without component (0), of any."""
+    far = "_far"
+    named = points.where(F.col(component) > 0)
+    runs = [
+        knn(named, anchors.where(F.col(component) > 0), key, sid, 1, cell_deg, by=component),
+        knn(named, anchors.where(F.col(component) == 0), key, sid, 1, cell_deg),
+        knn(points.where(F.col(component) == 0), anchors, key, sid, 1, cell_deg),
+    ]
+    found = runs[0].unionByName(runs[1]).unionByName(runs[2])
+    best = found.groupBy(key).agg(F.min(F.struct("d", sid)).alias(far)).select(key, f"{far}.{sid}", f"{far}.d")
+    return points.select(key).join(best, key, "left")

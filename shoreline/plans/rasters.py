@@ -1,25 +1,13 @@
-"""Inundation, exposure and snapshot products of rasters, and checks of them."""
+"""Exposure in its long form, snapshots and seams of rasters, and checks of products. plans.blocks has the forms for whole rasters."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoreline.functions import timegrid
+from shoreline.functions import qc, timegrid
 from shoreline.operators import cells as cell_ops
-from shoreline.operators import exposure, frequency, metrics
-
-
-def inundation(corners: DataFrame, pixels: DataFrame, cells: DataFrame, nodes: DataFrame, tide: DataFrame, key: str) -> DataFrame:
-    """key, frequency, qc of pixels from the usable corners (cells.usable_corners) and the nodes' levels.
-
-    The levels of a node are packed into one sorted array, so that a pixel costs a lookup in each of four arrays and no row per time."""
-    c = corners.join(pixels.select(key, "z"), key).join(cells.select("cell_id", "cell_qc"), "cell_id").join(nodes.select("node_id", F.col("qc").alias("node_qc")), "node_id")
-    levels = frequency.packed(tide, "node_id", "level")
-    f = c.select(key, "node_id", "z").join(levels, "node_id").select(key, "node_id", frequency.packed_frequency(F.col("levels"), F.col("z")).alias("frequency"))
-    return cell_ops.blend_frequency(c, f, key)
+from shoreline.operators import exposure, metrics
 
 
 def exposure_long(corners: DataFrame, pixels: DataFrame, tide: DataFrame, key: str) -> DataFrame:
@@ -28,67 +16,6 @@ def exposure_long(corners: DataFrame, pixels: DataFrame, tide: DataFrame, key: s
     return exposure.metrics(level.select(key, timegrid.seconds(F.col("t")).alias("t"), F.col("level").alias("h"), "z"), key)
 
 
-def exposure_packed(corners: DataFrame, pixels: DataFrame, tide: DataFrame, key: str) -> DataFrame:
-    """key, valid_h, exposed_h, max_h, events of pixels. Pixels come in blocks of the same cell; the cell's node series come as arrays,
-    once for each block, and the state machine runs over all pixels of a batch at once, time by time."""
-    series = tide.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct(timegrid.seconds(F.col("t")).alias("t"), F.col("level").cast("double").alias("h")))).alias("s"))
-    w = corners.where("use").groupBy(key, "cell_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "share"))).alias("w")).join(pixels.select(key, "z"), key)
-    blocks = w.groupBy("cell_id", F.transform("w", lambda x: x.node_id).alias("nodes")).agg(F.collect_list(F.struct(F.col(key).alias("key"), "z", F.transform("w", lambda x: x.share).alias("w"))).alias("p"))
-    blocks = blocks.withColumn("block", F.xxhash64("cell_id", "nodes"))
-    each = blocks.select("block", F.posexplode("nodes").alias("i", "node_id")).join(series, "node_id").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("n"))
-    kind = pixels.schema[key].dataType.simpleString()
-
-    def run(batches):
-        for b in batches:
-            out = [[], [], [], [], []]
-            for n, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t = np.array([x["t"] for x in n[0]["s"]])
-                h = np.array([[np.nan if x["h"] is None else x["h"] for x in node["s"]] for node in n])
-                got = scan_block(t, h, np.array([x["w"] for x in p]), np.array([x["z"] for x in p]))
-                out[0] += [x["key"] for x in p]
-                for o, g in zip(out[1:], got, strict=True):
-                    o += g.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], b.schema.field(1).type.value_type.field("key").type), *(pa.array(o, pa.float64()) for o in out[1:4]), pa.array(out[4], pa.int64())], names=[key, "valid_h", "exposed_h", "max_h", "events"])
-
-    return each.join(blocks, "block").select("n", "p").mapInArrow(run, f"{key} {kind}, valid_h double, exposed_h double, max_h double, events long")
-
-
-def scan_block(t: np.ndarray, h: np.ndarray, w: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, ...]:
-    """valid, exposed and longest exposed hours and events of pixels with weights w over node series h, time by time."""
-    n = len(z)
-    valid, total, now, longest = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
-    events = np.zeros(n, np.int64)
-    before = None
-
-    def end(where, crossed):
-        close = where & (crossed | (now > 0))
-        events[close] += 1
-        np.maximum(longest, np.where(close, now, 0), out=longest)
-        total[close] += now[close]
-        now[where] = 0
-
-    for k in range(len(t)):
-        ok = ~np.isnan(h[:, k])
-        share = w @ ok.astype(float)
-        level = np.where(share > 0, (w @ np.where(ok, h[:, k], 0.0)) / np.where(share > 0, share, 1), np.nan)
-        if before is not None and t[k] > t[k - 1]:
-            dt, gone = t[k] - t[k - 1], np.isnan(level) | np.isnan(before)
-            low0, low1 = before <= z, level <= z
-            with np.errstate(invalid="ignore", divide="ignore"):
-                cross = np.clip((z - before) / (level - before), 0, 1)
-            a, c, d = ~gone & low0 & low1, ~gone & ~low0 & low1, ~gone & low0 & ~low1
-            valid[~gone] += dt
-            end(gone | (~gone & ~low0), np.zeros(n, bool))
-            now[a] += dt
-            now[c] += (1 - cross[c]) * dt
-            now[d] += cross[d] * dt
-            end(d, np.ones(n, bool))
-        before = level
-    end(np.ones(n, bool), np.zeros(n, bool))
-    events[total / 3600 <= exposure.LEAST_H] = 0
-    return valid / 3600, total / 3600, longest / 3600, events
-
-
 def snapshot(points: DataFrame, key: str, at, level) -> DataFrame:
     """key, water at one time: tide and static offset."""
     t = F.lit(float(timegrid.localize(at, "UTC").timestamp()))
@@ -104,10 +31,19 @@ def seam(left: DataFrame, right: DataFrame, whole: DataFrame, column: int) -> Da
     return e.agg(F.count("a").alias("n"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("mae")).crossJoin(step)
 
 
-def attribute(corners: DataFrame, cells: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """Why pixels lack corners: cause and number of pixels with fewer than four."""
-    c = cells.select("cell_id", F.explode("corners").alias("node_id")).join(nodes.select("node_id", "valid", "component_id"), "node_id")
-    c = c.groupBy("cell_id").agg(F.count_if(~F.col("valid")).alias("bad"), F.count_if(F.col("valid") & (F.col("component_id") == 0)).alias("loose"))
-    q = corners.groupBy(key).agg(F.min("cell_id").alias("cell_id"), F.max("usable").alias("u")).where("u < 4").join(c, "cell_id")
-    cause = F.when(F.col("bad") == 4, "NO_TIDE").when(F.col("bad") > 0, "MIXED").when(F.col("loose") > 0, "NO_ANCHOR").otherwise("TOPOLOGY")
-    return q.groupBy(cause.alias("cause")).agg(F.count("*").alias("n"))
+#: Why a pixel has no solution.
+CAUSES = ("Q68_NO_FES_SUPPORT", "Q68_DATUM_SUPPORT_FAILURE", "Q68_MIXED_FES_AND_DATUM", "Q68_TOPOLOGY_REJECTED", "Q68_OTHER")
+
+
+def attribute(pixels: DataFrame, cells: DataFrame, classes: DataFrame) -> DataFrame:
+    """cause, n, percent of the pixels whose qc is 68, for all five causes. pixels: cell_id (null for none) and qc; classes: node_id and class
+    (metrics.support_class). The cause is that of the cell: four nodes without tide, four without topography, none complete, or else its
+    topology; a pixel without cell and a cell with an unknown node are other."""
+    c = cells.select("cell_id", F.explode("corners").alias("node_id")).join(classes.select("node_id", "class"), "node_id", "left")
+    of = lambda x: F.count_if(F.col("class") == x)
+    c = c.groupBy("cell_id").agg(F.count_if(F.col("class").isNull()).alias("gone"), of(metrics.NO_TIDE).alias("dry"), of(metrics.NO_MDT).alias("bare"), of(metrics.COMPLETE).alias("whole"))
+    cause = F.when(F.coalesce(F.col("gone"), F.lit(1)) > 0, CAUSES[4]).when(F.col("dry") == 4, CAUSES[0]).when(F.col("bare") == 4, CAUSES[1]).when(F.col("whole") == 0, CAUSES[2]).otherwise(CAUSES[3])
+    found = pixels.where(F.col("qc") == (qc.INSUFFICIENT | qc.CONNECTIVITY)).join(c, "cell_id", "left").groupBy(cause.alias("cause")).agg(F.count("*").alias("n"))
+    every = pixels.sparkSession.createDataFrame([(x,) for x in CAUSES], "cause string").join(found, "cause", "left").select("cause", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    whole = every.agg(F.sum("n").alias("_t"))
+    return every.crossJoin(F.broadcast(whole)).select("cause", "n", F.coalesce(100.0 * F.col("n") / F.nullif("_t", F.lit(0)), F.lit(0.0)).alias("percent"))

@@ -7,8 +7,6 @@ cells are laid over that raster every 8 pixels; customers and suppliers are plac
 
 from __future__ import annotations
 
-import hashlib
-import json
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,15 +35,6 @@ def rd(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def uncut(name: str, *cuts: tuple[str, str]) -> str:
-    """The SQL of a query over part of a table, over all of it: what each cut is replaced by."""
-    sql = ORACLE[name]
-    for cut, put in cuts:
-        assert cut in sql, cut
-        sql = sql.replace(cut, put)
-    return sql
-
-
 def r(c, n: int = 6):
     """Rounded, and never a negative zero."""
     return F.round(c, n) + F.lit(0.0)
@@ -117,14 +106,19 @@ def pixel_component():
 COMPONENT = "case when pixel % 10 = 0 then 0 when x < 122.064::double then 1 else 2 end"
 
 
-def weighted(spark, d, some=None):
+def weighted(spark, d):
     p = pixels(spark, d).where("z is not null")
-    p = p if some is None else p.where(some)
     m = cell_ops.membership(p, cells(spark, d), "pixel", 1e9, 1e9, CELL * PX)
     w = cell_ops.corner_weights(m, "pixel").join(m.select("pixel", "x", pixel_component().alias("component")).drop("x"), "pixel")
     return cell_ops.usable_corners(w, nodes(spark, d), "pixel"), p
 
 
+def raster_rows(spark, d):
+    from shoreline.plans import blocks
+
+    return blocks.placed(pixels(spark, d).withColumn("component", pixel_component()), cells(spark, d), nodes(spark, d), "pixel", 1e9, 1e9, CELL * PX)
+
+
 WEIGHTS = f"""member as (select pixel, x, y, z, {COMPONENT} p, cell_id, cell_qc, corners, greatest(0.0::double, least(1.0::double, (x - x_min) / (x_max - x_min))) u, greatest(0.0::double, least(1.0::double, (y - y_min) / (y_max - y_min))) v
      from pixels join cells on x >= x_min and x < x_max and y >= y_min and y < y_max where z is not null),
    corner as (select pixel, z, p, cell_id, cell_qc, unnest(range(4)) corner, corners, [(1 - u) * (1 - v), u * (1 - v), (1 - u) * v, u * v] w from member),
@@ -144,7 +138,7 @@ def height(p) -> int:
 # ---------------------------------------------------------------- frequency
 
 
-@query(f"with {SERIES}, s as (select user_id k, unnest([20, 60, 120, 240])::double z from (select distinct user_id from events)) select s.k, s.z, count(h)::bigint n, round(100.0::double * count(*) filter (h > s.z) / nullif(count(h), 0), 6) frequency from s join series on s.k = series.k group by 1, 2")
+@query(f"with {SERIES}, s as (select user_id k, unnest([20, 60, 120, 240])::double z from (select distinct user_id from events)) select s.k, s.z, count(h)::bigint n, round(100.0::double * count(*) filter (h::float > s.z) / nullif(count(h), 0), 6) frequency from s join series on s.k = series.k group by 1, 2")
 def inundation_frequency(spark, d):
     """Share of samples above four heights at every station (the flagship)."""
     e = series(spark, d)
@@ -228,12 +222,6 @@ def time_grid_inclusive(spark, d):
     return timegrid.time_grid(spark, datetime(2024, 3, 10), datetime(2024, 3, 11), "1h", "both", "America/New_York").select(F.col("t").cast("timestamp_ntz").alias("t"))
 
 
-@query(f"with {SERIES}, s as (select event_id, epoch_us(ts) / 1e6 t from events), g as (select t - lag(t) over (order by event_id) dt from s) select count(*)::bigint n, count(*) filter (dt <= 0)::bigint not_increasing, round(max(abs(dt - 259.2::double)), 4) worst_step, count(*) filter (dt <= 0) = 0 and max(abs(dt - 259.2::double)) <= 1e-3 ok from g")
-def time_axis_check(spark, d):
-    e = rd(spark, d, "events").select(F.col("event_id").alias("_seq"), timegrid.seconds(F.col("ts")).alias("t_seconds"))
-    return timegrid.check_time_axis(e, 259.2).select("n", "not_increasing", r("worst_step", 4).alias("worst_step"), "ok")
-
-
 @query("select c_custkey, c_acctbal::double lon, round(((c_acctbal % 360) + 360) % 360, 6) east, round((((c_acctbal + 180) % 360) + 360) % 360 - 180, 6) signed from customer")
 def lon_normalize(spark, d):
     c = rd(spark, d, "customer")
@@ -254,19 +242,11 @@ def spatial_chunk_key(spark, d):
     return places(spark, d).select("id", geo.chunk_key(F.col("lon"), F.col("lat")).alias("chunk"))
 
 
-@query(f"""with {PLACES}, p as (select distinct c_nationkey, lon from places where id < 500), g as (select *, coalesce(lead(lon) over w, min(lon) over (partition by c_nationkey) + 360) nxt from p window w as (partition by c_nationkey order by lon)),
+@query(f"""with {PLACES}, p as (select distinct c_nationkey, lon from places), g as (select *, coalesce(lead(lon) over w, min(lon) over (partition by c_nationkey) + 360) nxt from p window w as (partition by c_nationkey order by lon)),
  b as (select *, row_number() over (partition by c_nationkey order by round(nxt - lon, 9) desc, lon) i from g)
  select c_nationkey, round(360 - (nxt - lon), 6) span, round(nxt % 360, 6) as start from b where i = 1""")
 def circular_span(spark, d):
-    return _circular_span(places(spark, d).where("id < 500"))
-
-
-@query(uncut("circular_span", (" where id < 500", "")))
-def circular_span_whole(spark, d):
-    return _circular_span(places(spark, d))
-
-
-def _circular_span(p):
+    p = places(spark, d)
     p = p.withColumn("lon", F.round("lon", 9))
     return geo.circular_span(p, "lon", "c_nationkey").select("c_nationkey", r("span").alias("span"), r("start").alias("start"))
 
@@ -274,40 +254,25 @@ def _circular_span(p):
 # ---------------------------------------------------------------- tide
 
 
-@query(f"with {PIXELS}, {CELLS}, {NODES}, {HOURS} select node_id, make_timestamp(s * 1000000) t, round({LEVEL}, 4) as level from nodes, hours where node_id % 7 = 0")
+@query(f"with {PIXELS}, {CELLS}, {NODES}, {HOURS} select node_id, make_timestamp(s * 1000000) t, round({LEVEL}, 4) as level from nodes, hours")
 def tide_synthetic_field(spark, d):
-    return _tide_synthetic_field(spark, nodes(spark, d).where("node_id % 7 = 0"))
-
-
-@query(uncut("tide_synthetic_field", (" where node_id % 7 = 0", "")))
-def tide_synthetic_field_whole(spark, d):
-    return _tide_synthetic_field(spark, nodes(spark, d))
-
-
-def _tide_synthetic_field(spark, n):
+    n = nodes(spark, d)
     n = n.crossJoin(F.broadcast(hours(spark)))
     return n.select("node_id", F.col("t").cast("timestamp_ntz").alias("t"), r(tide.synthetic_level(timegrid.seconds(F.col("t")) / 3600.0, F.col("lon"), F.col("lat")), 4).alias("level"))
 
 
-@query(f"with {PLACES}, {HOURS}, p as (select id, 120 + id % 40 / 100.0::double lon from places where id < 200), w as (select *, 0.5::double * cos(2 * pi() * (s / 3600.0::double) / 12.0::double) c from p, hours) select id, make_timestamp(s * 1000000) t, round(case when lon < 120.155 then 1.5::double + c when lon > 120.245 then c - 1.5::double end, 4) as level from w")
+@query(f"with {PLACES}, {HOURS}, p as (select id, 120 + id % 40 / 100.0::double lon from places), w as (select *, 0.5::double * cos(2 * pi() * (s / 3600.0::double) / 12.0::double) c from p, hours) select id, make_timestamp(s * 1000000) t, round(case when lon < 120.155 then 1.5::double + c when lon > 120.245 then c - 1.5::double end, 4) as level from w")
 def tide_two_basin(spark, d):
-    return _tide_two_basin(spark, places(spark, d).where("id < 200"))
-
-
-@query(uncut("tide_two_basin", (" where id < 200", "")))
-def tide_two_basin_whole(spark, d):
-    return _tide_two_basin(spark, places(spark, d))
-
-
-def _tide_two_basin(spark, p):
+    p = places(spark, d)
     p = p.select("id", (F.lit(120.0) + F.col("id") % 40 / 100.0).alias("lon")).crossJoin(F.broadcast(hours(spark)))
     return p.select("id", F.col("t").cast("timestamp_ntz").alias("t"), r(tide.two_basin_level(timegrid.seconds(F.col("t")) / 3600.0, F.col("lon")), 4).alias("level"))
 
 
+_LONG = ", ".join(str(k) for k, (_, slow) in enumerate(tide.SPEEDS.values()) if slow)
 _SPEED = " ".join(f"when {k} then {s}::double" for k, (s, _) in enumerate(tide.SPEEDS.values()))
 
 
-@query(f"""with {HOURS}, c as (select s_suppkey node_id, unnest(range(34)) k from supplier), h as (select node_id, k in (27, 28, 29, 30, 31, 32, 33) lp, (node_id * 7 + k * 13) % 100 / 4.0::double amp, (node_id * 31 + k * 17) % 360 * 1.0::double ph, case k {_SPEED} end sp from c)
+@query(f"""with {HOURS}, c as (select s_suppkey node_id, unnest(range(34)) k from supplier), h as (select node_id, k in ({_LONG}) lp, (node_id * 7 + k * 13) % 100 / 4.0::double amp, (node_id * 31 + k * 17) % 360 * 1.0::double ph, case k {_SPEED} end sp from c)
  select node_id, make_timestamp(s * 1000000) t, round(sum(case when not lp then amp * cos(radians(sp * ((s - 1704067200.0::double) / 3600.0::double) - ph)) else 0.0::double end), 4) short_cm, round(sum(case when lp then amp * cos(radians(sp * ((s - 1704067200.0::double) / 3600.0::double) - ph)) else 0.0::double end), 4) long_cm from h, hours group by 1, 2""")
 def tide_harmonic_series(spark, d):
     names = F.array(*map(F.lit, tide.SPEEDS))
@@ -357,22 +322,6 @@ def dem_to_msl(spark, d):
     return p.select("pixel", r(z).alias("z_msl"), q.alias("qc"))
 
 
-@query(f"with {PIXELS}, {HOURS} select count(*)::bigint n, 0::bigint mismatches from pixels, hours where z is not null and pixel % 3 = 0")
-def decision_equivalence(spark, d):
-    return _decision_equivalence(spark, pixels(spark, d).where("z is not null and pixel % 3 = 0"))
-
-
-@query(uncut("decision_equivalence", (" and pixel % 3 = 0", "")))
-def decision_equivalence_whole(spark, d):
-    return _decision_equivalence(spark, pixels(spark, d).where("z is not null"))
-
-
-def _decision_equivalence(spark, p):
-    p = p.select(F.col("z"), (F.col("pixel") % 5 / 8.0).alias("mdt_m"), (F.col("pixel") % 3 / 16.0).alias("delta_n_m"))
-    t = hours(spark).select((F.floor(2 * F.cos(timegrid.seconds(F.col("t")) / 7000.0) * 64) / 64.0 + 1 / 128).alias("tide"))
-    return datum.decisions(p, t)
-
-
 #: A square and a triangle stand for the closed seas.
 SEAS = {"square": [(30.0, -20.0), (120.0, -20.0), (120.0, 40.0), (30.0, 40.0)], "triangle": [(200.0, 0.0), (300.0, 0.0), (250.0, 70.0)]}
 _EDGES = ", ".join(f"('{n}', {a[0]}::double, {a[1]}::double, {b[0]}::double, {b[1]}::double)" for n, p in SEAS.items() for a, b in zip(p, [*p[1:], p[0]], strict=True))
@@ -426,7 +375,7 @@ GRID = "grid as (select id % 36 i, id // 36 j, case when id % 41 <> 0 then id %
 
 @query(f"""with {PLACES}, {GRID}, p as (select id, lon / 10 fx, (lat + 90) / 10 fy from places), c as (select id, floor(fx)::bigint i0, floor(fy)::bigint j0, fx - floor(fx) u, fy - floor(fy) v from p),
  f as (select id, i0 + a i, j0 + b j, case when a = 0 then 1 - u else u end * case when b = 0 then 1 - v else v end w from c, (values (0, 0), (1, 0), (0, 1), (1, 1)) o(a, b)),
- s as (select id, sum(w * val) s, count(*) filter (val is null and w > 0) gone from f left join grid using (i, j) group by 1) select id, round(case when gone = 0 then s end, 6) as value from s""")
+ s as (select id, sum(w * val) s, count(*) filter (val is null) gone from f left join grid using (i, j) group by 1) select id, round(case when gone = 0 then s end, 6) as value from s""")
 def bilinear_sample(spark, d):
     p = places(spark, d).select("id", (F.col("lon") / 10.0).alias("fx"), ((F.col("lat") + 90.0) / 10.0).alias("fy"))
     return sampling.bilinear(p, grid(spark), "id", "fx", "fy").select("id", r("value").alias("value"))
@@ -445,57 +394,34 @@ def support(spark, d):
 
 _XYZ = "6371000.0::double * cos(radians(lat)) * cos(radians(lon)) x, 6371000.0::double * cos(radians(lat)) * sin(radians(lon)) y, 6371000.0::double * sin(radians(lat)) z"
 KNN = f"""support as (select s_suppkey sid, s_suppkey * 97 % 3600 / 10.0::double lon, s_suppkey * 71 % 1500 / 10.0::double - 75.0::double lat, s_suppkey % 23 / 4.0::double val from supplier),
- pp as (select id, {_XYZ} from places where id < 300), ss as (select sid, val, {_XYZ} from support), dd as (select id, sid, val, sqrt((pp.x - ss.x) ** 2 + (pp.y - ss.y) ** 2 + (pp.z - ss.z) ** 2) d from pp, ss),
+ pp as (select id, {_XYZ} from places), ss as (select sid, val, {_XYZ} from support), dd as (select id, sid, val, sqrt((pp.x - ss.x) ** 2 + (pp.y - ss.y) ** 2 + (pp.z - ss.z) ** 2) d from pp, ss),
  near as (select *, row_number() over (partition by id order by d, sid) rank from dd)"""
 
 
 @query(f"with {PLACES}, {KNN}, a as (select id, min(d) d0, min_by(val, d) v0, sum(case when d >= 1e-4 then val / (d * d) end) / sum(case when d >= 1e-4 then 1 / (d * d) end) m from near where rank <= 8 group by 1) select id, round(case when d0 <= 500000 then case when d0 < 1e-4 then v0 else m end end, 5) as value, case when d0 <= 500000 then 1 else 2 end quality from a")
 def idw_extrapolate(spark, d):
-    return _idw_extrapolate(spark, d, places(spark, d).where("id < 300"))
-
-
-@query(uncut("idw_extrapolate", (" where id < 300", "")))
-def idw_extrapolate_whole(spark, d):
-    return _idw_extrapolate(spark, d, places(spark, d))
-
-
-def _idw_extrapolate(spark, d, p):
+    p = places(spark, d)
     return sampling.idw(p, support(spark, d), "id", "sid", "val", cutoff_m=500_000.0, cell_deg=10.0).select("id", r("value", 5).alias("value"), "quality")
 
 
 @query(f"with {PLACES}, {KNN} select id, sid, round(d / 1000, 3) km from near where rank = 1")
 def nearest_support(spark, d):
-    return _nearest_support(spark, d, places(spark, d).where("id < 300"))
-
-
-@query(uncut("nearest_support", (" where id < 300", "")))
-def nearest_support_whole(spark, d):
-    return _nearest_support(spark, d, places(spark, d))
-
-
-def _nearest_support(spark, d, p):
+    p = places(spark, d)
     k = sampling.knn(p, support(spark, d), "id", "sid", 1, 10.0)
     return k.select("id", "sid", r(F.col("d") / 1000, 3).alias("km"))
 
 
-@query(f"with {PLACES}, {KNN}, b as (select case when d / 1e6 < 0.5 then '0-0.5' when d / 1e6 < 1 then '0.5-1' when d / 1e6 < 2 then '1-2' when d / 1e6 < 4 then '2-4' else '>4' end bin, val - id % 23 / 4.0::double e from near where rank = 1) select bin, count(*)::bigint n, round(avg(e), 5) bias, round(avg(abs(e)), 5) mae, round(sqrt(avg(e * e)), 5) rmse from b group by 1")
-def loocv_bins(spark, d):
-    k = sampling.knn(places(spark, d).where("id < 300"), support(spark, d), "id", "sid", 1, 10.0).join(support(spark, d).select("sid", "val"), "sid")
-    e = k.select(metrics.distance_bin(F.col("d") / 1e6).alias("bin"), F.col("val").alias("a"), (F.col("id") % 23 / 4.0).alias("b"))
-    return metrics.errors(e, "a", "b", "bin").select("bin", "n", *(r(c, 5).alias(c) for c in ("bias", "mae", "rmse")))
-
-
 #: These places lie a thousand times as far apart as anchors do: 8 km and the bins are taken for thousands of km.
 LOO_KM = 8000.0
 
 
-@query(f"""with {PLACES}, {KNN.replace(" where id < 300", "")}, a as (select sid id, val, x, y, z from ss),
+@query(f"""with {PLACES}, {KNN}, a as (select sid id, val, x, y, z from ss),
  pairs as (select a.id, a.val truth, b.val, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / 1000 km, b.sid from a join ss b on a.id <> b.sid),
  four as (select *, row_number() over (partition by id order by km, sid) rank from pairs),
  e as (select id, min(km) km, sum(val / greatest(km, 1e-4) ** 2) / sum(1 / greatest(km, 1e-4) ** 2) - min(truth) e from four where rank <= 4 and km <= {LOO_KM} group by 1),
  b as (select case when km < 500 then '0-0.5' when km < 1000 then '0.5-1' when km < 2000 then '1-2' when km < 4000 then '2-4' else '>4' end bin, e from e)
  select bin, count(*)::bigint n, round(avg(e), 5) bias, round(avg(abs(e)), 5) mae, round(sqrt(avg(e * e)), 5) rmse from b group by 1""")
-def loocv_anchors(spark, d):
+def loocv_bins(spark, d):
     """Leave-one-out errors of every support point by the distance of the nearest other."""
     e = sampling.leave_one_out(support(spark, d), "sid", "val", max_km=LOO_KM, cell_deg=10.0)
     b = e.withColumn("bin", metrics.distance_bin(F.col("km") / 1000.0))
@@ -528,61 +454,34 @@ def topology_corners(spark, d):
     return c.select("pixel", "node_id", "use", "usable", r("share").alias("share"), "connectivity", "spatial")
 
 
-@query(f"""with {PIXELS}, {CELLS}, {NODES}, {HOURS}, {TIDE}, {WEIGHTS}, f as (select pixel, c.node_id, 100.0::double * count(*) filter (level > z) / count(level) f from corners_used c join tide using (node_id) where c.pixel % 4 = 0 group by pixel, c.node_id),
+@query(f"""with {PIXELS}, {CELLS}, {NODES}, {HOURS}, {TIDE}, {WEIGHTS}, f as (select pixel, c.node_id, 100.0::double * count(*) filter (level > z) / count(level) f from corners_used c join tide using (node_id) group by pixel, c.node_id),
  g as (select c.pixel, sum(case when use then share * f end) f, bit_or(case when use then node_qc else 0 end) b, max(cell_qc) cq, max(usable) u, bool_or(connectivity) co, bool_or(spatial) sp from corners_used c join f on c.pixel = f.pixel and c.node_id = f.node_id group by 1)
  select pixel, round(case when u > 0 then f end, 4) frequency, (case when u > 0 then cq | b | case when co then 64 else 0 end | case when sp then 2 else 0 end else cq | 68 end)::int qc from g""")
 def inundation_raster(spark, d):
-    """Frequency and bits of every fourth pixel, blended from its usable corners."""
-    return _inundation_raster(spark, d, F.col("pixel") % 4 == 0)
-
-
-@query(uncut("inundation_raster", (" where c.pixel % 4 = 0", "")))
-def inundation_raster_whole(spark, d):
-    return _inundation_raster(spark, d)
-
+    """Frequency and bits of every pixel, blended from its usable corners."""
+    from shoreline.plans import blocks
 
-def _inundation_raster(spark, d, some=None):
-    from shoreline.plans.rasters import inundation
+    return blocks.frequencies(cells(spark, d), raster_rows(spark, d), node_tide(spark, d), "pixel").select("pixel", r("frequency", 4).alias("frequency"), "qc")
 
-    c, p = weighted(spark, d, some)
-    return inundation(c, p, cells(spark, d), nodes(spark, d), node_tide(spark, d), "pixel").select("pixel", r("frequency", 4).alias("frequency"), F.col("qc").cast("int").alias("qc"))
 
-
-@query(f"""with {PIXELS}, {CELLS}, {NODES}, {HOURS}, {TIDE}, {WEIGHTS}, lv as (select pixel k, s::double t, max(z) z, sum(share * level) / nullif(sum(share), 0) h from corners_used join tide using (node_id) where use and pixel % 16 = 0 group by 1, 2), {_exposure_sql('lv')}
+@query(f"""with {PIXELS}, {CELLS}, {NODES}, {HOURS}, {TIDE}, {WEIGHTS}, lv as (select pixel k, s::double t, max(z) z, sum(share * level) / nullif(sum(share), 0) h from corners_used join tide using (node_id) where use group by 1, 2), {_exposure_sql('lv')}
  select k pixel, {_MEASURES} from m""")
 def exposure_raster(spark, d):
-    return _exposure_raster(spark, d, F.col("pixel") % 16 == 0)
-
-
-@query(uncut("exposure_raster", (" and pixel % 16 = 0", "")))
-def exposure_raster_whole(spark, d):
-    return _exposure_raster(spark, d)
-
-
-def _exposure_raster(spark, d, some=None):
+    """The long form, which makes a row for each pixel and time."""
     from shoreline.plans.rasters import exposure_long
 
-    c, p = weighted(spark, d, some)
+    c, p = weighted(spark, d)
     return _measures(exposure_long(c, p, node_tide(spark, d), "pixel").withColumnRenamed("pixel", "k")).withColumnRenamed("k", "pixel")
 
 
-@query(f"""with {PIXELS}, {CELLS}, {NODES}, {HOURS}, {TIDE}, {WEIGHTS}, lv as (select pixel k, s::double t, max(z) z, sum(share * level) / nullif(sum(share), 0) h from corners_used join tide using (node_id) where use and pixel % 16 = 0 group by 1, 2), {_exposure_sql('lv')}
+@query(f"""with {PIXELS}, {CELLS}, {NODES}, {HOURS}, {TIDE}, {WEIGHTS}, lv as (select pixel k, s::double t, max(z) z, sum(share * level) / nullif(sum(share), 0) h from corners_used join tide using (node_id) where use group by 1, 2), {_exposure_sql('lv')}
  select k pixel, round(x, 3) exposed_h, n::bigint events from m""")
 def exposure_raster_packed(spark, d):
-    """The same in the packed form, which never makes a row for each pixel and time."""
-    return _exposure_raster_packed(spark, d, F.col("pixel") % 16 == 0)
-
-
-@query(uncut("exposure_raster_packed", (" and pixel % 16 = 0", "")))
-def exposure_raster_packed_whole(spark, d):
-    return _exposure_raster_packed(spark, d)
+    """The same in blocks, which never makes a row for each pixel and time."""
+    from shoreline.plans import blocks
 
-
-def _exposure_raster_packed(spark, d, some=None):
-    from shoreline.plans.rasters import exposure_packed
-
-    c, p = weighted(spark, d, some)
-    return exposure_packed(c, p, node_tide(spark, d), "pixel").select("pixel", r("exposed_h", 3).alias("exposed_h"), "events")
+    m = blocks.exposures(cells(spark, d), raster_rows(spark, d), node_tide(spark, d), "pixel").where("valid_h is not null")
+    return m.select("pixel", r("exposed_h", 3).alias("exposed_h"), "events")
 
 
 @query(f"with {PIXELS}, {HOURS} select pixel, round({LEVEL.replace('lon', 'x').replace('lat', 'y')} + pixel % 5 / 10.0::double, 4) water from pixels, (select min(s) s from hours) where z is not null")
@@ -593,36 +492,17 @@ def snapshot_raster(spark, d):
     return snapshot(p, "pixel", datetime(2024, 1, 1), lambda t, lon, lat: tide.synthetic_level(t / 3600.0, lon, lat)).select("pixel", r("water", 4).alias("water"))
 
 
-@query(f"with {PIXELS} select (row // 5)::bigint r, (col // 5)::bigint c, count(z)::bigint valid_n, (least(5, 118 - (row // 5) * 5) * least(5, 128 - (col // 5) * 5))::bigint total_n, round(count(z)::double / (least(5, 118 - (row // 5) * 5) * least(5, 128 - (col // 5) * 5)), 6) fraction from pixels where row < 118 group by row // 5, col // 5")
+@query(f"with {PIXELS} select (row // 5)::bigint r, (col // 5)::bigint c, count(z)::bigint valid_n, (least(5, (select max(row) + 1 from pixels) - (row // 5) * 5) * least(5, 128 - (col // 5) * 5))::bigint total_n, round(count(z)::double / (least(5, (select max(row) + 1 from pixels) - (row // 5) * 5) * least(5, 128 - (col // 5) * 5)), 6) fraction from pixels group by row // 5, col // 5")
 def support_topology(spark, d):
-    return _support_topology(pixels(spark, d).where("row < 118"), 118)
-
-
-@query(uncut("support_topology", (" where row < 118", ""), ("118", "(select max(row) + 1 from pixels)")))
-def support_topology_whole(spark, d):
     p = pixels(spark, d)
-    return _support_topology(p, height(p))
-
-
-def _support_topology(p, h):
+    h = height(p)
     return topology.downsample(p, 5, h, WIDTH).select("r", "c", "valid_n", "total_n", r("fraction").alias("fraction"))
 
 
-@query(f"""with recursive {PIXELS}, a as (select distinct (row // 4)::bigint r, (col // 4)::bigint c from pixels where row < 80 and z > 2.2), n as (select r * 4294967296 + c id, r, c from a),
- e as (select x.id a, y.id b from n x join n y on abs(x.r - y.r) <= 1 and abs(x.c - y.c) <= 1), w(id, root) as (select id, id from n union select e.b, w.root from w join e on e.a = w.id)
- select n.r, n.c, min(root)::bigint component from w join n using (id) group by 1, 2""")
-def connected_components(spark, d):
-    return _connected_components(pixels(spark, d).where("row < 80"))
-
-
 @query()
-def connected_components_whole(spark, d):
+def connected_components(spark, d):
     """Over the whole raster the recursive SQL is too slow; tested against a flood fill."""
-    return _connected_components(pixels(spark, d))
-
-
-def _connected_components(p):
-    a = p.where("z > 2.2").select(F.expr("cast(row div 4 as bigint)").alias("r"), F.expr("cast(col div 4 as bigint)").alias("c"))
+    a = pixels(spark, d).where("z > 2.2").select(F.expr("cast(row div 4 as bigint)").alias("r"), F.expr("cast(col div 4 as bigint)").alias("c"))
     return topology.components(a)
 
 
@@ -640,19 +520,6 @@ def cell_error(spark, d):
     return c.select("o", r(quadtree.cell_error(corners, mid)).alias("error"))
 
 
-@query()
-def quadtree_leaves(spark, d):
-    """Refinement of macro cells against a step in the water level; tested for nesting and coverage."""
-    start = quadtree.initial_cells(spark, 122.0, 31.0, 122.128, 31.128, 0.064, 0.064)
-
-    def freq(points):
-        level = F.when(F.col("x") < 122.05, 1.0).otherwise(-1.0)
-        z = F.array(*map(F.lit, (-1.5, 0.0, 0.5)))
-        return points.select("cell", "place", F.transform(z, lambda h: F.when(level > h, 100.0).otherwise(0.0)).alias("heights"))
-
-    return quadtree.refine(start, freq, 0.002, 0.002, 1.0, 4).select(r("x_min").alias("x_min"), r("y_min").alias("y_min"), r("x_max").alias("x_max"), r("y_max").alias("y_max"), "level")
-
-
 @query(f"with {PIXELS}, g as (select (row // 8)::bigint r, (col // 8)::bigint c, count(z) n, list_transform(quantile_cont(z, [0.1, 0.5, 0.9]), lambda x: x) q, list_sort(list(distinct z)) s from pixels where z is not null group by 1, 2) select r, c, n::bigint n, array_to_string(list_transform(case when n >= 10 then q else s end, lambda x: round(round(x, 6) * 10000)::bigint), ',') heights from g")
 def elevation_quantiles(spark, d):
     p = pixels(spark, d).withColumns({"r": F.expr("cast(row div 8 as bigint)"), "c": F.expr("cast(col div 8 as bigint)")})
@@ -669,18 +536,10 @@ def nodata_mask(spark, d):
     return rd(spark, d, "orders").select("o_orderkey", geo.not_nodata(F.col("o_custkey").cast("double"), 100.0).alias("ok"))
 
 
-@query(f"with {PIXELS}, m as (select *, coalesce(z > 2.5, false) v, row < 2 or row >= 116 or col < 2 or col >= 126 e from pixels where row < 118), a as (select count(*) filter (v) n, min(row) filter (v) r0, max(row) filter (v) r1, min(col) filter (v) c0, max(col) filter (v) c1, count(*) filter (v and e) e from m) select n::bigint n, round(n::double / (118 * 128), 6) valid_share, r0, r1, c0, c1, round(greatest(r1 - r0 + 1, c1 - c0 + 1)::double / least(r1 - r0 + 1, c1 - c0 + 1), 6) aspect, round(e::double / nullif(n, 0), 6) edge_share, case when n = 0 then 'EMPTY' when greatest(r1 - r0 + 1, c1 - c0 + 1)::double / least(r1 - r0 + 1, c1 - c0 + 1) > 4 then 'NARROW_STRIP' when e::double / n > 0.3 then 'EDGE' when n::double / (118 * 128) > 0.4 then 'WIDE' else 'COMPLEX' end kind from a")
+@query(f"with {PIXELS}, m as (select *, coalesce(z > 2.5, false) v, row < 2 or row >= (select max(row) - 1 from pixels) or col < 2 or col >= 126 e from pixels), a as (select count(*) filter (v) n, min(row) filter (v) r0, max(row) filter (v) r1, min(col) filter (v) c0, max(col) filter (v) c1, count(*) filter (v and e) e from m) select n::bigint n, round(n::double / ((select max(row) + 1 from pixels) * 128), 6) valid_share, r0, r1, c0, c1, round(greatest(r1 - r0 + 1, c1 - c0 + 1)::double / least(r1 - r0 + 1, c1 - c0 + 1), 6) aspect, round(e::double / nullif(n, 0), 6) edge_share, case when n = 0 then 'EMPTY_TARGET' when greatest(r1 - r0 + 1, c1 - c0 + 1)::double / least(r1 - r0 + 1, c1 - c0 + 1) > 4 then 'NARROW_STRIP' when e::double / n > 0.3 then 'EDGE_TARGET' when n::double / ((select max(row) + 1 from pixels) * 128) > 0.4 then 'WIDE_TARGET' else 'COMPLEX_TARGET' end kind from a")
 def mask_geometry(spark, d):
-    return _mask_geometry(pixels(spark, d).where("row < 118"), 118)
-
-
-@query(uncut("mask_geometry", (" where row < 118", ""), ("116", "(select max(row) - 1 from pixels)"), ("118", "(select max(row) + 1 from pixels)")))
-def mask_geometry_whole(spark, d):
     p = pixels(spark, d)
-    return _mask_geometry(p, height(p))
-
-
-def _mask_geometry(p, h):
+    h = height(p)
     m = metrics.mask_geometry(p, h, WIDTH, F.coalesce(F.col("z") > 2.5, F.lit(False)))
     return m.select("n", r("valid_share").alias("valid_share"), "r0", "r1", "c0", "c1", r("aspect").alias("aspect"), r("edge_share").alias("edge_share"), "kind")
 
@@ -743,31 +602,12 @@ def seam_composite(spark, d):
     return seam(p.where("col < 64"), p.where("col >= 64").withColumn("z", F.col("z") + 0.01), p, 64).select("n", r("mae").alias("mae"), r("seam_p95").alias("seam_p95"))
 
 
-@query(f"with {PIXELS}, {CELLS}, {NODES}, c as (select (node_id % 4)::int as level, case when node_id % 11 <> 0 and node_id % 6 <> 0 and node_id % 10 <> 0 then 'A' when node_id % 11 <> 0 and node_id % 6 = 0 and node_id % 4 = 0 then 'B' when node_id % 11 = 0 then 'C' when node_id % 11 <> 0 and node_id % 6 <> 0 and node_id % 10 = 0 then 'D' else 'E' end class from nodes), g as (select level, class, count(*) n from c group by rollup (level, class)) select level, class, n::bigint n, round(100.0::double * n / max(n) over (partition by level), 4) percent from g")
-def node_support_class(spark, d):
-    n = nodes(spark, d).select((F.col("node_id") % 4).cast("int").alias("level"), metrics.support_class(F.col("valid"), F.col("node_id") % 6 != 0, F.col("node_id") % 10 != 0, F.col("node_id") % 4 == 0).alias("class"))
-    return metrics.class_counts(n).withColumn("percent", r("percent", 4))
-
-
 @query(f"with {PIXELS}, {CELLS}, {NODES}, x as (select unnest(corners) node_id, level from cells) select n.node_id, coalesce(min(level), -1)::int low, coalesce(max(level), -1)::int high from nodes n left join x using (node_id) group by 1")
 def incident_levels(spark, d):
     return metrics.incident_levels(nodes(spark, d), cells(spark, d))
 
 
-@query(f"with {PIXELS}, {CELLS}, {NODES}, {WEIGHTS}, c as (select cell_id, count(*) filter (not valid) bad, count(*) filter (valid and component_id = 0) loose from (select cell_id, unnest(corners) node_id from cells) join nodes using (node_id) group by 1), q as (select pixel, min(cell_id) cell_id, max(usable) u from corners_used group by 1) select case when bad = 4 then 'NO_TIDE' when bad > 0 then 'MIXED' when loose > 0 then 'NO_ANCHOR' else 'TOPOLOGY' end cause, count(*)::bigint n from q join c using (cell_id) where u < 4 group by 1")
-def qc68_attribution(spark, d):
-    from shoreline.plans.rasters import attribute
-
-    c, _ = weighted(spark, d)
-    return attribute(c, cells(spark, d), nodes(spark, d), "pixel")
-
-
-@query(f"with {PLACES} select id, case when id % 5 = 4 then 'TYPE_4_BILINEAR' when id % 5 = 3 then case when id % 2 = 0 then 'TYPE_3_INSIDE' else 'TYPE_3_OUTSIDE' end when id % 5 = 2 then case when id % 2 = 0 then 'TYPE_2_ON_SEGMENT' else 'TYPE_2_OFF_SEGMENT' end when id % 5 = 1 then 'TYPE_1' else 'TYPE_0' end kind from places")
-def mdt_geometry(spark, d):
-    return places(spark, d).select("id", metrics.geometry_class(F.col("id") % 5, F.col("id") % 2 == 0).alias("kind"))
-
-
-@query(f"with {SERIES}, i as (select *, row_number() over (partition by k order by t) i from series), s as (select k, unnest([60, 120])::double z from (select distinct k from series)), f as (select s.k, s.z, 100.0::double * count(*) filter (h > s.z) / nullif(count(h), 0) a, 100.0::double * count(*) filter (h > s.z and i % 2 = 1) / nullif(count(h) filter (i % 2 = 1), 0) b from s join i on s.k = i.k group by 1, 2) select z, {_ERR} from f where a is not null and b is not null group by 1")
+@query(f"with {SERIES}, i as (select *, row_number() over (partition by k order by t) i from series), s as (select k, unnest([60, 120])::double z from (select distinct k from series)), f as (select s.k, s.z, 100.0::double * count(*) filter (h::float > s.z) / nullif(count(h), 0) a, 100.0::double * count(*) filter (h::float > s.z and i % 2 = 1) / nullif(count(h) filter (i % 2 = 1), 0) b from s join i on s.k = i.k group by 1, 2) select z, {_ERR} from f where a is not null and b is not null group by 1")
 def sensitivity_time_step(spark, d):
     """What taking every other sample does to the frequencies."""
     from pyspark.sql.window import Window
@@ -780,7 +620,7 @@ def sensitivity_time_step(spark, d):
     return m.select("z", "n", *(r(c, 5).alias(c) for c in m.columns[2:]))
 
 
-@query(f"with {SERIES}, s as (select k, unnest([20, 60])::double z from (select distinct k from series)) select s.k, s.z, count(h)::bigint n, round(100.0::double * count(*) filter (h >= s.z) / nullif(count(h), 0), 6) frequency from s join series on s.k = series.k group by 1, 2")
+@query(f"with {SERIES}, s as (select k, unnest([20, 60])::double z from (select distinct k from series)) select s.k, s.z, count(h)::bigint n, round(100.0::double * count(*) filter (h::float >= s.z) / nullif(count(h), 0), 6) frequency from s join series on s.k = series.k group by 1, 2")
 def sensitivity_at_least(spark, d):
     e = series(spark, d).drop("z")
     z = e.select("k").distinct().select("k", F.explode(F.array(F.lit(20.0), F.lit(60.0))).alias("z"))
@@ -848,21 +688,73 @@ def snapshot_stale(spark, d):
     return manifest.stale(f.where(k % 10 != 1), now)
 
 
-@query("select s_suppkey id, array_to_string(list_sort([x for x in [case when s_suppkey % 2 = 0 then 'freq' end, case when s_suppkey % 3 = 0 then 'min_spacing_m' end, case when s_suppkey % 5 = 0 then 'topology_fraction' end] if x is not null]), ',') reasons from supplier where s_suppkey % 2 = 0 or s_suppkey % 3 = 0 or s_suppkey % 5 = 0")
-def cache_compat_reasons(spark, d):
-    s = rd(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
-    rows = lambda *kv: s.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in kv))).alias("e")).select("id", "e.*")
-    i = F.col("id")
-    want = rows(("freq", F.lit("30min")), ("min_spacing_m", F.lit("500")), ("topology_fraction", F.lit("0.5")), ("inclusive", F.lit("left")))
-    have = rows(("freq", F.when(i % 2 == 0, "1h").otherwise("30min")), ("min_spacing_m", F.when(i % 3 == 0, F.lit(502.0)).otherwise(500.9)), ("inclusive", F.lit("left")), ("topology_fraction", F.when(i % 5 != 0, F.lit(0.50005))))
-    return bundle.incompatible_table(want, have)
+# ---------------------------------------------------------------- diagnoses
+
+CLASSED = """classed as (select node_id, (node_id % 4)::int as level, case when node_id % 11 = 0 then 'A_FES_INVALID' when node_id % 6 = 0 then 'B_FES_VALID_MDT_INVALID' when node_id % 10 = 0 then 'C_FES_VALID_MDT_VALID_DELTAN_INVALID' when node_id % 7 <> 0 then 'D_FES_VALID_DATUM_VALID' else 'E_OTHER_DATUM_FAILURE' end class from nodes)"""
+
+
+def classed(spark, d):
+    """Nodes by what they lack: topography is there but 0 (which counts as lacking) at every sixth, an offset is NaN at every seventh."""
+    i = F.col("node_id")
+    cls = metrics.support_class(F.col("valid"), F.when(i % 6 == 0, 0.0).otherwise(1.5), F.when(i % 10 != 0, 0.25), F.when(i % 7 == 0, float("nan")).otherwise(2.0))
+    return nodes(spark, d).select("node_id", (i % 4).cast("int").alias("level"), cls.alias("class"))
+
 
+@query(f"with {PIXELS}, {CELLS}, {NODES}, {CLASSED}, g as (select level, class, count(*) n from classed group by rollup (level, class)) select level, class, n::bigint n, round(100.0::double * n / max(n) over (partition by level), 4) percent from g")
+def node_support_class(spark, d):
+    return metrics.class_counts(classed(spark, d)).withColumn("percent", r("percent", 4))
+
+
+_Q68 = "case when gone > 0 then 'Q68_OTHER' when dry = 4 then 'Q68_NO_FES_SUPPORT' when bare = 4 then 'Q68_DATUM_SUPPORT_FAILURE' when whole = 0 then 'Q68_MIXED_FES_AND_DATUM' else 'Q68_TOPOLOGY_REJECTED' end"
+
+
+@query(f"""with {PIXELS}, {CELLS}, {NODES}, {CLASSED}, p as (select pixel, case when pixel % 19 <> 0 then cell_id end cell_id, case when pixel % 3 = 0 then 68 else 0 end qc from pixels join cells on x >= x_min and x < x_max and y >= y_min and y < y_max),
+ k as (select cell_id, count(*) filter (class is null) gone, count(*) filter (class = 'A_FES_INVALID') dry, count(*) filter (class = 'B_FES_VALID_MDT_INVALID') bare, count(*) filter (class = 'D_FES_VALID_DATUM_VALID') whole from (select cell_id, unnest(corners) node_id from cells) left join (select * from classed where node_id % 13 <> 0 or node_id > 5000) using (node_id) group by 1),
+ c as (select {_Q68.replace("gone > 0", "k.cell_id is null or gone > 0")} cause, count(*) n from p left join k using (cell_id) where qc = 68 group by 1), e(cause) as (values ('Q68_NO_FES_SUPPORT'), ('Q68_DATUM_SUPPORT_FAILURE'), ('Q68_MIXED_FES_AND_DATUM'), ('Q68_TOPOLOGY_REJECTED'), ('Q68_OTHER'))
+ select cause, coalesce(n, 0)::bigint n, round(100.0::double * coalesce(n, 0) / (select sum(n) from c), 4) percent from e left join c using (cause)""")
+def qc68_attribution(spark, d):
+    from shoreline.plans.rasters import attribute
 
-@query("select n_nationkey, sha256('{\"freq\":\"30min\",\"name\":\"' || n_name || '\",\"region\":' || n_regionkey || '}') signature from nation")
+    m = cell_ops.membership(pixels(spark, d), cells(spark, d), "pixel", 1e9, 1e9, CELL * PX)
+    p = m.select(F.when(F.col("pixel") % 19 != 0, F.col("cell_id")).alias("cell_id"), F.when(F.col("pixel") % 3 == 0, 68).otherwise(0).alias("qc"))
+    known = classed(spark, d).where("node_id % 13 <> 0 or node_id > 5000")
+    return attribute(p, cells(spark, d), known).withColumn("percent", r("percent", 4))
+
+
+@query(f"""with {PIXELS}, {HOURS}, t as (select floor(2 * cos(s / 7000.0::double) * 64) / 64 + 1 / 128.0::double tide from hours), p as (select z, pixel % 5 / 10.0::double m, pixel % 3 / 20.0::double n from pixels where z is not null)
+ select count(*)::bigint n, count(*) filter ((tide + (m + n) > z) <> (tide > z - m - n))::bigint mismatches, count(*) filter (tide + (m + n) > z)::bigint under_water from p, t""")
+def decision_equivalence(spark, d):
+    """Decimal offsets that binary numbers can't hold: both engines must round alike for the mismatches to be the same."""
+    p = pixels(spark, d).where("z is not null").select("z", (F.col("pixel") % 5 / 10.0).alias("mdt_m"), (F.col("pixel") % 3 / 20.0).alias("delta_n_m"))
+    t = hours(spark).select((F.floor(2 * F.cos(timegrid.seconds(F.col("t")) / 7000.0) * 64) / 64.0 + 1 / 128).alias("tide"))
+    return datum.decisions(p, t)
+
+
+@query(r"""select n_nationkey, sha256('{"crs":"EPSG:' || (32600 + n_nationkey) || '","freq":"30min","name":"' || n_name || ' \\ \"q\"","region":"' || n_regionkey || '"}') signature from nation""")
 def signature(spark, d):
+    """Signatures of tags as canonical JSON; the tests hold them against those of single bundles."""
     n = rd(spark, d, "nation")
-    text = F.concat(F.lit('{"freq":"30min","name":"'), "n_name", F.lit('","region":'), F.col("n_regionkey").cast("string"), F.lit("}"))
-    assert bundle.signature({"region": 1, "name": "x", "freq": "30min"}) == hashlib.sha256(json.dumps({"freq": "30min", "name": "x", "region": 1}, separators=(",", ":")).encode()).hexdigest()
-    return n.select("n_nationkey", F.sha2(text, 256).alias("signature"))
+    name = F.concat("n_name", F.lit(' \\ "q"'))
+    tags = F.create_map(F.lit("region"), F.col("n_regionkey").cast("string"), F.lit("name"), name, F.lit("freq"), F.lit("30min"), F.lit("crs"), F.concat(F.lit("EPSG:"), F.lit(32600) + F.col("n_nationkey")))
+    return n.select("n_nationkey", bundle.signature_column(tags).alias("signature"))
 
 
+@query(f"with {SERIES}, g as (select k, t - lag(t) over (partition by k order by t) dt from series) select k, count(*)::bigint n, count(*) filter (dt <= 0)::bigint not_increasing, round(coalesce(max(abs(dt - 1800.0::double)), 0), 4) worst_step, count(*) filter (dt <= 0) = 0 and coalesce(max(abs(dt - 1800.0::double)), 0) <= 1e-3 ok from g group by 1")
+def time_axis_check(spark, d):
+    """Every station's axis against a cadence of half an hour."""
+    c = timegrid.check_time_axis(series(spark, d).select("k", F.col("t").alias("t_seconds"), F.col("t").alias("_seq")), 1800.0, keys=("k",))
+    return c.select("k", "n", "not_increasing", r("worst_step", 4).alias("worst_step"), "ok")
+
+
+@query("""select s_suppkey id, array_to_string(list_sort([x for x in [case when s_suppkey % 7 = 0 then 'crs' end, case when s_suppkey % 11 = 0 then 'dem_bytes' end, case when s_suppkey % 2 = 0 then 'freq' end, case when s_suppkey % 3 = 0 then 'min_spacing_m' end, case when s_suppkey % 13 = 0 then 'signature' end, case when s_suppkey % 5 = 0 then 'topology_fraction' end] if x is not null]), ',') reasons
+ from supplier where s_suppkey % 2 = 0 or s_suppkey % 3 = 0 or s_suppkey % 5 = 0 or s_suppkey % 7 = 0 or s_suppkey % 11 = 0 or s_suppkey % 13 = 0""")
+def cache_compat_reasons(spark, d):
+    """All reasons against a bundle: other tags, missing ones, another CRS than the same by number, a size that is stored, a forged signature."""
+    s = rd(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    rows = lambda *kv: s.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in kv))).alias("e")).select("id", "e.*")
+    i = F.col("id")
+    want = rows(("freq", F.lit("30min")), ("min_spacing_m", F.lit("500")), ("topology_fraction", F.lit("0.5")), ("inclusive", F.lit("left")), ("crs", F.lit("EPSG:32651")), ("dem_bytes", F.lit("1000")), ("dem_mtime", F.lit("77")))
+    have = rows(("freq", F.when(i % 2 == 0, "1h").otherwise("30min")), ("min_spacing_m", F.when(i % 3 == 0, F.lit(502.0)).otherwise(500.9)), ("inclusive", F.lit("left")), ("topology_fraction", F.when(i % 5 != 0, F.lit(0.50005))), ("crs", F.when(i % 7 == 0, "EPSG:4326").otherwise("urn:ogc:def:crs:EPSG::32651")), ("dem_bytes", F.when(i % 11 == 0, F.lit(999)).when(i % 2 == 0, F.lit(0)).otherwise(1000))).where("value is not null")
+    tags = have.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("t"))
+    signed = tags.select("id", F.lit("signature").alias("key"), F.when(i % 13 == 0, "forged").otherwise(bundle.signature_column(F.col("t"))).alias("value"))
+    return bundle.incompatible_table(want, have.unionByName(signed))

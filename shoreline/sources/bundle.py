@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,6 +35,13 @@ def signature(tags: dict, separators=(",", ":")) -> str:
     return hashlib.sha256(json.dumps(tags, sort_keys=True, separators=separators, ensure_ascii=False).encode()).hexdigest()
 
 
+def signature_column(tags: Column) -> Column:
+    """signature() of a column of map<string, string>, for many bundles at once."""
+    text = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    pairs = F.transform(F.array_sort(F.map_keys(tags)), lambda k: F.concat(text(k), F.lit(":"), text(F.element_at(tags, k))))
+    return F.sha2(F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")), 256)
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -45,13 +53,14 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_bundle(path: str, nodes: DataFrame, cells: DataFrame, tide: DataFrame, tags: dict, terminal: DataFrame | None = None, overwrite: bool = False) -> None:
-    """Writes all parts, then the tags with their signature, then the marker."""
-    spark = nodes.sparkSession
-    if exists(spark, path):
+    """Writes all parts, then the tags with their signature, then the marker; beside a bundle that is to be replaced, which stays as it is
+    until its successor is complete."""
+    spark, target = nodes.sparkSession, path
+    replace = exists(spark, path)
+    if replace:
         if not overwrite:
             raise ExistingOutput(path)
-        fs, p = _fs(spark, path)
-        fs.delete(p, True)
+        path = f"{path}.new-{uuid.uuid4().hex}"
     bucket = F.pmod(F.xxhash64("node_id"), F.lit(BUCKETS)).cast("int")
     nodes.write.parquet(f"{path}/nodes")
     cells.write.parquet(f"{path}/cells")
@@ -62,6 +71,20 @@ def write_bundle(path: str, nodes: DataFrame, cells: DataFrame, tide: DataFrame,
     spark.createDataFrame([(tags | {"signature": signature(tags)},)], "tags map<string,string>").coalesce(1).write.parquet(f"{path}/meta")
     fs, p = _fs(spark, f"{path}/_COMPLETE")
     fs.create(p, False).close()
+    if replace:
+        swap(spark, path, target)
+
+
+def swap(spark: SparkSession, new: str, target: str) -> None:
+    """Puts a folder in the place of another, which is deleted last."""
+    fs, a = _fs(spark, new)
+    b, old = _fs(spark, target)[1], _fs(spark, f"{target}.old-{uuid.uuid4().hex}")[1]
+    if fs.exists(b) and not fs.rename(b, old):
+        raise OSError(f"can't move {target}")
+    if not fs.rename(a, b):
+        fs.rename(old, b)
+        raise OSError(f"can't move {new}")
+    fs.delete(old, True)
 
 
 def tags_of(spark: SparkSession, path: str) -> dict:
@@ -152,9 +175,14 @@ def incompatible(expected: dict, stored: dict) -> list[str]:
 
 
 def incompatible_table(expected: DataFrame, stored: DataFrame) -> DataFrame:
-    """The same over many bundles: (id, key, value) tables; id and its sorted reasons."""
+    """The same over many bundles: (id, key, value) tables; id and its sorted reasons. A stored `signature` must be that of the other stored tags."""
     tol = F.create_map(*(F.lit(x) for kv in TOLERANCE.items() for x in kv))
-    j = expected.select("id", "key", F.col("value").alias("want")).join(stored.select("id", "key", F.col("value").alias("have")), ["id", "key"], "left")
-    t = F.try_element_at(tol, F.col("key"))
-    same = F.when(t.isNotNull(), F.abs(F.col("want").try_cast("double") - F.col("have").try_cast("double")) <= t).otherwise(F.col("want") == F.col("have"))
-    return j.where(~F.coalesce(same, F.lit(False))).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("reasons"))
+    own = stored.where("key <> 'signature'").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("tags"))
+    forged = stored.where("key = 'signature'").join(own, "id").where(signature_column(F.col("tags")) != F.col("value")).select("id", F.lit("signature").alias("key"))
+    j = expected.where("key <> 'signature'").select("id", "key", F.col("value").alias("want")).join(stored.select("id", "key", F.col("value").alias("have")), ["id", "key"], "left")
+    t, want, have, optional = F.try_element_at(tol, F.col("key")), F.col("want"), F.col("have"), F.col("key").isin(*OPTIONAL)
+    tail = lambda c: F.substring_index(c, ":", -1)
+    same = F.when(t.isNotNull(), F.abs(want.try_cast("double") - have.try_cast("double")) <= t).when(F.col("key") == "crs", (want == have) | (tail(want) == tail(have))).otherwise(want == have)
+    passed = optional & (have.isNull() | (F.coalesce(have.try_cast("double"), F.lit(1.0)) <= 0))
+    bad = j.where(~passed & ~F.coalesce(same, F.lit(False))).select("id", "key").unionByName(forged)
+    return bad.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("reasons"))

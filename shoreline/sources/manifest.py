@@ -21,6 +21,21 @@ def lookup(manifest: DataFrame, key: str, value: str) -> DataFrame:
     return manifest.where(F.col(key) == value)
 
 
+def entry(manifest: DataFrame, key: str, value: str) -> dict | None:
+    """The record of one file, or None."""
+    row = lookup(manifest, key, value).first()
+    return row.asDict() if row else None
+
+
+def status_of(manifest: DataFrame, key: str, value: str) -> str:
+    found = entry(manifest, key, value)
+    return found["status"] if found else "PENDING"
+
+
+def is_success(manifest: DataFrame, key: str, value: str) -> bool:
+    return status_of(manifest, key, value) == "SUCCESS"
+
+
 def skippable(inputs: DataFrame, manifest: DataFrame, key: str = "path") -> DataFrame:
     """Keys whose record is a success of the same signature, size and time."""
     done = manifest.where(F.col("status") == "SUCCESS")
@@ -42,4 +57,4 @@ def summary(manifest: DataFrame) -> DataFrame:
 def already_msl(tags) -> object:
     """Whether any of three tags says that heights are over mean sea level."""
     says = lambda k, v: F.upper(F.trim(F.coalesce(F.try_element_at(tags, F.lit(k)), F.lit("")))) == v
-    return says("DATUM", "MSL") | says("VERTICAL_DATUM", "MSL") | says("TARGET_DATUM", "MSL")
+    return says("DATUM", "MSL") | says("ANALYSIS_REFERENCE", "MSL") | says("TARGET_VERTICAL_DATUM", "MSL")

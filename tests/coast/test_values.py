@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shoreline.functions import geo, tide, timegrid
 from shoreline.operators import datum, exposure, frequency, metrics, peaks, sampling, topology
-from shoreline.plans.rasters import scan_block
+from shoreline.plans.blocks import scan_block
 from shoreline.sources import bundle, tables
 
 

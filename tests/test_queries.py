@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-import __spark_entry__ as entry
+import __spark_entry__ as entry  # registers all queries
 from shoreline import queries as catalogue
 
 DIR = "/root/testdata/sf0.001"
@@ -44,3 +44,17 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalogue.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_without_the_corpus_operators(tmp_path):
+    """With shoreline/llm and tests/llm deleted the entry point, its queries and the other modules still work."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).parent.parent
+    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", ".pytest_cache", ".hypothesis"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and 'inundation_frequency' in q and not any(k.startswith('op') for k in q); print(len(q), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "r", capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path / "r")})
+    assert done.returncode == 0, done.stderr
