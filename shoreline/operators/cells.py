@@ -87,25 +87,25 @@ def with_nodes(cells: DataFrame, nodes: DataFrame) -> DataFrame:
     return cells.join(n, "cell_id")
 
 
-def corner_choice(component: Column, x: Column, y: Column) -> dict[str, Column]:
-    """The rule of usable_corners() as expressions on a pixel with its cell's nodes (with_nodes()): shares s0 to s3 (0 for a corner that isn't
-    used), usable, connectivity, spatial, used_qc (bits of the nodes used) and all_qc (bits of all four). No row is made for a corner."""
-    p = F.coalesce(component, F.lit(0))
-    n = [F.col("n")[k] for k in range(4)]
-    ok = [c["valid"] for c in n]
-    own = [a & (c["component"] == p) for a, c in zip(ok, n, strict=True)]
-    named = [F.when(a & (c["component"] > 0), c["component"]) for a, c in zip(ok, n, strict=True)]
-    any_own, low, high = own[0] | own[1] | own[2] | own[3], F.least(*named), F.greatest(*named)
-    use = [F.when(p > 0, F.when(any_own, o).otherwise(a & low.isNull())).otherwise(a & ~F.coalesce(low != high, F.lit(False))) for a, o in zip(ok, own, strict=True)]
-    count = lambda flags: sum((f.cast("int") for f in flags[1:]), flags[0].cast("int"))
-    w = geo.bilinear_weights((x - F.col("x_min")) / (F.col("x_max") - F.col("x_min")), (y - F.col("y_min")) / (F.col("y_max") - F.col("y_min")))
-    part = [F.when(u, a).otherwise(0.0) for u, a in zip(use, w, strict=True)]
-    total = part[0] + part[1] + part[2] + part[3]
-    usable = count(use)
-    bits = lambda flags: reduce(Column.bitwiseOR, [F.when(f, c["qc"]).otherwise(0) for f, c in zip(flags, n, strict=True)])
-    out = {f"s{k}": a / F.when(total > 1e-9, total).otherwise(1.0) for k, a in enumerate(part)}
-    out |= {"usable": usable, "connectivity": (p > 0) & (usable > 0) & F.when(any_own, count(own) < count(ok)).otherwise(True), "spatial": (usable > 0) & (usable < 4)}
-    return out | {"used_qc": bits(use), "all_qc": bits([F.lit(True)] * 4)}
+def corner_choice(m: DataFrame) -> DataFrame:
+    """The rule of usable_corners() as expressions on pixels (x, y, component) with their cell's bounds and nodes (with_nodes()): shares s0 to s3 (0 for
+    a corner that isn't used), usable, connectivity, spatial, used_qc (bits of the nodes used) and all_qc (bits of all four). No row is made for a
+    corner. Steps are columns of their own, so that none is computed twice and generated code stays small."""
+    k4, col = range(4), F.col
+    add = lambda f: reduce(Column.__add__, [f(k) for k in k4])
+    m = m.withColumns({"_p": F.coalesce("component", F.lit(0)), **{f"_ok{k}": col("n")[k]["valid"] for k in k4}, **{f"_c{k}": col("n")[k]["component"] for k in k4}, **{f"_q{k}": col("n")[k]["qc"] for k in k4}})
+    m = m.withColumns({f"_own{k}": col(f"_ok{k}") & (col(f"_c{k}") == col("_p")) for k in k4} | {f"_named{k}": F.when(col(f"_ok{k}") & (col(f"_c{k}") > 0), col(f"_c{k}")) for k in k4})
+    named = [f"_named{k}" for k in k4]
+    m = m.withColumns({"_oks": add(lambda k: col(f"_ok{k}").cast("int")), "_owns": add(lambda k: col(f"_own{k}").cast("int")), "_none": F.coalesce(*named).isNull(), "_several": F.coalesce(F.least(*named) != F.greatest(*named), F.lit(False))})
+    use = lambda k: F.when(col("_p") > 0, F.when(col("_owns") > 0, col(f"_own{k}")).otherwise(col(f"_ok{k}") & col("_none"))).otherwise(col(f"_ok{k}") & ~col("_several"))
+    w = geo.bilinear_weights((col("x") - col("x_min")) / (col("x_max") - col("x_min")), (col("y") - col("y_min")) / (col("y_max") - col("y_min")))
+    m = m.withColumns({f"_use{k}": use(k) for k in k4} | {f"_w{k}": x for k, x in enumerate(w)})
+    m = m.withColumns({f"_part{k}": F.when(col(f"_use{k}"), col(f"_w{k}")).otherwise(0.0) for k in k4} | {"usable": add(lambda k: col(f"_use{k}").cast("int"))})
+    m = m.withColumn("_total", add(lambda k: col(f"_part{k}")))
+    bits = lambda f: reduce(Column.bitwiseOR, [F.when(f(k), col(f"_q{k}")).otherwise(0) for k in k4])
+    out = {f"s{k}": col(f"_part{k}") / F.when(col("_total") > 1e-9, col("_total")).otherwise(1.0) for k in k4}
+    out |= {"connectivity": (col("_p") > 0) & (col("usable") > 0) & F.when(col("_owns") > 0, col("_owns") < col("_oks")).otherwise(True), "spatial": (col("usable") > 0) & (col("usable") < 4)}
+    return m.withColumns(out | {"used_qc": bits(lambda k: col(f"_use{k}")), "all_qc": bits(lambda k: F.lit(True))})
 
 
 def blend_frequency(corners: DataFrame, node_frequency: DataFrame, key: str) -> DataFrame:

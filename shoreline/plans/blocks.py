@@ -26,8 +26,8 @@ def placed(pixels: DataFrame, cells: DataFrame, nodes: DataFrame, key: str, x_ed
     """pixels (key, row, col, x, y, z, component) that have a height and a cell: key, row, col, z, cell_id, cell_qc and their corner_choice()."""
     p = pixels.where(F.col("z").isNotNull())
     m = cell_ops.membership(p, cell_ops.with_nodes(cells, nodes), key, x_edge, y_edge, bucket, carry=("row", "col", "z", "component"))
-    choice = cell_ops.corner_choice(F.col("component"), F.col("x"), F.col("y"))
-    return m.select(key, "row", "col", "z", "cell_id", F.coalesce("cell_qc", F.lit(0)).alias("cell_qc"), *(c.alias(n) for n, c in choice.items()))
+    chosen = ("usable", "connectivity", "spatial", "used_qc", "all_qc")
+    return cell_ops.corner_choice(m).select(key, "row", "col", "z", "cell_id", F.coalesce("cell_qc", F.lit(0)).alias("cell_qc"), *SHARES, *chosen)
 
 
 def _blocks(rows: DataFrame, key: str, *more: str) -> DataFrame:
