@@ -10,7 +10,8 @@ documents to the rules together.
 
 Cases: null texts have no words; documents with a null language are a stratum of their own; a stratum without enough
 labels has no certified cutoff and keeps all that the base rules keep; labels that are null, or that contradict each
-other for a doc_id, are not used; repeated labels count once, repeated documents each; empty tables give no cutoffs or no rows;
+other for a doc_id, are not used; repeated labels count once, as do repeated rows of a labelled document (the
+least by stratum and scores stands for them), while every row is judged; a very long text is measured whole; documents at a cutoff pass; empty tables give no cutoffs or no rows;
 other columns are ignored.
 """
 
@@ -130,6 +131,8 @@ def learn_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, alpha: f
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).alias("_q"), F.max(label).alias("_r")).where("_q = _r").select("_id", "_q")
     s = scores()
     held = measured.select(F.col(doc_id).alias("_id"), F.col(stratum).alias("stratum"), *(x.alias(r) for r, x in s.items())).join(marks, "_id")
+    # a labelled document is one trial of the binomial, however many rows it has
+    held = held.groupBy("_id").agg(F.min(F.struct("stratum", *rules, "_q")).alias("h")).select("h.*")
     each = [F.sum(F.when((F.col(r) > c) & (F.col("_q") == q), 1).otherwise(0)).alias(f"{r}_{k}_{q}") for r, cs in rules.items() for k, c in enumerate(cs) for q in (1, 0)]
     table = written(held.groupBy("stratum").agg(F.sum("_q").alias("good"), F.sum(1 - F.col("_q")).alias("bad"), *each), "quality-counts")
     strata = max(1, table.count())

@@ -61,3 +61,51 @@ def test_judge(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert judge(d.limit(0), none).count() == 0
     assert judge(d.where("doc_id < 10"), none).where("kept").count() == 10
+
+
+def cut(values, good, bad, cutoffs, tests, alpha):
+    """The rule of the docstring in exact arithmetic."""
+    best, gain = None, 0
+    for c in cutoffs:
+        g, b = sum(v > c for v in values[1]), sum(v > c for v in values[0])
+        p = Fraction(alpha).limit_denominator() / len(RULES)
+        if sum(math.comb(good, k) * p**k * (1 - p) ** (good - k) for k in range(g + 1)) > Fraction(5, 100) / tests:
+            break
+        value = Fraction(b, max(bad, 1)) - 4 * Fraction(g, max(good, 1))
+        if value > gain:
+            best, gain = c, value
+    return best
+
+
+def test_kept_against_brute_force(spark):
+    """Features, cutoffs and verdicts once more, in plain Python; labelled documents with repeated rows count once."""
+    r = random.Random(4)
+    text = lambda k: " ".join(("w%d" % r.randrange(10**6)) + ("#" if k == 1 and r.random() < 0.2 else "") + ("\nsame line here" if k == 2 and r.random() < 0.1 else "") for _ in range(r.randrange(40, 90)))
+    rows = [(i, text(i % 9), ["de", "en", None][i % 3]) for i in range(2700)]
+    rows += [rows[k] for k in range(0, 900, 2)] * 2
+    labels = [(i, int(i % 9 not in (1, 2))) for i in range(2500)]
+    y, seen, scores = dict(labels), set(), {}
+    part = lambda a, b: a / b if b else 0.0
+    for i, t, lang in rows:
+        n, chars, sym, dup, rep = brute(t)
+        lines = len([x for x in t.split("\n") if WORD.search(x)])
+        scores[i] = {"symbols": part(sym, n), "repeats": part(rep, n), "same_lines": part(dup, lines), "capitals": part(sum("A" <= c <= "Z" for c in t), chars)}, n < 50 or 100 * rep > 50 * n, lang
+        seen.add(lang)
+    cuts = {}
+    for lang in seen:
+        mine = {q: [i for i in y if y[i] == q and scores[i][2] == lang] for q in (0, 1)}
+        for rule, cs in RULES.items():
+            cuts[lang, rule] = cut({q: [scores[i][0][rule] for i in ids] for q, ids in mine.items()}, len(mine[1]), len(mine[0]), cs, len(RULES) * len(seen), 0.05)
+    assert any(c is not None for c in cuts.values())
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = judge(d, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        s, failed, lang = scores[x.doc_id]
+        assert (x.base_failed, x.kept) == (failed, not failed and not any(cuts[lang, k] is not None and s[k] > cuts[lang, k] for k in RULES)), x
+
+
+def test_null_ids_and_long_texts(spark):
+    d = spark.createDataFrame([(None, "a b c", "en"), (1, "w " * 500_000, "en"), (2, "x" * 3_000_000, None)], "doc_id long, text string, lang string")
+    got = {x.doc_id: (x.n_words, x.word_chars, x.n_repeat_words) for x in judge(d, spark.createDataFrame([(None, 1)], "doc_id long, quality int")).collect()}
+    assert got == {None: (3, 3, 0), 1: (500_000, 500_000, 500_000), 2: (1, 3_000_000, 0)}
