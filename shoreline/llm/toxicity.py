@@ -14,11 +14,13 @@ are. Near copies count as one document, or what they happen to share would look
 curve come from dictionaries that have not seen the document or a near copy (FOLDS folds).
 
 Learning uses a bounded sample of labelled rows: at most TOXIC_SAMPLE and ORDINARY_SAMPLE documents, chosen by a hash of
-doc_id, of at most SAMPLE_CHARS characters each. Scoring covers every whole text.
+doc_id, of at most SAMPLE_CHARS characters each (longer labelled documents are passed over, not cut), and of the ordinary ones ORDINARY_WINDOWS
+windows for the trainer. Scoring covers every whole text.
 
 Cases: null texts are empty; an empty text has the score of a text without savings; labels that are null or
 contradict each other are not used; without labels of both classes all scores are 0; repeated rows are scored each;
-other columns are ignored; an empty table gives an empty result.
+a very long text is scored window by window, whole; documents of equal hash are chosen by doc_id, and passages that tell alike by
+length and then by their bytes; other columns are ignored, or kept by keep_clean(); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.llm.base import as_strings, crc_mod, read
+from shoreline.llm.base import as_strings, crc_mod, freed, read, written
 
 WORDS = 12
 TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_CHARS = 2000, 4000, 32_000
-#: Bytes of the ordinary dictionary.
-ORDINARY_BYTES = 8192
+#: Bytes of the ordinary dictionary, and windows of ordinary sample documents that it is trained on at most.
+ORDINARY_BYTES, ORDINARY_WINDOWS = 8192, 40_000
 #: How many times as common in toxic documents a telling passage is.
 RATIO = 4
 COVER, FOLDS = 5, 4
@@ -135,7 +137,7 @@ def ordinary_content(ordinary: list[str]) -> bytes:
     samples = [w for t in ordinary for w in windows(t, 8)]
     random.Random(17).shuffle(samples)
     try:
-        return zstandard.train_dictionary(ORDINARY_BYTES, samples[:40_000], k=64, d=8).as_bytes()
+        return zstandard.train_dictionary(ORDINARY_BYTES, samples[:ORDINARY_WINDOWS], k=64, d=8).as_bytes()
     except zstandard.ZstdError:  # too little text to train on
         return b"".join(samples)[:ORDINARY_BYTES]
 
@@ -215,12 +217,16 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     marks = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
     if usable is not None:
         marks = marks.where(usable(F.col(doc_id)))
-    marks = marks.groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).alias("_y"), F.max(label).alias("_z")).where("_y = _z").withColumn("_h", F.xxhash64("_id"))
-    ids = [marks.where(F.col("_y") == y).orderBy("_h", "_id").limit(n).select("_id", "_y") for y, n in ((1, TOXIC_SAMPLE), (0, ORDINARY_SAMPLE))]
+    marks = marks.groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).alias("_y"), F.max(label).alias("_z")).where("_y = _z").select("_id", "_y")
+    # only documents that are there and can be taken stand for selection, so that others don't make the sample smaller
+    there = docs.where(F.length(text) <= SAMPLE_CHARS).select(F.col(doc_id).alias("_id")).distinct().join(marks, "_id")
+    there = written(there.withColumn("_h", F.xxhash64("_id")), "toxic-labels")
+    ids = [there.where(F.col("_y") == y).orderBy("_h", "_id").limit(n).select("_id", "_y") for y, n in ((1, TOXIC_SAMPLE), (0, ORDINARY_SAMPLE))]
     rows = docs.where(F.length(text) <= SAMPLE_CHARS).select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(ids[0].union(ids[1])), "_id")
     # repeated doc_ids could make more rows than there are labels
     got = rows.orderBy(F.xxhash64("_id"), "_id", "_t").limit(TOXIC_SAMPLE + ORDINARY_SAMPLE).select("_t", "_y").toPandas()
     n = marks.agg(F.count_if(F.col("_y") == 1).alias("t"), F.count_if(F.col("_y") == 0).alias("o")).first()
+    freed(there)
     return list(got["_t"][got["_y"] == 1]), list(got["_t"][got["_y"] == 0]), n.t / n.o if n.t and n.o else None
 
 

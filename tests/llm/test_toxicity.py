@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from shoreline.llm import toxicity
 from shoreline.llm.toxicity import fit, keep_clean, learnable, logistic, op4_toxicity, sample, score
 
 
@@ -49,3 +50,38 @@ def test_logistic():
 def test_query(spark):
     got = op4_toxicity(spark, "/root/testdata/sf0.001").collect()
     assert got and all(r.predicted == (r.score >= 0.5) for r in got)
+
+
+def test_features_and_score_against_brute_force(spark):
+    """Windows, lengths and statistics once more, each window with compressors of its own."""
+    import zstandard
+
+    m = fit(texts(60, 3, True), texts(120, 4, False))
+    options = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, min_match=4, search_log=6, hash_log=14, chain_log=14, window_log=17, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def length(content, window):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=options)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=options).compress(window))
+
+    rows = [(k, t) for k, t in enumerate([*texts(6, 9, True), *texts(6, 10, False), "", "one", "  ", "vileword " * 4000])]
+    want = {}
+    for k, t in rows:
+        w = t.lower().split()
+        saved = [length(m.ordinary, x) - length(m.toxic + m.ordinary, x) for x in (f" {' '.join(w[i : i + 12])} ".encode() for i in range(0, len(w), 12))] or [0]
+        top = sorted(saved)[-3:]
+        n = len(saved)
+        x = [max(saved), sum(top) / len(top), *(sum(s >= c for s in saved) / n for c in (1, 2, 3)), sum(saved) / n, sum(saved) / max(1, len(t)), np.log(n)]
+        z = sum((a - b) / c * d for a, b, c, d in zip(x, m.mean, m.scale, m.weights[:-1], strict=True)) + m.weights[-1]
+        want[k] = 1 / (1 + np.exp(-z))
+    got = {r.doc_id: r.score for r in score(spark.createDataFrame(rows, "doc_id long, text string"), m).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_absent_and_long_documents_leave_room(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TOXIC_SAMPLE", 5)
+    monkeypatch.setattr(toxicity, "ORDINARY_SAMPLE", 5)
+    docs = spark.createDataFrame([(k, "x " * 20_000 if k % 2 else f"t{k}") for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k // 4 % 2) for k in range(400)], "doc_id long, toxic int")
+    bad, good, odds = sample(docs, labels)
+    assert len(bad) == len(good) == 5 and all(len(t) < 9 for t in bad + good) and odds == 1.0
