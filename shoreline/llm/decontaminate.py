@@ -10,7 +10,8 @@ The automaton goes to the executors in a broadcast, so its size is bounded: the
 once for each, and the hits of a document are united by its row.
 
 Cases: null texts have no words; empty or null items have no window; an item_id that is null is reported as an
-empty string; repeated item_ids are one item; rows of documents that are repeated are reported each; extra columns
+empty string; repeated item_ids are one item; rows of documents that are repeated are reported each; a very long text is scanned whole, as one line; hits that
+overlap or touch are one span, and items are listed in order of their bytes; extra columns
 of either table are ignored; empty tables give empty results or documents without hits.
 """
 

@@ -74,3 +74,43 @@ def test_brute_force(spark, tmp_path):
     place = shards([(x[0], x[1]) for x in want], sharding.LIMIT)
     assert Counter((x.doc_id, x.shard, x.shard_bytes) for x in got) == Counter((want[n][0], p, b) for n, (p, b, _) in place.items())
     assert mixing.MOST == 3 and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "mixing", "sharding"]
+
+
+def test_odd_tables(spark, tmp_path):
+    """Empty tables, null ids and texts, repeated rows, a very long text and columns with names of the operators' own."""
+    def write(folder, docs):
+        folder.mkdir()
+        i, s = pa.int64(), pa.string()
+        names = {"doc_id": i, "text": s, "lang": s, "source": s, "n_chars": i, "size": s, "node": s, "_key": i, "_h": s, "shard": s}
+        pq.write_table(pa.table({c: pa.array([d.get(c) for d in docs], k) for c, k in names.items()}), folder / "documents.parquet")
+        pq.write_table(pa.table({"doc_id": pa.array([], i), "toxic": pa.array([], pa.int32())}), folder / "labels.parquet")
+        pq.write_table(pa.table({"item_id": pa.array([], i), "text": pa.array([], s)}), folder / "benchmark.parquet")
+        return corpus_pipeline.run(spark, f"file://{folder}")
+
+    assert write(tmp_path / "empty", []).count() == 0
+    r = random.Random(5)
+    long = " ".join(f"w{r.randrange(10**6)}" for _ in range(200_000))
+    docs = [{"doc_id": None, "text": "a b c d e f", "source": None}, {"doc_id": 1, "text": long, "source": "a", "size": "keep", "_key": 7, "_h": "h"}, {"doc_id": 2, "text": None, "source": "a"}, {"doc_id": 3, "text": "x" * 2_000_000, "source": "b"}]
+    docs += [{"doc_id": 4, "text": "p q r s t u v", "source": "b", "node": "n"}] * 5
+    got = write(tmp_path / "odd", docs).collect()
+    assert {x.doc_id for x in got} == {None, 1, 3, 4} and {x.text for x in got if x.doc_id == 1} == {long}
+    assert {(x.size, x._key, x._h) for x in got if x.doc_id == 1} == {("keep", 7, "h")} and {x.node for x in got if x.doc_id == 4} == {"n"}
+    assert all(x.shard is not None for x in got) and max(Counter(x.doc_id for x in got).values()) <= 3
+
+
+def test_nothing_is_left(spark, tmp_path):
+    """Tables that a run wrote are deleted when its session stops."""
+    import subprocess
+
+    code = f"""
+import sys; sys.path.insert(0, {str(Path(corpus_pipeline.__file__).parent)!r})
+from pyspark.sql import SparkSession
+import corpus_pipeline, os
+s = SparkSession.builder.master('local[2]').config('spark.checkpoint.dir', 'file://{tmp_path}/shared').config('spark.sql.shuffle.partitions', '2').config('spark.ui.enabled', 'false').getOrCreate()
+assert corpus_pipeline.run(s, '/root/testdata/sf0.001').count()
+assert os.listdir('{tmp_path}/shared')
+s.stop()
+assert [x for x in os.listdir('{tmp_path}/shared') if '-' in x and not x.count('-') == 4] == [], os.listdir('{tmp_path}/shared')
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=400)
+    assert done.returncode == 0, done.stderr[-2000:]
