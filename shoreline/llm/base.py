@@ -75,6 +75,8 @@ def table_of(separators: bytes) -> np.ndarray:
     return t
 
 
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 SPACES = table_of(b"\x20\x09\x0a\x0b\x0c\x0d")
 
 

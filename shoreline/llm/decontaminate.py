@@ -1,180 +1,184 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the normalised windows of the test items; every
-text is scanned once, and hits are given at their offsets in the original text.
+"""Benchmark decontamination: one Aho-Corasick automaton over the normalised test items; every text is scanned once, and hits are
+given at their offsets in the original text.
 
-Normalised text: A-Z lower-cased, words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` (letters, digits and all that isn't ASCII),
-each followed by one space. A window is `n` consecutive words of an item; an item of fewer words, but not none,
-is one window.
+Normalised text: A-Z lower-cased, words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` (letters, digits and all that isn't ASCII). A window is `n`
+consecutive words of an item; an item of fewer words, but not none, is one window.
 
-The automaton goes to the executors in a broadcast, so its size is bounded: the windows of as many items as have
-`max_pattern_bytes` of text make one automaton. A larger benchmark is cut into several, the texts are scanned
-once for each, and the hits of a document are united by its row.
+The automaton reads one character a word: a word's number among those of the phrases, and one character for all other words. Every window is known by
+its phrase, the PHRASE words of its smallest hash (a shorter window is its own phrase), and the distinct phrases of all items are its patterns, about
+one for five windows. An occurrence proposes the windows around it that have this phrase at this place; 128-bit hashes of the windows' words say which of
+them are there. So one automaton takes some 15 bytes of memory a byte of item text and stands for all windows; texts are scanned once, whatever
+the benchmark's size. Items go to the executors in a broadcast; more than `most` bytes of them are an error.
 
 Cases: null texts have no words; empty or null items have no window; an item_id that is null is reported as an
-empty string; repeated item_ids are one item; rows of documents that are repeated are reported each; a very long text is scanned whole, as one line; hits that
-overlap or touch are one span, and items are listed in order of their bytes; extra columns
-of either table are ignored; empty tables give empty results or documents without hits.
+empty string; repeated item_ids are one item; rows of documents that are repeated are reported each; a very long text is scanned whole, as one line; hits
+that overlap or touch are one span, and items are listed in order of their bytes; extra columns
+of either table are ignored, or kept by remove_contaminated(); empty tables give empty results or documents without hits.
 """
 
 from __future__ import annotations
 
-import functools
-import itertools
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.llm.base import as_strings, read, written
+from shoreline.llm.base import LOWER, as_strings, column, raw, read, slices, spans, table_of, word_hashes
+from shoreline.llm.passages import _BASES, _letters, _runs, anchors
 
-WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-WINDOW = 10
-#: Item text for one automaton; about 60 bytes of memory a byte of window text, of which there are `n` times as many.
-MAX_PATTERN_BYTES = 1 << 20
+WINDOW, PHRASE = 10, 3
+#: Bytes of item text that may be sent to every executor.
+MOST_ITEM_BYTES = 256 << 20
+TABLE = table_of(bytes(range(0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80)))
 
 SPAN = pa.struct([(c, pa.int32()) for c in ("start", "end", "first_word", "last_word")])
 HITS = "doc_id {}, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,end:int,first_word:int,last_word:int>>"
 
 
-def item_windows(items: list[tuple[str, str | None]], n: int = WINDOW) -> dict[str, list[int]]:
-    """Normalised window text to the places in `items` of those that have it."""
-    found: dict[str, list[int]] = {}
-    for k, (_, text) in enumerate(items):
-        words = [w.decode("utf-8") for w in WORDS.findall((text or "").encode("utf-8").lower())]
-        for i in range(max(1, len(words) - n + 1) if words else 0):
-            at = found.setdefault(" ".join(words[i : i + n]) + " ", [])
-            if not at or at[-1] != k:
-                at.append(k)
-    return found
-
-
-def automaton(windows: dict[str, list[int]]):
-    import ahocorasick
-
-    a = ahocorasick.Automaton()
-    for w, at in windows.items():
-        a.add_word(" " + w, (w.count(" "), at))
-    a.make_automaton()
-    return a
-
-
-def pattern_groups(benchmark: DataFrame, item_id: str, text: str, limit: int):
-    """Items in groups of at most `limit` bytes of text (or one item), read partition by partition."""
-    group, size = [], 0
-    rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("k"), F.col(text).alias("t")).where("t is not null")
-    for k, t in rows.toLocalIterator():
-        if group and size + len(t.encode()) > limit:
-            yield group
-            group, size = [], 0
-        group.append((k, t))
-        size += len(t.encode())
-    yield group
-
-
-def hits_of(low: bytes, find) -> tuple[int, list[tuple[int, int, list[int]]]]:
-    """Words of a lower-cased text, and of each occurrence of a window its first and last word and its items."""
-    words = WORDS.findall(low)
-    hay = (b" " + b" ".join(words) + b" ").decode("utf-8")
-    found = list(find(hay)) if words and find else []
-    if not found:
-        return len(words), []
-    blanks = np.flatnonzero(np.frombuffer(hay.encode("utf-32-le"), np.uint32) == 32)
-    last = np.searchsorted(blanks, [end for end, _ in found]) - 1
-    return len(words), [(int(z) - n + 1, int(z), at) for z, (_, (n, at)) in zip(last, found, strict=True)]
-
-
-def united(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, z in sorted(runs):
-        if out and a <= out[-1][1] + 1:
-            out[-1] = (out[-1][0], max(z, out[-1][1]))
-        else:
-            out.append((a, z))
-    return out
-
-
-def scan(docs: DataFrame, items: list[tuple[str, str]], n: int, doc_id: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One pass over the texts with the automaton of some items."""
-    id_type = docs.schema[doc_id].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+class Words:
+    """The normalised words of a slice of texts: bytes, starts and ends, hashes, and the first word of each text."""
+
+    def __init__(self, col: pa.Array):
+        self.data, self.off = raw(col)
+        low = LOWER[self.data]
+        self.starts, self.ends, self.first = spans(low, self.off, TABLE)
+        self.h = word_hashes(low, self.starts, self.ends)
+        self.doc = np.repeat(np.arange(len(col)), np.diff(self.first))
+
+
+class Items:
+    """All windows of the items, their phrases in one automaton, and what finds them."""
+
+    def __init__(self, items: list[tuple[str, str]], n: int = WINDOW):
+        import ahocorasick
+
+        self.ids = sorted({k for k, _ in items}, key=lambda k: k.encode())
+        number = {k: j for j, k in enumerate(self.ids)}
+        of = np.array([number[k] for k, _ in items], np.int64)
+        w = Words(pa.array([t for _, t in items], pa.large_string()))
+        count = np.diff(w.first)
+        size = np.minimum(count, n)
+        self.windows, phrases = {}, []  # by size: sorted first hashes, second hashes, and the items of each
+        for m in np.unique(size[size > 0]).tolist():
+            item = np.flatnonzero(size == m)
+            each = count[item] - m + 1
+            start = np.repeat(w.first[item], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            a, b = (_runs(w.h, m, base)[start] for base in _BASES[:2])
+            order = np.lexsort((np.repeat(of[item], each), b, a))
+            a, b, who, start = a[order], b[order], np.repeat(of[item], each)[order], start[order]
+            new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            at = np.flatnonzero(new)
+            self.windows[m] = a[at], b[at], np.append(at, len(a)), who
+            k = min(PHRASE, m)
+            place = anchors(_runs(w.h, k, _BASES[2]), start[at], m - k + 1)
+            phrases += [(k, m, x, x - y) for x, y in zip(place.tolist(), start[at].tolist(), strict=True)]
+        self.used = np.unique(np.concatenate([w.h[x : x + k] for k, _, x, _ in phrases])) if phrases else np.zeros(0, np.uint64)
+        self.find = None
+        if phrases:
+            line, kinds = self._line(w), {}
+            place = np.arange(len(w.h)) + w.doc
+            for k, m, x, o in phrases:
+                kinds.setdefault(line[place[x] : place[x] + k], set()).add((m, o))
+            most = max(map(len, kinds.values()))
+            self.length = np.array([len(p) for p in kinds])
+            self.known = np.array([[*sorted(v), *[(0, 0)] * (most - len(v))] for v in kinds.values()], np.int64)
+            a = ahocorasick.Automaton()
+            for j, p in enumerate(kinds):
+                a.add_word(p, j)
+            a.make_automaton()
+            self.find = a.iter
+
+    def _line(self, w: Words) -> str:
+        """One character a word, and one between texts."""
+        at = np.minimum(np.searchsorted(self.used, w.h), len(self.used) - 1)
+        out = np.zeros(len(w.h) + len(w.first) - 1, np.int64)
+        out[np.arange(len(w.h)) + w.doc] = np.where(self.used[at] == w.h, at + 2, 1)
+        return _letters(out)
+
+    def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """First words and sizes of the windows found in the texts, and the items of each."""
+        start, size, items = [], [], []
+        if self.find is None or not len(w.h):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), items
+        found = np.array(list(self.find(self._line(w))), np.int64).reshape(-1, 2)
+        if not len(found):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), items
+        word = np.searchsorted(np.arange(len(w.h)) + w.doc, found[:, 0] - self.length[found[:, 1]] + 1)
+        for c in range(self.known.shape[1]):
+            m, o = self.known[found[:, 1], c].T
+            for x in np.unique(m[m > 0]).tolist():
+                a, b, at, who = self.windows[x]
+                s = np.unique((word - o)[m == x])
+                s = s[(s >= 0) & (s + x <= len(w.h))]
+                s = s[w.doc[s] == w.doc[s + x - 1]]
+                first, second = (_runs(w.h, x, base)[s] for base in _BASES[:2])
+                lo, hi = np.searchsorted(a, first, "left"), np.searchsorted(a, first, "right")
+                for shift in range(int((hi - lo).max(initial=0))):  # nearly always one
+                    j = lo + shift
+                    ok = (j < hi) & (b[np.minimum(j, len(b) - 1)] == second)
+                    start.append(s[ok])
+                    size.append(np.full(ok.sum(), x))
+                    items += [who[at[i] : at[i + 1]] for i in j[ok].tolist()]
+        return np.concatenate(start) if start else np.zeros(0, np.int64), np.concatenate(size) if size else np.zeros(0, np.int64), items
+
+
+def cover(w: Words, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which words any of the windows covers."""
+    c = np.zeros(len(w.h) + 1, np.int64)
+    np.add.at(c, start, 1)
+    np.add.at(c, start + size, -1)
+    return np.cumsum(c[:-1]) > 0
+
+
+def items_of(benchmark: DataFrame, item_id: str, text: str, most: int = MOST_ITEM_BYTES) -> list[tuple[str, str]]:
+    """All items with a text, whose size is checked first."""
+    rows = benchmark.select(F.coalesce(column(item_id).cast("string"), F.lit("")).alias("k"), column(text).alias("t")).where("t is not null")
+    size = rows.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
+    if size > most:
+        raise ValueError(f"the items have {size} bytes of text; one automaton may have {most}")
+    return [(r.k, r.t) for r in rows.toLocalIterator()]
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most: int = MOST_ITEM_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, item_ids (sorted strings) and spans (character offsets and word places of each
+    maximal run of hit words) of every row of docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(items_of(benchmark, item_id, item_text, most))
 
     def run(batches):
-        names = [k for k, _ in shared.value]
-        windows = item_windows(shared.value, n)
-        find = automaton(windows).iter if windows else None
+        known = Items(shared.value, n)
         for b in batches:
-            n_words, n_hit, ids, places = [], [], [], []
-            for t in as_strings(b.column(1)).cast(pa.large_binary()).to_pylist():
-                count, found = hits_of(t.lower(), find)
-                n_words.append(count)
-                runs = united([(a, z) for a, z, _ in found])
-                n_hit.append(sum(z - a + 1 for a, z in runs))
-                ids.append(sorted({names[j] for _, _, at in found for j in at}))
-                if runs:
-                    at = [m.span() for m in WORDS.finditer(t.lower())]
-                    char = np.concatenate(([0], np.cumsum((np.frombuffer(t, np.uint8) & 0xC0) != 0x80)))
-                places.append([{"start": int(char[at[a][0]]), "end": int(char[at[z][1]]), "first_word": a, "last_word": z} for a, z in runs])
-            out = [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(places, pa.list_(SPAN)), *b.columns[2:]]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_words", "n_hit", "item_ids", "spans", *carry])
-
-    return docs.select(doc_id, text, *carry).mapInArrow(run, HITS.format(id_type) + more)
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids (sorted strings) and spans (character offsets and word places of each
-    maximal run of hit words) of every row of docs."""
-    groups = pattern_groups(benchmark, item_id, item_text, max_pattern_bytes)
-    first, second = next(groups), next(groups, None)
-    if second is None:
-        return scan(docs, first, n, doc_id, text)
-    rows = docs.select(doc_id, text, F.xxhash64(doc_id, text).alias("_row"))
-    done = []
-    for g in itertools.chain((first, second), groups):
-        done.append(written(scan(rows, g, n, doc_id, text, ("_row",)), "contamination"))
-    passes = functools.reduce(DataFrame.unionByName, done)
-    # rows that are repeated give the same in every pass, so each of them is there len(done) times
-    total = passes.groupBy("doc_id", "_row").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"), F.flatten(F.collect_set("spans")).alias("spans"), (F.count("*") / len(done)).cast("int").alias("copies"))
-    return total.mapInArrow(_united, HITS.format(docs.schema[doc_id].dataType.simpleString()))
-
-
-def _united(batches):
-    for b in batches:
-        out = []
-        for r in b.to_pylist():
-            start = {s["first_word"]: s["start"] for s in r["spans"]}
-            end = {s["last_word"]: s["end"] for s in r["spans"]}
-            runs = united([(s["first_word"], s["last_word"]) for s in r["spans"]])
-            row = {"doc_id": r["doc_id"], "n_words": r["n_words"], "n_hit": sum(z - a + 1 for a, z in runs), "item_ids": sorted(set(r["item_ids"])), "spans": [{"start": start[a], "end": end[z], "first_word": a, "last_word": z} for a, z in runs]}
-            out += [row] * r["copies"]
-        kind = [("doc_id", b.schema.field("doc_id").type), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(SPAN))]
-        yield pa.RecordBatch.from_pylist(out, pa.schema(kind))
-
-
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, **names) -> DataFrame:
+            col = as_strings(b.column(1))
+            for i, k in slices(col):
+                w = Words(col.slice(i, k))
+                start, size, items = known.hits(w)
+                hit = cover(w, start, size)
+                ids, places = [[] for _ in range(k)], [[] for _ in range(k)]
+                for d, who in zip(w.doc[start].tolist(), items, strict=True):
+                    ids[d].append(who)
+                for d in np.unique(w.doc[start]).tolist():
+                    ids[d] = [known.ids[j] for j in np.unique(np.concatenate(ids[d])).tolist()]
+                    a, z, base = w.first[d], w.first[d + 1], w.off[d]
+                    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit[a:z].view(np.int8), [0])))).reshape(-1, 2)
+                    char = np.concatenate(([0], np.cumsum((w.data[base : w.off[d + 1]] & 0xC0) != 0x80)))
+                    places[d] = [{"start": int(char[w.starts[a + x] - base]), "end": int(char[w.ends[a + y - 1] - base]), "first_word": x, "last_word": y - 1} for x, y in edge.tolist()]
+                out = [b.column(0).slice(i, k), pa.array(np.diff(w.first), pa.int64()), pa.array(np.bincount(w.doc[hit], minlength=k), pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(places, pa.list_(SPAN))]
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_words", "n_hit", "item_ids", "spans"])
+
+    return docs.select(column(doc_id).alias("doc_id"), column(text).alias("text")).mapInArrow(run, HITS.format(docs.schema[doc_id].dataType.simpleString()))
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", most: int = MOST_ITEM_BYTES) -> DataFrame:
     """The rows of docs, with all their columns, that hold no window of an item; one pass over the texts."""
-    text = names.get("text", "text")
-    for k, g in enumerate(pattern_groups(benchmark, names.get("item_id", "item_id"), names.get("item_text", "text"), names.get("max_pattern_bytes", MAX_PATTERN_BYTES))):
-        docs = _clean(written(docs, "clean") if k else docs, g, n, text)
-    return docs
-
-
-def _clean(docs: DataFrame, items: list[tuple[str, str]], n: int, text: str) -> DataFrame:
-    shared, at = docs.sparkSession.sparkContext.broadcast(items), docs.columns.index(text)
+    shared, at = docs.sparkSession.sparkContext.broadcast(items_of(benchmark, item_id, item_text, most)), docs.columns.index(text)
 
     def run(batches):
-        windows = item_windows(shared.value, n)
-        find = automaton(windows).iter if windows else None
+        known = Items(shared.value, n)
         for b in batches:
-            if find is None:
-                yield b
-                continue
-            clean = []
-            for t in as_strings(b.column(at)):
-                line = b" " + b" ".join(WORDS.findall(t.as_buffer().to_pybytes().lower())) + b" "
-                clean.append(next(find(line.decode("utf-8")), None) is None)
-            yield b.filter(pa.array(clean, pa.bool_()))
+            col, clean = as_strings(b.column(at)), np.ones(b.num_rows, bool)
+            for i, k in slices(col):
+                w = Words(col.slice(i, k))
+                clean[i + w.doc[known.hits(w)[0]]] = False
+            yield b.filter(pa.array(clean))
 
     return docs.mapInArrow(run, docs.schema)
 
