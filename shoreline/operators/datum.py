@@ -49,6 +49,26 @@ def reference_geoid(valid: Column, inside: Column, mask: Column | None = None) -
     return F.when(valid, geoid).otherwise(INVALID), F.when(valid, quality).otherwise(BAD)
 
 
+def geoid_of_points(points: DataFrame, seas: DataFrame, key: str, mask: DataFrame | None = None, fx: str | None = None, fy: str | None = None) -> DataFrame:
+    """key, geoid, quality of points (lon, lat): by the mask's nearest cell at (fx, fy) where that names a class, else by the closed seas (edges_of())."""
+    from shoreline.functions import geo
+    from shoreline.operators import sampling
+
+    hit = in_polygons(points, seas, key).select(key).distinct().withColumn("_in", F.lit(True))
+    p = points.join(hit, key, "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+    cls = None
+    if mask is not None:
+        p = p.join(sampling.nearest(points, mask, key, fx, fy).select(key, F.coalesce("value", F.lit(255)).alias("_mask")), key, "left")
+        cls = F.col("_mask")
+    geoid, quality = reference_geoid(F.coalesce(geo.valid_coordinate(F.col("lon"), F.col("lat")), F.lit(False)), F.col("_in"), cls)
+    return p.select(key, geoid.alias("geoid"), quality.alias("quality"))
+
+
+def in_closed_sea(geoid: Column) -> Column:
+    """Whether a point's topography refers to the closed seas' geoid."""
+    return geoid == EIGEN
+
+
 def delta_n(geoid: Column, goco: Column, eigen: Column) -> Column:
     """The grid of the reference geoid; the other one never stands in."""
     return F.when(geoid == GOCO, goco).when(geoid == EIGEN, eigen)

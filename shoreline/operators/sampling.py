@@ -67,9 +67,10 @@ def knn(points: DataFrame, support: DataFrame, key: str, sid: str, k: int, cell_
         size *= 4
 
 
-def idw(points: DataFrame, support: DataFrame, key: str, sid: str, value: str, k: int = 8, cutoff_m: float = 100_000.0, power: float = 2.0, native: str | None = None, cell_deg: float = 1.0) -> DataFrame:
+def idw(points: DataFrame, support: DataFrame, key: str, sid: str, value: str, k: int = 8, cutoff_m: float | None = 100_000.0, power: float = 2.0, native: str | None = None, cell_deg: float = 1.0) -> DataFrame:
     """key, value, quality: the native value (0), else the inverse-distance mean of the k nearest (1) where the nearest is within the
     cutoff, else null (2). Within 0.1 mm of a support point its value is taken. A cutoff of 0 turns extrapolation off."""
+    cutoff_m = 100_000.0 if cutoff_m is None else cutoff_m
     if not 0 <= cutoff_m <= 500_000:
         raise ValueError("the cutoff must be 0 to 500 km")
     open_points = points if native is None else points.where(F.col(native).isNull())

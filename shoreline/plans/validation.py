@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from shoreline.operators import exposure as stations
 from shoreline.operators import frequency, gridcells, metrics, sampling
 from shoreline.plans import products
 from shoreline.plans.control import Settings
+from shoreline.sources import products as stored
 from shoreline.sources import rasters
 from shoreline.sources.rasters import Frame
 
@@ -123,3 +125,23 @@ def nearest_km(points: DataFrame, anchors: DataFrame, key: str, sid: str) -> Dat
     at = lambda df, i, s: df.select(i, F.col("lon").alias(f"lon{s}"), F.col("lat").alias(f"lat{s}"))
     j = near.join(at(points, key, 1), key).join(at(anchors, sid, 2), sid)
     return j.select(key, sid, geo.planar_km(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2")).alias("km"))
+
+
+def evidence(results: dict[str, DataFrame], folder: str) -> DataFrame:
+    """Writes the tables of a verification as JSON, and gives relative, bytes and sha256 of every file, the register of the run, which is written too."""
+    spark = next(iter(results.values())).sparkSession
+    for name, df in results.items():
+        df.coalesce(1).write.json(f"{folder}/{name}")
+    register = stored.hashed_files(spark, folder).where("relative not like '%/.%' and relative not like '%_SUCCESS'")
+    register.coalesce(1).write.json(f"{folder}/register")
+    return spark.read.json(f"{folder}/register").select("relative", "bytes", "sha256")
+
+
+def timed(steps: dict) -> list[tuple[str, float, int]]:
+    """Name, seconds and rows of each step (a function that gives a table), run one after the other."""
+    out = []
+    for name, step in steps.items():
+        began = time.monotonic()
+        rows = step().count()
+        out.append((name, time.monotonic() - began, rows))
+    return out

@@ -106,6 +106,11 @@ def read_bundle(spark: SparkSession, path: str, tide: bool = True) -> dict[str,
 
 def read_levels(spark: SparkSession, path: str, node_ids: list[int], start=None, end=None) -> DataFrame:
     """Levels of some nodes within a time slice; only their buckets are read."""
+    known = spark.read.parquet(f"{path}/nodes").where(F.col("node_id").isin(node_ids)).count()
+    if known != len(set(node_ids)):
+        raise IndexError(f"{len(set(node_ids)) - known} of the nodes aren't in {path}")
+    if start is not None and end is not None and not start < end:
+        raise IndexError("the time slice is empty")
     ids = spark.createDataFrame([(i,) for i in node_ids], "node_id long").withColumn("b", F.pmod(F.xxhash64("node_id"), F.lit(BUCKETS)).cast("int"))
     buckets = [r.b for r in ids.select("b").distinct().collect()]
     df = spark.read.parquet(f"{path}/tide").where(F.col("node_bucket").isin(buckets)).where(F.col("node_id").isin(node_ids))
@@ -113,6 +118,21 @@ def read_levels(spark: SparkSession, path: str, node_ids: list[int], start=None,
     return (df if end is None else df.where(F.col("t") < F.lit(end))).drop("node_bucket")
 
 
+def sorted_levels(parts: dict[str, DataFrame]) -> DataFrame:
+    """node_id, levels: each valid node's finite water levels (with its offset), sorted, for frequencies."""
+    from shoreline.operators.frequency import packed
+
+    off = parts["nodes"].where("valid").select("node_id", F.col("offset").cast("float").alias("offset"))
+    return packed(parts["tide"].join(off, "node_id").withColumn("level", F.col("level") + F.col("offset")), "node_id", "level")
+
+
+def inspect(spark: SparkSession, path: str) -> dict:
+    """The tags of a complete bundle, its numbers of nodes and cells, and whether its signature is that of its tags."""
+    tags = tags_of(spark, path)
+    own = {k: v for k, v in tags.items() if k != "signature"}
+    return tags | {"num_nodes": spark.read.parquet(f"{path}/nodes").count(), "num_cells": spark.read.parquet(f"{path}/cells").count(), "signed": signature(own) == tags.get("signature")}
+
+
 def validate(spark: SparkSession, path: str) -> list[str]:
     """Every defect found; none for a sound bundle."""
     try:

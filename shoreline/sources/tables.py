@@ -90,24 +90,52 @@ def tiles_to_pixels(tiles: DataFrame) -> DataFrame:
 
 
 #: Names that are products or temporary.
-SKIP_RASTER, SKIP_CONVERSION = r"(?i)(_msl|_qc|_inundation|_exposure|\.tmp)(\.[a-z]+)*$", r"(?i)(_msl|_qc|\.tmp)\.[a-z]+$"
+SKIP_RASTER, SKIP_CONVERSION = r"(?i)(_qc|_inundation|_exposure|\.tmp)\.[a-z]+$|_exposure_[^/]*$|_snapshot[^/]*$", r"(?i)(_msl|_qc|\.tmp)\.[a-z]+$"
 
 
-def discover(spark: SparkSession, folder: str, recursive: bool = True, conversion: bool = False) -> DataFrame:
-    """path, relative, bytes, modified of the rasters under a folder, in order of the lower-cased relative path (conversion: of
-    the path)."""
+def discover(spark: SparkSession, folder: str, recursive: bool = True, conversion: bool = False, output: str | None = None) -> DataFrame:
+    """path, relative, bytes, modified of the rasters under a folder but not under `output`, in order of the lower-cased relative path
+    (conversion: of the path)."""
     ends = r"(?i)\.(tif|tiff|geotiff)$" if conversion else r"(?i)\.(tif|tiff)$"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).select("path", "length", "modificationTime")
     base = folder.rstrip("/").split("://")[-1].removeprefix("file:")
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), f"^{base}/", "")
     out = files.select("path", rel.alias("relative"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
     out = out.where(F.col("relative").rlike(ends) & ~F.col("relative").rlike(SKIP_CONVERSION if conversion else SKIP_RASTER))
+    if output is not None:
+        own = output.rstrip("/").split("://")[-1].removeprefix("file:") + "/"
+        out = out.where(~F.regexp_replace("path", "^[a-z0-9]+:/*", "/").startswith(own))
     return out.orderBy("path") if conversion else out.orderBy(F.lower("relative"), "relative")
 
 
-def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV of points; all its columns are kept as text."""
-    return spark.read.option("header", True).csv(path)
+def discovered_headers(files: DataFrame, headers: DataFrame) -> DataFrame:
+    """The files of discover() with their headers, valid and error; a file without a header can't be read."""
+    from shoreline.sources.rasters import checked
+
+    h = checked(headers).drop("bytes", "modified", "relative")
+    j = files.join(h, "path", "left")
+    return j.withColumns({"valid": F.coalesce("valid", F.lit(False)), "error": F.coalesce("error", F.lit("no header"))})
+
+
+def read_points(spark: SparkSession, path: str, typed: bool = False) -> DataFrame:
+    """A CSV of points with all its columns, as text, or typed by a look at all rows."""
+    return spark.read.option("header", True).option("inferSchema", typed).option("encoding", "UTF-8").csv(path)
+
+
+def head(spark: SparkSession, path: str, rows: int = 5) -> list:
+    """The first rows of a CSV, for choosing its columns."""
+    return read_points(spark, path).limit(rows).collect()
+
+
+def export_table(df: DataFrame, path: str, most: int = 1_000_000) -> None:
+    """One local CSV with a byte order mark, or an .xlsx sheet, for spreadsheets; at most `most` rows, which come to the driver."""
+    rows = df.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows: use write_csv")
+    if path.endswith(".xlsx"):
+        rows.to_excel(path, index=False)
+    else:
+        rows.to_csv(path, index=False, encoding="utf-8-sig")
 
 
 def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:

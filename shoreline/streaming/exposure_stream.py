@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shoreline.operators.exposure import close, step
@@ -49,3 +50,71 @@ def resampled(samples: DataFrame, width: str, ts: str = "ts", value: str = "valu
 def dead_letters(batch: DataFrame, newest, delay_s: float, ts: str = "ts") -> DataFrame:
     """Rows of a batch that are older than the newest time seen less the delay."""
     return batch.where(F.unix_micros(F.col(ts).cast("timestamp")) < (F.lit(newest) - delay_s) * 1e6)
+
+
+def with_end(samples: DataFrame, end_s: float, level: DataFrame) -> DataFrame:
+    """A bounded source's samples and the terminal sample of each key (k, h) at the window's end, which closes its last interval."""
+    z = samples.groupBy("k").agg(F.max("z").alias("z"))
+    return samples.select("k", "t", "h", "z").unionByName(level.join(z, "k").select("k", F.lit(float(end_s)).alias("t"), "h", "z"))
+
+
+def calendar(samples: DataFrame, width: str, slide: str | None = None, ts: str = "ts", value: str = "value", key: str = "k", delay: str = "10 minutes") -> DataFrame:
+    """k, start, end, n, low, high of half-open calendar windows, tumbling or sliding, each once its watermark has passed."""
+    w = F.window(ts, width, slide) if slide else F.window(ts, width)
+    out = samples.withWatermark(ts, delay).groupBy(w, key).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+    return out.select(key, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n", "low", "high")
+
+
+def run_available(stream: DataFrame, checkpoint: str, sink, timeout: int = 600) -> None:
+    """Works off what a source has now, once: files that are in the checkpoint aren't read again, and what comes later waits for the next run."""
+    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        if not q.awaitTermination(timeout):
+            raise TimeoutError(f"the stream was still running after {timeout} s")
+    finally:
+        q.stop()
+
+
+def upsert_sink(path: str, key: str, order: str):
+    """A sink that keeps the last record of each key: every batch writes a whole new table named by its id, so that a batch that is repeated after a
+    failure gives the same table. Read it with latest()."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        old = latest(spark, path, number)
+        rows = batch if old is None else old.unionByName(batch, allowMissingColumns=True)
+        last = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+        last.write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
+
+    return write
+
+
+def latest(spark, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest complete table of an upsert_sink(), of the batches before a number."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    done = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p) if s.getPath().getName().startswith("batch=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    done = [n for n in done if before is None or n < before]
+    return spark.read.parquet(f"{path}/batch={max(done):012d}") if done else None
+
+
+class Progress(StreamingQueryListener):
+    """Calls back with the rows and the batch of every step of a stream; a callback that gives False asks for the query to be stopped."""
+
+    def __init__(self, tell):
+        self.tell, self.stop_asked = tell, False
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        if self.tell(event.progress.batchId, event.progress.numInputRows) is False:
+            self.stop_asked = True
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

@@ -55,7 +55,7 @@ def test_exposure_against_the_state_machine(spark):
         mine = [r for r in rows if r[0] == k]
         want = exposure.scan([r[1] for r in mine], [r[2] for r in mine], 1.0)
         t, h = np.array([r[1] for r in mine]), np.array([[np.nan if r[2] is None else r[2] for r in mine]])
-        block = [x[0] for x in scan_block(t, h, np.ones((1, 1)), np.ones(1))]
+        block = [x[0] for x in scan_block(t, h, np.ones((1, 1)), np.ones(1))[:4]]
         for name, b in zip(("valid_h", "exposed_h", "max_h", "events"), block, strict=True):
             assert got[k][name] == pytest.approx(want[name], abs=1e-9) == pytest.approx(b, abs=1e-9), (k, name)
 
@@ -143,7 +143,7 @@ def test_components(spark):
 
 def test_bundle(spark, tmp_path):
     path = f"file://{tmp_path}/b"
-    nodes = spark.createDataFrame([(k, 0.0, 0.0, True, 1, 0) for k in range(4)], "node_id long, x double, y double, valid boolean, component_id int, qc int")
+    nodes = spark.createDataFrame([(k, 0.0, 0.0, True, 1, 0, 0.5) for k in range(4)], "node_id long, x double, y double, valid boolean, component_id int, qc int, offset double")
     cells = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0, [0, 1, 2, 3])], "cell_id long, x_min double, y_min double, x_max double, y_max double, corners array<long>")
     times = timegrid.time_grid(spark, datetime(2024, 1, 1), datetime(2024, 1, 1, 10), "30min", "left")
     levels = nodes.crossJoin(times).select("node_id", "t", F.lit(1.0).cast("float").alias("level"))
@@ -153,6 +153,13 @@ def test_bundle(spark, tmp_path):
     assert set(bundle.read_bundle(spark, path, tide=False)) == {"nodes", "cells"}
     with pytest.raises(bundle.ExistingOutput):
         bundle.write_bundle(path, nodes, cells, levels, tags)
+    with pytest.raises(IndexError):
+        bundle.read_levels(spark, path, [1, 99])
+    with pytest.raises(IndexError):
+        bundle.read_levels(spark, path, [1], datetime(2024, 1, 2), datetime(2024, 1, 1))
+    seen = bundle.inspect(spark, path)
+    assert (seen["num_nodes"], seen["num_cells"], seen["signed"]) == (4, 1, True)
+    assert {tuple(r.levels) for r in bundle.sorted_levels(bundle.read_bundle(spark, path)).collect()} == {(1.5,) * 20}
     bundle.write_bundle(path, nodes, cells, levels.where("node_id < 3 or hour(t) < 5"), tags | {"time_samples": 7}, overwrite=True)
     assert {"time axis", "time_samples"} <= set(bundle.validate(spark, path))
     bundle.write_bundle(path, nodes.where("node_id < 3"), cells, levels, tags, overwrite=True)
@@ -169,7 +176,13 @@ def test_discover(spark, tmp_path):
         (tmp_path / n).parent.mkdir(exist_ok=True)
         (tmp_path / n).write_bytes(b"x")
     got = [r.relative for r in tables.discover(spark, str(tmp_path)).collect()]
-    assert got == ["sub1/tile_3.tif", "tile_1.tif", "Tile_2.tiff"]
+    assert got == ["a_MSL.tif", "sub1/tile_3.tif", "tile_1.tif", "Tile_2.tiff"]
+    assert [r.relative for r in tables.discover(spark, str(tmp_path), output=f"{tmp_path}/sub1").collect()] == ["a_MSL.tif", "tile_1.tif", "Tile_2.tiff"]
+    assert {r.relative for r in tables.discover(spark, str(tmp_path), conversion=True).collect()} == {"sub1/tile_3.tif", "tile_1.tif", "Tile_2.tiff"}
+    files = tables.discover(spark, str(tmp_path))
+    heads = files.where("relative <> 'tile_1.tif'").select("path", F.lit(3).alias("width"), F.lit(2).alias("height"), F.lit(1).alias("bands"), F.when(F.col("relative").startswith("sub"), "").otherwise("EPSG:4326").alias("crs"))
+    found = {r.relative: (r.valid, r.error) for r in tables.discovered_headers(files, heads).collect()}
+    assert found == {"a_MSL.tif": (True, ""), "Tile_2.tiff": (True, ""), "tile_1.tif": (False, "no header"), "sub1/tile_3.tif": (False, "no coordinate reference system")}
 
 
 def test_metrics(spark):
