@@ -152,34 +152,47 @@ def anchors(names: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
     return found
 
 
+def numbered(words: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The place of each word among the sorted words `used`, plus 1; 0 for others. Most others are told by a few bits of their hash."""
+    bits = np.uint64(max(12, int(len(used)).bit_length() + 3))
+    some = np.zeros(1 << int(bits), bool)
+    some[used >> (np.uint64(64) - bits)] = True
+    out = np.zeros(len(words), np.int64)
+    at = np.flatnonzero(some[words >> (np.uint64(64) - bits)])
+    place = np.minimum(np.searchsorted(used, words[at]), len(used) - 1)
+    out[at] = np.where(used[place] == words[at], place + 1, 0)
+    return out
+
+
 def locate(words: np.ndarray, phrases: np.ndarray, offsets: np.ndarray, size: int = NAME) -> np.ndarray:
     """Starts of windows that occurrences of the phrases propose. A phrase is `size` words from a place in `phrases`; the window that it
-    stands for starts as many words before as `offsets` says.
+    stands for starts as many words (under 64) before as `offsets` says.
 
     The distinct phrases are compiled into automata of about PHRASES words; all words are streamed through each, and every
     occurrence proposes the windows of its phrase, wherever it stands."""
     import ahocorasick
 
-    proposed = []
-    for i in range(0, len(phrases), max(1, PHRASES // size)):
-        here, shift = phrases[i : i + max(1, PHRASES // size)], offsets[i : i + max(1, PHRASES // size)]
+    if not len(phrases):
+        return np.zeros(0, np.int64)
+    name = _runs(words, size, _BASES[2])[phrases]
+    order = np.argsort(name, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], name[order][1:] != name[order][:-1])))
+    before = np.bitwise_or.reduceat(np.uint64(1) << offsets[order].astype(np.uint64), first)  # a bit for each offset of a phrase
+    place, step, proposed = phrases[order][first], max(1, PHRASES // size), []
+    for i in range(0, len(place), step):
+        here = place[i : i + step]
         # words are numbered among those of these phrases; all others are one letter
         used = np.unique(words[here[:, None] + np.arange(size)])
-        at = np.minimum(np.searchsorted(used, words), len(used) - 1)
-        line = _letters(np.where(used[at] == words, at + 1, 0))
-        a, kinds = ahocorasick.Automaton(), {}
-        for p, o in zip(here.tolist(), shift.tolist(), strict=True):
-            kinds.setdefault(line[p : p + size], set()).add(o)
-        most, table = max(map(len, kinds.values())), []
-        for k, (phrase, before) in enumerate(kinds.items()):
-            a.add_word(phrase, k)
-            table.append([*before, *[-1] * (most - len(before))])
+        line, a = _letters(numbered(words, used)), ahocorasick.Automaton()
+        for k, p in enumerate(here.tolist()):
+            a.add_word(line[p : p + size], k)
         a.make_automaton()
-        hits = np.array(list(a.iter(line)), np.int64).reshape(-1, 2)
-        before = np.array(table)[hits[:, 1]]
-        start = (hits[:, 0] - size + 1)[:, None] - before
-        proposed.append(np.unique(start[(before >= 0) & (start >= 0)]))
-    return np.unique(np.concatenate(proposed)) if proposed else np.zeros(0, np.int64)
+        ends, kinds = np.array(list(a.iter(line)), np.int64).reshape(-1, 2).T
+        start, bits = ends - size + 1, before[i + kinds]
+        for o in range(int(bits.max(initial=0)).bit_length()):
+            proposed.append(start[(bits >> np.uint64(o)) & np.uint64(1) > 0] - o)
+    found = np.unique(np.concatenate(proposed)) if proposed else np.zeros(0, np.int64)
+    return found[found >= 0]
 
 
 def _letters(numbers: np.ndarray) -> str:
