@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoreline.llm.base import LOWER, as_strings, column, raw, read, slices, spans, table_of, word_hashes
-from shoreline.llm.passages import _BASES, _letters, _runs, anchors
+from shoreline.llm.passages import _BASES, _letters, _runs, anchors, numbered
 
 WINDOW, PHRASE = 10, 3
 #: Bytes of item text that may be sent to every executor.
@@ -90,9 +90,8 @@ class Items:
 
     def _line(self, w: Words) -> str:
         """One character a word, and one between texts."""
-        at = np.minimum(np.searchsorted(self.used, w.h), len(self.used) - 1)
         out = np.zeros(len(w.h) + len(w.first) - 1, np.int64)
-        out[np.arange(len(w.h)) + w.doc] = np.where(self.used[at] == w.h, at + 2, 1)
+        out[np.arange(len(w.h)) + w.doc] = numbered(w.h, self.used) + 1
         return _letters(out)
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -103,6 +102,7 @@ class Items:
         found = np.array(list(self.find(self._line(w))), np.int64).reshape(-1, 2)
         if not len(found):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), items
+        hashes = {}
         word = np.searchsorted(np.arange(len(w.h)) + w.doc, found[:, 0] - self.length[found[:, 1]] + 1)
         for c in range(self.known.shape[1]):
             m, o = self.known[found[:, 1], c].T
@@ -111,7 +111,9 @@ class Items:
                 s = np.unique((word - o)[m == x])
                 s = s[(s >= 0) & (s + x <= len(w.h))]
                 s = s[w.doc[s] == w.doc[s + x - 1]]
-                first, second = (_runs(w.h, x, base)[s] for base in _BASES[:2])
+                if x not in hashes:
+                    hashes[x] = [_runs(w.h, x, base) for base in _BASES[:2]]
+                first, second = (h[s] for h in hashes[x])
                 lo, hi = np.searchsorted(a, first, "left"), np.searchsorted(a, first, "right")
                 for shift in range(int((hi - lo).max(initial=0))):  # nearly always one
                     j = lo + shift
