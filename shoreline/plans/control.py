@@ -51,7 +51,7 @@ def support(pixels: DataFrame, frame: Frame, settings: Settings) -> tuple[DataFr
     factor = topology.coarse_factor(settings.topology_m, max(1e-3, frame.pixel_m()))
     coarse = stored(topology.downsample(pixels, factor, frame.height, frame.width).where("valid_n > 0"), "coarse")
     named = topology.components(coarse.where(F.col("fraction") >= settings.fraction).select("r", "c"))
-    return coarse.select("r", "c"), named.withColumn("component", F.col("component") + 1), factor
+    return coarse.select("r", "c"), stored(named.withColumn("component", F.col("component") + 1), "components"), factor
 
 
 def coarse_cell(frame: Frame, factor: int, x: Column, y: Column) -> tuple[Column, Column]:
@@ -209,7 +209,8 @@ def control_grid(pixels: DataFrame, frame: Frame, model: TideModel, times: DataF
         flags = lambda: nodes.all().select("node_id", "valid", "component_id")
         dry = points.join(flags(), "node_id").groupBy("cell").agg(F.bool_or("valid").alias("any")).where("not any").select("cell")
         probes = stored(_points(cells.join(dry, "cell", "left_semi"), edges, frame.projected), "probes")
-        nodes.evaluate(probes)
+        if not probes.isEmpty():
+            nodes.evaluate(probes)
         wet = probes.join(flags(), "node_id").groupBy("cell").agg(F.bool_or("valid").alias("probe"))
         of = points.join(nodes.all().select("node_id", "valid", "component_id", "levels"), "node_id")
         at = F.col("place") < 4

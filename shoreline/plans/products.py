@@ -108,7 +108,11 @@ def inundation_from_cache(pixels: DataFrame, frame: Frame, path: str) -> DataFra
 
 def inundation(pixels: DataFrame, frame: Frame, model: TideModel, window: Window, settings: Settings = Settings(), offset=None) -> DataFrame:
     """The same straight from the tide model: control grid, then pixels."""
-    grid = control.control_grid(pixels, frame, model, window.times(pixels.sparkSession), settings, offset)
+    return inundation_of(control.control_grid(pixels, frame, model, window.times(pixels.sparkSession), settings, offset), pixels, frame, settings)
+
+
+def inundation_of(grid: dict, pixels: DataFrame, frame: Frame, settings: Settings) -> DataFrame:
+    """The same from a control grid that is there."""
     rows = _placed(pixels, frame, grid["cells"], grid["nodes"], settings, grid["components"], grid["factor"])
     return _whole(pixels, frame, blocks.frequencies(grid["cells"], rows, _water(grid, "tide"), "pixel"), qc.NODATA)
 

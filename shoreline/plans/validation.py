@@ -8,14 +8,16 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoreline.functions import geo, tide
+from shoreline.functions import geo, tide, timegrid
+from shoreline.operators import cells, frequency, gridcells, metrics, sampling
 from shoreline.operators import exposure as stations
-from shoreline.operators import frequency, gridcells, metrics, sampling
-from shoreline.plans import products
+from shoreline.plans import control, products
 from shoreline.plans.control import Settings
+from shoreline.plans.rasters import attribute
 from shoreline.sources import products as stored
 from shoreline.sources import rasters
 from shoreline.sources.rasters import Frame
+from shoreline.sources.tables import stored as stored_table
 
 
 def against_direct(pixels: DataFrame, frame: Frame, model, window: products.Window, product: DataFrame, n: int = 1000, seed: int = 42, least_finite: float = 0.8) -> DataFrame:
@@ -145,3 +147,26 @@ def timed(steps: dict) -> list[tuple[str, float, int]]:
         rows = step().count()
         out.append((name, time.monotonic() - began, rows))
     return out
+
+
+def master(folder: str, pixels: DataFrame, frame: Frame, model, window: products.Window, settings: Settings, mdt: DataFrame, x: gridcells.Axis, y: gridcells.Axis, delta_n, quantiles: list[float]) -> dict[str, DataFrame]:
+    """The whole verification of a raster: classes of its control nodes (with the levels of their cells), geometry of those that lack topography, the triangle
+    test there, the hold-out of every fifth node with topography, why pixels have no solution, sensitivity to a step twice as long, and the
+    register of files. Gives the tables, which are written under `folder`. mdt: the topography grid; delta_n(lon, lat): an expression."""
+    grid = control.control_grid(pixels, frame, model, window.times(pixels.sparkSession), settings)
+    nodes = grid["nodes"]
+    at = gridcells.geometry(nodes, mdt, x, y, "node_id").select("node_id", "kind", F.when(F.col("kind") == gridcells.TYPE_4, F.col("value")).alias("mdt"))
+    known = nodes.drop("offset").join(at, "node_id").withColumn("dn", delta_n(F.col("lon"), F.col("lat"))).withColumn("total", F.col("mdt") + F.col("dn"))
+    diagnosis = stored_table(products.node_diagnosis(grid | {"nodes": known}, F.col("mdt"), F.col("dn"), F.col("total")).join(known.select("node_id", "lon", "lat", "kind", "mdt"), "node_id"), "diagnosis")
+    bare = diagnosis.where(F.col("class") == metrics.NO_MDT)
+    product = products.inundation_of(grid, pixels, frame, settings)
+    placed = cells.membership(frame.centers(pixels.where(F.col("z").isNotNull())).withColumn("pixel", F.col("row").cast("long") * frame.width + F.col("col")), grid["cells"], "pixel", *frame.bounds[2:], max(frame.steps(settings.least_m)), carry=("row", "col"))
+    qc = product.where("qc <> 65535").join(placed.select("row", "col", "cell_id"), ["row", "col"], "left").select("cell_id", "qc")
+    step = timegrid.step_seconds(window.freq)
+    every = grid["tide"].select("node_id", "t", "level")
+    second = every.where((timegrid.seconds(F.col("t")) - window.seconds()[0]) % (2 * step) == 0)
+    results = {
+        "classes": metrics.class_counts(diagnosis.select(F.col("low").alias("level"), "class")), "geometry": bare.groupBy("kind").agg(F.count("*").alias("n")), "triangle": triangle_truth(mdt, x, y, diagnosis, "node_id"),
+        "holdout": holdout(diagnosis, "node_id", "mdt", F.pmod(F.xxhash64("node_id"), F.lit(5)) == 0), "causes": attribute(qc, grid["cells"], diagnosis), "sensitivity": sensitivity(every, second, "node_id", "level", quantiles),
+    }
+    return results | {"register": evidence(results, folder)}
