@@ -340,7 +340,7 @@ def inundation_at_centre(spark, d):
     return products.at_centre(p, frame(p), tide.Synthetic(), DAY).withColumn("frequency", r("frequency"))
 
 
-@query(f"with {PIXELS}, {HOURS}, w as (select row, col, z, pixel, x lon, y lat, s from pixels, (select 1704067200 + 6 * 3600 s)) select row, col, round(case when z is not null and pixel % 12 <> 0 then {LEVEL}::float::double + pixel % 5 / 10.0::double end, 4) water, (case when z is null then 65535 else case when pixel % 12 = 0 then 8 else 0 end | case when pixel % 9 = 0 then 16 else 0 end end)::int qc from w")
+@query(f"with {PIXELS}, {HOURS}, w as (select row, col, z, pixel, x lon, y lat, s from pixels, (select 1704067200 + 6 * 3600 s)) select row, col, round(case when z is not null and pixel % 12 <> 0 then ({LEVEL}::float::double + pixel % 5 / 10.0::double)::float::double end, 4) water, (case when z is null then 65535 else case when pixel % 12 = 0 then 8 else 0 end | case when pixel % 9 = 0 then 16 else 0 end end)::int qc from w")
 def snapshot_run(spark, d):
     """Water and bits of every pixel at one time, with static offsets of which some are missing or approximate."""
     p = pixels(spark, d)
