@@ -36,6 +36,6 @@ def test_leave_one_out(spark):
 
 def test_every_anchor_is_in_a_bin(spark):
     d = "/root/testdata/sf0.01"
-    rows = catalogue.QUERIES["loocv_anchors"](spark, d).collect()
+    rows = catalogue.QUERIES["loocv_bins"](spark, d).collect()
     assert sum(r.n for r in rows) == spark.read.parquet(f"{d}/supplier.parquet").count() and len(rows) > 1
     assert {r.bin for r in rows} <= {"0-0.5", "0.5-1", "1-2", "2-4", ">4"} and metrics.BINS == (0.5, 1.0, 2.0, 4.0)
