@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -14,7 +15,8 @@ from shoreline.sources.tables import stored as written  # noqa: F401
 
 #: Word bytes: everything but space and \t \n \v \f \r. All separators are ASCII, so this holds byte-wise on UTF-8.
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 2 << 20
+#: Text that is worked on at once; numpy takes some 40 bytes for each.
+SLICE_BYTES = 1 << 20
 MAX_BLOCKS = 1 << 20
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -46,6 +48,25 @@ def crc_mod(col, n: int):
 # ---------------------------------------------------------------- words of Arrow text
 
 
+@functools.cache
+def _libc():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def trimmed(batches):
+    """The batches, giving freed memory back to the system after each: a worker lives on between tasks, and what it holds counts against its executor."""
+    for b in batches:
+        yield b
+        pa.default_memory_pool().release_unused()
+        if _libc() is not None:
+            _libc().malloc_trim(0)
+
+
 def as_strings(col: pa.Array) -> pa.Array:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     return (col if pa.types.is_large_string(col.type) else col.cast(pa.large_string())).fill_null("")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.llm.base import LOWER, as_strings, column, raw, read, slices, spans, table_of, word_hashes
+from shoreline.llm.base import LOWER, as_strings, column, raw, read, slices, spans, table_of, trimmed, word_hashes
 from shoreline.llm.passages import _BASES, _letters, _runs, anchors, numbered
 
 WINDOW, PHRASE = 10, 3
@@ -148,7 +148,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, d
 
     def run(batches):
         known = Items(shared.value, n)
-        for b in batches:
+        for b in trimmed(batches):
             col = as_strings(b.column(1))
             for i, k in slices(col):
                 w = Words(col.slice(i, k))
@@ -175,7 +175,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW,
 
     def run(batches):
         known = Items(shared.value, n)
-        for b in batches:
+        for b in trimmed(batches):
             col, clean = as_strings(b.column(at)), np.ones(b.num_rows, bool)
             for i, k in slices(col):
                 w = Words(col.slice(i, k))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.llm.base import as_strings, freed, hashed_words, mix, read, slices, small, written
+from shoreline.llm.base import as_strings, freed, hashed_words, mix, read, slices, small, trimmed, written
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -140,10 +140,10 @@ def signed(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
 
     def run(batches):
-        for b in batches:
+        for b in trimmed(batches):
             nodes, keys = [], []
             col = as_strings(b.column(0))
-            for i, k in slices(col, 4 << 20):
+            for i, k in slices(col):
                 h, n = hashed_words(col.slice(i, k))
                 d, s, w = bags(*shingles(h, n))
                 nodes.append(content(h, n))
@@ -159,7 +159,7 @@ def sketches(docs: DataFrame, text: str) -> DataFrame:
     """node and bag (sorted 64-bit hashes of shingle and number of its occurrence) of every row with words."""
 
     def run(batches):
-        for b in batches:
+        for b in trimmed(batches):
             nodes, bag = [], []
             col = as_strings(b.column(0))
             for i, k in slices(col):
@@ -195,7 +195,7 @@ def compared(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
     """Those of the pairs a, b that link."""
 
     def run(batches):
-        for b in batches:
+        for b in trimmed(batches):
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -211,7 +211,7 @@ def stars(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
     share = threshold / (1 + threshold)
 
     def run(batches):
-        for b in batches:
+        for b in trimmed(batches):
             link, g, room, parts = [], [], [], []
             for x, z in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 x, z = np.frombuffer(x, np.uint64), np.frombuffer(z, np.uint64)

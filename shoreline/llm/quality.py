@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.llm.base import SPACES, as_strings, hashed_words, mix, raw, read, slices, spans, written
+from shoreline.llm.base import SPACES, as_strings, hashed_words, mix, raw, read, slices, spans, trimmed, written
 
 SYMBOLS = "#*$%&|<>"
 #: Scores and their cutoffs, most lenient first.
@@ -88,7 +88,7 @@ def measure(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_
     names = [*carry, *(x.split()[0] for x in FEATURES.split(", "))]
 
     def run(batches):
-        for b in batches:
+        for b in trimmed(batches):
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *map(pa.array, features(as_strings(b.column(0))))], names=names)
 
     return docs.select(text, *carry).mapInArrow(run, f"{kinds}, {FEATURES}")
@@ -139,7 +139,7 @@ def learn_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, alpha: f
     kind = table.schema["stratum"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in trimmed(batches):
             rows = []
             for r in b.to_pylist():
                 counts = {x: [(r[f"{x}_{k}_1"], r[f"{x}_{k}_0"]) for k in range(len(cs))] for x, cs in rules.items()}

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.llm.base import as_strings, column, raw, read, slices, text_bytes, word_hashes, written
+from shoreline.llm.base import as_strings, column, raw, read, slices, text_bytes, trimmed, word_hashes, written
 
 SPACE = "▁"
 #: Text of a slice, and pre-tokens of a shard.
@@ -127,7 +127,7 @@ def _sliced(docs: DataFrame, doc_id: str, text: str, shards: int) -> DataFrame:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        for b in batches:
+        for b in trimmed(batches):
             col = as_strings(b.column(1))
             _, off = raw(col)
             for i, k in slices(col, SLICE_TEXT):
@@ -161,7 +161,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, doc_id: str = "
     if not PieceCounter(model).separable:
 
         def whole(batches):
-            for b in batches:
+            for b in trimmed(batches):
                 col = as_strings(b.column(1))
                 n = np.array(counter(model).whole(col.to_pylist()), np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(raw(col)[1])), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])

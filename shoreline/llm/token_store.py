@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shoreline.llm.base import as_strings, read, scratch, slices
+from shoreline.llm.base import as_strings, read, scratch, slices, trimmed
 
 MAGIC = b"SHLDAC1\0"
 HEAD = struct.Struct("<8sIIQI")
@@ -234,7 +234,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
 
         enc, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in trimmed(batches):
             col, names = as_strings(b.column(1)), b.column(0).to_pylist()
             for i, k in slices(col, SEGMENT_TEXT):
                 coded = enc.encode(col.slice(i, k).to_pylist())
@@ -262,7 +262,7 @@ def read_documents(spark: SparkSession, path: str, ids: bool = False) -> DataFra
     """doc_id, start, n_tokens, ids_crc32 of every document of a store and, where asked for, its ids."""
 
     def run(batches):
-        for b in batches:
+        for b in trimmed(batches):
             for first, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seg = Segment(data)
                 flat, at = seg.ids().astype("<u4", copy=False), seg.starts

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.llm.base import as_strings, crc_mod, freed, read, written
+from shoreline.llm.base import as_strings, crc_mod, freed, read, trimmed, written
 
 WORDS = 12
 TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_CHARS = 2000, 4000, 32_000
@@ -238,7 +238,7 @@ def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: st
     def run(batches):
         m = shared.value
         plain, both = (compressor(m.ordinary), compressor(m.toxic + m.ordinary)) if m else (None, None)
-        for b in batches:
+        for b in trimmed(batches):
             texts = as_strings(b.column(1))
             s = m(np.array([features(t.as_py(), plain, both) for t in texts]).reshape(-1, 8)) if m else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), *b.columns[2:]], names=["doc_id", "score", *carry])
@@ -253,7 +253,7 @@ def keep_clean(docs: DataFrame, model: Model | None, text: str = "text") -> Data
     def run(batches):
         m = shared.value
         plain, both = (compressor(m.ordinary), compressor(m.toxic + m.ordinary)) if m else (None, None)
-        for b in batches:
+        for b in trimmed(batches):
             if m is None or not b.num_rows:
                 yield b
             else:
