@@ -119,7 +119,7 @@ def test_master_verification(spark, tmp_path):
     f = rasters.Frame(122.0, 31.03, 0.001, -0.001, 40, 30)
     g = spark.range(400).select((F.col("id") % 20).alias("i"), F.expr("id div 20").alias("j"), F.when(F.col("id") % 20 > 8, F.col("id") % 7 / 10.0 + 0.1).alias("val"))
     x, y = gridcells.Axis(121.99, 0.0035, 20), gridcells.Axis(30.99, 0.0035, 20)
-    s = control.Settings(1000.0, 500.0, 0.5, topology_m=300.0)
+    s = control.Settings(1000.0, 1000.0, 0.5, topology_m=300.0)
     day = products.Window(datetime(2024, 1, 1), datetime(2024, 1, 2), "1h")
     got = validation.master(f"file://{tmp_path}/m", rasters.terrain(spark, "beach", 40, 30), f, tide.Synthetic(valid=lambda lon, lat: lon > 122.006), day, s, g, x, y, lambda lon, lat: lon * 0 + 0.3, [0.1, 0.5, 0.9])
     c = {r["class"][0]: r.n for r in got["classes"].where("class is not null and level is not null").groupBy("class").agg(F.sum("n").alias("n")).collect()}

@@ -32,7 +32,11 @@ def tidy(df: pd.DataFrame) -> pd.DataFrame:
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+#: Whole runs, whose plans tests/coast/test_control.py and test_runs.py hold against plain Python on smaller rasters.
+RUNS = {"inundation_run", "exposure_run", "profile_basins"}
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - RUNS))
 def test_query(spark, duck, name):
     got = catalogue.QUERIES[name](spark, DIR).toPandas()
     if name in catalogue.ORACLE:
