@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shoreline.llm import decontaminate, lm_scoring, mixing, near_dedup, passages, quality, sharding, token_counts, token_store, toxicity
+from shoreline.llm import byte_bpe, decontaminate, divergence, lm_scoring, mixing, near_dedup, passages, quality, sharding, snapshot_diff, token_counts, token_store, toxicity
 
-MODULES = (passages, mixing, token_store, toxicity, lm_scoring, sharding, decontaminate, near_dedup, token_counts, quality)
+MODULES = (passages, mixing, token_store, toxicity, lm_scoring, sharding, decontaminate, near_dedup, token_counts, quality, divergence, byte_bpe, snapshot_diff)
 
 
 def queries() -> dict:
