@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.llm.base import LOWER, as_strings, column, raw, read, slices, spans, table_of, trimmed, word_hashes
-from shoreline.llm.passages import _BASES, _letters, _runs, anchors, numbered
+from shoreline.llm.base import LOWER, as_strings, column, numbered, raw, read, renamed, slices, spans, table_of, trimmed, word_hashes
+from shoreline.llm.passages import _BASES, _letters, _runs, anchors
+from shoreline.llm.passages import numbered as numbered_words
 
 WINDOW, PHRASE = 10, 3
 #: Bytes of item text that may be sent to every executor.
@@ -91,7 +92,7 @@ class Items:
     def _line(self, w: Words) -> str:
         """One character a word, and one between texts."""
         out = np.zeros(len(w.h) + len(w.first) - 1, np.int64)
-        out[np.arange(len(w.h)) + w.doc] = numbered(w.h, self.used) + 1
+        out[np.arange(len(w.h)) + w.doc] = numbered_words(w.h, self.used) + 1
         return _letters(out)
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -182,7 +183,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW,
                 clean[i + w.doc[known.hits(w)[0]]] = False
             yield b.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(*numbered(docs.columns))
+    return rows.mapInArrow(run, rows.schema).select(*renamed(docs.columns))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

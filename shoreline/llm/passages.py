@@ -17,7 +17,7 @@ What is exchanged goes by hash, each block giving a phrase once however often it
 all documents share costs a shard one entry a block. Nothing is collected; the texts are shuffled once.
 
 Cases: null texts have no words; rows with equal doc_id are ordered by text, and equal rows count as earlier and later;
-null doc_ids come first; documents shorter than a window keep all; a very long text is in one block, in memory as about 50 bytes a word; empty tables give empty results; other columns are ignored.
+null doc_ids come first; ids that are no integers are an error; documents shorter than a window keep all; a very long text is in one block, in memory as about 50 bytes a word; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.llm.base import as_strings, block_count, hashed_words, in_blocks, mix, read
+from shoreline.llm.base import as_strings, block_count, column, hashed_words, in_blocks, mix, read
 
 WINDOW, NAME = 20, 5
 BLOCK_TEXT = 4 << 20
@@ -166,7 +166,7 @@ def numbered(words: np.ndarray, used: np.ndarray) -> np.ndarray:
 
 def locate(words: np.ndarray, phrases: np.ndarray, offsets: np.ndarray, size: int = NAME) -> np.ndarray:
     """Starts of windows that occurrences of the phrases propose. A phrase is `size` words from a place in `phrases`; the window that it
-    stands for starts as many words (under 64) before as `offsets` says.
+    stands for starts as many words before as `offsets` says.
 
     The distinct phrases are compiled into automata of about PHRASES words; all words are streamed through each, and every
     occurrence proposes the windows of its phrase, wherever it stands."""
@@ -177,7 +177,9 @@ def locate(words: np.ndarray, phrases: np.ndarray, offsets: np.ndarray, size: in
     name = _runs(words, size, _BASES[2])[phrases]
     order = np.argsort(name, kind="stable")
     first = np.flatnonzero(np.concatenate(([True], name[order][1:] != name[order][:-1])))
-    before = np.bitwise_or.reduceat(np.uint64(1) << offsets[order].astype(np.uint64), first)  # a bit for each offset of a phrase
+    kind = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    kind, before = np.divmod(np.unique(kind * (int(offsets.max()) + 1) + offsets[order]), int(offsets.max()) + 1)  # the distinct offsets of each phrase
+    at = np.searchsorted(kind, np.arange(len(first) + 1))
     place, step, proposed = phrases[order][first], max(1, PHRASES // size), []
     for i in range(0, len(place), step):
         here = place[i : i + step]
@@ -188,9 +190,9 @@ def locate(words: np.ndarray, phrases: np.ndarray, offsets: np.ndarray, size: in
             a.add_word(line[p : p + size], k)
         a.make_automaton()
         ends, kinds = np.array(list(a.iter(line)), np.int64).reshape(-1, 2).T
-        start, bits = ends - size + 1, before[i + kinds]
-        for o in range(int(bits.max(initial=0)).bit_length()):
-            proposed.append(start[(bits >> np.uint64(o)) & np.uint64(1) > 0] - o)
+        n = at[i + kinds + 1] - at[i + kinds]
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        proposed.append(np.unique(np.repeat(ends - size + 1, n) - before[np.repeat(at[i + kinds], n) + nth]))
     found = np.unique(np.concatenate(proposed)) if proposed else np.zeros(0, np.int64)
     return found[found >= 0]
 
@@ -205,9 +207,11 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     """doc_id, n_words, n_removed, removed (runs of word places) and kept (the other words, one space between) of
     every row of docs."""
     id_type = docs.schema[doc_id].dataType.simpleString()
+    if id_type not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"documents are put in order by an integer, not by {id_type}")
     blocks, total = block_count(docs, text, block_text)
     bits = max(6, math.ceil(math.log2(max(1, total * 0.2 / SHARD_BYTES))))
-    rows = in_blocks(docs.select(F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("_text")), "_id", "_text", blocks)
+    rows = in_blocks(docs.select(column(doc_id).alias("_id"), F.coalesce(column(text), F.lit("")).alias("_text")), "_id", "_text", blocks)
     by_block = lambda: rows.select("block", "_id", "_text").groupBy("block")
 
     def name(table):

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.llm.base import as_strings, crc_mod, freed, read, trimmed, written
+from shoreline.llm.base import as_strings, crc_mod, freed, numbered, read, renamed, trimmed, written
 
 WORDS = 12
 TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_CHARS = 2000, 4000, 32_000
@@ -259,7 +259,8 @@ def keep_clean(docs: DataFrame, model: Model | None, text: str = "text") -> Data
             else:
                 yield b.filter(pa.array(m(np.array([features(t.as_py(), plain, both) for t in as_strings(b.column(at))])) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(*numbered(docs.columns))
+    return rows.mapInArrow(run, rows.schema).select(*renamed(docs.columns))
 
 
 def learnable(doc_id):

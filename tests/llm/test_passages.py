@@ -46,6 +46,23 @@ def test_brute_force(spark, block):
         assert {k for s in x.removed for k in range(s.first, s.last + 1)} == gone
 
 
+@pytest.mark.parametrize("window", [60, 69, 100, 200])
+def test_long_windows(spark, window):
+    """Phrases that stand for windows which begin 64 words and more before them."""
+    r = random.Random(window)
+    text = lambda n: " ".join(f"w{r.randrange(400)}" for _ in range(n))
+    shared = [text(window), text(window), text(3 * window)]
+    docs = [(k, " ".join((text(r.randrange(30)), r.choice(shared), text(r.randrange(30))))) for k in range(60)]
+    got = sorted(drop_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), window=window, block_text=20_000).collect(), key=lambda x: x.doc_id)
+    assert [(x.n_words, x.n_removed, x.kept) for x in got] == [(n, len(gone), kept) for n, gone, kept in brute(docs, window)]
+    assert sum(x.n_removed for x in got) > 50 * window
+
+
+def test_string_ids_are_refused(spark):
+    with pytest.raises(TypeError):
+        drop_repeats(spark.createDataFrame([("k", "a b")], "doc_id string, text string"))
+
+
 def test_equal_ids_and_nulls(spark):
     long = " ".join(map(str, range(50)))
     rows = [(None, long), (7, long), (7, long), (7, "0 " + long), (None, None), (-3, "x " + long)]

@@ -81,7 +81,7 @@ def test_odd_tables(spark, tmp_path):
     def write(folder, docs):
         folder.mkdir()
         i, s = pa.int64(), pa.string()
-        names = {"doc_id": i, "text": s, "lang": s, "source": s, "n_chars": i, "size": s, "node": s, "_key": i, "_h": s, "shard": s}
+        names = {"doc_id": i, "text": s, "lang": s, "source": s, "n_chars": i, "size": s, "node": s, "_key": i, "_h": s, "shard": s, "a.b": s}
         pq.write_table(pa.table({c: pa.array([d.get(c) for d in docs], k) for c, k in names.items()}), folder / "documents.parquet")
         pq.write_table(pa.table({"doc_id": pa.array([], i), "toxic": pa.array([], pa.int32())}), folder / "labels.parquet")
         pq.write_table(pa.table({"item_id": pa.array([], i), "text": pa.array([], s)}), folder / "benchmark.parquet")
@@ -90,11 +90,11 @@ def test_odd_tables(spark, tmp_path):
     assert write(tmp_path / "empty", []).count() == 0
     r = random.Random(5)
     long = " ".join(f"w{r.randrange(10**6)}" for _ in range(200_000))
-    docs = [{"doc_id": None, "text": "a b c d e f", "source": None}, {"doc_id": 1, "text": long, "source": "a", "size": "keep", "_key": 7, "_h": "h"}, {"doc_id": 2, "text": None, "source": "a"}, {"doc_id": 3, "text": "x" * 2_000_000, "source": "b"}]
+    docs = [{"doc_id": None, "text": "a b c d e f", "source": None}, {"doc_id": 1, "text": long, "source": "a", "size": "keep", "_key": 7, "_h": "h", "a.b": "dot"}, {"doc_id": 2, "text": None, "source": "a"}, {"doc_id": 3, "text": "x" * 2_000_000, "source": "b"}]
     docs += [{"doc_id": 4, "text": "p q r s t u v", "source": "b", "node": "n"}] * 5
     got = write(tmp_path / "odd", docs).collect()
     assert {x.doc_id for x in got} == {None, 1, 3, 4} and {x.text for x in got if x.doc_id == 1} == {long}
-    assert {(x.size, x._key, x._h) for x in got if x.doc_id == 1} == {("keep", 7, "h")} and {x.node for x in got if x.doc_id == 4} == {"n"}
+    assert {(x.size, x._key, x._h, x["a.b"]) for x in got if x.doc_id == 1} == {("keep", 7, "h", "dot")} and {x.node for x in got if x.doc_id == 4} == {"n"}
     assert all(x.shard is not None for x in got) and max(Counter(x.doc_id for x in got).values()) <= 3
 
 
