@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shoreline.operators import mesh as mesh_ops
 from shoreline.operators import sampling
 from shoreline.plans import geoid
 from shoreline.queries import PIXELS, PX, WIDTH, pixels, query, r, rd
@@ -67,7 +68,7 @@ def geotiff_grid_sample(spark, d):
     return sampling.bilinear(points, grid, "id", "x", "y").select("id", r("value", 8).alias("value"))
 
 
-@query(f"with {PIXELS}, q as (select row, col, case when row % 7 <> 0 then z * 0.5::double + 1 end z from pixels), j as (select a.z::float - b.z::float v from pixels a join q b using (row, col)) select count(v)::bigint n, round(min(v), 4) low, round(max(v), 4) high, round(avg(v::double), 4) mean, round(stddev_pop(v::double), 4) spread from j")
+@query(f"with {PIXELS}, q as (select row, col, case when row % 7 <> 0 then z * 0.5::double + 1 end z from pixels), j as (select a.z::float - b.z::float v from pixels a join q b using (row, col)) select count(v)::bigint n, round(min(v)::double, 4) low, round(max(v)::double, 4) high, round(avg(v::double), 4) mean, round(stddev_pop(v::double), 4) spread from j")
 def geotiff_geoid_difference(spark, d):
     """Two geoids in files, and their difference in a third, read again."""
     one, two, out = written_orders(spark, d), scratch(spark, "second-geoid"), scratch(spark, "difference")
@@ -76,3 +77,43 @@ def geotiff_geoid_difference(spark, d):
     geoid.write_geoid_difference(spark, one, two, out, "first", "second", block=BLOCK, tile=TILE)
     v = geotiff.read_raster(spark, out).where("z is not null").select(F.col("z").alias("v"))
     return v.agg(F.count("v").alias("n"), r(F.min("v"), 4).alias("low"), r(F.max("v"), 4).alias("high"), r(F.avg("v"), 4).alias("mean"), r(F.stddev_pop("v"), 4).alias("spread"))
+
+
+# ---------------------------------------------------------------- a mesh of suppliers
+
+#: Suppliers are the nodes of a jittered lattice of five columns, customers the places.
+_NODES = """lattice as (select greatest(1, max(s_suppkey) // 5) n from supplier),
+ nodes as (select s_suppkey k, s_suppkey, 100.0::double + (s_suppkey % 5 + s_nationkey % 7 / 20.0::double) * 0.5::double lon, 20.0::double + (s_suppkey // 5 + s_suppkey % 4 / 10.0::double) * (50.0::double / n) lat,
+   50.0::double + s_acctbal / 100.0::double m2, radians(s_nationkey * 13.0::double) m2p, case when s_suppkey % 19 <> 0 then s_suppkey % 50 + 1.0::double end s2, radians(s_suppkey * 7 % 360 * 1.0::double) s2p from supplier, lattice)"""
+
+
+@query(f"""with {_NODES}, q as (select a.k, a.k n1, b.k n2, c.k n3, d.k n4 from nodes a join nodes b on b.k = a.k + 1 join nodes c on c.k = a.k + 5 join nodes d on d.k = a.k + 6 where a.k % 5 < 4),
+ t as (select 2 * k triangle, n1 a, n2 b, n3 c from q union all select 2 * k + 1, n4, n3, n2 from q),
+ g as (select triangle, a, b, c, p.lon x1, p.lat y1, q.lon - p.lon ax, q.lat - p.lat ay, r.lon - p.lon bx, r.lat - p.lat by_ from t join nodes p on p.k = a join nodes q on q.k = b join nodes r on r.k = c),
+ pt as (select c_custkey id, 100.0::double + c_custkey * 37 % 1000 / 1000.0::double * 2.3::double x, 20.0::double + c_custkey * 61 % 997 / 997.0::double * 52.0::double y from customer),
+ w as (select id, triangle, a, b, c, ((x - x1) * by_ - bx * (y - y1)) / (ax * by_ - bx * ay) l2, (ax * (y - y1) - (x - x1) * ay) / (ax * by_ - bx * ay) l3 from pt join g on abs(x - x1) < 2 and abs(y - y1) <= 4 * (select 50.0::double / n from lattice)),
+ h as (select * from w where least(1 - l2 - l3, l2, l3) >= -1e-9 qualify row_number() over (partition by id order by triangle) = 1)
+ select id, triangle, {", ".join(f"round((1 - l2 - l3) * p.{c} * {f}(p.{c}p) + l2 * q.{c} * {f}(q.{c}p) + l3 * r.{c} * {f}(r.{c}p), 6) {c}_{n}" for c in ("m2", "s2") for f, n in (("cos", "re"), ("sin", "im")))}
+ from h join nodes p on p.k = a join nodes q on q.k = b join nodes r on r.k = c""")
+def mesh_constants(spark, d):
+    """Constants of a mesh at places: the mesh is written by tiles, and what the box of the places meets is read."""
+    s = rd(spark, d, "supplier")
+    n = max(1, s.agg(F.max("s_suppkey").alias("k")).first()["k"] // 5)
+    k = F.col("s_suppkey").cast("long")
+    lon, lat = F.lit(100.0) + (k % 5 + F.col("s_nationkey") % 7 / 20.0) * 0.5, F.lit(20.0) + (F.expr("s_suppkey div 5") + F.col("s_suppkey") % 4 / 10.0) * (50.0 / n)
+    nodes = s.select(k.alias("node"), lon.alias("lon"), lat.alias("lat"))
+    waves = [("M2", 50.0 + F.col("s_acctbal") / 100.0, F.col("s_nationkey") * 13.0), ("S2", F.when(F.col("s_suppkey") % 19 != 0, F.col("s_suppkey") % 50 + 1.0), F.col("s_suppkey") * 7 % 360 * 1.0)]
+    constants = s.select(k.alias("node"), F.inline(F.array(*(F.struct(F.lit(c).alias("constituent"), a.cast("double").alias("amp_cm"), p.cast("double").alias("phase_deg")) for c, a, p in waves))))
+    node = F.col("node")
+    whole = nodes.select("node").where(node % 5 < 4).join(nodes.select((node - 6).alias("node")), "node", "left_semi")
+    triangles = whole.select(F.inline(F.array(F.struct((2 * node).alias("triangle"), F.array(node, node + 1, node + 5).alias("nodes")), F.struct((2 * node + 1).alias("triangle"), F.array(node + 6, node + 5, node + 1).alias("nodes")))))
+    path = scratch(spark, "mesh")
+    mesh_ops.write_mesh(triangles, nodes, constants, path, ["M2", "S2"])
+    c = F.col("c_custkey")
+    places = rd(spark, d, "customer").select(c.alias("id"), (F.lit(100.0) + c * 37 % 1000 / 1000.0 * 2.3).alias("lon"), (F.lit(20.0) + c * 61 % 997 / 997.0 * 52.0).alias("lat"))
+    mesh = mesh_ops.Mesh(spark, path)
+    box = mesh_ops.box_around(places, 0.0)
+    with mesh.scope(box):
+        triangle = mesh.locate(places, mesh.tables(box)[0], "id").select("id", "triangle")
+        found = mesh.interpolate(places, "id", box).join(triangle, "id", "right")
+    return found.select("id", "triangle", *(r(F.col(p)[k]).alias(f"{c}_{p}") for k, c in enumerate(("m2", "s2")) for p in ("re", "im")))
