@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoreline.operators.frequency import finite
+
 #: Names of targets and their aliases.
 TARGETS = {"msl": "msl", "mdt_ref": "mdt_ref", "goco": "mdt_ref", "goco06s": "mdt_ref", "egm2008": "egm2008", "egm": "egm2008", "both": "egm2008", "wgs84": "wgs84", "wgs": "wgs84", "all": "all"}
 #: Labels.
@@ -96,8 +98,8 @@ def static_offset(target: str, mdt: Column, dn: Column, n: Column) -> Column:
 
 
 def to_msl(z: Column, mdt: Column, dn: Column, qc: Column) -> tuple[Column, Column]:
-    """Terrain over mean sea level, and the conversion's quality (2 where an input is missing)."""
-    ok = z.isNotNull() & mdt.isNotNull() & dn.isNotNull() & (qc != 2)
+    """Terrain over mean sea level, and the conversion's quality (2 where an input is missing or not finite)."""
+    ok = finite(z).isNotNull() & finite(mdt).isNotNull() & finite(dn).isNotNull() & F.coalesce(qc != 2, F.lit(False))
     return F.when(ok, z - mdt - dn), F.when(ok, qc).otherwise(2)
 
 

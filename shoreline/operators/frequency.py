@@ -39,11 +39,13 @@ def packed_frequency(levels: Column, z: Column, percent: bool = True) -> Column:
 
 
 def extremes(series: DataFrame, key: str = "node_id", level: str = "level") -> DataFrame:
-    return series.groupBy(key).agg(F.max(level).alias("high"), F.min(level).alias("low"), (F.max(level) - F.min(level)).alias("range"))
+    """key, high, low, range of the finite levels; null where there is none."""
+    h = finite(F.col(level))
+    return series.groupBy(key).agg(F.max(h).alias("high"), F.min(h).alias("low"), (F.max(h) - F.min(h)).alias("range"))
 
 
 def empirical_rank(series: DataFrame, key: str, level: str, order: str) -> DataFrame:
-    """Share of the levels of the key that are above each level."""
+    """Share of the finite levels of the key that are above each of them."""
     from pyspark.sql.window import Window
 
-    return series.where(F.col(level).isNotNull()).select(key, order, level, (1.0 - F.cume_dist().over(Window.partitionBy(key).orderBy(level))).alias("share_above"))
+    return series.where(finite(F.col(level)).isNotNull()).select(key, order, level, (1.0 - F.cume_dist().over(Window.partitionBy(key).orderBy(level))).alias("share_above"))

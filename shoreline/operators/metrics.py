@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shoreline.operators.frequency import finite
+from shoreline.operators.quantiles import SMALL, percentiles
 
 #: Fixed values: (grade, largest MAE, P95 and maximum in percentage points); fewer than LEAST_N pairs give no grade.
 GATES, LEAST_N = (("STRONG PASS", 0.5, 1.0, 5.0), ("PASS", 1.0, 2.0, 5.0)), 20
@@ -14,12 +15,16 @@ GATES, LEAST_N = (("STRONG PASS", 0.5, 1.0, 5.0), ("PASS", 1.0, 2.0, 5.0)), 20
 BINS = (0.5, 1.0, 2.0, 4.0)
 
 
-def errors(pairs: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
-    """n, bias, mae, rmse, p50, p90, p95, p99, worst of a - b over pairs where both are there."""
-    e = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_e", F.col(a) - F.col(b))
-    x = F.abs("_e")
-    q = [F.percentile(x, p).alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.95, 0.99)]
-    return e.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_e").alias("bias"), F.avg(x).alias("mae"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"), *q, F.max(x).alias("worst"))
+def errors(pairs: DataFrame, a: str, b: str, *keys: str, most: int = SMALL) -> DataFrame:
+    """n, bias, mae, rmse, p50, p90, p95, p99, worst of a - b over pairs where both are finite; without keys one row, of n = 0 where there is none."""
+    e = pairs.select(*keys, (finite(F.col(a).cast("double")) - finite(F.col(b).cast("double"))).alias("_e")).where("_e is not null")
+    x, probs = F.abs("_e"), (0.5, 0.9, 0.95, 0.99)
+    sums = e.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_e").alias("bias"), F.avg(x).alias("mae"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"), F.max(x).alias("worst"))
+    q = percentiles(e, x, list(probs), *keys, most=most).select(*(F.col(k).alias(f"_q{i}") for i, k in enumerate(keys)), "q")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_q{i}"))
+    return sums.join(q, same, "left").select(*keys, "n", "bias", "mae", "rmse", *(F.col("q")[k].alias(f"p{int(p * 100)}") for k, p in enumerate(probs)), "worst")
 
 
 def gate(mae: Column, p95: Column, worst: Column, n: Column) -> Column:

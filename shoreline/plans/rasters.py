@@ -23,12 +23,15 @@ def snapshot(points: DataFrame, key: str, at, level) -> DataFrame:
 
 
 def seam(left: DataFrame, right: DataFrame, whole: DataFrame, column: int) -> DataFrame:
-    """n, mae of two tiles put together against the whole, and the 95th percentile of the step across their seam."""
+    """n, mae, p95, p99, worst of two tiles put together against the whole, over pixels where both are finite, the 95th percentile of the step across their
+    seam, and status (fixed values); figures of no pixels are 0."""
     t = left.select("row", "col", "z").unionByName(right.select("row", "col", "z"))
-    e = metrics.aligned(t, whole, ["row", "col"], "z")
+    e = metrics.errors(metrics.aligned(t, whole, ["row", "col"], "z"), "a", "b")
     a, b = (t.where(F.col("col") == c).select("row", F.col("z").alias(n)) for c, n in ((column - 1, "p"), (column, "q")))
-    step = a.join(b, "row").agg(F.percentile(F.abs(F.col("p") - F.col("q")), 0.95).alias("seam_p95"))
-    return e.agg(F.count("a").alias("n"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("mae")).crossJoin(step)
+    step = metrics.errors(a.join(b, "row"), "p", "q").select(F.col("p95").alias("seam_p95"))
+    out = e.select("n", "mae", "p95", "p99", "worst").crossJoin(F.broadcast(step)).na.fill(0.0)
+    good, fair = (F.col("p95") <= 1) & (F.col("worst") <= 10), (F.col("p95") <= 2) & (F.col("worst") <= 10)
+    return out.withColumn("status", F.when(good, "PASS").when(fair, "BETA_ACCEPTABLE").otherwise("INVESTIGATE"))
 
 
 #: Why a pixel has no solution.

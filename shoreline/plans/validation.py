@@ -105,11 +105,13 @@ def exposure_oracle(pixels: DataFrame, frame: Frame, model, window: products.Win
 PROFILES = {"smooth": ("ramp", tide.Synthetic(), None), "steep": ("beach", tide.Synthetic({"ax": 4.0, "by": 4.0}), None), "basins": ("flat", tide.TwoBasin(), (0.45, 0.55))}
 
 
-def profile(spark, name: str, size: int = 60, res: float = 0.01, settings: Settings = Settings(8000.0, 1000.0, 1.0)) -> DataFrame:
-    """row, col, frequency, qc of one of the profile runs over a day: a smooth tide over a ramp, a steep one over a beach, and two basins."""
+def profile(spark, name: str, size: int = 60, res: float = 0.01, settings: Settings = Settings(8000.0, 1000.0, 1.0), frame: Frame | None = None, pixels: DataFrame | None = None) -> DataFrame:
+    """row, col, frequency, qc of one of the profile runs over a day: a smooth tide over a ramp, a steep one over a beach, and two basins. With a frame and
+    pixels their heights take the terrain's place; those of the barrier's columns have none."""
     pattern, model, barrier = PROFILES[name]
-    frame = Frame(120.2 - size * res / 2, 30.0 + size * res / 2, res, -res, size, size)
-    z = rasters.terrain(spark, pattern, size, size, tuple(int(b * size) for b in barrier) if barrier else None)
+    frame = frame or Frame(120.2 - size * res / 2, 30.0 + size * res / 2, res, -res, size, size)
+    gone = tuple(int(b * frame.width) for b in barrier) if barrier else None
+    z = rasters.terrain(spark, pattern, frame.width, frame.height, gone) if pixels is None else pixels.where(~F.col("col").between(gone[0], gone[1] - 1)) if gone else pixels
     return products.inundation(z, frame, model, products.Window(datetime(2024, 1, 1), datetime(2024, 1, 2), "1h"), settings)
 
 

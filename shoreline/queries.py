@@ -152,14 +152,24 @@ def inundation_frequency_packed(spark, d):
     return p.select("k", "levels", F.explode(F.array(*map(F.lit, (20.0, 60.0, 120.0, 240.0)))).alias("z")).select("k", "z", r(frequency.packed_frequency(F.col("levels"), F.col("z"))).alias("frequency"))
 
 
-@query(f"with {SERIES} select k, t, round(1 - cume_dist() over (partition by k order by h), 6) share_above from series where h is not null")
+def noisy(spark, d):
+    """The series with samples that aren't numbers: every 13th second is NaN, every 29th infinite."""
+    s = F.floor("t")
+    return series(spark, d).withColumn("h", F.when(s % 13 == 0, F.lit(float("nan"))).when(s % 29 == 0, F.lit(float("inf"))).otherwise(F.col("h")))
+
+
+#: The same; what isn't finite is none.
+NOISY = f"{SERIES}, noisy as (select k, t, case when floor(t) % 13 <> 0 and floor(t) % 29 <> 0 then h end h from series)"
+
+
+@query(f"with {NOISY} select k, t, round(1 - cume_dist() over (partition by k order by h), 6) share_above from noisy where h is not null")
 def empirical_rank(spark, d):
-    return frequency.empirical_rank(series(spark, d), "k", "h", "t").select("k", "t", r("share_above").alias("share_above"))
+    return frequency.empirical_rank(noisy(spark, d), "k", "h", "t").select("k", "t", r("share_above").alias("share_above"))
 
 
-@query(f"with {SERIES} select k, max(h) high, min(h) low, round(max(h) - min(h), 6) as range from series group by 1")
+@query(f"with {NOISY} select k, max(h) high, min(h) low, round(max(h) - min(h), 6) as range from noisy group by 1")
 def tide_extremes(spark, d):
-    return frequency.extremes(series(spark, d), "k", "h").select("k", "high", "low", r("range").alias("range"))
+    return frequency.extremes(noisy(spark, d), "k", "h").select("k", "high", "low", r("range").alias("range"))
 
 
 # ---------------------------------------------------------------- exposure
@@ -211,15 +221,26 @@ def exposure_qc(spark, d):
 # ---------------------------------------------------------------- time and places
 
 
-@query("select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-12-31 23:30:00', interval 30 minute)) t")
+def _samples_by_step(spark, d, grid, step):
+    """t and n, the samples of all stations that fall into each step of a grid."""
+    at = rd(spark, d, "events").groupBy((F.floor(timegrid.seconds(F.col("ts")) / step) * step).cast("long").alias("s")).agg(F.count("*").alias("n"))
+    g = grid.withColumn("s", timegrid.seconds(F.col("t")).cast("long"))
+    return g.join(at, "s", "left").select(F.col("t").cast("timestamp_ntz").alias("t"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+@query("""with w as (select date_trunc('day', min(ts)) a, date_trunc('day', max(ts)) + interval 1 day b from events), g as (select unnest(generate_series(a, b - interval 30 minute, interval 30 minute)) t from w),
+ e as (select floor(epoch_us(ts) / 1e6 / 1800)::bigint k, count(*) n from events group by 1) select t::timestamp t, coalesce(n, 0)::bigint n from g left join e on k = epoch_us(t) // 1800000000""")
 def time_grid_half_open(spark, d):
-    return timegrid.time_grid(spark, datetime(2024, 1, 1), datetime(2025, 1, 1), "30min", "left").select(F.col("t").cast("timestamp_ntz").alias("t"))
+    """The samples in each half hour of the days that have any."""
+    a, b = rd(spark, d, "events").select(F.date_trunc("day", F.min(F.col("ts").cast("timestamp_ntz"))), F.date_trunc("day", F.max(F.col("ts").cast("timestamp_ntz"))) + F.expr("interval 1 day")).first()
+    return _samples_by_step(spark, d, timegrid.time_grid(spark, a.replace(tzinfo=None), b.replace(tzinfo=None), "30min", "left"), 1800)
 
 
-@query("select unnest(generate_series(timestamp '2024-03-10 05:00:00', timestamp '2024-03-11 04:00:00', interval 1 hour)) t")
+@query("""with g as (select unnest(generate_series(timestamp '2024-03-10 05:00:00', timestamp '2024-03-11 04:00:00', interval 1 hour)) t), e as (select floor(epoch_us(ts) / 1e6 / 3600)::bigint k, count(*) n from events group by 1)
+ select t, coalesce(n, 0)::bigint n from g left join e on k = epoch_us(t) // 3600000000""")
 def time_grid_inclusive(spark, d):
-    """A New York day with a spring clock change, both ends included."""
-    return timegrid.time_grid(spark, datetime(2024, 3, 10), datetime(2024, 3, 11), "1h", "both", "America/New_York").select(F.col("t").cast("timestamp_ntz").alias("t"))
+    """The samples in each hour of a New York day with a spring clock change, both ends included."""
+    return _samples_by_step(spark, d, timegrid.time_grid(spark, datetime(2024, 3, 10), datetime(2024, 3, 11), "1h", "both", "America/New_York"), 3600)
 
 
 @query("select c_custkey, c_acctbal::double lon, round(((c_acctbal % 360) + 360) % 360, 6) east, round((((c_acctbal + 180) % 360) + 360) % 360 - 180, 6) signed from customer")
@@ -315,10 +336,11 @@ def datum_convert_all(spark, d):
     return datum.convert(heights(spark, d), "all").select("id", *(r(c).alias(c) for c in ("tide_msl_m", "h_mdt_ref_m", "h_goco06s_m", "h_egm2008_m", "h_wgs84_m")))
 
 
-@query(f"with {PIXELS}, p as (select pixel, z, pixel % 5 / 10.0::double m, pixel % 3 / 20.0::double dn, case when pixel % 29 = 0 then 2 when pixel % 4 = 0 then 1 else 0 end q from pixels) select pixel, round(case when z is not null and q <> 2 then z - m - dn end, 6) z_msl, case when z is not null and q <> 2 then q else 2 end qc from p")
+@query(f"with {PIXELS}, p as (select pixel, case when pixel % 31 <> 0 then z end z, case when pixel % 37 <> 0 then pixel % 5 / 10.0::double end m, case when pixel % 41 <> 0 then pixel % 3 / 20.0::double end dn, case when pixel % 29 = 0 then 2 when pixel % 4 = 0 then 1 else 0 end q from pixels) select pixel, round(z - m - dn, 6) z_msl, q qc from p where z + m + dn is not null and q <> 2 union all select pixel, null, 2 from p where z + m + dn is null or q = 2")
 def dem_to_msl(spark, d):
-    p = pixels(spark, d)
-    z, q = datum.to_msl(F.col("z"), F.col("pixel") % 5 / 10.0, F.col("pixel") % 3 / 20.0, F.when(F.col("pixel") % 29 == 0, 2).when(F.col("pixel") % 4 == 0, 1).otherwise(0))
+    """Terrain over mean sea level; heights, topography and differences that are NaN or infinite count as missing."""
+    p, bad = pixels(spark, d), lambda n, c, x: F.when(F.col("pixel") % n == 0, F.lit(float(x))).otherwise(c)
+    z, q = datum.to_msl(bad(31, F.col("z"), "nan"), bad(37, F.col("pixel") % 5 / 10.0, "nan"), bad(41, F.col("pixel") % 3 / 20.0, "inf"), F.when(F.col("pixel") % 29 == 0, 2).when(F.col("pixel") % 4 == 0, 1).otherwise(0))
     return p.select("pixel", r(z).alias("z_msl"), q.alias("qc"))
 
 
@@ -358,9 +380,15 @@ def closed_seas(spark, d):
     return datum.in_polygons(p, datum.edges_of(known_places.CLOSED_SEAS, spark), "id").groupBy("polygon").agg(F.count("*").alias("n"))
 
 
-@query("select * from (values " + ", ".join(f"('{n}', {x}::double, {y}::double)" for n, (x, y) in known_places.PRESETS.items()) + ") t(name, lon, lat)")
+_SITES = ", ".join(f"('{n}', {x}::double, {y}::double)" for n, (x, y) in known_places.PRESETS.items())
+
+
+@query(f"with {PLACES}, s as (select * from (values {_SITES}) t(name, lon, lat)), p as (select floor(lon / 30) a, floor((lat + 90) / 30) b, count(*) n from places group by 1, 2) select name, s.lon, s.lat, coalesce(n, 0)::bigint n from s left join p on a = floor((s.lon + case when s.lon < 0 then 360 else 0 end) / 30) and b = floor((s.lat + 90) / 30)")
 def preset_sites(spark, d):
-    return spark.createDataFrame([(n, *xy) for n, xy in known_places.PRESETS.items()], "name string, lon double, lat double")
+    """The sites offered by name, with the places in their chunk of 30 degrees."""
+    sites = spark.createDataFrame([(n, *xy) for n, xy in known_places.PRESETS.items()], "name string, lon double, lat double").withColumn("k", geo.chunk_key(geo.normalize_longitude(F.col("lon")), F.col("lat"), 30.0))
+    n = places(spark, d).groupBy(geo.chunk_key(F.col("lon"), F.col("lat"), 30.0).alias("k")).agg(F.count("*").alias("n"))
+    return sites.join(n, "k", "left").select("name", "lon", "lat", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 # ---------------------------------------------------------------- sampling
@@ -526,9 +554,11 @@ def elevation_quantiles(spark, d):
     return metrics.elevation_quantiles(p, "r", "c").select("r", "c", "n", F.array_join(F.transform("heights", lambda x: F.round(F.round(x, 6) * 10000).cast("long").cast("string")), ",").alias("heights"))
 
 
-@query("select r as row, c as col, least(64, 300 - r)::bigint h, least(64, 200 - c)::bigint w from (select unnest(range(0, 300, 64)) r), (select unnest(range(0, 200, 64)) c)")
+@query("with s as (select p_partkey raster_id, p_size * 10 width, p_size * 20 height from part), r as (select raster_id, width, height, unnest(range(0, height, 64)) r from s) select raster_id, r::bigint as row, c::bigint as col, least(64, height - r)::bigint h, least(64, width - c)::bigint w from (select *, unnest(range(0, width, 64)) c from r)")
 def raster_windows(spark, d):
-    return tables.windows(spark, 200, 300, 16)
+    """The blocks of every raster of a table of headers: parts, whose size gives width and height."""
+    h = rd(spark, d, "part").select(F.col("p_partkey").alias("raster_id"), (F.col("p_size") * 10).alias("width"), (F.col("p_size") * 20).alias("height"))
+    return tables.windows_of(h, 16)
 
 
 @query("select o_orderkey, abs(o_custkey - 100.0::double) > 1e-8 + 1e-5 * 100 ok from orders")
@@ -569,10 +599,10 @@ def delta_n_raster(spark, d):
 
 def pairs(spark, d):
     i = rd(spark, d, "lineitem")
-    return i.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_returnflag", F.col("l_quantity").alias("a"), F.when(F.col("l_orderkey") % 9 != 0, F.col("l_quantity") + F.col("l_discount") * 10 - F.col("l_tax") * 5).alias("b"))
+    return i.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_returnflag", F.col("l_quantity").alias("a"), F.when(F.col("l_orderkey") % 13 == 0, F.lit(float("nan"))).when(F.col("l_orderkey") % 9 != 0, F.col("l_quantity") + F.col("l_discount") * 10 - F.col("l_tax") * 5).alias("b"))
 
 
-PAIRS = "pairs as (select l_orderkey * 10 + l_linenumber id, l_returnflag, l_quantity a, case when l_orderkey % 9 <> 0 then l_quantity + l_discount * 10 - l_tax * 5 end b from lineitem)"
+PAIRS = "pairs as (select l_orderkey * 10 + l_linenumber id, l_returnflag, l_quantity a, case when l_orderkey % 9 <> 0 and l_orderkey % 13 <> 0 then l_quantity + l_discount * 10 - l_tax * 5 end b from lineitem)"
 _ERR = "count(*)::bigint n, round(avg(a - b), 5) bias, round(avg(abs(a - b)), 5) mae, round(sqrt(avg((a - b) * (a - b))), 5) rmse, round(quantile_cont(abs(a - b), 0.5), 5) p50, round(quantile_cont(abs(a - b), 0.9), 5) p90, round(quantile_cont(abs(a - b), 0.95), 5) p95, round(quantile_cont(abs(a - b), 0.99), 5) p99, round(max(abs(a - b)), 5) worst"
 
 
@@ -590,16 +620,16 @@ def accuracy_gate(spark, d):
 
 @query(f"with {PAIRS} select id, round(abs(a - b), 6) error from pairs where b is not null order by round(abs(a - b), 6) desc, id limit 20")
 def top_outliers(spark, d):
-    p = pairs(spark, d).withColumns({"a": F.round(F.abs(F.col("a") - F.col("b")), 6), "b": F.when(F.col("b").isNotNull(), 0.0)})
+    p = pairs(spark, d).where(~F.isnan("b")).withColumns({"a": F.round(F.abs(F.col("a") - F.col("b")), 6), "b": F.when(F.col("b").isNotNull(), 0.0)})
     return metrics.outliers(p, "a", "b", "id").select("id", r("error").alias("error"))
 
 
-@query(f"with {PIXELS}, t as (select row, col, z, z as w from pixels where col < 64 union all select row, col, z, z + 0.01::double from pixels where col >= 64), s as (select a.row, abs(a.w - b.w) step from t a join t b on a.row = b.row and a.col = 63 and b.col = 64) select (select count(*) from t where w is not null)::bigint n, (select round(avg(abs(w - z)), 6) from t) mae, (select round(quantile_cont(step, 0.95), 6) from s) seam_p95")
+@query(f"with {PIXELS}, t as (select row, col, z, z as w from pixels where col < 64 union all select row, col, z, z + 0.01::double from pixels where col >= 64), s as (select a.row, abs(a.w - b.w) step from t a join t b on a.row = b.row and a.col = 63 and b.col = 64) select (select count(*) from t where w is not null)::bigint n, (select round(avg(abs(w - z)), 6) from t) mae, (select round(quantile_cont(abs(w - z), 0.95), 6) from t) p95, (select round(quantile_cont(abs(w - z), 0.99), 6) from t) p99, (select round(max(abs(w - z)), 6) from t) worst, 'PASS' status, (select round(quantile_cont(step, 0.95), 6) from s) seam_p95")
 def seam_composite(spark, d):
     from shoreline.plans.rasters import seam
 
     p = pixels(spark, d)
-    return seam(p.where("col < 64"), p.where("col >= 64").withColumn("z", F.col("z") + 0.01), p, 64).select("n", r("mae").alias("mae"), r("seam_p95").alias("seam_p95"))
+    return seam(p.where("col < 64"), p.where("col >= 64").withColumn("z", F.col("z") + 0.01), p, 64).select("n", *(r(c).alias(c) for c in ("mae", "p95", "p99", "worst", "seam_p95")), "status")
 
 
 @query(f"with {PIXELS}, {CELLS}, {NODES}, x as (select unnest(corners) node_id, level from cells) select n.node_id, coalesce(min(level), -1)::int low, coalesce(max(level), -1)::int high from nodes n left join x using (node_id) group by 1")

@@ -61,9 +61,14 @@ def raster_valid_pixels(spark, d):
     return rasters.inspected(h, p).select("raster_id", "valid_pixels")
 
 
-@query("select p.row::int as row, c.col::int col, round(case when not (p.row < 96 * 0.15 and c.col < 160 * 0.15) then (-2.5::double + 6.0 * (c.col / 160.0::double) - 1.5 * (p.row / 96.0::double) + 0.6 * sin(p.row / 25.0::double) * cos(c.col / 30.0::double))::float::double end, 5) z from (select unnest(range(96)) as row) p, (select unnest(range(160)) col) c")
+@query(f"""with {PIXELS}, h as (select (max(row) + 1)::int n from pixels), c as (select row, col, z, case when not (row < n * 0.15::double and col < {WIDTH} * 0.15::double) then (-2.5::double + 6.0 * (col / {WIDTH}.0::double) - 1.5 * (row / n::double) + 0.6 * sin(row / 25.0::double) * cos(col / 30.0::double))::float::double end w from pixels, h)
+ select row, col, round(z - w, 5) above from c""")
 def terrain_coast(spark, d):
-    return rasters.terrain(spark, "coast", 160, 96).select("row", "col", r("z", 5).alias("z"))
+    """How far the raster of orders is above a synthetic coast of its size."""
+    p = pixels(spark, d)
+    rows = p.agg(F.max("row").alias("n")).first()["n"] + 1
+    coast = rasters.terrain(spark, "coast", WIDTH, rows).withColumnRenamed("z", "w")
+    return p.join(coast, ["row", "col"]).select("row", "col", r(F.col("z") - F.col("w"), 5).alias("above"))
 
 
 @query(f"with {PIXELS} select row // 16 r_off, col // 16 c_off, count(*)::bigint n, round(sum(z), 4) s from pixels where z is not null group by 1, 2")
@@ -170,23 +175,32 @@ def mdt_geometry(spark, d):
 _WHOLE = "whole as (select a.i, a.j from holed a join holed b on b.i = a.i + 1 and b.j = a.j join holed c on c.i = a.i and c.j = a.j + 1 join holed d on d.i = a.i + 1 and d.j = a.j + 1 where a.val is not null and b.val is not null and c.val is not null and d.val is not null)"
 
 
-@query(f"""with {HOLED}, {_WHOLE}, e as (select i - 1 ni, j nj, i i1, j j1, i i2, j + 1 j2 from whole union all select i + 1, j, i + 1, j, i + 1, j + 1 from whole union all select i, j - 1, i, j, i + 1, j from whole union all select i, j + 1, i, j + 1, i + 1, j + 1 from whole)
+#: The raster of orders as a grid, under the name that the conditions above have.
+_ORDERS_GRID = f"{PIXELS}, holed as (select col::bigint i, row::bigint j, z val from pixels)"
+
+
+def orders_grid(spark, d):
+    return pixels(spark, d).select(F.col("col").cast("long").alias("i"), F.col("row").cast("long").alias("j"), F.col("z").alias("val"))
+
+
+@query(f"""with {_ORDERS_GRID}, {_WHOLE}, e as (select i - 1 ni, j nj, i i1, j j1, i i2, j + 1 j2 from whole union all select i + 1, j, i + 1, j, i + 1, j + 1 from whole union all select i, j - 1, i, j, i + 1, j from whole union all select i, j + 1, i, j + 1, i + 1, j + 1 from whole)
  select i1, j1, i2, j2 from e where not exists (select 1 from whole w where w.i = ni and w.j = nj)""")
 def validity_border(spark, d):
     """Edges between cells that can be interpolated and cells that can't."""
-    return gridcells.boundary_segments(holed(spark))
+    return gridcells.boundary_segments(orders_grid(spark, d))
 
 
-@query(f"with {HOLED}, o as (select i, j, i * 0.5::double + j w from holed), g as (select i, j, holed.val - o.w val from holed join o using (i, j)) select i, j, round(val, 6) val from g")
+@query(f"with {_ORDERS_GRID}, o as (select i, j, i * 0.5::double + j w from holed), g as (select i, j, holed.val - o.w val from holed join o using (i, j)) select i, j, round(val, 6) val from g")
 def grid_difference(spark, d):
-    other = holed(spark).select("i", "j", (F.col("i") * 0.5 + F.col("j")).alias("val"))
-    return gridcells.difference(holed(spark), other).withColumn("val", r("val"))
+    g = orders_grid(spark, d)
+    return gridcells.difference(g, g.select("i", "j", (F.col("i") * 0.5 + F.col("j")).alias("val"))).withColumn("val", r("val"))
 
 
-@query("with g as (select lon, lat from (select unnest(range(-180, 181, 5)) * 1.0::double lon), (select unnest(range(-90, 91, 5)) * 1.0::double lat)) select distinct case when lon < 0 then lon + 360 else lon end lon, lat from g where lat between -10 and 20 and (lon between 165 and 180 or lon between -180 and -160)")
+@query(f"with {PLACES}, g as (select round((lon + 180) % 360 - 180, 6) lon, lat from places) select distinct round(case when lon < 0 then lon + 360 else lon end, 6) lon, lat from g where lat between -40 and 50 and (lon between 120 and 180 or lon between -180 and -110)")
 def antimeridian_window(spark, d):
-    g = spark.range(73 * 37).select(((F.col("id") % 73) * 5.0 - 180.0).alias("lon"), (F.expr("id div 73") * 5.0 - 90.0).alias("lat"))
-    return gridcells.longitude_window(g, 165.0, -160.0, -10.0, 20.0)
+    """Places in a window that crosses the antimeridian."""
+    g = places(spark, d).select(F.round(geo.normalize_longitude(F.col("lon"), False), 6).alias("lon"), "lat")
+    return gridcells.longitude_window(g, 120.0, -110.0, -40.0, 50.0).select(F.round("lon", 6).alias("lon"), "lat")
 
 
 _OFFSETS = "select l_orderkey k, l_quantity - 25.5::double dx, l_discount * 100 - 4.5::double dy from lineitem"
@@ -384,5 +398,8 @@ def sensitivity_quantiles(spark, d):
 
 @query()
 def profile_basins(spark, d):
-    """The run over two basins with a barrier between them."""
-    return validation.profile(spark, "basins").select("row", "col", r("frequency", 4).alias("frequency"), "qc")
+    """The run over two basins with a barrier between them, on the heights of orders."""
+    p = pixels(spark, d).where("z is not null").select("row", "col", "z")
+    rows = p.agg(F.max("row").alias("n")).first()["n"] + 1
+    frame = rasters.Frame(120.2 - WIDTH * 0.001, 30.0, 0.002, -0.0002, WIDTH, rows)
+    return validation.profile(spark, "basins", frame=frame, pixels=p).select("row", "col", r("frequency", 4).alias("frequency"), "qc")

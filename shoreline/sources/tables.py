@@ -83,6 +83,16 @@ def windows(spark: SparkSession, width: int, height: int, block: int) -> DataFra
     return rows.crossJoin(F.broadcast(cols)).select("row", "col", F.least(F.lit(block), height - F.col("row")).alias("h"), F.least(F.lit(block), width - F.col("col")).alias("w"))
 
 
+def windows_of(headers: DataFrame, block: int) -> DataFrame:
+    """raster_id, row, col, h, w of the blocks of each raster of a table with raster_id, width and height; one without pixels has none."""
+    block = max(64, block)
+    w, h = F.col("width").cast("long"), F.col("height").cast("long")
+    starts = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1, F.lit(block).cast("long"))))
+    rows = headers.select("raster_id", w.alias("width"), h.alias("height"), starts(h).alias("row"))
+    rows = rows.select("*", starts(F.col("width")).alias("col"))
+    return rows.select("raster_id", "row", "col", F.least(F.lit(block).cast("long"), F.col("height") - F.col("row")).alias("h"), F.least(F.lit(block).cast("long"), F.col("width") - F.col("col")).alias("w"))
+
+
 def tiles_to_pixels(tiles: DataFrame) -> DataFrame:
     """Tiles (raster_id, r_off, c_off, w, data array) as pixels (raster_id, row, col, z)."""
     p = tiles.select("raster_id", "r_off", "c_off", "w", F.posexplode("data").alias("k", "z"))
