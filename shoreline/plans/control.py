@@ -19,6 +19,7 @@ from shoreline.functions import geo, qc
 from shoreline.functions.tide import TideModel
 from shoreline.operators import frequency, quadtree, topology
 from shoreline.plans.blocks import _arrays
+from shoreline.plans.pyramid import pyramid
 from shoreline.sources.rasters import Frame
 from shoreline.sources.tables import freed, stored
 
@@ -26,6 +27,9 @@ from shoreline.sources.tables import freed, stored
 MODES, MAX_NODES, MAX_DEPTH = ("standard", "intertidal"), 50_000, 12
 
 
+BOUNDS, PATH = ("x_min", "y_min", "x_max", "y_max"), ("mr", "mc", "pr", "pc")
+
+
 class TooManyNodes(RuntimeError):
     pass
 
@@ -84,7 +88,9 @@ def macro_cells(spark, frame: Frame, active: DataFrame, settings: Settings, fact
     each = cells.where("r1 > r0 and c1 > c0").withColumn("r", F.explode(F.sequence("r0", F.col("r1") - 1))).withColumn("c", F.explode(F.sequence("c0", F.col("c1") - 1)))
     some = each.join(active, ["r", "c"], "left_semi").select("x_min", "y_min").distinct()
     kept = cells.join(some, ["x_min", "y_min"], "left_semi")
-    return (cells if kept.isEmpty() else kept).select("x_min", "y_min", "x_max", "y_max", "level")
+    (sx, sy), zero = frame.steps(settings.initial_m), F.lit(0)
+    named = {"mr": F.rint((F.col("y_min") - south) / sy).cast("int"), "mc": F.rint((F.col("x_min") - west) / sx).cast("int"), "pr": zero, "pc": zero}
+    return (cells if kept.isEmpty() else kept).select(*BOUNDS, "level").withColumns(named)
 
 
 def node_id(x: Column, y: Column, projected: bool) -> Column:
@@ -142,21 +148,6 @@ class Nodes:
         return reduce(DataFrame.unionByName, self.series)
 
 
-def test_heights(cells: DataFrame, pixels: DataFrame, frame: Frame, size: tuple[float, float]) -> DataFrame:
-    """cell, heights of every cell with pixels in its window: the deciles 1, 5 and 9 of ten or more, else all different heights. Cells and pixels meet in
-    tiles as large as a cell (`size` in pixels)."""
-    tile = [max(1, math.ceil(s)) for s in size]
-    lo = lambda v: F.floor(v).cast("long")
-    rows, cols = ([(F.col(c) - o) / s for c in n] for n, o, s in ((("y_min", "y_max"), frame.y0, frame.dy), (("x_min", "x_max"), frame.x0, frame.dx)))
-    w = cells.withColumns({"r0": F.greatest(F.lit(0), lo(F.least(*rows))), "r1": F.least(F.lit(frame.height), F.ceil(F.greatest(*rows))), "c0": F.greatest(F.lit(0), lo(F.least(*cols))), "c1": F.least(F.lit(frame.width), F.ceil(F.greatest(*cols)))}).where("r1 > r0 and c1 > c0")
-    w = w.withColumn("tr", F.explode(F.sequence(lo(F.col("r0") / tile[1]), lo((F.col("r1") - 1) / tile[1])))).withColumn("tc", F.explode(F.sequence(lo(F.col("c0") / tile[0]), lo((F.col("c1") - 1) / tile[0]))))
-    p = pixels.where(F.col("z").isNotNull()).select("row", "col", "z", lo(F.col("row") / tile[1]).alias("tr"), lo(F.col("col") / tile[0]).alias("tc"))
-    inside = w.select("cell", "tr", "tc", "r0", "r1", "c0", "c1").join(p, ["tr", "tc"]).where("row >= r0 and row < r1 and col >= c0 and col < c1")
-    n = inside.groupBy("cell").agg(F.count("*").alias("n"), F.percentile("z", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))
-    few = inside.join(n.where("n < 10").select("cell"), "cell", "left_semi").groupBy("cell").agg(F.array_sort(F.collect_set("z")).alias("s"))
-    return n.join(few, "cell", "left").select("cell", F.coalesce("s", "q").alias("heights"))
-
-
 def _errors(rows: DataFrame) -> DataFrame:
     """cell, error in percentage points. rows: cell, heights, levels (arrays of the valid corners' levels), middle (of the centre's; empty if not valid)."""
 
@@ -199,7 +190,7 @@ def control_grid(pixels: DataFrame, frame: Frame, model: TideModel, times: DataF
     mx, my = (F.col("x_min") + F.col("x_max")) / 2, (F.col("y_min") + F.col("y_max")) / 2
     five = [*((k, F.col(x), F.col(y)) for k, (x, y) in enumerate(corner)), (4, mx, my)]
     edges = [(5, mx, F.col("y_min")), (6, mx, F.col("y_max")), (7, F.col("x_min"), my), (8, F.col("x_max"), my)]
-    step = frame.steps(settings.initial_m)
+    every = pyramid(pixels, frame, frame.steps(settings.initial_m), depth)
     for level in range(depth + 1):
         cells = stored(cells.withColumn("cell", F.monotonically_increasing_id()), "cells")
         if cells.isEmpty():
@@ -215,8 +206,7 @@ def control_grid(pixels: DataFrame, frame: Frame, model: TideModel, times: DataF
         of = points.join(nodes.all().select("node_id", "valid", "component_id", "levels"), "node_id")
         at = F.col("place") < 4
         known = of.groupBy("cell").agg(F.count_if(at & F.col("valid")).alias("wet"), F.bool_or(~at & F.col("valid")).alias("mid"), F.size(F.collect_set(F.when(at & F.col("valid") & (F.col("component_id") > 0), F.col("component_id")))).alias("parts"), F.collect_list(F.when(at & F.col("valid"), F.col("levels"))).alias("levels"), F.coalesce(F.first(F.when(~at & F.col("valid"), F.col("levels")), ignorenulls=True), F.array().cast("array<float>")).alias("middle"))
-        size = (abs(step[0] / 2**level / frame.dx), abs(step[1] / 2**level / frame.dy))
-        heights = stored(test_heights(cells, pixels, frame, size), "heights")
+        heights = stored(cells.select("cell", *PATH).join(every.where(F.col("level") == level).drop("level"), list(PATH)).select("cell", "heights"), "heights")
         error = _errors(heights.join(known, "cell"))
         j = cells.join(known.drop("levels", "middle"), "cell").join(wet, "cell", "left").join(heights.select("cell", F.lit(True).alias("any")), "cell", "left").join(error, "cell", "left")
         probe, conflict = F.coalesce("probe", F.lit(False)), F.col("parts") > 1
@@ -225,13 +215,16 @@ def control_grid(pixels: DataFrame, frame: Frame, model: TideModel, times: DataF
         want = quadtree.wants_split(error, settings.tolerance, F.col("wet"), F.col("mid"), probe, conflict, settings.mode == "intertidal")
         some = F.coalesce("any", F.lit(False))
         room = F.least(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min")) / 2 >= least - 1e-6
-        j = stored(j.select("x_min", "y_min", "x_max", "y_max", "level", F.when(some, error).otherwise(0.0).alias("error"), (some & want).alias("want"), room.alias("room"), (some & broken).alias("broken")), "judged")
+        j = stored(j.select(*BOUNDS, *PATH, "level", F.when(some, error).otherwise(0.0).alias("error"), (some & want).alias("want"), room.alias("room"), (some & broken).alias("broken")), "judged")
         split = F.col("want") & F.col("room") & F.lit(level < depth)
         bits = [(F.col("want") & ~F.col("room"), qc.MIN_SPACING), (F.col("want") & F.col("room"), qc.MAX_REFINEMENT), (F.col("broken"), qc.VALIDITY_BOUNDARY)]
         leaf = j.where(~split).withColumn("cell_qc", reduce(Column.bitwiseOR, [F.when(c, b).otherwise(0) for c, b in bits]))
-        leaves.append(leaf.drop("want", "room", "broken"))
-        cells = quadtree.children(j.where(split).select("x_min", "y_min", "x_max", "y_max", "level")).select("x_min", "y_min", "x_max", "y_max", "level")
+        leaves.append(leaf.drop("want", "room", "broken", *PATH))
+        quarters = quadtree.children(j.where(split).select(*BOUNDS, *PATH, "level"))
+        half = {"pr": F.col("pr") * 2 + F.expr("quarter div 2").cast("int"), "pc": F.col("pc") * 2 + F.col("quarter") % 2}
+        cells = quarters.withColumns(half).select(*BOUNDS, "level", *PATH)
         freed(points, probes, heights)
+    freed(every)
     out = reduce(DataFrame.unionByName, leaves)
     ids = [node_id(F.col(x), F.col(y), frame.projected) for x, y in corner]
     out = out.withColumns({"cell_id": ids[0], "corners": F.array(*ids)})
