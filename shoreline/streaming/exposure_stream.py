@@ -1,7 +1,7 @@
 """Exposure over a stream of samples: eight scalars a key, the same numbers as the batch operator for input in order.
 
 A sample at or before the last one of its key is late or repeated; it is counted and changes nothing. dead_letters() gives what a
-watermark would leave out.
+watermark would leave out. For samples out of order, late rows as an output and keys that leave, see ordered.py.
 """
 
 from __future__ import annotations
@@ -14,26 +14,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from shoreline.operators.exposure import close, step
+from shoreline.streaming.ordered import advance, arranged, figures, fresh
 
+NAMES = ("h", "t", "now", "valid", "exposed", "longest", "events", "late")
 STATE = "h double, t double, now double, valid double, exposed double, longest double, events long, late long"
 OUTPUT = "k long, valid_h double, exposed_h double, max_h double, events long, late long"
 
 
 def _update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    s = fresh()
     if state.exists:
-        h, t, now, valid, exposed, longest, events, late = state.get
-        s = {"h": h, "t": t, "now": now, "valid": valid, "exposed": exposed, "max": longest, "events": events}
-    else:
-        s, late = {"h": None, "t": None, "now": 0.0, "valid": 0.0, "exposed": 0.0, "max": 0.0, "events": 0}, 0
-    rows = pd.concat(list(batches)).sort_values("t")
-    for t, h, z in zip(rows["t"], rows["h"], rows["z"], strict=True):
-        if s["t"] is not None and t <= s["t"]:
-            late += 1
-        step(s, float(t), None if pd.isna(h) else float(h), float(z))
-    state.update((s["h"], s["t"], s["now"], s["valid"], s["exposed"], s["max"], s["events"], late))
-    out = close(s)
-    yield pd.DataFrame({"k": [key[0]], **{c: [v] for c, v in out.items()}, "late": [late]})
+        s |= dict(zip(NAMES, state.get, strict=True))
+    good, late = arranged(pd.concat(list(batches))[["t", "h", "z"]].astype(float), s["t"])
+    s["late"] += len(late)
+    advance(s, *(good[c].to_numpy() for c in ("t", "h", "z")))
+    state.update(tuple(s[c] for c in NAMES))
+    yield pd.DataFrame({"k": [key[0]], **{c: [v] for c, v in figures(s).items()}, "late": [s["late"]]})
 
 
 def exposure_stream(samples: DataFrame) -> DataFrame:
@@ -75,31 +71,6 @@ def run_available(stream: DataFrame, checkpoint: str, sink, timeout: int = 600)
         q.stop()
 
 
-def upsert_sink(path: str, key: str, order: str):
-    """A sink that keeps the last record of each key: every batch writes a whole new table named by its id, so that a batch that is repeated after a
-    failure gives the same table. Read it with latest()."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = latest(spark, path, number)
-        rows = batch if old is None else old.unionByName(batch, allowMissingColumns=True)
-        last = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
-        last.write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
-
-    return write
-
-
-def latest(spark, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete table of an upsert_sink(), of the batches before a number."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    done = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p) if s.getPath().getName().startswith("batch=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    done = [n for n in done if before is None or n < before]
-    return spark.read.parquet(f"{path}/batch={max(done):012d}") if done else None
-
-
 class Progress(StreamingQueryListener):
     """Calls back with the rows and the batch of every step of a stream; a callback that gives False asks for the query to be stopped."""
 

@@ -11,6 +11,7 @@ from shoreline.operators import datum, exposure, metrics, sampling
 from shoreline.plans import predict, validation
 from shoreline.sources import tables
 from shoreline.streaming import exposure_stream as streams
+from shoreline.streaming import ordered
 
 
 def test_series_with_heights(spark):
@@ -86,16 +87,17 @@ def test_streams(spark, tmp_path):
     told = []
     listener = streams.Progress(lambda batch, n: told.append((batch, n)))
     spark.streams.addListener(listener)
-    run = lambda: streams.run_available(spark.readStream.schema(schema).parquet(src), ck, streams.upsert_sink(f"file://{out}", "path", "seq"))
+    run = lambda: streams.run_available(spark.readStream.schema(schema).parquet(src), ck, ordered.log_sink(f"file://{out}"))
+    last = lambda: ordered.newest(spark.read.parquet(f"file://{out}"), "path", "seq")
     run()
     put([("a", "DONE", 3)])
     run()
     run()  # nothing new
     spark.streams.removeListener(listener)
-    assert {r.path: r.status for r in streams.latest(spark, f"file://{out}").collect()} == {"a": "DONE", "b": "DONE"}
-    sink = streams.upsert_sink(f"file://{out}", "path", "seq")
+    assert {r.path: r.status for r in last().collect()} == {"a": "DONE", "b": "DONE"}
+    sink = ordered.log_sink(f"file://{out}")
     sink(spark.createDataFrame([("a", "DONE", 3)], schema), 1)  # a batch that is repeated
-    assert streams.latest(spark, f"file://{out}").count() == 2
+    assert last().count() == 2
     ev = spark.createDataFrame([(1, datetime(2024, 1, 1, 0, m), float(m)) for m in range(0, 60, 10)], "k long, ts timestamp, value double")
     w = sorted(tuple(r)[1:] for r in streams.calendar(ev, "30 minutes").collect())
     assert [(x[2], x[3], x[4]) for x in w] == [(3, 0.0, 20.0), (3, 30.0, 50.0)]
