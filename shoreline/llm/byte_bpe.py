@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 from shoreline.llm.base import as_strings, column, numbered, read, renamed, slices, trimmed
 
-#: Pieces and pairs that a worker remembers before it starts again, and bytes of the longest remembered piece.
-REMEMBERED, LONGEST = 1 << 20, 64
+#: Pieces (some 200 bytes each) and pairs (250 bytes) that a worker remembers before it starts again, and bytes of the longest remembered piece.
+PIECES, PAIRS, LONGEST = 1 << 19, 1 << 18, 64
 #: Text and ids that become a batch of results at once.
-SLICE_TEXT, SLICE_IDS = 4 << 20, 1 << 21
+SLICE_TEXT, SLICE_IDS = 2 << 20, 1 << 19
 
 #: Letters and numbers of Unicode 17, which the module regex knows and the library does not.
 NEW_LETTERS = """558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7
@@ -129,7 +129,7 @@ class Vocabulary:
             else:
                 found = True
                 break
-        if len(self.fits) >= REMEMBERED:
+        if len(self.fits) >= PAIRS:
             self.fits.clear()
         self.fits[key] = found
         return found
@@ -184,7 +184,7 @@ class Pieces(dict):
         data = piece.encode("utf-8")
         found = array.array("i", self.vocab.encode_piece(data)).tobytes()
         if len(data) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= PIECES:
                 self.clear()
             self[piece] = found
         return found
@@ -272,31 +272,31 @@ def decode(encoded: DataFrame, ranks: str, ids: str = "ids", bytes_column: str =
     return rows.mapInArrow(run, f"{out}, _bytes binary").select(*renamed(kept), F.col("_bytes").alias(bytes_column))
 
 
-def digests(decoded: DataFrame, ids: str = "ids", bytes_column: str = "bytes") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 of a table with ids and bytes."""
+def digests(encoded: DataFrame, ranks: str, ids: str = "ids") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the bytes that decode() gives) of a table of doc_id and ids,
+    which are decoded on the way: no second pass and no bytes leave the task."""
 
     def run(batches):
         import hashlib
 
+        sha = lambda values: pa.array([hashlib.sha256(v or b"").hexdigest() for v in values.to_pylist()], pa.string())
+        table = spellings(ranks)
+        numbers = pa.array(map(b"%d".__mod__, range(len(table))), pa.large_binary())
         for b in trimmed(batches):
             col = b.column(1)
             for i, k in runs(col):
                 part = col.slice(i, k)
-                most = pc.max(part.flatten()).as_py() or 0
-                texts = joined(part, pa.array(map(b"%d".__mod__, range(most + 1)), pa.large_binary()), b",")
-                shas = pa.array([hashlib.sha256(t).hexdigest() for t in texts.to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, k), pc.list_value_length(part).cast(pa.int64()), shas, b.column(2).slice(i, k)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, k), pc.list_value_length(part).cast(pa.int64()), sha(joined(part, numbers, b",")), sha(joined(part, table, b""))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    kind = decoded.schema["doc_id"].dataType.simpleString()
-    rows = decoded.select("doc_id", F.col(ids).alias("ids"), F.sha2(F.col(bytes_column), 256).alias("decoded_sha256"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", column(ids).alias("ids")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return digests(decode(encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks))
+    return digests(encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
 
 
 QUERIES = {"op12_byte_bpe": op12_byte_bpe}
