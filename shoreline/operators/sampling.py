@@ -34,13 +34,14 @@ def nearest(points: DataFrame, grid: DataFrame, key: str, fx: str, fy: str) -> D
     return at.join(grid.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("val").alias("value")), ["i", "j"], "left").select(key, "value")
 
 
-def knn(points: DataFrame, support: DataFrame, key: str, sid: str, k: int, cell_deg: float = 1.0, lon: str = "lon", lat: str = "lat", by: str | None = None, apart: str | None = None) -> DataFrame:
+def knn(points: DataFrame, support: DataFrame, key: str, sid: str, k: int, cell_deg: float = 1.0, lon: str = "lon", lat: str = "lat", by: str | None = None, apart: str | None = None, stop: float | None = None) -> DataFrame:
     """key, sid, d (chord metres), rank: the k nearest support points of every point, exactly; with `by`, among those equal in that column, with
     `apart`, among those that differ in it.
 
     Support falls into cells of the chord's cube; rings of neighbouring cells are searched until the k-th distance is
     within what the ring covers. Each round only carries the points that aren't settled, and after a cell's
-    size has grown to the sphere every point is. Ties go to the smaller id."""
+    size has grown to the sphere every point is. Ties go to the smaller id. With `stop` (metres), points without support that near are left out, and leave as soon
+    as the rings cover it."""
     size = math.radians(cell_deg) * geo.RADIUS_M
     xyz = lambda df, i: df.select(F.col(i), *[by] * bool(by), *[apart] * bool(apart), *(c.alias(n) for c, n in zip(geo.chord(F.col(lon), F.col(lat)), "xyz", strict=True)))
     left, sup = xyz(points, key), xyz(support, sid).select(F.col(sid).alias("_s"), *[by] * bool(by), *([F.col(apart).alias("_apart")] if apart else []), *(F.col(c).alias(f"s{c}") for c in "xyz"))
@@ -64,6 +65,11 @@ def knn(points: DataFrame, support: DataFrame, key: str, sid: str, k: int, cell_
         if done:
             return out
         left = left.join(settled, key, "left_anti")
+        if stop is not None and size >= stop:
+            left = left.join(pairs.where(F.col("d") <= stop).select(key).distinct(), key, "left_semi")
+            stop = None  # all that are left have support that near
+            if left.isEmpty():
+                return out
         size *= 4
 
 
@@ -74,7 +80,7 @@ def idw(points: DataFrame, support: DataFrame, key: str, sid: str, value: str, k
     if not 0 <= cutoff_m <= 500_000:
         raise ValueError("the cutoff must be 0 to 500 km")
     open_points = points if native is None else points.where(F.col(native).isNull())
-    near = knn(open_points, support, key, sid, k, cell_deg).join(support.select(sid, F.col(value).alias("_v")), sid)
+    near = knn(open_points, support, key, sid, k, cell_deg, stop=cutoff_m).join(support.select(sid, F.col(value).alias("_v")), sid)
     w = F.col("d") ** -power
     mean = near.groupBy(key).agg(F.min("d").alias("d0"), F.min_by("_v", F.struct("d", sid)).alias("v0"), (F.sum(F.when(F.col("d") >= 1e-4, w * F.col("_v"))) / F.sum(F.when(F.col("d") >= 1e-4, w))).alias("m"))
     far = mean.select(key, F.when(F.col("d0") < 1e-4, F.col("v0")).otherwise(F.col("m")).alias("_far")).where((mean["d0"] <= cutoff_m) & F.lit(cutoff_m > 0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from shoreline.functions import geo, tide, timegrid
 from shoreline.operators import cells, frequency, gridcells, metrics, sampling
 from shoreline.operators import exposure as stations
+from shoreline.operators.exposure import metrics as exposure_metrics
+from shoreline.operators.quantiles import percentiles
 from shoreline.plans import control, products
 from shoreline.plans.control import Settings
 from shoreline.plans.rasters import attribute
@@ -123,6 +126,35 @@ def sensitivity(series: DataFrame, other: DataFrame, key: str, level: str, quant
     return metrics.errors(a.join(b, [key, "z"]), "a", "b")
 
 
+#: The quantiles of a sensitivity study, and how many stations its exposures are of.
+STUDY_QUANTILES, STUDY_STATIONS = [0.01, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99], 20
+
+
+def sensitivity_study(stations: DataFrame, model_of, window: products.Window, least: list[str], quantiles: list[float] = STUDY_QUANTILES) -> tuple[DataFrame, DataFrame]:
+    """What longer steps and fewer constituents do at stations (node_id, lon, lat). model_of(constituents) gives a tide model; `least` are the constituents that
+    are left; the steps are the window's, twice and four times as long.
+
+    First table: comparison (step2, step4, least, least_step2: the last against all constituents at twice the step) and the errors, in percentage points,
+    of frequencies at or above the quantiles of each station's own levels. Second: comparison (step2, step4) and the mean absolute differences of exposure, longest
+    exposure and events at the middle quantile of the first STUDY_STATIONS stations. Each model is evaluated once."""
+    spark, step = stations.sparkSession, timegrid.step_seconds(window.freq)
+    times = window.times(spark)
+    levels = {name: stored_table(model_of(which).levels(stations, times).select("node_id", (F.unix_micros("t") / F.lit(1e6)).alias("t"), F.col("level").alias("h")), f"study-{name}") for name, which in (("all", "all"), ("least", least))}
+    every = lambda name, n: levels[name].where((F.col("t") - window.seconds()[0]) % (n * step) == 0)
+    of = percentiles(levels["all"], "h", quantiles, "node_id")
+    z = stored_table(of.select("node_id", F.posexplode("q").alias("i", "z")), "study-quantiles")
+    share = lambda rows, n: frequency.frequency(rows, z.drop("i").distinct(), "node_id", "h", at_least=True).select("node_id", "z", F.col("frequency").alias(n))
+    pairs = {"step2": (every("all", 2), levels["all"]), "step4": (every("all", 4), levels["all"]), "least": (levels["least"], levels["all"]), "least_step2": (every("least", 2), every("all", 2))}
+    rows = [z.join(share(a, "a"), ["node_id", "z"]).join(share(b, "b"), ["node_id", "z"]).select(F.lit(name).alias("comparison"), "a", "b") for name, (a, b) in pairs.items()]
+    first = metrics.errors(reduce(DataFrame.unionByName, rows), "a", "b", "comparison")
+    some = stations.select("node_id").orderBy("node_id").limit(STUDY_STATIONS)
+    middle = z.where(F.col("i") == len(quantiles) // 2).select("node_id", "z").join(F.broadcast(some), "node_id")
+    exposed = lambda n, s: exposure_metrics(every("all", n).join(middle, "node_id"), "node_id").select("node_id", *(F.col(c).alias(f"{c}{s}") for c in ("exposed_h", "max_h", "events")))
+    far = lambda c: F.avg(F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")))
+    second = [exposed(n, "_a").join(exposed(1, "_b"), "node_id").agg(far("exposed_h").alias("exposed_mae_h"), far("max_h").alias("max_mae_h"), far("events").alias("events_mae")).select(F.lit(name).alias("comparison"), "*") for name, n in (("step2", 2), ("step4", 4))]
+    return first, reduce(DataFrame.unionByName, second)
+
+
 def nearest_km(points: DataFrame, anchors: DataFrame, key: str, sid: str) -> DataFrame:
     """key, sid, km (planar, at the middle latitude) of the anchor that is nearest by chord."""
     near = sampling.knn(points, anchors, key, sid, 1).select(key, sid)

@@ -403,3 +403,24 @@ def profile_basins(spark, d):
     rows = p.agg(F.max("row").alias("n")).first()["n"] + 1
     frame = rasters.Frame(120.2 - WIDTH * 0.001, 30.0, 0.002, -0.0002, WIDTH, rows)
     return validation.profile(spark, "basins", frame=frame, pixels=p).select("row", "col", r("frequency", 4).alias("frequency"), "qc")
+
+
+_MAJOR = ", ".join(str(k) for k, c in enumerate(tide.SPEEDS) if c in tide.MAJOR)
+_SPEED = " ".join(f"when {k} then {s}::double" for k, (s, _) in enumerate(tide.SPEEDS.values()))
+_STUDY_ERR = "count(*)::bigint n, round(avg(a - b), 4) bias, round(avg(abs(a - b)), 4) mae, round(sqrt(avg((a - b) ** 2)), 4) rmse, round(quantile_cont(abs(a - b), 0.9), 4) p90, round(quantile_cont(abs(a - b), 0.99), 4) p99, round(max(abs(a - b)), 4) worst"
+
+
+@query(f"""with c as (select s_suppkey node_id, unnest(range(34)) k from supplier), h as (select node_id, k in ({_MAJOR}) major, (node_id * 7 + k * 13) % 100 / 4.0::double amp, (node_id * 31 + k * 17) % 360 * 1.0::double ph, case k {_SPEED} end sp from c),
+ s as (select node_id, i, (sum(amp * cos(radians(sp * (i / 2.0::double) - ph))) / 100)::float::double h, (sum(case when major then amp * cos(radians(sp * (i / 2.0::double) - ph)) else 0.0::double end) / 100)::float::double m from h, (select unnest(range(480)) i) group by 1, 2),
+ q as (select node_id, unnest(quantile_cont(h, {validation.STUDY_QUANTILES})) z from s group by 1),
+ f as (select q.node_id, z, 100.0::double * avg((h >= z)::int) h1, 100.0::double * avg((h >= z)::int) filter (i % 2 = 0) h2, 100.0::double * avg((h >= z)::int) filter (i % 4 = 0) h4, 100.0::double * avg((m >= z)::int) m1, 100.0::double * avg((m >= z)::int) filter (i % 2 = 0) m2 from q join s using (node_id) group by 1, 2),
+ e as (select 'step2' comparison, h2 a, h1 b from f union all select 'step4', h4, h1 from f union all select 'least', m1, h1 from f union all select 'least_step2', m2, h2 from f)
+ select comparison, {_STUDY_ERR} from e group by 1""")
+def sensitivity_study(spark, d):
+    """What longer steps and fewer constituents do to the frequencies of ten days at suppliers."""
+    s = rd(spark, d, "supplier").select(F.col("s_suppkey").alias("node_id"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"))
+    k = F.col("k")
+    table = s.select("node_id", F.posexplode(F.array(*map(F.lit, tide.SPEEDS))).alias("k", "constituent")).select("node_id", "constituent", ((F.col("node_id") * 7 + k * 13) % 100 / 4.0).alias("amp_cm"), ((F.col("node_id") * 31 + k * 17) % 360 * F.lit(1.0)).alias("phase_deg"))
+    window = products.Window(datetime(2024, 1, 1), datetime(2024, 1, 11), "30min")
+    e, _ = validation.sensitivity_study(s, lambda which: tide.Harmonic(table, which, origin=1704067200.0), window, list(tide.MAJOR))
+    return e.select("comparison", "n", *(r(c, 4).alias(c) for c in ("bias", "mae", "rmse", "p90", "p99", "worst")))

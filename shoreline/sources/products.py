@@ -53,6 +53,21 @@ def write_exposure(measures: DataFrame, folder: str, name: str, tags: dict, over
     return paths
 
 
+def export_product(spark: SparkSession, path: str, output: str, overwrite: bool = False, block: int = 2048, tile: int = 256) -> DataFrame:
+    """Writes a product as GeoTIFF files (see sources.geotiff) on the raster that its tags name, with all of them; gives the index of the files."""
+    from shoreline.sources.geotiff import write_raster
+    from shoreline.sources.rasters import Frame
+
+    data, tags = read_product(spark, path)
+    a, b, c, d, e, f = (float(tags[f"transform_{k}"]) for k in "abcdef")
+    if b or d:
+        raise ValueError(f"{path}: the raster is turned")
+    code = int(tags["crs"].rsplit(":", 1)[-1]) if ":" in tags["crs"] else 0
+    frame = Frame(c, f, a, e, int(tags["width"]), int(tags["height"]), tags["crs"], tags.get("unit", "degree" if 4000 <= code < 5000 else "metre"))
+    kind = {"long": "uint32", "int": "uint16", "double": "float64"}.get(tags.get("dtype"), tags.get("dtype", "float32"))
+    return write_raster(data, frame, output, "value", "float32" if kind == "float" else kind, float(tags.get("nodata", "nan")), tags, block, tile, overwrite)
+
+
 def verified(spark: SparkSession, path: str, expected: dict, signature: str | None = None) -> list[str]:
     """What is wrong with a product: missing, or other tags than expected (numbers to 1e-5), or of another cache."""
     if not exists(spark, f"{path}/tags") or not exists(spark, f"{path}/data"):
