@@ -8,7 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.operators import gridcells
+from shoreline.operators import gridcells, sampling
 from shoreline.sources.geotiff import Header, read_grid, write_raster
 from shoreline.sources.rasters import Frame
 from shoreline.sources.tables import freed, stored
@@ -27,13 +27,25 @@ def same_lines(a: Header, b: Header) -> bool:
     return all(getattr(a, k) == getattr(b, k) for k in ("width", "height", "crs", *"abcdef"))
 
 
+def reprojected(grid: DataFrame, source: Frame, target: Frame) -> DataFrame:
+    """i, j, val of a raster (i, j, val) at the pixel centres of another, in any system: bilinear from four neighbours that all have a value, null elsewhere. Each
+    pixel of the target finds its neighbours by an equi-join; the target is as large as its frame says."""
+    n = F.col("id")
+    pixels = grid.sparkSession.range(target.width * target.height).select(n, F.call_function("div", n, F.lit(target.width)).cast("int").alias("row"), (n % target.width).cast("int").alias("col"))
+    p = target.centers(pixels)
+    x, y = source.xy(*target.lonlat(F.col("x"), F.col("y")))
+    at = p.select("id", "row", "col", ((x - source.x0) / source.dx - 0.5).alias("fx"), ((y - source.y0) / source.dy - 0.5).alias("fy"))
+    found = sampling.bilinear(at, grid, "id", "fx", "fy")
+    return found.select((n % target.width).alias("i"), F.call_function("div", n, F.lit(target.width)).alias("j"), F.col("value").alias("val"))
+
+
 def geoid_difference(reference: tuple[DataFrame, Header], target: tuple[DataFrame, Header]) -> DataFrame:
-    """i, j, val on the lines of the reference: its undulation less the target's, in float32. A target on other lines is interpolated bilinearly from
-    four neighbours that all have a value."""
+    """i, j, val on the lines of the reference: its undulation less the target's, in float32. A target on other lines, or in another system, is
+    interpolated bilinearly from four neighbours that all have a value."""
     (a, ha), (b, hb) = reference, target
     if ha.crs != hb.crs:
-        raise ValueError(f"geoids in {ha.crs} and {hb.crs}")
-    if not same_lines(ha, hb):
+        b = reprojected(b, frame_of_grid(hb), frame_of_grid(ha))
+    elif not same_lines(ha, hb):
         b = gridcells.resampled(b, *axes(hb), a.select("i", "j"), *axes(ha))
     single = lambda g: g.select("i", "j", F.col("val").cast("float").alias("val"))
     return gridcells.difference(single(a), single(b)).where("val is not null")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from shoreline.functions import projections
 from shoreline.operators import mesh as mesh_ops
 from shoreline.operators import sampling
 from shoreline.plans import geoid
@@ -117,3 +120,35 @@ def mesh_constants(spark, d):
         triangle = mesh.locate(places, mesh.tables(box)[0], "id").select("id", "triangle")
         found = mesh.interpolate(places, "id", box).join(triangle, "id", "right")
     return found.select("id", "triangle", *(r(F.col(p)[k]).alias(f"{c}_{p}") for k, c in enumerate(("m2", "s2")) for p in ("re", "im")))
+
+
+# ---------------------------------------------------------------- projections
+
+_E = projections._e(projections.WGS84)
+_POLAR = projections.SYSTEMS[3413]
+_SCALE = _POLAR._scale()[2]
+_STEP = 110.0
+
+
+def _corner() -> tuple[float, float]:
+    """Where the raster of orders begins, in the system of the target, less a few pixels."""
+    r, angle = _SCALE * projections._conformal(math.radians(31.0), _E), math.radians(122.064 + 45.0)
+    return round(r * math.sin(angle)) - 32 * _STEP, round(-r * math.cos(angle)) + 4 * _STEP
+
+
+_LAT = "pi() / 2 - 2 * atan(t * pow((1 - {e}::double * sin({l})) / (1 + {e}::double * sin({l})), {e}::double / 2))"
+
+
+@query(f"""with {PIXELS}, h as (select (max(row) + 1)::int n from pixels), g as (select r as row, c as col, {_corner()[0]}::double + {_STEP}::double * (c + 0.5::double) x, {_corner()[1]}::double - {_STEP}::double * (r + 0.5::double) y from (select unnest(range(0, n)) r from h), (select unnest(range(64)) c)),
+ a as (select row, col, degrees(atan2(x, -y)) - 45 lon, sqrt(x * x + y * y) / {_SCALE!r}::double t from g), l0 as (select *, pi() / 2 - 2 * atan(t) l from a), {", ".join(f"l{k} as (select row, col, lon, t, {_LAT.format(e=repr(_E), l='l')} l from l{k - 1})" for k in range(1, 6))},
+ f as (select row, col, (((lon - 122.0::double) % 360 + 360) % 360) / {PX}::double - 0.5 fx, (degrees(l) - 31.0::double) / {PX}::double - 0.5 fy from l5),
+ c as (select row, col, floor(fx)::bigint i0, floor(fy)::bigint j0, fx - floor(fx) u, fy - floor(fy) v from f),
+ w as (select row, col, i0 + a i, j0 + b j, case when a = 0 then 1 - u else u end * case when b = 0 then 1 - v else v end w from c, (values (0, 0), (1, 0), (0, 1), (1, 1)) o(a, b)),
+ s as (select w.row, w.col, sum(w * z) s, count(*) filter (z is null) gone from w left join pixels p on p.col = i and p.row = j group by 1, 2) select row::bigint as row, col::bigint as col, round(s, 5) z from s where gone = 0""")
+def raster_reprojected(spark, d):
+    """The raster of orders on pixels of a polar stereographic one."""
+    g = pixels(spark, d).select(F.col("col").alias("i"), F.col("row").alias("j"), F.col("z").alias("val"))
+    source = frame(spark, d)
+    x, y = _corner()
+    target = Frame(x, y, _STEP, -_STEP, 64, source.height, "EPSG:3413", "metre")
+    return geoid.reprojected(g, source, target).where("val is not null").select(F.col("j").alias("row"), F.col("i").alias("col"), r("val", 5).alias("z"))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.functions import geo
+from shoreline.functions import geo, projections
 
 #: Metres of a unit; a degree has none.
 UNITS = {"metre": 1.0, "foot": 0.3048, "US survey foot": 1200 / 3937}
@@ -62,14 +62,22 @@ class Frame:
         return spacing_m / (geo.DEGREE_M * self._cos()), spacing_m / geo.DEGREE_M
 
     def lonlat(self, x: Column, y: Column) -> tuple[Column, Column]:
-        """Geographic coordinates of a point; projected ones must be a UTM zone (EPSG 326zz or 327zz) in any unit."""
+        """Geographic coordinates of a point; projected ones must be a UTM zone (EPSG 326zz or 327zz) or one of functions.projections, in any unit."""
         if not self.projected:
             return geo.normalize_longitude(x, False), y
         code = int(self.crs.rsplit(":", 1)[-1])
         if code // 100 not in (326, 327):
-            raise ValueError(f"{self.crs} isn't a UTM zone; other projections need a library")
+            return projections.projection_of(code).inverse(x * self.factor, y * self.factor)
         return geo.utm_to_lonlat(x * self.factor, y * self.factor, code % 100, code // 100 == 326)
 
+    def xy(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+        """Coordinates of a place in the raster's system and unit; longitudes of a geographic raster are brought within a turn from its west."""
+        if not self.projected:
+            west = self.bounds[0]
+            return F.pmod(lon - west, F.lit(360.0)) + west, lat
+        x, y = projections.projection_of(int(self.crs.rsplit(":", 1)[-1])).forward(lon, lat)
+        return x / self.factor, y / self.factor
+
     def centers(self, pixels: DataFrame) -> DataFrame:
         """pixels with x and y of their centres."""
         x, y = geo.pixel_center(F.col("row"), F.col("col"), self.dx, 0.0, self.x0, 0.0, self.dy, self.y0)
