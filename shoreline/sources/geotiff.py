@@ -609,8 +609,10 @@ def read_grid(spark: SparkSession, path: str, bbox: tuple | None = None, band: i
         raise ValueError(f"{path}: a reference grid needs a geographic reference system, not {h.crs or 'none'}")
     options = {"bands": str(band)} | ({"bbox": ",".join(map(repr, bbox))} if bbox else {})
     grid = read_raster(spark, path, **options).where("z is not null").select(F.col("col").alias("i"), F.col("row").alias("j"), F.col("z").alias("val"))
-    if index is not None:  # where the whole begins
-        h = Header(**{**vars(h), "c": h.c - h.a * index["col"][0].as_py(), "f": h.f - h.e * index["row"][0].as_py()})
+    if index is not None:  # where the whole begins, and how far its blocks go
+        blocks = index.to_pylist()
+        width, height = (max(b[at] + b[n] for b in blocks) for at, n in (("col", "width"), ("row", "height")))
+        h = Header(**{**vars(h), "c": h.c - h.a * blocks[0]["col"], "f": h.f - h.e * blocks[0]["row"], "width": width, "height": height})
     return grid, h
 
 

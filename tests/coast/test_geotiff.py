@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shoreline.plans import geoid
 from shoreline.sources import geotiff
 from shoreline.sources.bundle import ExistingOutput
 from shoreline.sources.geotiff import NotATiff, Reader, decoded, fractional, headers, lzw, packbits, parse, read_grid, read_header, read_index, read_raster, tiff, write_raster
@@ -271,6 +272,18 @@ def test_grid(spark, tmp_path):
         read_grid(spark, f"file://{tmp_path}/utm")
 
 
+def test_difference_of_grids_of_many_blocks(spark, tmp_path):
+    a, b, frame = values(seed=2), values(seed=3), Frame(0.0, 90.0, 1.0, -1.0, 150, 90)
+    paths = [f"file://{tmp_path}/{n}" for n in ("a", "b", "difference")]
+    for z, path in zip((a, b), paths, strict=False):
+        write_raster(pixels(spark, z), frame, path, dtype="float64", block=32, tile=16)
+    h = read_grid(spark, paths[0])[1]
+    assert (h.width, h.height, h.c, h.f) == (150, 90, 0.0, 90.0)
+    geoid.write_geoid_difference(spark, *paths, "a", "b", block=32, tile=16)
+    got = grid_of(read_raster(spark, paths[2]), 90, 150)
+    assert np.allclose(got, a.astype(np.float32) - b.astype(np.float32), equal_nan=True)
+
+
 def test_pushed_filters_are_seen_in_the_plan(spark, tmp_path):
     write_raster(pixels(spark, values()), FRAME, f"file://{tmp_path}/t", block=64, tile=32)
     geotiff.register(spark)
