@@ -17,8 +17,11 @@ def normalize_longitude(lon: Column, to_360: bool = True) -> Column:
     return F.pmod(lon, F.lit(360.0)) if to_360 else F.pmod(lon + 180.0, F.lit(360.0)) - 180.0
 
 
+def finite(c: Column) -> Column:
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+
+
 def valid_coordinate(lon: Column, lat: Column) -> Column:
-    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
     return finite(lon) & finite(lat) & lat.between(-90.0, 90.0)
 
 

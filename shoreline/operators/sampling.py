@@ -6,13 +6,14 @@ shuffle by cell whatever the size of grid and points.
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shoreline.functions import geo
+from shoreline.sources.tables import stored
 
 
 def bilinear(points: DataFrame, grid: DataFrame, key: str, fx: str, fy: str) -> DataFrame:
@@ -34,43 +35,99 @@ def nearest(points: DataFrame, grid: DataFrame, key: str, fx: str, fy: str) -> D
     return at.join(grid.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("val").alias("value")), ["i", "j"], "left").select(key, "value")
 
 
+#: Half the side of the cube that holds the sphere (a power of two, so that cells have exact bounds), and how often it is halved at most (to a quarter of a millimetre).
+_HALF, _DEEPEST = 2.0**23, 36
+
+
+def _side(level):
+    return 2 * _HALF / F.pow(F.lit(2.0), level)
+
+
+def _cell(level, prefix: str = "_") -> list:
+    """The cell of a level that a place is in, as columns _cx, _cy, _cz."""
+    return [F.floor((F.col(f"{prefix}{c}") + _HALF) / _side(level)).alias(f"_c{c}") for c in "xyz"]
+
+
+def _reach(far: bool):
+    """Metres from a place to the nearest or farthest point of a cell."""
+    side, parts = _side(F.col("_l")), []
+    for c in "xyz":
+        low = F.col(f"_c{c}") * side - _HALF
+        a, b = low - F.col(f"_{c}"), F.col(f"_{c}") - (low + side)
+        parts.append(F.greatest(F.abs(a), F.abs(b)) if far else F.greatest(a, b, F.lit(0.0)))
+    return F.sqrt(sum(p * p for p in parts))
+
+
 def knn(points: DataFrame, support: DataFrame, key: str, sid: str, k: int, cell_deg: float = 1.0, lon: str = "lon", lat: str = "lat", by: str | None = None, apart: str | None = None, stop: float | None = None) -> DataFrame:
     """key, sid, d (chord metres), rank: the k nearest support points of every point, exactly; with `by`, among those equal in that column, with
-    `apart`, among those that differ in it.
-
-    Support falls into cells of the chord's cube; rings of neighbouring cells are searched until the k-th distance is
-    within what the ring covers. Each round only carries the points that aren't settled, and after a cell's
-    size has grown to the sphere every point is. Ties go to the smaller id. With `stop` (metres), points without support that near are left out, and leave as soon
-    as the rings cover it."""
-    size = math.radians(cell_deg) * geo.RADIUS_M
-    xyz = lambda df, i: df.select(F.col(i), *[by] * bool(by), *[apart] * bool(apart), *(c.alias(n) for c, n in zip(geo.chord(F.col(lon), F.col(lat)), "xyz", strict=True)))
-    left, sup = xyz(points, key), xyz(support, sid).select(F.col(sid).alias("_s"), *[by] * bool(by), *([F.col(apart).alias("_apart")] if apart else []), *(F.col(c).alias(f"s{c}") for c in "xyz"))
+    `apart`, among those that differ in it. Ties go to the smaller id. With `stop` (metres), points without support that near are left out; so are points without a position.
+
+    Points at one place are searched for once, and of support at one place the k smallest ids count. The chord's cube is halved again and again; a place begins
+    in the smallest cell about it that holds enough support, so that its k-th neighbour is no farther than that cell's far corner, and takes the cells around
+    that are as near. Those that hold many are halved, with what is then known to be too far left out, until all are small: whatever the density of the
+    support, and however far from it a place is, few rows are compared. cell_deg has no effect; sizes come from the support."""
+    cell, own = ["_l", "_cx", "_cy", "_cz"], [*["_by"] * bool(by), *["_apart"] * bool(apart)]
+    cell_by, place = cell + ["_by"] * bool(by), ["_lon", "_lat", *own]
+
+    def placed(df, i):
+        at = df.select(F.col(i), F.col(lon).cast("double").alias("_lon"), F.col(lat).cast("double").alias("_lat"), *([F.col(by).alias("_by")] if by else []), *([F.col(apart).alias("_apart")] if apart else []))
+        return at.where(geo.finite(F.col("_lon")) & geo.finite(F.col("_lat"))).dropna(subset=own) if own else at.where(geo.finite(F.col("_lon")) & geo.finite(F.col("_lat")))
+
+    xyz = [c.alias(n) for c, n in zip(geo.chord(F.col("_lon"), F.col("_lat")), ("_x", "_y", "_z"), strict=True)]
+    first = F.row_number().over(Window.partitionBy(*place).orderBy(sid))
+    sup = stored(placed(support, sid).withColumn("_i", first).where(F.col("_i") <= k).drop("_i").select(sid, *own, *xyz), "knn-support")
     total = sup.count()
     if not total:
-        return left.select(key, F.lit(None).cast(support.schema[sid].dataType).alias(sid), F.lit(None).cast("double").alias("d"), F.lit(None).cast("int").alias("rank")).limit(0)
-    want, out = min(k, total), None
-    while True:
-        cells = [F.floor(F.col(f"s{c}") / size).alias(f"c{c}") for c in "xyz"]
-        around = F.array(*(F.lit(o) for o in (-1, 0, 1)))
-        near = left
-        for c in "xyz":
-            near = near.withColumn(f"o{c}", F.explode(around)).withColumn(f"c{c}", F.floor(F.col(c) / size) + F.col(f"o{c}")).drop(f"o{c}")
-        d = F.sqrt(sum((F.col(c) - F.col(f"s{c}")) ** 2 for c in "xyz"))
-        pairs = near.join(sup.select("*", *cells), ["cx", "cy", "cz", *[by] * bool(by)]).where(F.col(apart) != F.col("_apart") if apart else F.lit(True)).select(key, F.col("_s").alias(sid), d.alias("d"))
-        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("d", sid))).where(F.col("rank") <= want)
-        done = size > 4 * geo.RADIUS_M
-        settled = ranked.groupBy(key).agg(F.count("*").alias("n"), F.max("d").alias("m")).where(F.lit(done) | ((F.col("n") == want) & (F.col("m") <= size))).select(key)
-        got = ranked.join(settled, key, "left_semi")
-        out = got if out is None else out.unionByName(got)
-        if done:
-            return out
-        left = left.join(settled, key, "left_anti")
-        if stop is not None and size >= stop:
-            left = left.join(pairs.where(F.col("d") <= stop).select(key).distinct(), key, "left_semi")
-            stop = None  # all that are left have support that near
-            if left.isEmpty():
-                return out
-        size *= 4
+        return points.select(key, F.lit(None).cast(support.schema[sid].dataType).alias(sid), F.lit(None).cast("double").alias("d"), F.lit(None).cast("int").alias("rank")).limit(0)
+    want, few = min(k, total), max(32, 4 * k)
+    crowded = sup.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(_DEEPEST), F.lit(2)))).groupBy("_l", *_cell(F.col("_l")), *["_by"] * bool(by)).count().where(F.col("count") > few)
+    deepest = crowded.agg(F.max("_l").alias("l")).first()["l"]
+    depth = 0 if deepest is None else min(deepest + 2, _DEEPEST)
+    levels = F.explode(F.sequence(F.lit(0), F.lit(depth)))
+    rows = sup.withColumn("_l", levels).select("*", *_cell(F.col("_l")))
+    held = stored(rows.groupBy(*cell_by).agg(F.count("*").alias("_n")), "knn-cells")
+    same = stored(rows.groupBy(*cell_by, "_apart").agg(F.count("*").alias("_same")), "knn-apart") if apart else None
+
+    def open_to(df):
+        """Cells with _e, how much of their support a place may take."""
+        return df.join(same, [*cell_by, "_apart"], "left").withColumn("_e", F.col("_n") - F.coalesce("_same", F.lit(0))).drop("_same") if apart else df.withColumn("_e", F.col("_n"))
+
+    places = placed(points, key).select(*place).distinct().select(*place, *xyz)
+    inner = held.where((F.col("_n") >= max(want, 8)) | (F.col("_l") == 0))
+    chain = open_to(places.withColumn("_l", levels).select("*", *_cell(F.col("_l"))).join(inner, cell_by)).where((F.col("_e") >= max(want, 8)) | (F.col("_l") == 0))
+    begin = chain.groupBy(*place).agg(F.max_by(F.struct("_x", "_y", "_z", *cell, "_e"), "_l").alias("b")).select(*place, "b.*")
+    begin = stored(begin.withColumn("_most", F.when(F.col("_e") >= want, _reach(True)).otherwise(float("inf"))).drop("_e"), "knn-begin")
+    around = begin.select(*cell_by).distinct()
+    for c in "xyz":
+        around = around.withColumn(f"_o{c}", F.explode(F.array(*(F.lit(o) for o in (-2, -1, 0, 1, 2)))))
+    mine, near_by = [f"_m{c}" for c in "xyz"], [F.col(f"_c{c}") for c in "xyz"]
+    around = around.select("_l", *["_by"] * bool(by), *(c.alias(m) for c, m in zip(near_by, mine, strict=True)), *((F.col(f"_c{c}") + F.col(f"_o{c}")).alias(f"_c{c}") for c in "xyz")).join(held, cell_by)
+    begin_at = begin.select(*place, "_x", "_y", "_z", "_most", "_l", *(c.alias(m) for c, m in zip(near_by, mine, strict=True)))
+    near_enough = lambda df: df.where(_reach(False) <= F.col("_most") + 1e-6)  # noqa: E731  with what rounding may take
+    small = (F.col("_n") <= few) | (F.col("_l") == depth)
+    found = stored(open_to(near_enough(begin_at.join(around, ["_l", *["_by"] * bool(by), *mine]).drop(*mine))).where("_e > 0"), "knn-found")
+    leaves = [found]
+    # two levels at a time
+    inside = lambda n: held.where(F.col("_l") >= n).select(*((F.col(c) - n if c == "_l" else F.shiftright(c, n)).alias(c) for c in cell), *["_by"] * bool(by), "_n", *(F.col(c).alias(f"{c}_to") for c in cell))
+    below = inside(2).unionByName(inside(1).where(F.col("_l") == depth - 1))
+    while not found.where(~small).isEmpty():
+        halves = found.where(~small).drop("_n", "_e").join(below, cell_by).drop(*cell).withColumnsRenamed({f"{c}_to": c for c in cell})
+        halves = open_to(near_enough(halves)).where("_e > 0").withColumn("_far", _reach(True))
+        w = Window.partitionBy(*place)
+        enough = F.sum("_e").over(w.orderBy("_far").rowsBetween(Window.unboundedPreceding, 0)) >= want
+        halves = halves.withColumn("_at", F.when(enough, F.col("_far"))).withColumn("_most", F.least("_most", F.min("_at").over(w)))
+        found = stored(near_enough(halves.drop("_far", "_at")), "knn-found")
+        leaves.append(found)
+    ends = reduce(DataFrame.unionByName, leaves).where(small)
+    if len(leaves) > 1:
+        ends = near_enough(ends.withColumn("_most", F.min("_most").over(Window.partitionBy(*place))))
+    d = F.sqrt(sum((F.col(f"_{c}") - F.col(f"_s{c}")) ** 2 for c in "xyz"))
+    other = rows.withColumnsRenamed({f"_{c}": f"_s{c}" for c in "xyz"}).withColumnRenamed("_apart", "_other")
+    pairs = ends.join(other, cell_by).where(F.col("_apart") != F.col("_other") if apart else F.lit(True)).withColumn("d", d).where(F.col("d") <= F.col("_most") + 1e-6)
+    ranked = pairs.select(*place, sid, "d").withColumn("rank", F.row_number().over(Window.partitionBy(*place).orderBy("d", sid))).where(F.col("rank") <= want)
+    if stop is not None:
+        ranked = ranked.withColumn("_d0", F.min("d").over(Window.partitionBy(*place))).where(F.col("_d0") <= stop)
+    return placed(points, key).join(ranked, place).select(key, sid, "d", "rank")
 
 
 def idw(points: DataFrame, support: DataFrame, key: str, sid: str, value: str, k: int = 8, cutoff_m: float | None = 100_000.0, power: float = 2.0, native: str | None = None, cell_deg: float = 1.0) -> DataFrame:
