@@ -23,7 +23,7 @@ from shoreline.plans.pyramid import pyramid
 from shoreline.sources.rasters import Frame
 from shoreline.sources.tables import freed, stored
 
-#: Modes of refinement, and the most nodes and levels of one raster.
+#: Modes of refinement, and the most nodes (unless settings say otherwise) and levels of one raster.
 MODES, MAX_NODES, MAX_DEPTH = ("standard", "intertidal"), 50_000, 12
 
 
@@ -36,7 +36,8 @@ class TooManyNodes(RuntimeError):
 
 @dataclass(frozen=True)
 class Settings:
-    """Spacings in metres, tolerance in percentage points, resolution and least valid share of the support topology."""
+    """Spacings in metres, tolerance in percentage points, resolution and least valid share of the support topology. More than max_nodes nodes are an
+    error; None sets no limit: nodes are written tables, and no process holds them all."""
 
     initial_m: float = 4000.0
     least_m: float = 500.0
@@ -44,7 +45,7 @@ class Settings:
     mode: str = "standard"
     topology_m: float = 200.0
     fraction: float = 0.20
-    max_nodes: int = MAX_NODES
+    max_nodes: int | None = MAX_NODES
 
     def tags(self) -> dict:
         return {"initial_spacing_m": self.initial_m, "min_spacing_m": self.least_m, "tolerance_pct": self.tolerance, "target_mode": self.mode, "topology_resolution_m": self.topology_m, "topology_fraction": self.fraction}
@@ -123,7 +124,7 @@ class Nodes:
         n = new.count()
         if not n:
             return freed(new)
-        if self.count + n > self.settings.max_nodes:
+        if self.settings.max_nodes is not None and self.count + n > self.settings.max_nodes:
             raise TooManyNodes(f"{self.count} nodes and {n} more are over the limit of {self.settings.max_nodes}: take wider spacings, a larger tolerance, a smaller raster or a higher limit")
         self.count += n
         series = stored(self.model.levels(new.select("node_id", "lon", "lat"), self.times).select("node_id", "t", "level", "flag"), "node-levels")
